@@ -1,4 +1,369 @@
 """Queries by name, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores, text
+from ..functions.replies import PAIRS, parse_pairs
+from ..operators import chunking, generate, metrics, pairs
+from ..operators.clients import OfflineClient
+from ..sources import readers, writers
+from ..sources.storage import shared_path
+
+ORDER = ["conv_id", "turn"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pairs_from_turns(_table(spark, sf_dir, "conversations"))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+_WORDS = "|".join(scores.QUESTION_WORDS)
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _norm(x: str) -> str:
+    return rf"regexp_replace(lower({_strip(x)}), '\s+', ' ', 'g')"
+
+
+def _asks(x: str) -> str:
+    return rf"(ends_with({_strip(x)}, '?') OR regexp_matches({x}, '(?i)(^|[^\p{{L}}\p{{N}}_])({_WORDS})($|[^\p{{L}}\p{{N}}_])'))"
+
+
+_PAIRS = """turns AS (
+  SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS next, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), pairs AS (SELECT conv_id, turn, question, answer FROM turns WHERE role = 'user' AND next = 'assistant')"""
+_SCORED = rf"""{_PAIRS}, scored AS (
+  SELECT *, CASE WHEN {_strip("question")} = '' OR {_strip("answer")} = '' THEN 0.0::DOUBLE ELSE
+    ((length(question) >= 10 AND length(answer) >= 5)::INT + (length(answer) <= 2000)::INT + {_asks("question")}::INT) / 3.0::DOUBLE END AS raw FROM pairs
+)"""
+
+
+def _filtered_sql(least: float) -> str:
+    return f"""WITH {_SCORED}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {_norm("question")}, {_norm("answer")} ORDER BY conv_id, turn) AS k FROM scored WHERE raw >= {least}
+) SELECT conv_id, turn, question, answer, round(raw, 4) AS _score FROM ranked WHERE k = 1"""
+
+
+# Pairs
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def pairs_from_turns(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+@query(f"WITH {_SCORED} SELECT conv_id, turn, question, answer, raw AS _score FROM scored")
+def score_pairs(spark, sf_dir):
+    return pairs.score_pairs(_pairs(spark, sf_dir))
+
+
+@query(_filtered_sql(0.5))
+def filter_pairs_default(spark, sf_dir):
+    return pairs.filter_pairs(_pairs(spark, sf_dir), ORDER)
+
+
+@query(_filtered_sql(1.0))
+def filter_pairs_strict(spark, sf_dir):
+    return pairs.filter_pairs(_pairs(spark, sf_dir), ORDER, min_score=1.0)
+
+
+@query(f"WITH {_SCORED} SELECT conv_id, turn, question, answer, round(raw, 4) AS _score FROM scored WHERE raw >= 0.6667")
+def filter_pairs_without_dedup(spark, sf_dir):
+    return pairs.filter_pairs(_pairs(spark, sf_dir), ORDER, min_score=0.6667, dedup=False)
+
+
+@query(f"WITH {_SCORED} SELECT round(raw, 4) AS _score, count(*) AS n FROM scored GROUP BY 1")
+def score_histogram(spark, sf_dir):
+    return pairs.score_pairs(_pairs(spark, sf_dir)).groupBy(F.round("_score", 4).alias("_score")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SCORED} SELECT question AS Q, answer AS A, conv_id, turn FROM scored")
+def export_schema_custom(spark, sf_dir):
+    return writers.apply_schema(pairs.score_pairs(_pairs(spark, sf_dir)), "Q", "A", include_score=False)
+
+
+@query(f"WITH {_SCORED} SELECT question, answer, conv_id, turn, raw AS _score FROM scored")
+def export_jsonl_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "jsonl")
+    writers.export_folder(pairs.score_pairs(_pairs(spark, sf_dir)), path, include_score=True)
+    return spark.read.schema("question string, answer string, conv_id long, turn long, _score double").json(path)
+
+
+@query(f"WITH {_SCORED} SELECT conv_id, turn, coalesce(question, '') AS question, coalesce(answer, '') AS answer FROM scored ORDER BY conv_id, turn LIMIT 20")
+def preview_20(spark, sf_dir):
+    return pairs.preview(_pairs(spark, sf_dir), ORDER)
+
+
+@query(f"""WITH {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY raw DESC, turn) AS k FROM scored)
+SELECT conv_id, turn, question, answer, raw AS _score FROM ranked WHERE k <= 2""")
+def top_pairs_per_conversation(spark, sf_dir):
+    from pyspark.sql import Window
+
+    ranked = pairs.score_pairs(_pairs(spark, sf_dir)).withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("_score"), "turn")))
+    return ranked.where("k <= 2").drop("k")
+
+
+# Text predicates and functions
+
+
+@query(f"SELECT doc_id, {_norm('text')} AS normalized FROM documents")
+def normalize_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.normalize("text").alias("normalized"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_strip('text')} <> ''")
+def nonblank_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).where(scores.non_blank("text", "text")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) >= 10 AND length(text) >= 5")
+def min_len_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).where(scores.long_enough("text", "text")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) <= 2000")
+def max_len_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).where(scores.short_enough("text")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_asks('text')}")
+def question_like_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).where(scores.looks_like_question("text")).select("doc_id")
+
+
+@query(f"""WITH ranked AS (SELECT doc_id, text, row_number() OVER (PARTITION BY {_norm("text")} ORDER BY doc_id) AS k FROM documents)
+SELECT doc_id, text FROM ranked WHERE k = 1""")
+def dedup_documents_keep_first(spark, sf_dir):
+    return pairs.deduplicate(_docs(spark, sf_dir), ["doc_id"], "text", "text")
+
+
+@query(f"SELECT count(*) - count(DISTINCT {_norm('text')}) AS removed FROM documents")
+def dedup_removed_count(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    kept = pairs.deduplicate(docs, ["doc_id"], "text", "text")
+    both = docs.select(F.lit(1).alias("n")).unionAll(kept.select(F.lit(-1)))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("removed"))
+
+
+@query("SELECT doc_id, 'Ask 3 questions about: ' || text || ' {done}' AS prompt FROM documents")
+def render_prompt(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.render_prompt("Ask {num_pairs} questions about: {chunk} {{done}}", chunk=F.col("text"), num_pairs=F.lit(3)).alias("prompt"))
+
+
+@query("SELECT doc_id, 1::INT AS n_pairs FROM documents")
+def parse_without_last_answer(spark, sf_dir):
+    said = F.concat(F.lit("Q1: What is this?\nA1: Text "), F.col("doc_id").cast("string"), F.lit("\nQ2: Without an answer"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(parse_pairs(said)).alias("n_pairs"))
+
+
+# Chunks
+
+_WINDOWS = """windows AS (
+  SELECT doc_id, i::INT AS chunk_index, substring(text, (i * 800 + 1)::BIGINT, 1000) AS chunk
+  FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 201, 0) // 800 + 1)) AS i FROM documents)
+)"""
+
+
+def _windows(spark, sf_dir) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.char_windows("text")).alias("chunk_index", "chunk"))
+
+
+@query(f"WITH {_WINDOWS} SELECT * FROM windows")
+def char_windows(spark, sf_dir):
+    return _windows(spark, sf_dir)
+
+
+def _split(spark, sf_dir, separator):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.split_literal("text", separator)).alias("piece", "part"))
+
+
+@query("SELECT doc_id, unnest(range(len(p)))::INT AS piece, unnest(p) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)")
+def line_split(spark, sf_dir):
+    return _split(spark, sf_dir, "\n")
+
+
+@query("SELECT doc_id, unnest(range(len(p)))::INT AS piece, unnest(p) AS part FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents)")
+def paragraph_split(spark, sf_dir):
+    return _split(spark, sf_dir, "\n\n")
+
+
+@query("SELECT doc_id, unnest(range(len(p)))::INT AS piece, unnest(p) AS part FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)")
+def sentence_split(spark, sf_dir):
+    return _split(spark, sf_dir, ". ")
+
+
+@query("""WITH RECURSIVE parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents
+), packed(doc_id, p, i, done, now) AS (
+  SELECT doc_id, p, 2, []::VARCHAR[], p[1] FROM parts
+  UNION ALL
+  SELECT doc_id, p, i + 1, CASE WHEN length(now) + 1 + length(p[i]) <= 1000 THEN done ELSE list_append(done, now) END,
+    CASE WHEN length(now) + 1 + length(p[i]) <= 1000 THEN now || chr(10) || p[i] ELSE p[i] END FROM packed WHERE i <= len(p)
+), whole AS (SELECT doc_id, list_append(done, now) AS c FROM packed WHERE i > len(p))
+SELECT doc_id, unnest(range(len(c)))::INT AS chunk_index, unnest(c) AS chunk FROM whole""")
+def greedy_pack_one_level(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.greedy_pack("text", "\n")).alias("chunk_index", "chunk"))
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return chunking.chunk(_docs(spark, sf_dir))
+
+
+@query(f"""SELECT doc_id, true AS has_chunks, true AS within_size, false AS any_blank, true AS in_text, (length(text) <= 1000) AS one_if_short
+FROM documents WHERE {_strip("text")} <> ''""")
+def recursive_chunk_invariants(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("whole", F.col("text"))
+    chunks = chunking.chunk(docs)
+    return chunks.groupBy("doc_id").agg(
+        (F.count("*") > 0).alias("has_chunks"),
+        (F.max(F.length("chunk")) <= chunking.SIZE).alias("within_size"),
+        F.bool_or(text.is_blank("chunk")).alias("any_blank"),
+        F.bool_and(F.contains("whole", "chunk")).alias("in_text"),
+        ((F.count("*") == 1) & (F.max("chunk") == F.max("whole"))).alias("one_if_short"),
+    )
+
+
+# Replies
+
+_REPLIES = rf"""{_PAIRS}, said AS (
+  SELECT conv_id, turn, question, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM pairs
+)"""
+
+
+def _replies(spark, sf_dir, numbered: bool) -> DataFrame:
+    """Replies that say a conversation's pairs with markers, one reply for each conversation."""
+    said = _pairs(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "question", "answer"))).alias("said"))
+
+    def flat(c):
+        return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+    def one(p, i):
+        n = (i + 1).cast("string") if numbered else F.lit("")
+        q, a = (p["question"], p["answer"]) if numbered else (flat(p["question"]), flat(p["answer"]))
+        return F.concat(F.lit("Q"), n, F.lit(": "), q, F.lit("\nA"), n, F.lit(": "), a)
+
+    return said.select("conv_id", F.array_join(F.transform("said", one), "\n").alias("content"))
+
+
+def _parsed(replies: DataFrame) -> DataFrame:
+    return replies.select("conv_id", F.posexplode(parse_pairs("content")).alias("pair_index", "p")).select("conv_id", "pair_index", "p.question", "p.answer")
+
+
+@query(f"WITH {_REPLIES} SELECT conv_id, (k - 1)::INT AS pair_index, {_strip('question')} AS question, {_strip('answer')} AS answer FROM said")
+def parse_numbered(spark, sf_dir):
+    return _parsed(_replies(spark, sf_dir, True))
+
+
+_FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(f"WITH {_REPLIES} SELECT conv_id, (k - 1)::INT AS pair_index, {_FLAT.format('question')} AS question, {_FLAT.format('answer')} AS answer FROM said")
+def parse_fallback(spark, sf_dir):
+    return _parsed(_replies(spark, sf_dir, False))
+
+
+@query(rf"""WITH {_REPLIES} SELECT conv_id, (k - 1)::INT AS pair_index, {_strip('question')} AS question, {_strip('answer')} AS answer FROM said WHERE conv_id % 3 = 0
+UNION ALL SELECT conv_id, (k - 1)::INT, {_FLAT.format('question')}, {_FLAT.format('answer')} FROM said WHERE conv_id % 3 = 1""")
+def parse_mixed(spark, sf_dir):
+    """A third of the replies is numbered, a third has plain markers, a third has none."""
+    numbered, plain = _replies(spark, sf_dir, True), _replies(spark, sf_dir, False).withColumnRenamed("content", "plain")
+    both = numbered.join(plain, "conv_id")
+    chosen = F.when(F.col("conv_id") % 3 == 0, F.col("content")).when(F.col("conv_id") % 3 == 1, F.col("plain")).otherwise(F.lit("Nothing is asked here."))
+    return _parsed(both.select("conv_id", chosen.alias("content")))
+
+
+# Generation and metrics
+
+
+@query(f"""WITH {_WINDOWS}, digests AS (SELECT doc_id, chunk_index, md5(chunk) AS d FROM windows)
+SELECT doc_id, chunk_index, (i - 1)::INT AS pair_index, 'What is part ' || i || ' of the digest?' AS question, 'Part ' || i || ' is ' || substring(d, 8 * i - 7, 8) || '.' AS answer
+FROM (SELECT *, unnest([1, 2]) AS i FROM digests)""")
+def generate_offline(spark, sf_dir):
+    return generate.flat_pairs(generate.results(generate.replies(_windows(spark, sf_dir), OfflineClient(), max_workers=8)))
+
+
+_RESULTS = f"""{_WINDOWS}, results AS (
+  SELECT doc_id, chunk_index, CASE WHEN chunk_index % 7 = 3 THEN 0 ELSE 1 END AS pairs_generated, CASE WHEN chunk_index % 7 = 3 THEN 'timed out' END AS error,
+    (chunk_index % 4) * 0.25::DOUBLE AS latency_seconds, (length(chunk) // 4)::INT AS prompt_tokens, (length(chunk) % 50)::INT AS completion_tokens FROM windows
+), timed AS (
+  SELECT *, CASE WHEN latency_seconds > 0 AND completion_tokens > 0 THEN completion_tokens / latency_seconds ELSE 0.0::DOUBLE END AS tokens_per_second FROM results
+)"""
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    """Results with made-up latencies, token counts and errors."""
+    failed = F.col("chunk_index") % 7 == 3
+    one = F.array(F.struct(F.lit("q").alias("question"), F.lit("a").alias("answer")))
+    return _windows(spark, sf_dir).select(
+        "doc_id", "chunk_index", F.when(failed, F.array().cast(PAIRS)).otherwise(one).alias("pairs"), F.when(failed, F.lit("timed out")).alias("error"),
+        ((F.col("chunk_index") % 4) * F.lit(0.25)).alias("latency_seconds"), F.floor(F.length("chunk") / 4).cast("int").alias("prompt_tokens"), (F.length("chunk") % 50).alias("completion_tokens"),
+    ).withColumn("tokens_per_second", scores.tokens_per_second("completion_tokens", "latency_seconds"))
+
+
+@query(f"WITH {_RESULTS} SELECT doc_id, chunk_index, pairs_generated, error, latency_seconds, tokens_per_second, prompt_tokens, completion_tokens FROM timed")
+def chunk_metrics(spark, sf_dir):
+    return metrics.chunk_metrics(_results(spark, sf_dir))
+
+
+@query(f"WITH {_RESULTS} SELECT doc_id, chunk_index, tokens_per_second FROM timed")
+def tokens_per_second(spark, sf_dir):
+    return _results(spark, sf_dir).select("doc_id", "chunk_index", "tokens_per_second")
+
+
+@query(f"""WITH {_RESULTS} SELECT count(*) AS total_chunks, count(*) FILTER (error IS NULL) AS successful_chunks, count(*) FILTER (error IS NOT NULL) AS failed_chunks,
+  sum(pairs_generated)::BIGINT AS total_pairs_generated, round(avg(latency_seconds) FILTER (error IS NULL), 4) AS avg_latency_seconds,
+  round(avg(tokens_per_second) FILTER (tokens_per_second > 0), 2) AS avg_tokens_per_second, sum(completion_tokens)::BIGINT AS total_completion_tokens, 1.5::DOUBLE AS total_elapsed_seconds FROM timed""")
+def run_summary(spark, sf_dir):
+    return metrics.run_summary(metrics.chunk_metrics(_results(spark, sf_dir)), 1.5)
+
+
+# Sources
+
+
+@query("SELECT c_custkey::VARCHAR || ' ' || c_name || ' ' || c_mktsegment AS text FROM customer")
+def csv_rows_as_documents(spark, sf_dir):
+    path = shared_path(spark, "csv")
+    _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, emptyValue="")
+    return readers.read_csv(spark, path, ["c_custkey", "c_name", "c_mktsegment"], per_row=True).select("text")
+
+
+@query("SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) AS text FROM region")
+def csv_file_as_document(spark, sf_dir):
+    path = shared_path(spark, "csv")
+    _table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").coalesce(1).write.csv(path, header=True)
+    return readers.read_csv(spark, f"{path}/*.csv").select("text")
+
+
+@query(r"SELECT regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10) AS text FROM benchmark")
+def text_scan(spark, sf_dir):
+    """Items written as text files, one for each, and read back."""
+    path = shared_path(spark, "txt")
+    _table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    return readers.read_txt(spark, f"{path}/*/*.txt").select("text")
