@@ -2,10 +2,3 @@
 
 Nothing outside this subpackage imports it.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run in Python workers travel by value, so a cluster needs no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import materialise, shared_dir, shared_path  # noqa: F401
+
 #: Bytes of text that one step of a Python worker handles at a time.
 STEP_BYTES = 12 << 20
 
@@ -30,16 +30,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a folder of our own only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="askloom-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
 def share(spark: SparkSession, value):
     """A broadcast of value that workers can open without this package; for values of a bounded size."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -49,14 +39,6 @@ def opened(shared):
     return pickle.loads(shared.value)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/askloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most limit bytes of column each, or one row."""
     for batch in batches:
