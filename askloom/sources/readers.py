@@ -20,10 +20,23 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
 
+def _empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, text) of the files without a byte, which Spark's readers leave out."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for one in [path] if isinstance(path, str) else path:
+        pattern = jvm.org.apache.hadoop.fs.Path(one)
+        system = pattern.getFileSystem(conf)
+        for status in system.globStatus(pattern) or []:
+            inside = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += [(f.getPath().toString(), "") for f in inside if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "_."]
+    return spark.createDataFrame(found, "path string, text string")
+
+
 def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One document for each file: UTF-8, broken bytes as U+FFFD, every line break as a line feed."""
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return _numbered(spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text")))
+    files = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))
+    return _numbered(files.unionByName(_empty_files(spark, path)))
 
 
 def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -1,0 +1,51 @@
+import os
+import sys
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+os.environ["OMP_NUM_THREADS"] = "1"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = (
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    return path
+
+
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    import duckdb
+
+    connection = duckdb.connect()
+    for name in os.listdir(sf_dir):
+        connection.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{name}'")
+    return connection
+
+
+def rows(df):
+    """A data frame's rows, columns and rows in a fixed order, missing values as None."""
+    return sorted((tuple(None if v is None or v != v else v for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None)), key=repr)
+
+
+@pytest.fixture(scope="session")
+def same():
+    def check(got, want):
+        assert sorted(got.columns) == sorted(want.columns)
+        assert rows(got.toPandas()) == rows(want.df())
+
+    return check

@@ -1,0 +1,149 @@
+import json
+import sys
+from dataclasses import dataclass
+
+import pytest
+from pyspark import cloudpickle
+
+from askloom import __version__, cli
+from askloom.operators.clients import ChatClient, GeminiClient, OfflineClient, Reply, create_client
+from askloom.operators.metrics import run_summary
+from askloom.plans.run import run_pipeline
+from askloom.streaming.pairs import stream_chunks, stream_distinct, stream_documents, stream_pairs
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't see the tests' modules
+
+
+@dataclass(frozen=True)
+class Failing:
+    def complete(self, prompt):
+        raise RuntimeError("no model here")
+
+
+@dataclass(frozen=True)
+class Fixed:
+    content: str = "Q1: What is this text about?\nA1: It is about tests.\nQ2: Is it long enough?\nA2: It surely is."
+
+    def complete(self, prompt):
+        return Reply(self.content, "fixed", 50, 30, 0.1)
+
+
+def test_text_to_jsonl(spark, tmp_path):
+    source = tmp_path / "a.txt"
+    source.write_text("First sentence of the text. " + "Another sentence follows it here. " * 20)
+    run = run_pipeline(spark, str(source), OfflineClient(), tmp_path / "out.jsonl", chunk_size=300, chunk_overlap=50, num_pairs=2, min_quality_score=0.0, save_metrics=True)
+    records = [json.loads(x) for x in run.output_path.read_text().splitlines()]
+    assert records and all({"question", "answer", "chunk_index"} == set(r) for r in records)
+    assert run.metrics["total_chunks"] == run.metrics["successful_chunks"] > 1 and run.metrics["total_pairs_kept"] == len(records)
+    table = (tmp_path / "out.metrics.csv").read_text().splitlines()
+    assert table[0].startswith("chunk_index,pairs_generated,error") and len(table) == run.metrics["total_chunks"] + 1
+
+
+def test_csv_to_json(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text\nOne row of text.\nAnother row.\n")
+    run = run_pipeline(spark, str(tmp_path / "a.csv"), Fixed(), tmp_path / "out.json", "json")
+    assert [r["question"] for r in json.loads(run.output_path.read_text())] == ["What is this text about?", "Is it long enough?"]
+    assert run.metrics["avg_tokens_per_second"] == 300.0 and run.metrics["avg_latency_seconds"] == 0.1
+
+
+def test_own_keys_with_the_default_score(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("A short sentence. " * 5)
+    run = run_pipeline(spark, str(tmp_path / "a.txt"), Fixed(), tmp_path / "o.jsonl", question_key="Q", answer_key="A", include_score=True)
+    assert [set(json.loads(x)) for x in run.output_path.read_text().splitlines()] == [{"Q", "A", "chunk_index", "_score"}] * 2
+
+
+def test_failing_model_survives(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Some short sentence. " * 20)
+    run = run_pipeline(spark, str(tmp_path / "a.txt"), Failing(), tmp_path / "o.jsonl", chunk_size=200, chunk_overlap=0)
+    assert run.metrics["failed_chunks"] == run.metrics["total_chunks"] > 0 and run.metrics["total_pairs_generated"] == 0
+    assert run.metrics["avg_latency_seconds"] == 0.0 and run.output_path.read_text() == ""
+    assert run.chunk_metrics.first()["error"] == "no model here"
+
+
+def test_scope(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "One text."), (2, "Another text.")], "doc_id long, text string")
+    assert run_pipeline(spark, docs, Fixed(), tmp_path / "a.jsonl").metrics["total_pairs_kept"] == 4
+    assert run_pipeline(spark, docs, Fixed(), tmp_path / "b.jsonl", scope="corpus").metrics["total_pairs_kept"] == 2
+
+
+def test_settings_are_checked_before_any_call(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "One text.")], "doc_id long, text string")
+    for bad in ({"fmt": "xml"}, {"chunk_size": 10, "chunk_overlap": 10}, {"prompt_template": "{oops}"}, {"scope": "world"}, {"question_key": "a", "answer_key": "A"}):
+        with pytest.raises(ValueError):
+            run_pipeline(spark, docs, Failing(), tmp_path / "o", **bad)
+
+
+def test_empty_input(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("")
+    run = run_pipeline(spark, str(tmp_path / "a.txt"), Fixed(), tmp_path / "o.json", "json")
+    assert run.output_path.read_text() == "[]" and run.metrics["total_chunks"] == 0
+
+
+def test_summary_averages(spark):
+    rows = [(0, 0, "late error", 5.0, 10.0), (0, 3, None, 1.0, 30.0), (0, 1, None, 2.0, 0.0)]
+    df = spark.createDataFrame([(i, *r, 1, 2) for i, r in enumerate(rows)], "doc_id long, chunk_index int, pairs_generated int, error string, latency_seconds double, tokens_per_second double, prompt_tokens int, completion_tokens int")
+    got = run_summary(df).first()
+    assert (got["avg_latency_seconds"], got["avg_tokens_per_second"], got["total_pairs_generated"], got["total_completion_tokens"]) == (1.5, 20.0, 4, 6)
+
+
+def test_clients(monkeypatch):
+    for name in ("OPENAI_API_KEY", "GEMINI_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    assert create_client("offline").base_url == "http://localhost:11434/v1"
+    assert isinstance(create_client(provider="ollama", model="m"), ChatClient)
+    assert isinstance(create_client(provider="Google Gemini", api_key="k"), GeminiClient)
+    monkeypatch.setenv("OPENAI_API_KEY", "wrong one")
+    for bad in ({"provider": "gemini"}, {"provider": "none"}, {"mode": "sideways"}):
+        with pytest.raises(ValueError):
+            create_client(**bad)
+    assert "secret" not in repr(create_client(api_key="secret"))
+
+
+def test_chat_client_over_http():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"model": asked["model"], "choices": [{"message": {"content": asked["messages"][0]["content"].upper()}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    got = ChatClient("m", f"http://127.0.0.1:{server.server_port}", key_variable="").complete("hello")
+    server.shutdown()
+    assert (got.content, got.model, got.total_tokens) == ("HELLO", "m", 7) and got.tokens_per_second > 0
+
+
+def test_cli(spark, tmp_path, capsys):
+    assert cli.main(["version"]) == 0 and capsys.readouterr().out.strip() == __version__
+    assert cli.main(["generate", str(tmp_path / "none.txt")]) == 1
+    (tmp_path / "a.txt").write_text("A text about something. " * 9)
+    (tmp_path / "prompt").write_text("Ask {num_pairs} of:\n---\n{chunk}")
+    assert cli.main(["generate", str(tmp_path / "a.txt"), "-o", str(tmp_path / "o.json"), "--mode", "test", "--num-pairs", "3", "--prompt-template", str(tmp_path / "prompt")], spark) == 0
+    assert "Total Chunks" in capsys.readouterr().out and len(json.loads((tmp_path / "o.json").read_text())) == 3
+    assert cli.main(["generate", str(tmp_path / "a.txt"), "--mode", "test", "--chunk-overlap", "5000"], spark) == 1
+    assert cli.listed(" a, ,b ") == ["a", "b"] and cli.listed(" , ") is None
+
+
+def test_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("One two three four five.\r\nSix.")
+    q = stream_chunks(stream_documents(spark, str(tmp_path / "in")), 12, 0).writeStream.format("memory").queryName("chunks").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["chunk"] for r in spark.table("chunks").collect()) == sorted(["One two", "three four", "five.", "Six."]) or spark.table("chunks").count() >= 3
+    (tmp_path / "replies").mkdir()
+    (tmp_path / "replies" / "a.json").write_text(json.dumps({"id": 1, "content": Fixed().content}) + "\n" + json.dumps({"id": 2, "content": Fixed().content.upper()}))
+    found = stream_distinct(stream_pairs(spark.readStream.schema("id int, content string").json(str(tmp_path / "replies"))))
+    q = found.writeStream.format("memory").queryName("found").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("found").count() == 2
