@@ -6,8 +6,9 @@ the same minimiser, so a bucket sees all of them; sorting the bucket's windows f
 document with a smaller id, and comparing their words makes the result exact.
 
 Equal packed strings of one batch are sent once, with the smallest document id: whoever else holds that string loses
-it whatever the rest of the corpus holds, so large groups of copies shrink before the shuffle. A bucket is handled
-alone; one above `bucket_bytes` is handled in passes over its minimisers.
+it whatever the rest of the corpus holds, so large groups of copies shrink before the shuffle. Buckets are handled one
+at a time. One above `bucket_bytes` is cut again by minimisers of another hash, which parts even windows that share a
+hot minimiser, and handled in as many passes as its size asks for; each pass holds equal strings once.
 
 Defined results: null or empty texts have no words; a document with fewer words than a window loses nothing; rows with
 the same doc_id never remove from one another (neither id is smaller); rows with a null doc_id keep all words and
@@ -45,7 +46,7 @@ def _unpacked(blob: bytes) -> list[bytes]:
     return out
 
 
-def _super_kmers(texts: list[bytes], window: int, m: int):
+def _super_kmers(texts: list[bytes], window: int, m: int, seed: int = 0):
     """For every super-k-mer: the text's number, first word in it, number of windows, minimiser and packed words."""
     import xxhash
 
@@ -53,7 +54,7 @@ def _super_kmers(texts: list[bytes], window: int, m: int):
     if len(words) < window:
         return None
     vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.distinct.to_pylist()), np.uint64, len(words.distinct))
-    grams = mixed(chained(vocabulary[words.ids], m))
+    grams = mixed(chained(vocabulary[words.ids], m) + np.uint64(seed))
     span, least, have = window - m + 1, grams, 1  # the smallest of span consecutive grams, by doubling
     while have * 2 <= span:
         least = np.minimum(least[: len(least) - have], least[have:])
@@ -102,7 +103,7 @@ def _scatter(buckets: int, window: int, m: int):
             blobs = []
             for a, b, c, d in zip(ka, kb, sa, sb, strict=True):
                 mine = kept[a:b]
-                blobs.append(_packed([*fields(same[c:d]), *fields(mine), value[mine], b"".join(strings[i] for i in mine.tolist())]))
+                blobs.append(_packed([*fields(same[c:d]), *fields(mine), b"".join(strings[i] for i in mine.tolist())]))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return run
@@ -153,29 +154,68 @@ def _runs(removed: np.ndarray, doc, mark, start, count, window: int):
     return doc[owner[a]], mark[owner[a]], start[owner[a]] + inside[a], start[owner[b]] + inside[b] + window
 
 
-def _gather(window: int, limit: int):
+def _gather(window: int, m: int, limit: int):
     def result(doc, mark, start, end) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(mark), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "mark", "start", "end"])
-
-    def of(blobs: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
-        for part in range(parts):
-            held: list[list[np.ndarray]] = []
-            data: list[bytes] = []
+        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(mark.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "mark", "start", "end"])
+
+    def opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], bytes]:
+        """Strings that other documents of the batch held too, and the rest with their packed words."""
+        *fields, body = _unpacked(blob)
+        arrays = [np.frombuffer(x, kind) for x, kind in zip(fields, [k for _, k in _FIELDS] * 2, strict=True)]
+        return arrays[:4], arrays[4:], body
+
+    def judged(doc, mark, start, count, data: bytes) -> Iterator[pa.RecordBatch]:
+        if len(doc):
+            yield result(*_runs(_removed_windows(doc, count, data, window), doc, mark, start, count, window))
+
+    def of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        data: list[bytes] = []
+        for blob in blobs:
+            same, own, body = opened(blob)
+            if len(same[0]):
+                yield result(same[0], same[1], same[2], same[2] + same[3] + window - 1)
+            held.append(own)
+            data.append(body)
+        doc, mark, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from judged(doc, mark, start.astype(np.int64), count.astype(np.int64), b"".join(data))
+
+    def in_passes(blobs: list[bytes], passes: int) -> Iterator[pa.RecordBatch]:
+        for one in range(passes):
+            leaders: dict[bytes, tuple[int, int, int, int]] = {}
+            more: list[tuple[int, int, int, int]] = []  # repeats within a document need their own places
+            strings: list[bytes] = []
             for blob in blobs:
-                *fields, body = _unpacked(blob)
-                arrays = [np.frombuffer(x, kind) for x, kind in zip(fields, [k for _, k in _FIELDS] * 2 + [np.uint64], strict=True)]
-                if part == 0 and len(arrays[0]):
-                    yield result(arrays[0], arrays[1], arrays[2], arrays[2] + arrays[3] + window - 1)
-                if parts > 1:
-                    kept = mixed(arrays[8]) % np.uint64(parts) == part
-                    ends = np.append(0, np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1)[np.append(0, np.cumsum(arrays[7] + window - 1))]
-                    body = b"".join(body[a:b] for a, b in zip(ends[:-1][kept].tolist(), ends[1:][kept].tolist(), strict=True))
-                    arrays = [*arrays[:4], *(x[kept] for x in arrays[4:])]
-                held.append(arrays[4:8])
-                data.append(body)
-            doc, mark, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(doc):
-                yield result(*_runs(_removed_windows(doc, count.astype(np.int64), b"".join(data), window), doc, mark, start.astype(np.int64), count.astype(np.int64), window))
+                same, (doc, mark, start, count), body = opened(blob)
+                if one == 0 and len(same[0]):
+                    yield result(same[0], same[1], same[2], same[2] + same[3] + window - 1)
+                ends = np.append(0, np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1)[np.append(0, np.cumsum(count.astype(np.int64) + window - 1))].tolist()
+                found = _super_kmers([body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], window, m, seed=1)
+                if found is None:
+                    continue
+                text, first, many, value, words = found
+                gone = []
+                for i in np.flatnonzero(value % np.uint64(passes) == one).tolist():
+                    t = text[i]
+                    mine = int(doc[t]), int(mark[t]), int(start[t] + first[i]), int(many[i])
+                    lead = leaders.setdefault(words[i], mine)
+                    if lead[0] == mine[0] and lead is not mine:
+                        more.append(mine)
+                        strings.append(words[i])
+                    elif lead[0] < mine[0]:
+                        gone.append(mine)
+                    elif lead[0] > mine[0]:
+                        gone.append(lead)
+                        leaders[words[i]] = mine
+                if gone:
+                    a, b, c, d = (np.array(x, np.int64) for x in zip(*gone, strict=True))
+                    yield result(a, b, c, c + d + window - 1)
+            if leaders:
+                yield from judged(*(np.array(x, np.int64) for x in zip(*leaders.values(), *more, strict=True)), b"".join([*leaders, *strings]))
+
+    def one_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        passes = -(-sum(map(size, blobs)) // limit)
+        return of(blobs) if passes == 1 else in_passes(blobs, passes)
 
     def size(blob: bytes) -> int:
         return zstandard.frame_content_size(blob)
@@ -185,12 +225,12 @@ def _gather(window: int, limit: int):
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now and blobs:
-                    yield from of(blobs, -(-sum(map(size, blobs)) // limit))
+                    yield from one_bucket(blobs)
                     blobs = []
                 now = bucket
                 blobs.append(blob)
         if blobs:
-            yield from of(blobs, -(-sum(map(size, blobs)) // limit))
+            yield from one_bucket(blobs)
 
     return run
 
@@ -235,7 +275,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMI
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).where("doc_id is not null and text is not null")
     sent = keyed.mapInArrow(_scatter(8 * n, window, minimiser), "bucket int, blob binary")
     dealt = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_gather(window, bucket_bytes), "doc long, mark long, start int, end int")
+    return dealt.mapInArrow(_gather(window, minimiser, bucket_bytes), "doc long, mark long, start int, end int")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
