@@ -171,6 +171,11 @@ def _flips(bits: list[int], radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in chosen)) for r in range(radius + 1) for chosen in itertools.combinations(bits, r)]
 
 
+def _masks(bits: list[int], radius: int) -> Column:
+    """The flips as one constant array, which no generated code spells out."""
+    return F.split(F.lit(",".join(map(str, _flips(bits, radius)))), ",").cast("array<long>")
+
+
 def _within(a: Column, b: Column, mask: int, t: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(mask))) <= t
 
@@ -182,8 +187,10 @@ def links(nodes: DataFrame, tau: int = TAU, hot: int = HOT, groups: list[list[in
     used = [(i, _mask(bits), bits, t) for i, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
 
     def keyed(name: str, radius: bool) -> DataFrame:
-        rows = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(x)).bitwiseXOR(F.lit(flip)).alias("v")) for i, x, bits, t in used for flip in _flips(bits, t if radius else 0)]
-        return nodes.select(F.col("fp").alias(name), F.explode(F.array(*rows)).alias("x")).select(name, "x.i", "x.v")
+        def of(i: int, mask: int, bits: list[int], t: int) -> Column:
+            return F.transform(_masks(bits, t if radius else 0), lambda flip: F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(flip).alias("v")))
+
+        return nodes.select(F.col("fp").alias(name), F.explode(F.concat(*[of(*u) for u in used])).alias("x")).select(name, "x.i", "x.v")
 
     index = keyed("b", False)
     crowded = materialise(index.groupBy("i", "v").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("i", "v"), "crowded")
@@ -200,7 +207,7 @@ def links(nodes: DataFrame, tau: int = TAU, hot: int = HOT, groups: list[list[in
         return x.join(y, met & (a < b) & ~earlier).select(a.alias("a"), b.alias("b"))
     cold = x.join(y, met).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     dense = keyed("b", False).join(crowded, ["i", "v"], "left_semi").select("b").distinct()
-    near = dense.select("b", F.explode(F.array(*[F.col("b").bitwiseXOR(F.lit(flip)) for flip in _flips(list(range(BITS)), tau)[1:]])).alias("a"))
+    near = dense.select("b", F.explode(F.transform(_masks(list(range(BITS)), tau), lambda flip: F.col("b").bitwiseXOR(flip))).alias("a")).where("a <> b")
     found = near.join(nodes.select(F.col("fp").alias("a")), "a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return cold.union(found).distinct()
 
