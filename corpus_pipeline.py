@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.llm import decontamination, mixing, quality, simhash, token_output
@@ -24,9 +24,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of near duplicates, the document with the smallest doc_id (one row of it)."""
     found = simhash.simhash_components(docs)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
-    known = rows.where("id is not null").join(kept, F.col("id") == F.col("kept"), "left_semi").dropDuplicates(["id"])
-    return known.select("row.*").unionByName(rows.where("id is null").select("row.*"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    known = rows.where("id is not null").join(kept, F.col("id") == F.col("kept"), "left_semi")
+    first = known.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("mark"))).where("rank = 1")
+    return first.select("row.*").unionByName(rows.where("id is null").select("row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
