@@ -1,0 +1,43 @@
+"""Each stage of the pipeline on its own input, against brute force or its operator's report."""
+
+import corpus_pipeline
+from askloom.llm import decontamination, simhash, token_output
+from pyspark.sql import functions as F
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    out = docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, out = out, stage(spark, out, sf_dir).cache()
+        if i < 4:
+            assert out.columns == docs.columns, name
+        if i < 3:
+            assert out.exceptAll(before).count() == 0, name
+        if i == 0:
+            assert 0.7 * before.count() < out.count() < before.count()
+        if i == 1:
+            found = simhash.simhash_components(before)
+            assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["c"] for r in found.select(F.col("component_id").alias("c")).distinct().collect())
+        if i == 2:
+            report = decontamination.decontamination_report(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+            assert out.count() == report.where("not contaminated").count()
+        if i == 3:
+            assert out.join(before, "doc_id", "left_anti").count() == 0
+        if i == 4:
+            assert out.count() == before.count()
+            assert out.agg(F.sum("n_tokens")).first()[0] == token_output.token_output(before).agg(F.sum("n_tokens")).first()[0]
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, sf_dir):
+    rows = [(4, "a b c d"), (2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (9, "something else entirely here"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir)
+    assert got.columns == docs.columns and sorted((r["doc_id"] for r in got.collect()), key=repr) == [2, 7, 9, None]
+
+
+def test_run_equals_the_stages(spark, sf_dir):
+    got = corpus_pipeline.run(spark, sf_dir).toPandas().sort_values("start")
+    assert (got.start.to_numpy()[1:] == (got.start + got.n_tokens).to_numpy()[:-1]).all() and got.doc_id.is_monotonic_increasing
