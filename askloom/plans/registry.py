@@ -183,6 +183,26 @@ def parse_without_last_answer(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(parse_pairs(said)).alias("n_pairs"))
 
 
+@query("SELECT doc_id, text FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def docs_of_good_quality(spark, sf_dir):
+    return _docs(spark, sf_dir).join(_table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, text FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def docs_without_labels(spark, sf_dir):
+    return _docs(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, length(text)::INT AS n_chars, (length(text) = n_chars) AS agrees FROM documents")
+def text_lengths(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n_chars"), (F.length("text") == F.col("n_chars")).alias("agrees"))
+
+
+@query(f"SELECT doc_id, unnest(range(len(p)))::INT AS line, regexp_replace(unnest(p), '^\\s+|\\s+$', '', 'g') AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)")
+def stripped_lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.transform(text.lines("text"), text.strip)).alias("line", "said"))
+
+
 # Chunks
 
 _WINDOWS = """windows AS (
