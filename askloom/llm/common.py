@@ -60,6 +60,11 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in got.to_pylist()]
 
 
+def looked_up(text: bytes, table: np.ndarray) -> np.ndarray:
+    """Each byte's entry in a table of 256 small numbers; faster than indexing."""
+    return np.frombuffer(text.translate(table.astype(np.uint8).tobytes()), np.uint8)
+
+
 class Words:
     """Words of many texts in one buffer, each followed by one space.
 
@@ -69,8 +74,9 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], word: np.ndarray, index: bool = True):
-        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        inside = word[raw]
+        joined = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(joined, np.uint8)
+        inside = looked_up(joined, word).astype(bool)
         inside[np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1] = False
         before = np.empty_like(inside)
         before[0] = False

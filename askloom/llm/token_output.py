@@ -16,7 +16,8 @@ ordered by text; an empty table gives empty files and no rows; other columns are
 
 from __future__ import annotations
 
-import itertools
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, dictionary, materialise, partitions, shared_dir, steps, table
+from .common import SPACED, dictionary, looked_up, materialise, partitions, shared_dir, steps, table, utf8
 
 TOKENIZER, END_ID, MAX_LENGTH, STRIDE, BLOCK_IDS = "word_bpe_49k.json", 1, 18, 128, 1 << 18
 
@@ -133,6 +134,7 @@ _ASCII = np.arange(256)
 _LOWER = (_ASCII >= 97) & (_ASCII <= 122)
 #: ASCII marks at which the tokenizer always parts a text from an ASCII letter; an apostrophe may belong to either side.
 _MARK = (_ASCII > 32) & (_ASCII < 127) & ~_LOWER & ~((_ASCII >= 48) & (_ASCII <= 57)) & ~((_ASCII >= 65) & (_ASCII <= 90)) & (_ASCII != 39)
+_KIND = SPACED.astype(np.uint8) + _LOWER + 3 * _MARK  # 0 white space, 2 letters, 4 marks, 1 others
 _MARKS = frozenset(chr(i) for i in np.flatnonzero(_MARK))
 
 
@@ -146,32 +148,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
         self.remember = remember
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
 
-    def _alone(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    @classmethod
+    def of(cls, path: str, end_id: int | None) -> Encoder:
+        """The worker's own encoder, which later tasks of the same worker find again with the pieces it knows."""
+        kept = sys.modules.setdefault("_askloom_encoders", types.ModuleType("_askloom_encoders")).__dict__
+        if (path, end_id) not in kept:
+            kept[path, end_id] = cls(path, end_id)
+        return kept[path, end_id]
 
-    def _many(self, pieces: list[str], at_once: int = 256) -> list[tuple[int, ...]]:
-        """Ids of many pieces. Words of letters and runs of marks go together, told apart by the tokens that end words."""
-        out: list[tuple[int, ...] | None] = [None] * len(pieces)
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.int32).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _many(self, pieces: list[str], at_once: int = 256) -> list[bytes]:
+        """Ids of many pieces, four bytes each. Words of letters and runs of marks go together, told apart by the tokens that end words."""
+        out: list[bytes | None] = [None] * len(pieces)
         plain = [i for i, x in enumerate(pieces) if x.isalpha() or _MARKS.issuperset(x)]
         chunks = [plain[a : a + at_once] for a in range(0, len(plain), at_once)]
         for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in c]) for c in chunks], add_special_tokens=False), strict=True):
-            ids = got.ids
+            ids = np.array(got.ids, np.int32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(chunk) and ends[-1] == len(ids):
-                cuts = [0, *ends.tolist()]
-                for k, i in enumerate(chunk):
-                    out[i] = tuple(ids[cuts[k] : cuts[k + 1]])
+                held, cuts = ids.tobytes(), (4 * ends).tolist()
+                for i, a, b in zip(chunk, [0, *cuts[:-1]], cuts, strict=True):
+                    out[i] = held[a:b]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._alone([pieces[i] for i in rest]), strict=True):
             out[i] = x
         return out
 
-    def _pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        each = [self.known.get(w) for w in pieces]
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        each = list(map(self.known.get, pieces))
         new = [i for i, x in enumerate(each) if x is None]
         room = self.remember - len(self.known)
         for i, x in zip(new, self._many([pieces[i].decode("utf-8", "replace") for i in new]), strict=True):
@@ -185,36 +195,49 @@ class Encoder:
         """All ids and the number of each text's."""
         joined = b"\n".join(texts) + b"\n"
         special = b"<|" in joined  # added tokens are found in the text as it is, so such words stay whole
-        raw = np.frombuffer(joined if special else joined.lower(), np.uint8)
-        inside = SPACED[raw]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
         if not special:
-            letter, mark = _LOWER[raw], _MARK[raw]
-            first[1:] |= (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
-        data = raw[inside]
+            joined = joined.lower()
+        kind = looked_up(joined, SPACED if special else _KIND)
+        inside = kind != 0
+        first = inside.copy()
+        first[1:] &= (kind[:-1] == 0) | ((kind[1:] ^ kind[:-1]) == 6)  # 6: a letter and a mark
+        data = np.frombuffer(joined, np.uint8)[inside]
         ids, distinct = dictionary(np.append(np.flatnonzero(first[inside]), len(data)), data)
         docs = np.searchsorted(np.flatnonzero(first), np.cumsum([0, *(len(t) + 1 for t in texts)]))
         each = self._pieces(distinct.to_pylist())
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(itertools.chain.from_iterable(each), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.int32)
         firsts = np.cumsum(sizes) - sizes
         count = sizes[ids]
         ends = np.append(0, np.cumsum(count))
         total = ends[docs[1:]] - ends[docs[:-1]]
         extra = int(self.end_id is not None)
         out = np.full(int(ends[-1]) + extra * len(texts), self.end_id or 0, np.int32)
-        run = np.arange(int(ends[-1]))
-        before = np.repeat(np.arange(len(texts)), total) * extra  # each text before took a place for its end id
-        out[run + before] = flat[np.repeat(firsts[ids] - ends[:-1], count) + run]
+        run = np.arange(int(ends[-1]), dtype=np.int32)
+        found = flat[np.repeat((firsts[ids] - ends[:-1]).astype(np.int32), count) + run]
+        run += np.repeat(np.arange(len(texts), dtype=np.int32) * extra, total)  # each text before took a place for its end id
+        out[run] = found
         return out, total + extra
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        bodies = [pack.compress(x or b"") for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["doc_id", "body"])
+def _bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """The last doc_id of each range but the last, ranges being about equal in rows; of the corpus only ids are read."""
+    wanted = [i / parts for i in range(1, parts)]
+    found = docs.agg(F.percentile_approx("doc_id", wanted or [0.5], max(10_000, 20 * parts)).alias("x")).first()["x"]
+    return np.array((found or [])[: parts - 1], np.int64)
+
+
+def _squeezed(bounds: np.ndarray):
+    """doc_id, the compressed text, and the number of the doc_id's range (null: the first)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in steps(batches, "text"):
+            ids = batch.column(0)
+            part = np.where(np.asarray(ids.is_valid()), np.searchsorted(bounds, np.asarray(ids.fill_null(0))), 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([pack.compress(x) for x in utf8(batch, "text")], pa.binary()), pa.array(part.astype(np.int32))], names=["doc_id", "body", "part"])
+
+    return run
 
 
 def _blocks_of_ids(path: str, end_id: int | None, block_ids: int):
@@ -224,7 +247,7 @@ def _blocks_of_ids(path: str, end_id: int | None, block_ids: int):
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        encode, unpack = Encoder(path, end_id), zstandard.ZstdDecompressor()
+        encode, unpack = Encoder.of(path, end_id), zstandard.ZstdDecompressor()
 
         def block(docs: list[int | None], sizes: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
             flat = np.concatenate(ids)
@@ -241,7 +264,7 @@ def _blocks_of_ids(path: str, end_id: int | None, block_ids: int):
                 cuts, size = [0], 0
                 for i, t in enumerate(texts):  # few long texts at a time
                     size += len(t)
-                    if size > 8 << 20 or i + 1 == len(texts):
+                    if size > 5 << 20 or i + 1 == len(texts):
                         cuts.append(i + 1)
                         size = 0
                 for b, c in zip(cuts[:-1], cuts[1:], strict=True):
@@ -301,8 +324,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     if stride < 1:
         raise ValueError("stride must be positive")
     spark, path = docs.sparkSession, path or tokenizer_path()
-    squeezed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_squeezed, "doc_id long, body binary")
-    ranged = squeezed.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "body")
+    parts, chosen = partitions(spark), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    squeezed = chosen.mapInArrow(_squeezed(_bounds(chosen.select("doc_id"), parts)), "doc_id long, body binary, part int")
+    ranged = squeezed.repartitionById(parts, "part").sortWithinPartitions("doc_id", "body").select("doc_id", "body")
     plain = materialise(ranged.mapInArrow(_blocks_of_ids(path, end_id, block_ids), "part int, seq long, before long, doc_ids array<long>, sizes array<long>, wide boolean, ids binary"), "ids")
     # Of the corpus, the driver gets one count for each id of the vocabulary and one for each partition.
     counted = plain.select("wide", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
