@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import partitions, table
 
 SEED, BROADCAST_SOURCES = 17, 10_000
 #: Production weights: the largest source counts twice, one source is left out, the others are alike.
@@ -74,7 +74,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float], default_weight: float
     drawn = rows.select("row", "key", F.size(F.filter("steps", lambda c: c < u)).alias("n_copies")).where("n_copies > 0")
     copies = drawn.select("row", "key", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     placed = copies.select("row", "copy", "n_copies", uniform(F.lit(seed), F.lit("place"), F.col("key"), F.col("copy")).alias("position"))
-    return _named(placed.orderBy("position"), docs)
+    # Positions are uniform in (0, 1), so equal ranges of them are equal partitions; no sample is needed.
+    parts = partitions(docs)
+    dealt = placed.repartitionById(parts, F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int"))
+    return _named(dealt.sortWithinPartitions("position"), docs)
 
 
 def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
