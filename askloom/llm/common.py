@@ -26,8 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame, each: int = 128 << 20) -> int:
+    """Shuffle partitions for df: the session's number, or one for each 128 MB of its files where that is more."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(own, -(-size // each)) if size < 1 << 58 else own  # beyond: unknown
 
 
 def share(spark: SparkSession, value):

@@ -271,7 +271,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMI
 
     mark is the text's XXH64, which tells apart rows that share a doc_id.
     """
-    n = partitions(docs.sparkSession)
+    n = partitions(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).where("doc_id is not null and text is not null")
     sent = keyed.mapInArrow(_scatter(8 * n, window, minimiser), "bucket int, blob binary")
     dealt = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")

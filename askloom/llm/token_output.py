@@ -324,7 +324,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     if stride < 1:
         raise ValueError("stride must be positive")
     spark, path = docs.sparkSession, path or tokenizer_path()
-    parts, chosen = partitions(spark), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    parts, chosen = partitions(docs), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     squeezed = chosen.mapInArrow(_squeezed(_bounds(chosen.select("doc_id"), parts)), "doc_id long, body binary, part int")
     ranged = squeezed.repartitionById(parts, "part").sortWithinPartitions("doc_id", "body").select("doc_id", "body")
     plain = materialise(ranged.mapInArrow(_blocks_of_ids(path, end_id, block_ids), "part int, seq long, before long, doc_ids array<long>, sizes array<long>, wide boolean, ids binary"), "ids")
