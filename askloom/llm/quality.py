@@ -1,15 +1,16 @@
 """Quality classifier: a factorisation machine.
 
 Features of a text: its words (A-Z lower-cased), hashed to `BUCKETS` places and weighted by the square root of their
-counts, together of length 1; statistics of its structure (shares of letters, capitals, digits, marks and repeated
-words, word and line lengths and so on) and metadata (its lengths), both on a fixed scale. All pairs of features interact
-through vectors of `RANK` numbers; with the sum-of-squares identity, sum over pairs of <v_i, v_j> x_i x_j =
-half of sum over factors of (sum v x)^2 - sum (v x)^2, scoring takes linear time.
+counts, together of length 1; statistics of its structure (shares of letters, capitals, digits, marks, repeated words
+and the most common word, word and line lengths and so on); and metadata: its lengths, and the values of the columns
+that the caller names, each hashed as name=value. All pairs of features interact through vectors of `RANK` numbers; with
+the sum-of-squares identity, sum over pairs of <v_i, v_j> x_i x_j = half of sum over factors of (sum v x)^2 -
+sum (v x)^2, scoring takes linear time.
 
 Trained in numpy on a bounded sample of labelled rows: the `sample` rows with the smallest hash of their id.
 
 Defined results: null text is empty; empty texts are scored by their structure; null labels are not learned; a doc_id
-with several labels counts once for each; without labelled rows every score is 0.5; an empty table gives an empty
+with several labels counts once for each, one with several texts by the first in order; null metadata are no feature; without labelled rows every score is 0.5; an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, opened, share, steps, table, utf8
+from .common import SPACED, Words, looked_up, opened, share, steps, table, utf8
 
 BUCKETS, RANK, SAMPLE, THRESHOLD = 1 << 15, 8, 3000, 0.7
 _CLASSES = np.zeros(256, np.int64)
@@ -44,10 +45,11 @@ class Machine:
     factors: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
+    metadata: tuple[str, ...] = ()
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words (text, place, weight), text by text, and the dense features of each text."""
+def features(texts: list[bytes], metadata: dict[str, list[str | None]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words and metadata (text, place, weight), text by text, and the dense features of each text."""
     n = len(texts)
     words = Words([t.lower() for t in texts], SPACED)
     counts = np.diff(words.docs)
@@ -55,12 +57,21 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     place = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
     key, times = np.unique(owner * BUCKETS + place[words.ids] if len(words) else np.empty(0, np.int64), return_counts=True)
     text, at = key // BUCKETS, key % BUCKETS
+    most = np.zeros(n)
+    np.maximum.at(most, text, times)
     weight = np.sqrt(times)
     weight /= np.sqrt(np.bincount(text, weights=weight * weight, minlength=n))[text]
+    for name, values in (metadata or {}).items():
+        known = [i for i, v in enumerate(values) if v is not None]
+        hashed = [xxhash.xxh32_intdigest(f"{name}={values[i]}") % BUCKETS for i in known]
+        text, at, weight = (np.concatenate([x, np.array(y, x.dtype)]) for x, y in ((text, known), (at, hashed), (weight, [1.0] * len(known))))
+    if metadata:
+        order = np.argsort(text, kind="stable")
+        text, at, weight = text[order], at[order], weight[order]
     # Structure: shares of the kinds of bytes, word and line statistics.
     sizes = np.fromiter(map(len, texts), np.int64, n)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    kinds = np.bincount(np.repeat(np.arange(n), sizes) * _KINDS + _CLASSES[raw], minlength=n * _KINDS).reshape(n, _KINDS)
+    joined = b"".join(texts)
+    kinds = np.bincount(np.repeat(np.arange(n) * _KINDS, sizes) + looked_up(joined, _CLASSES), minlength=n * _KINDS).reshape(n, _KINDS)
     shares = kinds / np.maximum(sizes, 1)[:, None]
     per_word = np.maximum(counts, 1)
     distinct = np.bincount(np.unique(owner * (len(words.distinct) + 1) + words.ids) // (len(words.distinct) + 1), minlength=n) if len(words) else np.zeros(n)
@@ -70,7 +81,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     marked = np.bincount(owner, weights=_CLASSES[last] == 0, minlength=n) / per_word
     loud = np.bincount(owner, weights=last == 33, minlength=n) / per_word
     lines = kinds[:, 6] + 1
-    dense = np.column_stack([shares, marked, loud, distinct / per_word, mean_length / 10, np.log1p(counts) / 10, np.log1p(sizes) / 10, np.log1p(counts / lines) / 5, kinds[:, 1] / np.maximum(kinds[:, 1] + kinds[:, 2], 1), counts == 0])
+    dense = np.column_stack([shares, marked, loud, distinct / per_word, most / per_word, mean_length / 10, np.log1p(counts) / 10, np.log1p(sizes) / 10, np.log1p(counts / lines) / 5, kinds[:, 1] / np.maximum(kinds[:, 1] + kinds[:, 2], 1), counts == 0])
     return text, at, weight, dense
 
 
@@ -89,16 +100,16 @@ def _margins(m: Machine, text: np.ndarray, at: np.ndarray, weight: np.ndarray, d
     return linear + 0.5 * pairs
 
 
-def probabilities(m: Machine, texts: list[bytes]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(_margins(m, *features(texts)), -30, 30)))
+def probabilities(m: Machine, texts: list[bytes], metadata: dict[str, list[str | None]] | None = None) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_margins(m, *features(texts, metadata)), -30, 30)))
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 11, updates: int = 1000, batch: int = 128, rate: float = 0.02, decay: float = 2e-4) -> Machine:
+def train(texts: list[bytes], labels: list[int], metadata: dict[str, list[str | None]] | None = None, seed: int = 11, updates: int = 1000, batch: int = 128, rate: float = 0.02, decay: float = 2e-4) -> Machine:
     """Adagrad on the logistic loss, about `updates` steps or 20 rounds; label 0, where rare, weighs up to four times as much."""
     rng = np.random.default_rng(seed)
-    text, at, weight, dense = features(texts)
+    text, at, weight, dense = features(texts, metadata)
     y = np.array(labels, np.float64)
-    m = Machine(0.0, np.zeros(BUCKETS + dense.shape[1]), rng.normal(0, 0.01, (BUCKETS + dense.shape[1], RANK)), dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3))
+    m = Machine(0.0, np.zeros(BUCKETS + dense.shape[1]), rng.normal(0, 0.01, (BUCKETS + dense.shape[1], RANK)), dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3), tuple(metadata or ()))
     m.scale = m.scale * 2
     positive = min(max(y.mean(), 1e-6), 1 - 1e-6)
     cost = np.where(y == 1, 1.0, min(4.0, max(1.0, positive / (1 - positive))))
@@ -137,28 +148,36 @@ def _held(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tuple[str, ...] = ()) -> Machine | None:
     """The machine of a bounded sample of the labelled rows that are not held out."""
+    if {"doc_id", "text"} & set(metadata):
+        raise ValueError("doc_id and text are no metadata")
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~_held()).select(F.col("doc_id").alias("id"), "quality")
-    # The ids are chosen from the labels alone; texts are read for these.
+    # The ids are chosen from the labels alone; texts are read for these, one for each id.
     chosen = known.orderBy(F.xxhash64("id"), "id", "quality").limit(sample).collect()
     if not chosen:
         return None
     ids = docs.sparkSession.createDataFrame([(r["id"], r["quality"]) for r in chosen], "id long, quality int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "quality", "text").collect()
-    rows.sort(key=lambda r: (r["id"], r["quality"], r["text"] or ""))
-    return train([(r["text"] or "").encode() for r in rows], [int(r["quality"]) for r in rows]) if rows else None
+    of = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.array(*[F.col(f"`{c}`").cast("string") for c in metadata]).cast("array<string>").alias("metadata"))
+    met = docs.select("doc_id", of.alias("of")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    rows = met.groupBy("id", "quality").agg(F.min("of").alias("of")).select("id", "quality", "of.*").collect()
+    if not rows:
+        return None
+    rows.sort(key=lambda r: (r["id"], r["quality"]))
+    return train([r["text"].encode() for r in rows], [int(r["quality"]) for r in rows], {c: [r["metadata"][i] for r in rows] for i, c in enumerate(metadata)})
 
 
-def _score(texts: list[bytes], m: Machine | None) -> np.ndarray:
-    return probabilities(m, texts) if m is not None else np.full(len(texts), 0.5)
+def _score(batch: pa.RecordBatch, m: Machine | None) -> np.ndarray:
+    if m is None:
+        return np.full(batch.num_rows, 0.5)
+    return probabilities(m, utf8(batch, "text"), {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in m.metadata})
 
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shared)
         for batch in steps(batches, "text", 6 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_score(utf8(batch, "text"), m), pa.float64())], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_score(batch, m), pa.float64())], names=["doc_id", "held_out", "score"])
 
     return run
 
@@ -167,15 +186,16 @@ def _passed(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shared)
         for batch in steps(batches, "text", 6 << 20):
-            yield batch.filter(pa.array(_score(utf8(batch, "text"), m) >= threshold, pa.bool_()))
+            yield batch.filter(pa.array(_score(batch, m) >= threshold, pa.bool_()))
 
     return run
 
 
 def quality_scores(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
+    """doc_id, held_out, score and predicted of every row of docs (doc_id, text and the machine's metadata)."""
     sent = share(docs.sparkSession, machine)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held().alias("held_out"), F.col("text")).mapInArrow(_scored(sent), "doc_id long, held_out boolean, score double")
+    more = [F.col(f"`{c}`").cast("string").alias(c) for c in (machine.metadata if machine else ())]
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held().alias("held_out"), F.col("text"), *more).mapInArrow(_scored(sent), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -489,6 +489,18 @@ def test_quality_learns_and_handles_edges(spark):
     assert kept.columns == docs.columns and kept.count() == int(got.predicted.sum())
 
 
+def test_quality_takes_metadata(spark):
+    docs = spark.createDataFrame([(i, "the same text", f"from {i % 2}" if i else None) for i in range(120)], "doc_id long, text string, origin string")
+    docs = docs.union(docs.where("doc_id = 5"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    machine = quality.fit(docs, labels, metadata=("origin",))
+    got = quality.quality_scores(docs, machine).where("doc_id > 0").toPandas()
+    assert (got.predicted == got.doc_id % 2).all() and len(got) == 120
+    assert {r["origin"] for r in quality.accepted(docs.where("doc_id > 0"), machine).collect()} == {"from 1"}
+    with pytest.raises(ValueError):
+        quality.fit(docs, labels, metadata=("doc_id",))
+
+
 def test_quality_on_held_out(spark, sf_dir):
     got = queries.QUERIES["op9_quality_classifier"](spark, sf_dir.replace("0.001", "0.01")).toPandas()
     labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet").toPandas()
