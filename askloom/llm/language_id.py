@@ -162,8 +162,20 @@ def _predict(net: ByteNet | None):
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | None:
-    """The network of a bounded sample of labelled (doc_id, text, lang): per_language rows of each language."""
-    ranked = labelled.where("text is not null and lang is not null").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")))
+    """The network of a bounded sample of labelled (doc_id, text, lang): per_language rows of each language.
+
+    Rows pass a threshold on their hash, at which about twice as many of each language remain, before any is moved.
+    """
+    known = labelled.where("lang is not null")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return None
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    least = F.lit(1.0)
+    for lang, n in counts.items():
+        least = F.when(F.col("lang") == lang, F.lit(2.0 * per_language / n)).otherwise(least)
+    some = known.where((share <= least) & F.col("text").isNotNull())
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")))
     rows = ranked.where(F.col("rank") <= per_language).select("text", "lang", "rank").collect()
     rows.sort(key=lambda r: (r["lang"], r["rank"]))
     return train([r["text"].encode() for r in rows], [r["lang"] for r in rows]) if rows else None
