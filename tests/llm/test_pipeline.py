@@ -41,3 +41,25 @@ def test_near_dedup_keeps_one_of_each_group(spark, sf_dir):
 def test_run_equals_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas().sort_values("start")
     assert (got.start.to_numpy()[1:] == (got.start + got.n_tokens).to_numpy()[:-1]).all() and got.doc_id.is_monotonic_increasing
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    texts = ["", None, " \n", "%%% ### |||", "x", "long word " * 4000, "same text here", "same text here", "A calm and plain sentence about nothing. " * 5]
+    rows = [(i, t, None, None if i % 2 else f"src{i}", None, "extra", i) for i, t in enumerate(texts)] + [(None, "no id, but a text", "en", "src0", 4, None, 1), (3, "%%% ### |||", None, None, None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, copy int")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, sf_dir)
+        found = got.collect()
+        if i < 4:
+            assert got.schema == docs.schema or got.columns == docs.columns, name
+            assert all(tuple(r) in rows for r in found), name
+        if i == 1:
+            assert sorted((r["doc_id"] for r in found), key=repr) == [0, 3, 4, 5, 6, 8, None]
+        if i == 4:
+            assert len(found) == len(rows) and sum(r["n_tokens"] for r in found) > 8000
