@@ -79,7 +79,10 @@ def _scatter(buckets: int, window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             doc, mark = (np.asarray(batch.column(k)) for k in (0, 1))
-            found = _super_kmers(utf8(batch, "text"), window, m)
+            once = np.unique(np.stack([doc, mark]), axis=1, return_index=True)[1]  # equal rows share their spans
+            texts = utf8(batch, "text")
+            doc, mark, texts = doc[once], mark[once], [texts[i] for i in once.tolist()]
+            found = _super_kmers(texts, window, m)
             if found is None:
                 continue
             text, start, count, value, strings = found
@@ -282,7 +285,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of docs (doc_id, text)."""
     if not 1 <= minimiser <= window:
         raise ValueError("minimiser must be between 1 and window")
-    spans = removed_spans(docs, window, minimiser, bucket_bytes).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = removed_spans(docs, window, minimiser, bucket_bytes).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).mapInArrow(_squeezed, "doc_id long, mark long, body binary")
     both = whole.join(spans, (whole["doc_id"] == spans["doc"]) & (whole["mark"] == spans["mark"]), "left").select(whole["doc_id"], "body", "spans")
     return both.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -10,8 +10,8 @@ The tokenizer works on pieces of words: ids are computed once for each distinct
 Files (Parquet, under one folder): `blocks` as above and `codebook` (id, length). Blocks are in ascending doc_id order by
 their `start`.
 
-Defined results: null text is empty and gives the end id alone; null doc_ids come first; rows that share a doc_id are
-ordered by text; an empty table gives empty files and no rows; other columns are ignored.
+Defined results: null text is empty and gives the end id alone; null doc_ids come first; rows that share a doc_id
+follow one another; an empty table gives empty files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import sys
 import types
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,22 +221,34 @@ class Encoder:
         return out, total + extra
 
 
+_FIRST = -(1 << 63)  # where null ids stand
+
+
 def _bounds(docs: DataFrame, parts: int) -> np.ndarray:
     """The last doc_id of each range but the last, ranges being about equal in rows; of the corpus only ids are read."""
     wanted = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.percentile_approx("doc_id", wanted or [0.5], max(10_000, 20 * parts)).alias("x")).first()["x"]
+    found = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_FIRST)), wanted or [0.5], max(10_000, 20 * parts)).alias("x")).first()["x"]
     return np.array((found or [])[: parts - 1], np.int64)
 
 
 def _squeezed(bounds: np.ndarray):
-    """doc_id, the compressed text, and the number of the doc_id's range (null: the first)."""
+    """doc_id, the compressed text, and the number of the doc_id's range.
+
+    An id with so many rows that it is the bound of several ranges goes to all of them in turn. The turn depends on the
+    text and on how often the task has had it, not on the order of rows, so a task that runs again deals alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, seen = zstandard.ZstdCompressor(level=1), Counter()
         for batch in steps(batches, "text"):
-            ids = batch.column(0)
-            part = np.where(np.asarray(ids.is_valid()), np.searchsorted(bounds, np.asarray(ids.fill_null(0))), 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([pack.compress(x) for x in utf8(batch, "text")], pa.binary()), pa.array(part.astype(np.int32))], names=["doc_id", "body", "part"])
+            ids, texts = batch.column(0), utf8(batch, "text")
+            value = np.asarray(ids.fill_null(_FIRST))
+            part, last = np.searchsorted(bounds, value), np.searchsorted(bounds, value, side="right")
+            for i in np.flatnonzero(last > part + 1).tolist():
+                key = int(value[i]), zlib.crc32(texts[i])
+                part[i] += (key[1] + seen[key]) % int(last[i] - part[i])
+                seen[key] += 1
+            yield pa.RecordBatch.from_arrays([ids, pa.array([pack.compress(x) for x in texts], pa.binary()), pa.array(part.astype(np.int32))], names=["doc_id", "body", "part"])
 
     return run
 

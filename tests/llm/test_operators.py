@@ -284,6 +284,21 @@ def test_tokens_of_null_and_repeated_ids(spark):
     assert sorted(r["start"] for r in got) == [0, 2, 4, 6] and [r["doc_id"] for r in got if r["start"] == 0] == [None]
 
 
+def test_a_hot_id_is_spread_over_ranges(spark):
+    ids = [7] * 300 + [None] * 200 + list(range(100))
+    texts = ["copy"] * 200 + [f"text {i}" for i in range(400)]
+    docs = table(spark, texts, ids)
+    bounds = token_output._bounds(docs, 12)
+    parts = docs.select("doc_id", "text").mapInArrow(token_output._squeezed(bounds), "doc_id long, body binary, part int")
+    hot = {r["part"]: r["count"] for r in parts.where("doc_id = 7").groupBy("part").count().collect()}
+    assert len(hot) >= 5 and max(hot.values()) < 100
+    spans = parts.groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("a"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("b")).orderBy("part").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:]))
+    got = token_output.token_output(docs).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(ids, key=lambda i: -1 if i is None else i)
+    assert all(y["start"] == x["start"] + x["n_tokens"] for x, y in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("n,limit", [(1, 18), (2, 18), (3, 2), (200, 9), (5000, 18), (70000, 18)])
 def test_huffman(n, limit):
     rng = np.random.default_rng(n)
