@@ -336,7 +336,7 @@ def _residuals(bits: Bits, at: np.ndarray, n: int, order: int) -> tuple[np.ndarr
 def _subframes(bits: Bits, at: np.ndarray, type_: int, depth: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Samples (n, frames) of subframes of one type and block size, and where they end."""
     if type_ == 0:
-        return np.broadcast_to(bits.signed(at, depth), (n, len(at))).copy(), at + depth
+        return np.broadcast_to(bits.signed(at, depth), (n, len(at))), at + depth
     if type_ == 1:
         return np.stack([bits.signed(at + j * depth, depth) for j in range(n)]), at + n * depth
     order = type_ - 8 if type_ < 32 else type_ - 31
@@ -412,7 +412,7 @@ def decode_frames(data: np.ndarray, bits: Bits, starts: np.ndarray, depth: int =
             some = mine[a : a + AT_ONCE]
             samples, end = _subframes(bits, pos[some], key >> 20, width[some] - wasted[some], key & 0xFFFFF)
             ends[some] = (end + 7) // 8
-            samples = np.ascontiguousarray((samples << wasted[some]).T)
+            samples = np.ascontiguousarray((samples << wasted[some]).T, dtype=np.int16)
             for i, x in zip(some.tolist(), samples, strict=True):
                 out[i] = x
     if (ends + 2 > len(data)).any() or (crc16(data, starts, ends - starts) != (padded[np.minimum(ends, len(data))] << 8 | padded[np.minimum(ends + 1, len(data))])).any():
