@@ -55,10 +55,12 @@ def features(texts: list[bytes], metadata: dict[str, list[str | None]] | None =
     counts = np.diff(words.docs)
     owner = np.repeat(np.arange(n), counts)
     place = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
-    key, times = np.unique(owner * BUCKETS + place[words.ids] if len(words) else np.empty(0, np.int64), return_counts=True)
-    text, at = key // BUCKETS, key % BUCKETS
+    size = max(len(words.distinct), 1)
+    key, times = np.unique(owner * size + words.ids, return_counts=True)
+    text, at = key // size, place[key % size]
     most = np.zeros(n)
     np.maximum.at(most, text, times)
+    distinct = np.bincount(text, minlength=n)
     weight = np.sqrt(times)
     weight /= np.sqrt(np.bincount(text, weights=weight * weight, minlength=n))[text]
     for name, values in (metadata or {}).items():
@@ -74,7 +76,6 @@ def features(texts: list[bytes], metadata: dict[str, list[str | None]] | None =
     kinds = np.bincount(np.repeat(np.arange(n) * _KINDS, sizes) + looked_up(joined, _CLASSES), minlength=n * _KINDS).reshape(n, _KINDS)
     shares = kinds / np.maximum(sizes, 1)[:, None]
     per_word = np.maximum(counts, 1)
-    distinct = np.bincount(np.unique(owner * (len(words.distinct) + 1) + words.ids) // (len(words.distinct) + 1), minlength=n) if len(words) else np.zeros(n)
     lengths = np.diff(words.offsets) - 1
     mean_length = np.bincount(owner, weights=lengths, minlength=n) / per_word
     last = words.data[words.offsets[1:] - 2] if len(words) else np.empty(0, np.uint8)
@@ -85,19 +86,28 @@ def features(texts: list[bytes], metadata: dict[str, list[str | None]] | None =
     return text, at, weight, dense
 
 
-def _margins(m: Machine, text: np.ndarray, at: np.ndarray, weight: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    n = len(dense)
-    scaled = (dense - m.mean) / m.scale
-    linear = m.bias + scaled @ m.linear[BUCKETS:]
-    linear += np.bincount(text, weights=m.linear[at] * weight, minlength=n)
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """The sums of each of the factors' values in each of n groups (n, factors); group ascends."""
+    out = np.zeros((n, len(values)))
+    if len(group):
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        for f, row in enumerate(values):
+            out[group[heads], f] = np.add.reduceat(row, heads)
+    return out
+
+
+def _parts(m: Machine, text: np.ndarray, at: np.ndarray, weight: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The margins, each factor's sum over a text's features, and the hashed features' products with the factors."""
+    vx = np.ascontiguousarray(m.factors[at].T) * weight
     own = m.factors[BUCKETS:]
-    pairs = np.zeros(n)
-    for f in range(m.factors.shape[1]):
-        vx = m.factors[at, f] * weight
-        total = scaled @ own[:, f] + np.bincount(text, weights=vx, minlength=n)
-        squares = (scaled * scaled) @ (own[:, f] ** 2) + np.bincount(text, weights=vx * vx, minlength=n)
-        pairs += total * total - squares
-    return linear + 0.5 * pairs
+    total = scaled @ own + _sums(vx, text, len(scaled))
+    squares = (scaled * scaled) @ (own * own) + _sums(vx * vx, text, len(scaled))
+    linear = m.bias + scaled @ m.linear[BUCKETS:] + np.bincount(text, weights=m.linear[at] * weight, minlength=len(scaled))
+    return linear + 0.5 * (total * total - squares).sum(axis=1), total, vx
+
+
+def _margins(m: Machine, text: np.ndarray, at: np.ndarray, weight: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    return _parts(m, text, at, weight, (dense - m.mean) / m.scale)[0]
 
 
 def probabilities(m: Machine, texts: list[bytes], metadata: dict[str, list[str | None]] | None = None) -> np.ndarray:
@@ -114,33 +124,37 @@ def train(texts: list[bytes], labels: list[int], metadata: dict[str, list[str |
     positive = min(max(y.mean(), 1e-6), 1 - 1e-6)
     cost = np.where(y == 1, 1.0, min(4.0, max(1.0, positive / (1 - positive))))
     first = np.searchsorted(text, np.arange(len(y) + 1))
-    seen_linear, seen_factors, seen_bias = np.full(m.linear.shape, 1e-2), np.full(m.factors.shape, 1e-2), 1e-2
+    # Only features that occur are trained: hashed ones by their place among those, then the dense ones.
+    used, at = np.unique(at, return_inverse=True)
+    spots = np.concatenate([used, np.arange(BUCKETS, BUCKETS + dense.shape[1])])
+    linear, factors, bias, k = np.zeros(len(spots)), m.factors[spots].T.copy(), 0.0, len(used)
+    seen_linear, seen_factors, seen_bias = np.full(linear.shape, 1e-2), np.full(factors.shape, 1e-2), 1e-2
+    scaled = (dense - m.mean) / m.scale
     for _ in range(max(20, -(-updates * batch // len(y)))):
         order = rng.permutation(len(y))
         for a in range(0, len(y), batch):
             rows = np.sort(order[a : a + batch])
             many = first[rows + 1] - first[rows]
             pick = np.repeat(first[rows], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            t, i, w, d = np.repeat(np.arange(len(rows)), many), at[pick], weight[pick], (dense[rows] - m.mean) / m.scale
-            z = _margins(m, t, i, w, dense[rows])
+            t, i, w, d = np.repeat(np.arange(len(rows)), many), at[pick], weight[pick], scaled[rows]
+            vx = factors[:, i] * w
+            total = d @ factors[:, k:].T + _sums(vx, t, len(rows))
+            squares = (d * d) @ (factors[:, k:] ** 2).T + _sums(vx * vx, t, len(rows))
+            z = bias + d @ linear[k:] + np.bincount(t, weights=linear[i] * w, minlength=len(rows)) + 0.5 * (total * total - squares).sum(axis=1)
             g = cost[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
-            used, place = np.unique(i, return_inverse=True)
-            linear = np.concatenate([np.bincount(place, weights=g[t] * w, minlength=len(used)), g @ d])
-            factors = np.empty((len(used) + d.shape[1], RANK))
-            spots = np.concatenate([used, np.arange(BUCKETS, BUCKETS + d.shape[1])])
-            for f in range(RANK):
-                vx = m.factors[i, f] * w
-                total = d @ m.factors[BUCKETS:, f] + np.bincount(t, weights=vx, minlength=len(rows))
-                factors[: len(used), f] = np.bincount(place, weights=g[t] * w * (total[t] - vx), minlength=len(used))
-                factors[len(used) :, f] = ((g * total)[:, None] * d).sum(axis=0) - m.factors[BUCKETS:, f] * (g[:, None] * d * d).sum(axis=0)
-            linear += decay * m.linear[spots]
-            factors += decay * m.factors[spots]
-            seen_linear[spots] += linear**2
-            seen_factors[spots] += factors**2
+            gw, by_text = g[t] * w, total.T[:, t]
+            by_text -= vx
+            by_text *= gw
+            d_linear = np.concatenate([np.bincount(i, weights=gw, minlength=k), g @ d]) + decay * linear
+            words = np.stack([np.bincount(i, weights=x, minlength=k) for x in by_text])
+            d_factors = np.concatenate([words, (d.T @ (g[:, None] * total)).T - factors[:, k:] * (g @ (d * d))], axis=1) + decay * factors
+            seen_linear += d_linear**2
+            seen_factors += d_factors**2
             seen_bias += g.sum() ** 2
-            m.linear[spots] -= rate * linear / np.sqrt(seen_linear[spots])
-            m.factors[spots] -= rate * factors / np.sqrt(seen_factors[spots])
-            m.bias -= rate * g.sum() / np.sqrt(seen_bias)
+            linear -= rate * d_linear / np.sqrt(seen_linear)
+            factors -= rate * d_factors / np.sqrt(seen_factors)
+            bias -= rate * g.sum() / np.sqrt(seen_bias)
+    m.bias, m.linear[spots], m.factors[spots] = float(bias), linear, factors.T
     return m
 
 
