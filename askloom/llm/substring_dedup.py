@@ -7,8 +7,8 @@ document with a smaller id, and comparing their words makes the result exact.
 
 Equal packed strings of one batch are sent once, with the smallest document id: whoever else holds that string loses
 it whatever the rest of the corpus holds, so large groups of copies shrink before the shuffle. Buckets are handled one
-at a time. One above `bucket_bytes` is cut again by minimisers of another hash, which parts even windows that share a
-hot minimiser, and handled in as many passes as its size asks for; each pass holds equal strings once.
+at a time. One above `bucket_bytes` holds equal strings once; if that is still too much, its strings are cut again by
+minimisers of another hash, which parts even windows that share a hot minimiser, and dealt anew to all partitions.
 
 Defined results: null or empty texts have no words; a document with fewer words than a window loses nothing; rows with
 the same doc_id never remove from one another (neither id is smaller); rows with a null doc_id keep all words and
@@ -18,6 +18,7 @@ remove none from others; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, chained, dictionary, mixed, partitions, steps, table, utf8
+from .common import SPACED, Words, chained, dictionary, materialise, mixed, partitions, steps, table, utf8
 
 WINDOW, MINIMISER, BUCKET_BYTES = 50, 8, 48 << 20
 _FIELDS = (("doc", np.int64), ("mark", np.int64), ("start", np.int32), ("count", np.int32))
@@ -77,7 +78,7 @@ def _super_kmers(texts: list[bytes], window: int, m: int, seed: int = 0):
 
 def _scatter(buckets: int, window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", 8 << 20):
             doc, mark = (np.asarray(batch.column(k)) for k in (0, 1))
             once = np.unique(np.stack([doc, mark]), axis=1, return_index=True)[1]  # equal rows share their spans
             texts = utf8(batch, "text")
@@ -157,9 +158,48 @@ def _runs(removed: np.ndarray, doc, mark, start, count, window: int):
     return doc[owner[a]], mark[owner[a]], start[owner[a]] + inside[a], start[owner[b]] + inside[b] + window
 
 
-def _gather(window: int, m: int, limit: int):
-    def result(doc, mark, start, end) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(mark.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "mark", "start", "end"])
+_OUT = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
+
+
+class Strings:
+    """Super-k-mers with equal strings held once, for the smallest document."""
+
+    def __init__(self):
+        self.leaders: dict[bytes, tuple[int, int, int, int]] = {}
+        self.more: list[tuple[int, int, int, int]] = []  # repeats within a document need their own places
+        self.words: list[bytes] = []
+        self.size = 0
+
+    def add(self, own: list[np.ndarray], body: bytes, window: int) -> list[tuple[int, int, int, int]]:
+        """Take a blob's super-k-mers; returns those that another document with a smaller id is known to hold."""
+        gone = []
+        ends = np.append(0, np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1)[np.append(0, np.cumsum(own[3].astype(np.int64) + window - 1))].tolist()
+        for a, b, *mine in zip(ends[:-1], ends[1:], *(x.tolist() for x in own), strict=True):
+            string, mine = body[a:b], tuple(mine)
+            lead = self.leaders.setdefault(string, mine)
+            if lead is mine:
+                self.size += b - a + 200
+            elif lead[0] < mine[0]:
+                gone.append(mine)
+            elif lead[0] > mine[0]:
+                gone.append(lead)
+                self.leaders[string] = mine
+            else:
+                self.more.append(mine)
+                self.words.append(string)
+                self.size += b - a + 200
+        return gone
+
+    def arrays(self) -> tuple[list[np.ndarray], list[bytes]]:
+        return [np.array(x, np.int64) for x in zip(*self.leaders.values(), *self.more, strict=True)], [*self.leaders, *self.words]
+
+
+def _gather(window: int, m: int, limit: int, buckets: int):
+    """Spans of removed words. With buckets, what does not fit is cut again and handed on; without, it is held."""
+
+    def spans(doc, mark, start, end) -> pa.RecordBatch:
+        columns = [np.asarray(x, kind) for x, kind in zip((doc, mark, start, end), (np.int64, np.int64, np.int32, np.int32), strict=True)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.int32()), pa.nulls(len(columns[0]), pa.binary())], schema=_OUT)
 
     def opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], bytes]:
         """Strings that other documents of the batch held too, and the rest with their packed words."""
@@ -167,73 +207,61 @@ def _gather(window: int, m: int, limit: int):
         arrays = [np.frombuffer(x, kind) for x, kind in zip(fields, [k for _, k in _FIELDS] * 2, strict=True)]
         return arrays[:4], arrays[4:], body
 
-    def judged(doc, mark, start, count, data: bytes) -> Iterator[pa.RecordBatch]:
-        if len(doc):
-            yield result(*_runs(_removed_windows(doc, count, data, window), doc, mark, start, count, window))
-
-    def of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        data: list[bytes] = []
+    def lost(which: list[tuple[int, int, int, int]] | list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(which):
+            doc, mark, start, count = np.array(which, np.int64).T
+            yield spans(doc, mark, start, start + count + window - 1)
+
+    def judged(own: list[np.ndarray], data: bytes) -> Iterator[pa.RecordBatch]:
+        if own and len(own[0]):
+            doc, mark, start, count = (x.astype(np.int64) for x in own)
+            yield spans(*_runs(_removed_windows(doc, count, data, window), doc, mark, start, count, window))
+
+    def cut_again(held: Strings) -> Iterator[pa.RecordBatch]:
+        own, strings = held.arrays()
+        found = _super_kmers(strings, window, m, seed=1) if strings else None
+        if found is None:
+            return
+        text, first, count, value, words = found
+        bucket = (value % np.uint64(buckets)).astype(np.int64)
+        fields = own[0][text], own[1][text], own[2][text] + first, count
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            mine = [x[part].astype(kind) for x, (_, kind) in zip(fields, _FIELDS, strict=True)]
+            blob = _packed([*(np.empty(0, kind) for _, kind in _FIELDS), *mine, b"".join(words[i] for i in part.tolist())])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in _OUT.types[:4]), pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary())], schema=_OUT)
+
+    def one_bucket(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        plain: list[tuple[list[np.ndarray], bytes]] | None = []
+        size, held, handed_on = 0, Strings(), False
         for blob in blobs:
             same, own, body = opened(blob)
-            if len(same[0]):
-                yield result(same[0], same[1], same[2], same[2] + same[3] + window - 1)
-            held.append(own)
-            data.append(body)
-        doc, mark, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield from judged(doc, mark, start.astype(np.int64), count.astype(np.int64), b"".join(data))
-
-    def in_passes(blobs: list[bytes], passes: int) -> Iterator[pa.RecordBatch]:
-        for one in range(passes):
-            leaders: dict[bytes, tuple[int, int, int, int]] = {}
-            more: list[tuple[int, int, int, int]] = []  # repeats within a document need their own places
-            strings: list[bytes] = []
-            for blob in blobs:
-                same, (doc, mark, start, count), body = opened(blob)
-                if one == 0 and len(same[0]):
-                    yield result(same[0], same[1], same[2], same[2] + same[3] + window - 1)
-                ends = np.append(0, np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1)[np.append(0, np.cumsum(count.astype(np.int64) + window - 1))].tolist()
-                found = _super_kmers([body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], window, m, seed=1)
-                if found is None:
+            yield from lost(np.stack([x.astype(np.int64) for x in same], axis=1))
+            if plain is not None:
+                plain.append((own, body))
+                size += len(body)
+                if size <= limit:
                     continue
-                text, first, many, value, words = found
-                gone = []
-                for i in np.flatnonzero(value % np.uint64(passes) == one).tolist():
-                    t = text[i]
-                    mine = int(doc[t]), int(mark[t]), int(start[t] + first[i]), int(many[i])
-                    lead = leaders.setdefault(words[i], mine)
-                    if lead[0] == mine[0] and lead is not mine:
-                        more.append(mine)
-                        strings.append(words[i])
-                    elif lead[0] < mine[0]:
-                        gone.append(mine)
-                    elif lead[0] > mine[0]:
-                        gone.append(lead)
-                        leaders[words[i]] = mine
-                if gone:
-                    a, b, c, d = (np.array(x, np.int64) for x in zip(*gone, strict=True))
-                    yield result(a, b, c, c + d + window - 1)
-            if leaders:
-                yield from judged(*(np.array(x, np.int64) for x in zip(*leaders.values(), *more, strict=True)), b"".join([*leaders, *strings]))
-
-    def one_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        passes = -(-sum(map(size, blobs)) // limit)
-        return of(blobs) if passes == 1 else in_passes(blobs, passes)
-
-    def size(blob: bytes) -> int:
-        return zstandard.frame_content_size(blob)
+                own, body = plain.pop()
+                for before in plain:
+                    yield from lost(held.add(*before, window))
+                plain = None
+            yield from lost(held.add(own, body, window))
+            if buckets and held.size > limit:
+                yield from cut_again(held)
+                held, handed_on = Strings(), True
+        if plain:
+            yield from judged([np.concatenate(x) for x in zip(*(own for own, _ in plain), strict=True)], b"".join(body for _, body in plain))
+        elif handed_on:
+            yield from cut_again(held)
+        else:
+            own, strings = held.arrays()
+            yield from judged(own, b"".join(strings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and blobs:
-                    yield from one_bucket(blobs)
-                    blobs = []
-                now = bucket
-                blobs.append(blob)
-        if blobs:
-            yield from one_bucket(blobs)
+        rows = ((bucket, blob) for batch in batches for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for _, own in itertools.groupby(rows, key=lambda row: row[0]):
+            yield from one_bucket(blob.as_py() for _, blob in own)
 
     return run
 
@@ -274,11 +302,16 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMI
 
     mark is the text's XXH64, which tells apart rows that share a doc_id.
     """
-    n = partitions(docs)
+    n, schema = partitions(docs), "doc long, mark long, start int, end int, bucket int, blob binary"
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).where("doc_id is not null and text is not null")
-    sent = keyed.mapInArrow(_scatter(8 * n, window, minimiser), "bucket int, blob binary")
-    dealt = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_gather(window, minimiser, bucket_bytes), "doc long, mark long, start int, end int")
+
+    def gathered(sent: DataFrame, buckets: int) -> DataFrame:
+        dealt = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
+        return dealt.mapInArrow(_gather(window, minimiser, bucket_bytes, buckets), schema)
+
+    once = materialise(gathered(keyed.mapInArrow(_scatter(8 * n, window, minimiser), "bucket int, blob binary"), 8 * n), "spans")
+    found, handed_on = once.where("blob is null").select("doc", "mark", "start", "end"), once.where("blob is not null").select("bucket", "blob")
+    return found if handed_on.isEmpty() else found.union(gathered(handed_on, 0).select("doc", "mark", "start", "end"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
