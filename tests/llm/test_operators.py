@@ -96,6 +96,23 @@ def test_substring_dedup_equals_brute_force(spark, window, m, limit):
     assert sorted([tuple(r)[:4] for r in got.collect()], key=repr) == brute_substrings(rows, window)
 
 
+def test_oversized_buckets_are_dealt_anew():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    hot = " ".join(f"hot{i}" for i in range(8))  # one phrase in many contexts
+    texts = [" ".join(f"c{rng.randint(0, 900)}" for _ in range(30)) + f" {hot} " + " ".join(f"c{rng.randint(0, 900)}" for _ in range(30)) for _ in range(300)] + ["same " * 60] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([zlib.crc32(t.encode()) for t in texts]), pa.array(texts)], names=["doc_id", "mark", "text"])
+    sent = next(substring_dedup._scatter(4, 20, 3)(iter([batch]))).sort_by("bucket")
+    out = list(substring_dedup._gather(20, 3, 4000, 64)(iter([sent])))
+    handed_on = sum(len(b) - b.column("blob").null_count for b in out)
+    assert handed_on > 20
+    again = pa.Table.from_batches(out).filter(pa.compute.is_valid(pa.Table.from_batches(out)["blob"])).select(["bucket", "blob"]).sort_by("bucket").combine_chunks().to_batches()
+    spans = pa.Table.from_batches([*out, *substring_dedup._gather(20, 3, 4000, 0)(iter(again))]).to_pylist()
+    lost = {r["doc"] for r in spans if r["blob"] is None}
+    assert lost == set(range(301, 600))
+
+
 def test_equal_hashes_alone_remove_nothing(monkeypatch):
     monkeypatch.setattr(substring_dedup, "chained", lambda values, n: np.zeros(len(values) - n + 1, np.uint64))
     data = b"a b c d a b c x a b c "
