@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.storage import materialise, shared_dir, shared_path  # noqa: F401
 
 #: Bytes of text that one step of a Python worker handles at a time.
-STEP_BYTES = 12 << 20
+STEP_BYTES = 6 << 20
 
 _BYTES = np.arange(256)
 #: Words are runs of anything but ASCII white space.
@@ -42,6 +43,21 @@ def opened(shared):
     return pickle.loads(shared.value)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, after which the worker gives freed memory back; workers outlive their tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most limit bytes of column each, or one row."""
     for batch in batches:

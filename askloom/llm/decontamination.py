@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, opened, share, steps, table, utf8
+from .common import ALNUM, Words, opened, share, steps, table, tidy, utf8
 
 WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 4_000_000
 
@@ -223,7 +223,7 @@ def _prepared(docs: DataFrame, rows: list[tuple[int, bytes]], window: int):
     items = Items.of(rows, window)
     sent = share(docs.sparkSession, items)
     counts = {s: np.zeros(len(k), np.int64) for s, k in items.shingles.items()}
-    for r in docs.select("text").where("text is not null").mapInArrow(_count(sent), "s long, place long, n long").groupBy("s", "place").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").where("text is not null").mapInArrow(tidy(_count(sent)), "s long, place long, n long").groupBy("s", "place").agg(F.sum("n").alias("n")).collect():
         counts[r["s"]][r["place"]] = r["n"]
     return share(docs.sparkSession, (items, _prefixes(items, counts)))
 
@@ -247,14 +247,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int
     schema = T.StructType([T.StructField("key", chosen.schema["key"].dataType), *_HITS])
     first, *more = blocks = number_of_blocks(benchmark, block_words)
     if not more:
-        return chosen.mapInArrow(_appended(_prepared(chosen, block(benchmark, first, 1), window)), schema)
+        return chosen.mapInArrow(tidy(_appended(_prepared(chosen, block(benchmark, first, 1), window))), schema)
     # Rows are told apart by their text as well; equal rows have equal hits, once for each block and copy.
     marked = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("mark")).alias("key"), F.col("text"))
     schema = T.StructType([T.StructField("key", marked.schema["key"].dataType), *_HITS])
     n = len(blocks)
     every = None
     for k in blocks:
-        part = marked.mapInArrow(_appended(_prepared(marked, block(benchmark, k, n), window)), schema)
+        part = marked.mapInArrow(tidy(_appended(_prepared(marked, block(benchmark, k, n), window))), schema)
         every = part if every is None else every.union(part)
     merged = every.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
     return merged.select(F.col("key.key").alias("key"), "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "copies"))).select("key", "n_words", "spans", "items")
@@ -286,13 +286,13 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs."""
     found = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), benchmark, "doc_id", window, block_words)
-    return found.mapInArrow(_reported, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(tidy(_reported), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that are not contaminated, with all columns."""
     if len(number_of_blocks(benchmark, block_words)) == 1:
-        return docs.mapInArrow(_appended(_prepared(docs, block(benchmark, 0, 1), window), lambda n, h: not is_contaminated(n, h)), docs.schema)
+        return docs.mapInArrow(tidy(_appended(_prepared(docs, block(benchmark, 0, 1), window), lambda n, h: not is_contaminated(n, h))), docs.schema)
     report = decontamination_report(docs.select(F.xxhash64("text").alias("doc_id"), F.col("text")), benchmark, window, block_words)
     bad = report.where("contaminated").select(F.col("doc_id").alias("mark")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("mark"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table, utf8
+from .common import steps, table, tidy, utf8
 
 UNIT, BLOCK, LPC_ORDER, PRECISION, RATE, AT_ONCE = 192, 1152, 4, 10, 8000, 2048
 #: Fixed values of the format: block sizes by code, bits a sample by code.
@@ -504,7 +504,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a FLAC stream of the text's payload) of every row of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(_encoded), "doc_id long, n_bytes long, media binary")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +521,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, block, sample_offset, n_samples and pcm (signed, little-endian) of every block of media (doc_id, media)."""
-    return media.select("doc_id", "media").mapInArrow(_blocks, "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(tidy(_blocks), "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
 
 
 def feature(samples: np.ndarray) -> str:
@@ -552,7 +552,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_report(media: DataFrame) -> DataFrame:
     """Digests and features of media (doc_id, n_bytes, media), read back from the streams."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_digests), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

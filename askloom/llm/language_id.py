@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import steps, table, utf8
+from .common import steps, table, tidy, utf8
 
 LENGTH, EMBED, FILTERS, WIDTHS, PER_LANGUAGE = 256, 8, 16, (2, 3, 4), 300
 _LETTER = re.compile(r"[^\W\d_]")
@@ -184,7 +184,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | None
 def language_id(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs (doc_id, text)."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), F.col("text")).mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held.alias("held_out"), F.col("text")).mapInArrow(tidy(_predict(net)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table, utf8
+from .common import steps, table, tidy, utf8
 
 #: Names by which notices call a licence, by SPDX identifier.
 NAMES = {
@@ -124,7 +124,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, n_notices and licences (distinct, sorted, comma-joined) of every row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_scanned, "doc_id long, n_sentences long, sentence_ids string, n_notices long, licences string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(_scanned), "doc_id long, n_sentences long, sentence_ids string, n_notices long, licences string")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

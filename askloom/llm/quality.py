@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, looked_up, opened, share, steps, table, utf8
+from .common import SPACED, Words, looked_up, opened, share, steps, table, tidy, utf8
 
 BUCKETS, RANK, SAMPLE, THRESHOLD = 1 << 15, 8, 3000, 0.7
 _CLASSES = np.zeros(256, np.int64)
@@ -72,8 +72,10 @@ def features(texts: list[bytes], metadata: dict[str, list[str | None]] | None =
         text, at, weight = text[order], at[order], weight[order]
     # Structure: shares of the kinds of bytes, word and line statistics.
     sizes = np.fromiter(map(len, texts), np.int64, n)
-    joined = b"".join(texts)
-    kinds = np.bincount(np.repeat(np.arange(n) * _KINDS, sizes) + looked_up(joined, _CLASSES), minlength=n * _KINDS).reshape(n, _KINDS)
+    kind, some = looked_up(b"".join(texts), _CLASSES), np.flatnonzero(sizes)
+    kinds = np.zeros((n, _KINDS), np.int64)
+    for k in range(_KINDS) if len(some) else ():
+        kinds[some, k] = np.add.reduceat(kind == k, (np.cumsum(sizes) - sizes)[some], dtype=np.int64)
     shares = kinds / np.maximum(sizes, 1)[:, None]
     per_word = np.maximum(counts, 1)
     lengths = np.diff(words.offsets) - 1
@@ -209,13 +211,13 @@ def quality_scores(docs: DataFrame, machine: Machine | None, threshold: float =
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text and the machine's metadata)."""
     sent = share(docs.sparkSession, machine)
     more = [F.col(f"`{c}`").cast("string").alias(c) for c in (machine.metadata if machine else ())]
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held().alias("held_out"), F.col("text"), *more).mapInArrow(_scored(sent), "doc_id long, held_out boolean, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held().alias("held_out"), F.col("text"), *more).mapInArrow(tidy(_scored(sent)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the machine predicts as 1, with all columns; without a machine all rows."""
-    return docs if machine is None else docs.mapInArrow(_passed(share(docs.sparkSession, machine), threshold), docs.schema)
+    return docs if machine is None else docs.mapInArrow(tidy(_passed(share(docs.sparkSession, machine), threshold)), docs.schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, steps, table, utf8
+from .common import materialise, steps, table, tidy, utf8
 
 BITS, TAU, SHINGLE, HOT, SEED = 64, 2, 3, 2048, 42
 
@@ -78,7 +78,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; fp is the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(_fingerprint), "doc_id long, fp long")
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
     """The number of fingerprints and, of 64 by 64, how many have both bits set. A row a task comes to the driver."""
     n, total = 0, np.zeros((BITS, BITS))
-    summed = nodes.select("fp").mapInArrow(_together, "n long, total array<double>")
+    summed = nodes.select("fp").mapInArrow(tidy(_together), "n long, total array<double>")
     for row in summed.select("n", F.posexplode("total")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("v")).collect():
         n, total.flat[row["pos"]] = row["n"], row["v"]
     return n, total

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, chained, dictionary, materialise, mixed, partitions, steps, table, utf8
+from .common import SPACED, Words, chained, dictionary, materialise, mixed, partitions, steps, table, tidy, utf8
 
 WINDOW, MINIMISER, BUCKET_BYTES = 50, 8, 48 << 20
 _FIELDS = (("doc", np.int64), ("mark", np.int64), ("start", np.int32), ("count", np.int32))
@@ -307,9 +307,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMI
 
     def gathered(sent: DataFrame, buckets: int) -> DataFrame:
         dealt = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-        return dealt.mapInArrow(_gather(window, minimiser, bucket_bytes, buckets), schema)
+        return dealt.mapInArrow(tidy(_gather(window, minimiser, bucket_bytes, buckets)), schema)
 
-    once = materialise(gathered(keyed.mapInArrow(_scatter(8 * n, window, minimiser), "bucket int, blob binary"), 8 * n), "spans")
+    once = materialise(gathered(keyed.mapInArrow(tidy(_scatter(8 * n, window, minimiser)), "bucket int, blob binary"), 8 * n), "spans")
     found, handed_on = once.where("blob is null").select("doc", "mark", "start", "end"), once.where("blob is not null").select("bucket", "blob")
     return found if handed_on.isEmpty() else found.union(gathered(handed_on, 0).select("doc", "mark", "start", "end"))
 
@@ -319,9 +319,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     if not 1 <= minimiser <= window:
         raise ValueError("minimiser must be between 1 and window")
     spans = removed_spans(docs, window, minimiser, bucket_bytes).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).mapInArrow(_squeezed, "doc_id long, mark long, body binary")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).mapInArrow(tidy(_squeezed), "doc_id long, mark long, body binary")
     both = whole.join(spans, (whole["doc_id"] == spans["doc"]) & (whole["mark"] == spans["mark"]), "left").select(whole["doc_id"], "body", "spans")
-    return both.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return both.mapInArrow(tidy(_kept(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, dictionary, looked_up, materialise, partitions, shared_dir, steps, table, utf8
+from .common import SPACED, dictionary, looked_up, materialise, partitions, shared_dir, steps, table, tidy, utf8
 
 TOKENIZER, END_ID, MAX_LENGTH, STRIDE, BLOCK_IDS = "word_bpe_49k.json", 1, 18, 128, 1 << 18
 
@@ -145,7 +145,7 @@ class Encoder:
     A piece is a word, cut again between ASCII letters and ASCII marks; no token reaches over a cut.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID, remember: int = 300_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, remember: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
@@ -338,11 +338,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         raise ValueError("stride must be positive")
     spark, path = docs.sparkSession, path or tokenizer_path()
     parts, chosen = partitions(docs), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    squeezed = chosen.mapInArrow(_squeezed(_bounds(chosen.select("doc_id"), parts)), "doc_id long, body binary, part int")
+    squeezed = chosen.mapInArrow(tidy(_squeezed(_bounds(chosen.select("doc_id"), parts))), "doc_id long, body binary, part int")
     ranged = squeezed.repartitionById(parts, "part").sortWithinPartitions("doc_id", "body").select("doc_id", "body")
-    plain = materialise(ranged.mapInArrow(_blocks_of_ids(path, end_id, block_ids), "part int, seq long, before long, doc_ids array<long>, sizes array<long>, wide boolean, ids binary"), "ids")
+    plain = materialise(ranged.mapInArrow(tidy(_blocks_of_ids(path, end_id, block_ids)), "part int, seq long, before long, doc_ids array<long>, sizes array<long>, wide boolean, ids binary"), "ids")
     # Of the corpus, the driver gets one count for each id of the vocabulary and one for each partition.
-    counted = plain.select("wide", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = plain.select("wide", "ids").mapInArrow(tidy(_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -353,7 +353,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         firsts[r["part"]], at = at, at + r["n"]
     some = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i]), stride) for i in some], "id int, length int, stride int").coalesce(1).write.parquet(f"{folder}/codebook")
-    plain.mapInArrow(_coded(lengths.tobytes(), firsts, stride), BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
+    plain.mapInArrow(tidy(_coded(lengths.tobytes(), firsts, stride)), BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_lengths(spark: SparkSession, folder: str) -> tuple[np.ndarray, int]:
@@ -388,7 +388,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     """doc_id, start, n_tokens and ids_crc32 (and ids) of every document in the files under folder."""
     lengths, stride = read_lengths(spark, folder)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks")
-    return blocks.mapInArrow(_documents(lengths.tobytes(), stride, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return blocks.mapInArrow(tidy(_documents(lengths.tobytes(), stride, with_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_output(docs: DataFrame, folder: str | None = None, path: str | None = None) -> DataFrame:
