@@ -1,8 +1,8 @@
 """Quality classifier: a factorisation machine.
 
 Features of a text: its words (A-Z lower-cased), hashed to `BUCKETS` places and weighted by the square root of their
-counts, together of length 1; statistics of its structure (shares of letters, capitals, digits, marks, repeated words
-and the most common word, word and line lengths and so on); and metadata: its lengths, and the values of the columns
+counts, together of length 1; statistics of its structure (shares of letters, capitals, digits, marks, repeated words,
+the most common word and words said twice running, word and line lengths and so on); and metadata: its lengths, and the values of the columns
 that the caller names, each hashed as name=value. All pairs of features interact through vectors of `RANK` numbers; with
 the sum-of-squares identity, sum over pairs of <v_i, v_j> x_i x_j = half of sum over factors of (sum v x)^2 -
 sum (v x)^2, scoring takes linear time.
@@ -83,8 +83,9 @@ def features(texts: list[bytes], metadata: dict[str, list[str | None]] | None =
     last = words.data[words.offsets[1:] - 2] if len(words) else np.empty(0, np.uint8)
     marked = np.bincount(owner, weights=_CLASSES[last] == 0, minlength=n) / per_word
     loud = np.bincount(owner, weights=last == 33, minlength=n) / per_word
+    again = np.bincount(owner[1:], weights=(words.ids[1:] == words.ids[:-1]) & (owner[1:] == owner[:-1]), minlength=n) if len(words) else np.zeros(n)
     lines = kinds[:, 6] + 1
-    dense = np.column_stack([shares, marked, loud, distinct / per_word, most / per_word, mean_length / 10, np.log1p(counts) / 10, np.log1p(sizes) / 10, np.log1p(counts / lines) / 5, kinds[:, 1] / np.maximum(kinds[:, 1] + kinds[:, 2], 1), counts == 0])
+    dense = np.column_stack([shares, marked, loud, distinct / per_word, most / per_word, again / per_word, np.log1p(again) / 5, mean_length / 10, np.log1p(counts) / 10, np.log1p(sizes) / 10, np.log1p(counts / lines) / 5, kinds[:, 1] / np.maximum(kinds[:, 1] + kinds[:, 2], 1), counts == 0])
     return text, at, weight, dense
 
 
