@@ -125,6 +125,15 @@ def dictionary(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Ar
     return np.asarray(coded.indices), coded.dictionary
 
 
+def as_bytes(values: pa.BinaryArray) -> list[bytes]:
+    """The values of an array without nulls; faster than to_pylist."""
+    if not len(values):
+        return []
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    data = values.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def chained(values: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit polynomial hash of every run of `length` values (uint64), by doubling: as many as there are runs."""
     out, done, have = None, 0, 1

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, opened, share, steps, table, tidy, utf8
+from .common import ALNUM, Words, as_bytes, opened, share, steps, table, tidy, utf8
 
 WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 4_000_000
 
@@ -49,7 +49,7 @@ class Items:
         names = sorted({i for i, _ in rows})
         place = {n: k for k, n in enumerate(names)}
         words = Words([t.lower() for _, t in rows], ALNUM)
-        vocabulary = {w: k for k, w in enumerate(words.distinct.to_pylist())} if len(words) else {}
+        vocabulary = {w: k for k, w in enumerate(as_bytes(words.distinct))} if len(words) else {}
         windows: dict[bytes, int] = {}
         pairs = set()
         for r, (name, _) in enumerate(rows):
@@ -84,7 +84,7 @@ class Items:
 
     def known(self, words: Words) -> np.ndarray:
         """The words' ids in the items' vocabulary, -1 for others."""
-        mapped = np.fromiter((self.vocabulary.get(w, -1) for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
+        mapped = np.fromiter((self.vocabulary.get(w, -1) for w in as_bytes(words.distinct)), np.int64, len(words.distinct))
         return mapped[words.ids]
 
 

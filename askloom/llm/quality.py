@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, looked_up, opened, share, steps, table, tidy, utf8
+from .common import SPACED, Words, as_bytes, looked_up, opened, share, steps, table, tidy, utf8
 
 BUCKETS, RANK, SAMPLE, THRESHOLD = 1 << 15, 8, 3000, 0.7
 _CLASSES = np.zeros(256, np.int64)
@@ -54,7 +54,7 @@ def features(texts: list[bytes], metadata: dict[str, list[str | None]] | None =
     words = Words([t.lower() for t in texts], SPACED)
     counts = np.diff(words.docs)
     owner = np.repeat(np.arange(n), counts)
-    place = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
+    place = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in as_bytes(words.distinct)), np.int64, len(words.distinct))
     size = max(len(words.distinct), 1)
     key, times = np.unique(owner * size + words.ids, return_counts=True)
     text, at = key // size, place[key % size]

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, chained, dictionary, materialise, mixed, partitions, steps, table, tidy, utf8
+from .common import SPACED, Words, as_bytes, chained, dictionary, materialise, mixed, partitions, steps, table, tidy, utf8
 
 WINDOW, MINIMISER, BUCKET_BYTES = 50, 8, 48 << 20
 _FIELDS = (("doc", np.int64), ("mark", np.int64), ("start", np.int32), ("count", np.int32))
@@ -54,7 +54,7 @@ def _super_kmers(texts: list[bytes], window: int, m: int, seed: int = 0):
     words = Words(texts, SPACED)
     if len(words) < window:
         return None
-    vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.distinct.to_pylist()), np.uint64, len(words.distinct))
+    vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in as_bytes(words.distinct)), np.uint64, len(words.distinct))
     grams = mixed(chained(vocabulary[words.ids], m) + np.uint64(seed))
     span, least, have = window - m + 1, grams, 1  # the smallest of span consecutive grams, by doubling
     while have * 2 <= span:

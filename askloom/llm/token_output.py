@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, dictionary, looked_up, materialise, partitions, shared_dir, steps, table, tidy, utf8
+from .common import SPACED, as_bytes, dictionary, looked_up, materialise, partitions, shared_dir, steps, table, tidy, utf8
 
 TOKENIZER, END_ID, MAX_LENGTH, STRIDE, BLOCK_IDS = "word_bpe_49k.json", 1, 18, 128, 1 << 18
 
@@ -145,7 +145,7 @@ class Encoder:
     A piece is a word, cut again between ASCII letters and ASCII marks; no token reaches over a cut.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID, remember: int = 200_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
@@ -205,7 +205,7 @@ class Encoder:
         data = np.frombuffer(joined, np.uint8)[inside]
         ids, distinct = dictionary(np.append(np.flatnonzero(first[inside]), len(data)), data)
         docs = np.searchsorted(np.flatnonzero(first), np.cumsum([0, *(len(t) + 1 for t in texts)]))
-        each = self._pieces(distinct.to_pylist())
+        each = self._pieces(as_bytes(distinct))
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), np.int32)
         firsts = np.cumsum(sizes) - sizes
