@@ -1,10 +1,13 @@
 """Licence scan by sentence rules.
 
 A text's sentences (parts between line breaks, and after . ! or ? with white space) are normalised: A-Z lower-cased,
-everything but ASCII letters, digits and non-ASCII characters to one space. A sentence that equals a known licence
-sentence becomes its identifier. The identifiers of a text, in order and without unknown sentences between them, are
-matched against the rules in their order, longer rules first: a rule names a licence for one sequence of identifiers,
-and a sequence that it matches is used up.
+everything but ASCII letters, digits and non-ASCII characters to one space; n_sentences counts them. They are cut again
+after ; : and ) with white space, and known licence sentences are looked for among these pieces and runs of neighbouring
+pieces, the longest run first: a run may go on over single line breaks, whatever signs (or `dnl`, `rem`) begin the next
+line, but not over a blank line or the end of a sentence. What equals a known sentence becomes its identifier. The
+identifiers of a text, in order and without unknown sentences between them, are matched against the rules in their
+order, longer rules first: a rule names a licence for one sequence of identifiers, and a sequence that it matches is
+used up. The SQL knows a sentence on one line only; on texts without wrapped sentences both give the same.
 
 Defined results: null and empty texts have no sentences and no licences; repeated notices count each time; rows that
 share a doc_id each give a row; an empty table gives an empty table; other columns are ignored.
@@ -70,7 +73,11 @@ RULES = [
 ]
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _OTHER = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_CUT = re.compile(rb"[\n\r]+|(?<=[.!?])[ \t\x0b\x0c]+")
+_CUT = re.compile(rb"(?<=[.!?])[ \t\x0b\x0c]+")
+_PIECE = re.compile(rb"(?<=[;:)])[ \t\x0b\x0c]+")
+_END = re.compile(rb"[.!?][ \t\x0b\x0c]*\Z")
+#: Words that begin a comment line.
+_PREFIXES = (b"dnl", b"rem")
 
 
 def normalised(sentence: bytes) -> bytes:
@@ -94,15 +101,55 @@ def rules() -> list[tuple[str, str]]:
     return own + [(licence, f"<says-{licence}>") for licence in NAMES]
 
 
-def scan(text: bytes, known: dict[bytes, str], ordered: list[tuple[str, str]]) -> tuple[int, str, list[str]]:
-    """The number of sentences, the sequence of identifiers and the licences found, one for each match."""
-    n, ids = 0, []
-    for part in _CUT.split(text):
-        sentence = normalised(part)
-        if sentence:
+def beginnings(known: dict[bytes, str]) -> set[bytes]:
+    """The known sentences cut off after each of their words."""
+    words = [k.split(b" ") for k in known]
+    return {b" ".join(w[: n + 1]) for w in words for n in range(len(w))}
+
+
+def pieces(text: bytes) -> tuple[int, list[bytes], list[bool]]:
+    """The number of sentences, the normalised pieces of them, and whether each goes on with the piece before."""
+    n, out, joins = 0, [], []
+    near = ended = False  # whether the last piece is on this line or the one before, and ends a sentence
+    for line in text.splitlines():
+        blank = True
+        for part in _CUT.split(line):
+            sentence = normalised(part)
+            if not sentence:
+                continue
             n += 1
-            if sentence in known:
-                ids.append(known[sentence])
+            if blank and sentence in _PREFIXES:
+                continue
+            cut = _PIECE.split(part)
+            found = [sentence] if len(cut) == 1 else [x for x in map(normalised, cut) if x]
+            if blank and found[0].split(b" ", 1)[0] in _PREFIXES:
+                found[0] = found[0][4:]
+            for piece in found:
+                joins.append(near and not ended)
+                out.append(piece)
+                near, ended = True, False
+            blank, ended = False, True
+        near, ended = not blank, bool(_END.search(line))
+    return n, out, joins
+
+
+def scan(text: bytes, known: dict[bytes, str], begun: set[bytes], ordered: list[tuple[str, str]]) -> tuple[int, str, list[str]]:
+    """The number of sentences, the sequence of identifiers and the licences found, one for each match."""
+    n, parts, joins = pieces(text)
+    ids, at = [], 0
+    while at < len(parts):
+        run, last, end = parts[at], None, at + 1
+        while run in begun:
+            if run in known:
+                last, after = known[run], end
+            if end == len(parts) or not joins[end]:
+                break
+            run, end = run + b" " + parts[end], end + 1
+        if last is None:
+            at += 1
+        else:
+            ids.append(last)
+            at = after
     sequence = left = "".join(f"<{i}>" for i in ids)
     found: list[str] = []
     if left:
@@ -114,8 +161,9 @@ def scan(text: bytes, known: dict[bytes, str], ordered: list[tuple[str, str]]) -
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, ordered = known_sentences(), rules()
+    begun = beginnings(known)
     for batch in steps(batches, "text"):
-        n, sequence, found = zip(*[scan(t, known, ordered) for t in utf8(batch, "text")], strict=True)
+        n, sequence, found = zip(*[scan(t, known, begun, ordered) for t in utf8(batch, "text")], strict=True)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(sequence, pa.string()), pa.array([len(x) for x in found], pa.int64()), pa.array([",".join(sorted(set(x))) for x in found], pa.string())],
             names=["doc_id", "n_sentences", "sentence_ids", "n_notices", "licences"],

@@ -560,3 +560,36 @@ def test_license_rules(spark):
     got = {r["doc_id"]: r for r in license_scan.license_scan(table(spark, texts)).collect()}
     assert [(got[i]["n_notices"], got[i]["licences"]) for i in range(len(cases))] == list(cases.values())
     assert all(got[i]["n_notices"] == 0 for i in range(len(cases), len(texts)))
+
+
+def licences_of(spark, texts):
+    got = {r["doc_id"]: r for r in license_scan.license_scan(table(spark, texts)).collect()}
+    return [(got[i]["n_notices"], got[i]["licences"]) for i in range(len(texts))]
+
+
+def test_wrapped_licence_texts(spark):
+    import textwrap
+
+    s = license_scan.SENTENCES
+    bsd = ["Copyright (c) 2020, Some Body", s["bsd-grant"], "1. " + s["bsd-source"], "2. " + s["bsd-binary"], "3. " + s["bsd-names"]]
+    apache = s["apache-header"] + " you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+    long = {
+        "MIT": ["MIT License", "Copyright (c) 2020 Some Body", s["mit-grant"], s["mit-notice"]],
+        "BSD-3-Clause": bsd,
+        "BSD-2-Clause": bsd[:-1],
+        "GPL-3.0-or-later": [s["gpl-free"], s["gpl-hope"] + "  See the GNU General Public License for more details."],
+        "Apache-2.0": ["Copyright 2020 Some Body", apache],
+        "ISC": [s["isc-grant"]],
+        "GPL-3.0": ["Some words. Licensed under the GNU General Public License, version 3. More words follow here, as they do."],
+    }
+    cases = []
+    for licence, paragraphs in long.items():
+        for width in (20, 60, 72, 10_000):
+            for first, prefix, newline in (("", "", "\n"), ("/* ", " * ", "\n"), ("// ", "// ", "\r\n"), ("dnl ", "dnl ", "\n"), ("    ", "\t", "\r")):
+                lines = [x for p in paragraphs for x in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]]
+                cases.append((licence, newline.join((prefix if i else first) + x for i, x in enumerate(lines))))
+    cases += [("MIT", " ".join(long["MIT"][2:])), ("BSD-2-Clause", " ".join(bsd[1:4]).replace("1.", "1)").replace("2.", "(2)"))]
+    assert licences_of(spark, [t for _, t in cases]) == [(1, licence) for licence, _ in cases]
+    none = ["Licensed under\n\nthe MIT License.", "Licensed under the\n *\n * MIT License.", "Licensed under.\nthe MIT License.", "is Licensed under the\nMIT License."]
+    assert licences_of(spark, none) == [(0, "")] * len(none)
+    assert licences_of(spark, ["Licensed under CC0\n1.0.", "Licensed under MIT\nReleased under MIT"]) == [(1, "CC0-1.0"), (2, "MIT")]
