@@ -4,7 +4,7 @@ A text's sentences (parts between line breaks, and after . ! or ? with white spa
 everything but ASCII letters, digits and non-ASCII characters to one space; n_sentences counts them. They are cut again
 after ; : and ) with white space, and known licence sentences are looked for among these pieces and runs of neighbouring
 pieces, the longest run first: a run may go on over single line breaks, whatever signs (or `dnl`, `rem`) begin the next
-line, but not over a blank line or the end of a sentence. What equals a known sentence becomes its identifier. The
+line, but not over a blank line or the end of a sentence (`v.` before a digit ends none). What equals a known sentence becomes its identifier. The
 identifiers of a text, in order and without unknown sentences between them, are matched against the rules in their
 order, longer rules first: a rule names a licence for one sequence of identifiers, and a sequence that it matches is
 used up. The SQL knows a sentence on one line only; on texts without wrapped sentences both give the same.
@@ -125,7 +125,7 @@ def pieces(text: bytes) -> tuple[int, list[bytes], list[bool]]:
             if blank and found[0].split(b" ", 1)[0] in _PREFIXES:
                 found[0] = found[0][4:]
             for piece in found:
-                joins.append(near and not ended)
+                joins.append(near and (not ended or out[-1].rpartition(b" ")[2] == b"v" and piece[:1].isdigit()))
                 out.append(piece)
                 near, ended = True, False
             blank, ended = False, True

@@ -593,3 +593,14 @@ def test_wrapped_licence_texts(spark):
     none = ["Licensed under\n\nthe MIT License.", "Licensed under the\n *\n * MIT License.", "Licensed under.\nthe MIT License.", "is Licensed under the\nMIT License."]
     assert licences_of(spark, none) == [(0, "")] * len(none)
     assert licences_of(spark, ["Licensed under CC0\n1.0.", "Licensed under MIT\nReleased under MIT"]) == [(1, "CC0-1.0"), (2, "MIT")]
+
+
+def test_every_known_licence_sentence_is_found(spark):
+    names = [(licence, notice.format(name)) for licence, its in license_scan.NAMES.items() for name in its for notice in license_scan.NOTICES]
+    assert licences_of(spark, [t for _, t in names]) == [(1, licence) for licence, _ in names]
+    assert licences_of(spark, [f"Before. {t.replace(' ', chr(10) + ' * ')} After." for _, t in names]) == [(1, licence) for licence, _ in names]
+    texts = list(license_scan.SENTENCES.values())
+    got = {r["doc_id"]: r["sentence_ids"] for r in license_scan.license_scan(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [f"<{k}>" for k in license_scan.SENTENCES]
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed", "Licensed under the Mozilla Public License, v.\n2.0.", "Licensed under the Mozilla Public License, v.\n\n2.0."]
+    assert licences_of(spark, mpl) == [(1, "MPL-2.0"), (1, "MPL-2.0"), (0, "")]
