@@ -5,6 +5,10 @@ w_s * target / n_s. Each row's count is the rate's Poisson distribution inverted
 seed and row: the smallest k whose cumulative probability reaches it. Rows are exploded by their counts and sorted
 globally by a hash of seed, row and copy, which is uniform, so neither a hot source nor a large count meets in one task.
 
+A row goes by its doc_id where no other row has it; rows without an id, and rows that share theirs, go by a digest of
+all their columns. Ids that are shared are found by a count of the ids alone, and are joined to the rows only if there
+are any.
+
 Cumulative probabilities are held for each source only; sources are joined by broadcast if they are few enough
 (`broadcast_sources`, a checked bound) and by a plain join beyond that.
 
@@ -46,6 +50,18 @@ def poisson_steps(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(logs, start, add)["steps"]).otherwise(F.array(F.lit(1.0)))
 
 
+def told_apart(docs: DataFrame, key: str) -> DataFrame:
+    """row (all columns of docs) and name: the key of each row, or a digest of the row where the key is null or shared."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(key).cast("string").alias("key"))
+    digest = F.concat(F.lit("row "), F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
+    shared = docs.select(F.col(key).cast("string").alias("shared")).where("shared is not null").groupBy("shared").agg(F.count("*").alias("n")).where("n > 1").select("shared")
+    if shared.isEmpty():
+        return rows.select("row", F.coalesce("key", digest).alias("key"))
+    marked = rows.join(shared, F.col("key") == F.col("shared"), "left")
+    return marked.select("row", F.when(F.col("key").isNull() | F.col("shared").isNotNull(), digest).otherwise(F.col("key")).alias("key"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
@@ -69,7 +85,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float], default_weight: float
     steps = shares.select("name", poisson_steps(rate).alias("steps")).alias("s")
     if total["sources"] <= broadcast_sources:
         steps = F.broadcast(steps)
-    rows = docs.select(kept.alias("row"), F.col(key).alias("key"), F.col(source).alias("of")).join(steps, F.col("of").eqNullSafe(name))
+    rows = told_apart(docs, key).withColumn("of", F.col("row")[source]).join(steps, F.col("of").eqNullSafe(name))
     u = uniform(F.lit(seed), F.lit("count"), F.col("key"))
     drawn = rows.select("row", "key", F.size(F.filter("steps", lambda c: c < u)).alias("n_copies")).where("n_copies > 0")
     copies = drawn.select("row", "key", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))

@@ -262,6 +262,27 @@ def test_mixing_reaches_its_targets(spark):
         mixing.mix(docs, {"big": -1.0})
 
 
+def test_mixing_tells_rows_without_an_own_id_apart(spark):
+    rows = [(None, f"null {i}", "few") for i in range(400)] + [(7, f"seven {i}", "few") for i in range(400)] + [(1000 + i, f"own {i}", "few") for i in range(400)]
+    rows += [(5, "equal", "few")] * 2 + [(1000 + i, "other", "many") for i in range(0, 400, 2)] + [(10_000 + i, f"own {i}", "many") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for target in (500, 2402):  # rates of about 0.2 and 1 in the source few
+        got = mixing.mix(docs, {"few": 1.0, "many": 1.0}, target=target)
+        plain = mixing.mix(docs.repartition(3), {"few": 1.0, "many": 1.0}, target=target, broadcast_sources=0)
+        assert plain.exceptAll(got).count() == got.exceptAll(plain).count() == 0
+        drawn, rate = [tuple(r) for r in got.collect()], target / 2 / 1202
+        for kind in ("null", "seven", "own"):
+            mine = [r for r in drawn if r[1].startswith(kind) and r[2] == "few"]
+            assert abs(len(mine) - 400 * rate) < 5 * (400 * rate) ** 0.5
+            assert len({r[5] for r in mine}) == len(mine) and 0.3 < np.mean([r[5] for r in mine]) < 0.7
+        assert len([r for r in drawn if r[1] == "equal"]) % 2 == 0
+    # Of an id that one row has, the draw is that of the SQL, whatever the other rows are.
+    alone = spark.createDataFrame([(i, "x", "many") for i in range(1000)], "doc_id long, text string, source string")
+    mixed = alone.union(spark.createDataFrame([(None, f"{i}", "few") for i in range(500)] + [(-1, f"{i}", "few") for i in range(500)], alone.schema))
+    own = {r["doc_id"]: r["n_copies"] for r in mixing.mix(alone, {}, target=1000).collect()}
+    assert own == {r["doc_id"]: r["n_copies"] for r in mixing.mix(mixed, {}, target=2000).where("source = 'many'").collect()}
+
+
 def test_poisson_steps(spark):
     from math import exp, factorial
 
