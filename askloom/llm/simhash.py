@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, steps, table, tidy, utf8
 
@@ -73,12 +74,13 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, some = np.zeros(len(each), np.uint64), np.flatnonzero(counts)
         if len(some):
             out[some] = _majorities(np.concatenate(each), np.cumsum(counts)[some] - counts[some], counts[some])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(_fingerprint), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, more columns, fp) of every row; fp is the 64 bits as a signed long."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text"))
+    return chosen.mapInArrow(tidy(_fingerprint), T.StructType([*chosen.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,15 +228,19 @@ def least_labels(edges: DataFrame) -> DataFrame:
             return now
 
 
-def simhash_components(docs: DataFrame, tau: int = TAU, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of docs."""
-    each = materialise(fingerprints(docs), "fingerprints")
+def components(docs: DataFrame, *more: Column, tau: int = TAU, hot: int = HOT) -> DataFrame:
+    """doc_id, more columns, fp, root (a fingerprint of the component, one for each) and component_id (smallest doc_id reachable) of every row of docs."""
+    each = materialise(fingerprints(docs, *more), "fingerprints")
     nodes = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = least_labels(links(nodes, tau, hot))
     placed = nodes.join(roots, nodes["fp"] == roots["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(smallest, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return each.join(placed.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def simhash_components(docs: DataFrame, tau: int = TAU, hot: int = HOT) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of docs."""
+    return components(docs, tau=tau, hot=hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

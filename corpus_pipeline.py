@@ -1,7 +1,8 @@
 """A training corpus from documents: quality, near duplicates, contamination, source weights, token files.
 
 Every stage works on all rows that the stage before kept, read again from Parquet. Rows with a null doc_id take part in
-the first, third and fourth stage like any other; near duplicates are told apart by doc_id, so the second keeps them.
+the first, third and fourth stage like any other; near duplicates are told apart by doc_id and text, so the second keeps
+them.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id (one row of it)."""
-    found = simhash.simhash_components(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
-    known = rows.where("id is not null").join(kept, F.col("id") == F.col("kept"), "left_semi")
-    first = known.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("mark"))).where("rank = 1")
+    """Of each group of near duplicates, one row with the group's smallest doc_id."""
+    mark = F.xxhash64("text").alias("mark")
+    found = simhash.components(docs, mark)
+    # Rows may share a doc_id, so a group goes by its root, and its row by doc_id and text.
+    kept = found.where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("kept")).agg(F.min("mark").alias("kept_mark"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), mark)
+    known = rows.where("id is not null").join(kept, (F.col("id") == F.col("kept")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    first = known.withColumn("rank", F.row_number().over(Window.partitionBy("id", "mark").orderBy("mark"))).where("rank = 1")
     return first.select("row.*").unionByName(rows.where("id is null").select("row.*"))
 
 

@@ -38,6 +38,15 @@ def test_near_dedup_keeps_one_of_each_group(spark, sf_dir):
     assert got.columns == docs.columns and sorted((r["doc_id"] for r in got.collect()), key=repr) == [2, 7, 9, None]
 
 
+def test_near_dedup_keeps_all_texts_of_a_repeated_id(spark, sf_dir):
+    texts = ["a b c d", "the first of two texts that share an id", "words of yet another text, unlike all others", "nothing here is like the rest of them"]
+    # Both texts of 2 are groups of their own, 3 holds a copy of a text of 1 and a text of its own, 5 and 6 are copies.
+    rows = [(1, texts[0]), (3, texts[0]), (3, texts[1]), (2, texts[2]), (2, texts[3]), (2, texts[3]), (5, texts[2]), (6, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir).collect())
+    assert got == sorted([(1, texts[0]), (2, texts[2]), (2, texts[3]), (3, texts[1])])
+
+
 def test_run_equals_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas().sort_values("start")
     assert (got.start.to_numpy()[1:] == (got.start + got.n_tokens).to_numpy()[:-1]).all() and got.doc_id.is_monotonic_increasing
