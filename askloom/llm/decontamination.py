@@ -10,9 +10,10 @@ Items go to the executors in blocks of at most `block_words` words, each block b
 documents; the hits of several blocks are merged by document. One block is the usual case.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and non-ASCII characters. Defined results: null texts and
-texts without such words have no words; an item without words has no windows; a null item_id is ignored; items that
-share an id count once; rows that share a doc_id are judged one by one; without items nothing is hit; an empty table
-gives an empty table; other columns are ignored.
+texts without such words have no words; an item without words has no windows; items that share an id count once; rows
+that share a doc_id are judged one by one; without items nothing is hit; an empty table gives an empty table; other
+columns are ignored. Benchmark rows without an item_id are ignored by default; with `unnamed`, as in op6 and the
+pipeline, their words count as hit, and they are one item, counted in n_items but without a place in the listed ids.
 """
 
 from __future__ import annotations
@@ -32,11 +33,16 @@ from .common import ALNUM, Words, as_bytes, opened, share, steps, table, tidy, u
 WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 4_000_000
 
 
+def _named(item: int | None) -> tuple[bool, int]:
+    """A sorting key: null after all ids."""
+    return item is None, item or 0
+
+
 @dataclass
 class Items:
     """Windows of a block of items over a vocabulary of their own words."""
 
-    names: list[int]
+    names: list[int | None]
     vocabulary: dict[bytes, int]
     words: np.ndarray  # window by window, ids padded with -1
     sizes: np.ndarray
@@ -45,8 +51,8 @@ class Items:
     shingles: dict[int, np.ndarray]  # shingle length: sorted distinct keys
 
     @staticmethod
-    def of(rows: list[tuple[int, bytes]], window: int) -> Items:
-        names = sorted({i for i, _ in rows})
+    def of(rows: list[tuple[int | None, bytes]], window: int) -> Items:
+        names = sorted({i for i, _ in rows}, key=_named)
         place = {n: k for k, n in enumerate(names)}
         words = Words([t.lower() for _, t in rows], ALNUM)
         vocabulary = {w: k for k, w in enumerate(as_bytes(words.distinct))} if len(words) else {}
@@ -218,7 +224,7 @@ def _appended(shared, judge=None):
     return run
 
 
-def _prepared(docs: DataFrame, rows: list[tuple[int, bytes]], window: int):
+def _prepared(docs: DataFrame, rows: list[tuple[int | None, bytes]], window: int):
     """The block's windows and their prefixes, broadcast; both are bounded by the block."""
     items = Items.of(rows, window)
     sent = share(docs.sparkSession, items)
@@ -234,27 +240,27 @@ def number_of_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> li
     return list(range(max(1, -(-size // (4 * block_words)))))
 
 
-def block(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, bytes]]:
-    """The items of block k of n."""
-    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+def block(benchmark: DataFrame, k: int, n: int, unnamed: bool = False) -> list[tuple[int | None, bytes]]:
+    """The items of block k of n; unnamed: also those without an id."""
+    known = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-    return sorted((r["item_id"], r["text"].encode()) for r in rows)
+    return sorted(((r["item_id"], r["text"].encode()) for r in rows), key=lambda x: (_named(x[0]), x[1]))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """key, n_words, spans (runs of hit words) and items (ids with occurring windows) of every row of docs."""
     chosen = docs.select(F.col(key).alias("key"), F.col("text"))
     schema = T.StructType([T.StructField("key", chosen.schema["key"].dataType), *_HITS])
     first, *more = blocks = number_of_blocks(benchmark, block_words)
     if not more:
-        return chosen.mapInArrow(tidy(_appended(_prepared(chosen, block(benchmark, first, 1), window))), schema)
+        return chosen.mapInArrow(tidy(_appended(_prepared(chosen, block(benchmark, first, 1, unnamed), window))), schema)
     # Rows are told apart by their text as well; equal rows have equal hits, once for each block and copy.
     marked = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("mark")).alias("key"), F.col("text"))
     schema = T.StructType([T.StructField("key", marked.schema["key"].dataType), *_HITS])
     n = len(blocks)
     every = None
     for k in blocks:
-        part = marked.mapInArrow(tidy(_appended(_prepared(marked, block(benchmark, k, n), window))), schema)
+        part = marked.mapInArrow(tidy(_appended(_prepared(marked, block(benchmark, k, n, unnamed), window))), schema)
         every = part if every is None else every.union(part)
     merged = every.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
     return merged.select(F.col("key.key").alias("key"), "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "copies"))).select("key", "n_words", "spans", "items")
@@ -276,31 +282,31 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, spans, items = (batch.column(k).to_pylist() for k in (1, 2, 3))
         n_hit = [_united(x) for x in spans]
-        digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+        digest = [hashlib.sha256(",".join(sorted(str(i) for i in x if i is not None)).encode()).hexdigest() for x in items]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([is_contaminated(n, h) for n, h in zip(n_words, n_hit, strict=True)], pa.bool_())],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
 
-def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs."""
-    found = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), benchmark, "doc_id", window, block_words)
+    found = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), benchmark, "doc_id", window, block_words, unnamed)
     return found.mapInArrow(tidy(_reported), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """The rows of docs that are not contaminated, with all columns."""
     if len(number_of_blocks(benchmark, block_words)) == 1:
-        return docs.mapInArrow(tidy(_appended(_prepared(docs, block(benchmark, 0, 1), window), lambda n, h: not is_contaminated(n, h))), docs.schema)
-    report = decontamination_report(docs.select(F.xxhash64("text").alias("doc_id"), F.col("text")), benchmark, window, block_words)
+        return docs.mapInArrow(tidy(_appended(_prepared(docs, block(benchmark, 0, 1, unnamed), window), lambda n, h: not is_contaminated(n, h))), docs.schema)
+    report = decontamination_report(docs.select(F.xxhash64("text").alias("doc_id"), F.col("text")), benchmark, window, block_words, unnamed)
     bad = report.where("contaminated").select(F.col("doc_id").alias("mark")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("mark"))
     return rows.join(bad, "mark", "left_anti").select("row.*")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 OP6_SQL = r"""

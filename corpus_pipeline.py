@@ -35,7 +35,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more of the benchmark than the contract's rule allows."""
-    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

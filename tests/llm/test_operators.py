@@ -405,6 +405,28 @@ def test_decontamination_equals_brute_force(spark, block):
     assert kept.columns == docs.columns and sorted([r["doc_id"] for r in kept.collect()], key=repr) == sorted([w[0] for w in want if not w[5]], key=repr)
 
 
+def test_items_without_an_id_are_hit_as_in_the_sql(spark, tmp_path, same):
+    import duckdb
+
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    passages = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(20)) for _ in range(6)]
+    items = [(0, passages[0]), (None, passages[1]), (None, passages[2]), (3, passages[3]), (None, passages[3]), (None, None), (None, "")]
+    texts = [f"some words, {p}, more words" for p in passages] + [f"{passages[1]} {passages[2]} {passages[0]}", None, "x"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duck.sql(decontamination.OP6_SQL)
+    same(decontamination.op6_benchmark_decontamination(spark, str(tmp_path)), want)
+    same(decontamination.decontamination_report(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=20, unnamed=True), want)
+    for kept in (corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)), decontamination.without_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=20, unnamed=True)):
+        assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7, 8]
+
+
 # 7 Chat
 
 
