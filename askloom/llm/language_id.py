@@ -3,8 +3,10 @@
 Texts become batches of fixed-length byte windows. A byte embedding, filters of several widths, max pooling over the
 window and a softmax layer give each window's probabilities; a text's are the mean over all its windows, weighted by
 their length. The network is trained in numpy on a bounded sample of labelled rows: `per_language` rows of each
-language, those with the smallest hash of their id. For scoring, embedding and filters fold into tables indexed by byte
-pairs, so a filter of width w costs about w / 2 look-ups a byte.
+language, those with the smallest hash of their id, and of each of them `per_text` windows at most (6, of 256 bytes), drawn
+at random among those of 8 bytes or more, so long training texts are mostly unread. Scoring reads all windows of all
+texts. For scoring, embedding and filters fold into tables indexed by byte pairs, so a filter of width w costs about
+w / 2 look-ups a byte.
 
 Defined results: a text that is null or has no letter is `und` with score 0; a null label is never learned; without
 any labelled row every text is `und` with score 0; an empty table gives an empty table; other columns are ignored.
