@@ -319,6 +319,16 @@ def parse_mixed(spark, sf_dir):
     return _parsed(both.select("conv_id", chosen.alias("content")))
 
 
+@query(f"""WITH {_REPLIES} SELECT conv_id, 'numbered' AS kind, (k - 1)::INT AS pair_index, {_strip('question')} AS question, {_strip('answer')} AS answer FROM said
+UNION ALL SELECT conv_id, 'plain', (k - 1)::INT, {_FLAT.format('question')}, {_FLAT.format('answer')} FROM said""")
+def parse_all_kinds(spark, sf_dir):
+    """Every conversation has a reply with numbers, one with plain markers and one without any, which gives no rows."""
+    numbered, plain = _replies(spark, sf_dir, True), _replies(spark, sf_dir, False).withColumnRenamed("content", "plain")
+    kinds = [F.struct(F.lit(k).alias("kind"), c.alias("content")) for k, c in (("numbered", F.col("content")), ("plain", F.col("plain")), ("none", F.lit("Nothing is asked here.")))]
+    replies = numbered.join(plain, "conv_id").select("conv_id", F.explode(F.array(*kinds)).alias("r")).select("conv_id", "r.kind", "r.content")
+    return replies.select("conv_id", "kind", F.posexplode(parse_pairs("content")).alias("pair_index", "p")).select("conv_id", "kind", "pair_index", "p.question", "p.answer")
+
+
 # Generation and metrics
 
 
