@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where none is set."""
+    """The session's checkpoint folder. Where none is set: a folder of our own on a local master, elsewhere an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="askloom-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
@@ -21,8 +24,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/askloom-{name}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Delete what has been written to path when the application ends."""
+    place, system = _located(spark, path)
+    system.deleteOnExit(place)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, name)
+    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
+
+    The files are deleted by `discard`, or else when the application ends.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._askloom_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise has returned and that nothing reads any more."""
+    for df in tables:
+        place, system = _located(df.sparkSession, df._askloom_path)
+        system.delete(place, True)
