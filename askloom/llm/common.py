@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.storage import materialise, shared_dir, shared_path  # noqa: F401
+from ..sources.storage import discard, materialise, shared_dir, shared_path, until_exit  # noqa: F401
 
 #: Bytes of text that one step of a Python worker handles at a time.
 STEP_BYTES = 6 << 20
@@ -27,11 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shuffle partitions at most: beyond, each takes more than 128 MB.
+MOST_PARTITIONS = 100_000
+
+
 def partitions(df: DataFrame, each: int = 128 << 20) -> int:
-    """Shuffle partitions for df: the session's number, or one for each 128 MB of its files where that is more."""
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(own, -(-size // each)) if size < 1 << 58 else own  # beyond: unknown
+    """Shuffle partitions for df: the session's number, or one for each 128 MB of the tables it reads where that is more.
+
+    The tables' sizes are added up, whatever is done with them, so joins do not multiply them.
+    """
+    own, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        n = int(str(leaves.apply(i).stats().sizeInBytes()))
+        size += n if n < 1 << 58 else 0  # beyond: unknown
+    return max(own, min(-(-size // each), MOST_PARTITIONS))
 
 
 def share(spark: SparkSession, value):

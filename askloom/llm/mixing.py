@@ -6,26 +6,29 @@ seed and row: the smallest k whose cumulative probability reaches it. Rows are e
 globally by a hash of seed, row and copy, which is uniform, so neither a hot source nor a large count meets in one task.
 
 A row goes by its doc_id where no other row has it; rows without an id, and rows that share theirs, go by a digest of
-all their columns. Ids that are shared are found by a count of the ids alone, and are joined to the rows only if there
-are any.
+all their columns and, as equal rows have one digest, a number among those. Equal rows are counted before the shuffle
+and dealt out again in pieces, so any number of them is no hot key. Ids that are shared are found by a count of the ids
+alone, and are joined to the rows only if there are any.
 
-Cumulative probabilities are held for each source only; sources are joined by broadcast if they are few enough
-(`broadcast_sources`, a checked bound) and by a plain join beyond that.
+Cumulative probabilities are held for each source only; weights and sources are joined by broadcast if they are few
+enough (`broadcast_sources`, a checked bound) and by a plain join beyond that.
 
 Defined results: a null source is a source of its own; sources without a weight get `default_weight`; a weight of zero
-drops the source; rows that are equal in all columns share one draw; an empty table gives an empty table; all columns
+drops the source; every row has a draw of its own, equal rows too; an empty table gives an empty table; all columns
 are kept, and the columns added (copy, n_copies, position) go by these names unless the table has them, and then by
 the name with underscores after it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import materialise, partitions, table
 
-SEED, BROADCAST_SOURCES = 17, 10_000
+SEED, BROADCAST_SOURCES, PIECE = 17, 10_000, 10_000
 #: Production weights: the largest source counts twice, one source is left out, the others are alike.
 WEIGHTS, DEFAULT_WEIGHT = {"src0": 2.0, "src7": 0.0, "src9": 0.5}, 1.0
 
@@ -36,30 +39,29 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The cumulative Poisson probabilities of 0, 1, ... at a rate, as far as 52-bit uniforms can tell."""
-    most = (rate + 12 * F.sqrt(rate) + 40).cast("int")
-    logs = F.transform(F.sequence(F.lit(0), most), lambda k: F.when(k == 0, -rate).otherwise(F.ln(rate / k)))
-    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("steps"))
-
-    def add(acc: Column, log: Column) -> Column:
-        term = acc["term"] + log
-        total = acc["total"] + F.exp(term)
-        return F.struct(term.alias("term"), total.alias("total"), F.concat(acc["steps"], F.array(total)).alias("steps"))
-
-    return F.when(rate > 0, F.aggregate(logs, start, add)["steps"]).otherwise(F.array(F.lit(1.0)))
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """name and steps, the cumulative Poisson probabilities of 0, 1, ... as far as 52-bit uniforms can tell, of (name, rate) with rates above 0."""
+    most = (F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
+    each = rates.select("name", "rate", F.explode(F.sequence(F.lit(0), most)).alias("k"))
+    so_far = Window.partitionBy("name").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    terms = each.withColumn("term", F.sum(F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.ln(F.col("rate") / F.col("k")))).over(so_far))
+    totals = terms.withColumn("total", F.sum(F.exp("term")).over(so_far))
+    return totals.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "total"))), lambda x: x["total"]).alias("steps"))
 
 
 def told_apart(docs: DataFrame, key: str) -> DataFrame:
-    """row (all columns of docs) and name: the key of each row, or a digest of the row where the key is null or shared."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col(key).cast("string").alias("key"))
-    digest = F.concat(F.lit("row "), F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
-    shared = docs.select(F.col(key).cast("string").alias("shared")).where("shared is not null").groupBy("shared").agg(F.count("*").alias("n")).where("n > 1").select("shared")
+    """row (all columns of docs) and key: the id of each row that has one of its own, else its digest and its number among equal rows."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("string").alias("key"))
+    shared = docs.select(F.col(key).cast("string").alias("shared")).groupBy("shared").agg(F.count("*").alias("n")).where("n > 1 or shared is null").select("shared")
     if shared.isEmpty():
-        return rows.select("row", F.coalesce("key", digest).alias("key"))
-    marked = rows.join(shared, F.col("key") == F.col("shared"), "left")
-    return marked.select("row", F.when(F.col("key").isNull() | F.col("shared").isNotNull(), digest).otherwise(F.col("key")).alias("key"))
+        return rows
+    marked = rows.join(shared.where("shared is not null"), F.col("key") == F.col("shared"), "left")
+    loose = F.col("key").isNull() | F.col("shared").isNotNull()
+    digest = F.concat(F.lit("row "), F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
+    equal = marked.where(loose).groupBy(digest.alias("digest")).agg(F.any_value("row").alias("row"), F.count("*").alias("n"))
+    pieces = equal.select("row", "digest", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("first")).repartition(partitions(docs), "digest", "first")
+    numbers = pieces.select("row", "digest", F.explode(F.sequence("first", F.least(F.col("first") + PIECE, F.col("n")) - 1)).alias("number"))
+    return marked.where(~loose).select("row", "key").union(numbers.select("row", F.concat_ws("#", "digest", "number")))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -74,15 +76,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float], default_weight: float
         raise ValueError("weights must not be negative")
     name, kept = F.col("s.name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     counts = docs.groupBy(F.col(source).alias("name")).agg(F.count("*").alias("n"))
-    weight = F.lit(float(default_weight))
-    for value, w in weights.items():
-        weight = F.when(F.col("name").eqNullSafe(F.lit(value)), F.lit(float(w))).otherwise(weight)
-    shares = counts.withColumn("weight", weight)
+    named = {str(k): float(w) for k, w in weights.items() if k is not None}
+    own = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(named)), "map<string,double>")).alias("of", "own"))
+    own = F.broadcast(own) if len(named) <= broadcast_sources else own
+    weight = F.when(F.col("name").isNull(), float(weights.get(None, default_weight))).otherwise(F.coalesce("own", F.lit(float(default_weight))))
+    shares = materialise(counts.join(own, F.col("name").cast("string") == F.col("of"), "left").select("name", "n", weight.alias("weight")), "shares")
     total = shares.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"), F.count("*").alias("sources")).first()
     if not total["all_weight"]:
         return _named(docs.select(kept.alias("row")).where(F.lit(False)).select("row", F.lit(0).alias("copy"), F.lit(0).alias("n_copies"), F.lit(0.0).alias("position")), docs)
     rate = F.col("weight") / F.lit(total["all_weight"]) * F.lit(float(total["all_n"] if target is None else target)) / F.col("n")
-    steps = shares.select("name", poisson_steps(rate).alias("steps")).alias("s")
+    steps = poisson_steps(shares.where("weight > 0").select("name", rate.alias("rate"))).alias("s")
     if total["sources"] <= broadcast_sources:
         steps = F.broadcast(steps)
     rows = told_apart(docs, key).withColumn("of", F.col("row")[source]).join(steps, F.col("of").eqNullSafe(name))

@@ -275,7 +275,6 @@ def test_mixing_tells_rows_without_an_own_id_apart(spark):
             mine = [r for r in drawn if r[1].startswith(kind) and r[2] == "few"]
             assert abs(len(mine) - 400 * rate) < 5 * (400 * rate) ** 0.5
             assert len({r[5] for r in mine}) == len(mine) and 0.3 < np.mean([r[5] for r in mine]) < 0.7
-        assert len([r for r in drawn if r[1] == "equal"]) % 2 == 0
     # Of an id that one row has, the draw is that of the SQL, whatever the other rows are.
     alone = spark.createDataFrame([(i, "x", "many") for i in range(1000)], "doc_id long, text string, source string")
     mixed = alone.union(spark.createDataFrame([(None, f"{i}", "few") for i in range(500)] + [(-1, f"{i}", "few") for i in range(500)], alone.schema))
@@ -283,11 +282,31 @@ def test_mixing_tells_rows_without_an_own_id_apart(spark):
     assert own == {r["doc_id"]: r["n_copies"] for r in mixing.mix(mixed, {}, target=2000).where("source = 'many'").collect()}
 
 
+def test_mixing_draws_equal_rows_one_by_one(spark):
+    """A third of all rows is one row, a third has no id at all."""
+    equal = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("equal").alias("text"), F.lit("s").alias("source"))
+    null = spark.range(100_000).select(F.lit(None).cast("long"), F.concat(F.lit("null "), "id"), F.lit("s"))
+    docs = equal.union(null).union(spark.range(10, 100_010).select("id", F.lit("own"), F.lit("s")))
+    got = mixing.mix(docs, {}, target=150_000)
+    per_kind = {r["kind"]: r for r in got.withColumn("part", F.spark_partition_id()).groupBy(F.substring("text", 1, 4).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("position").alias("places"), F.countDistinct("part").alias("parts")).collect()}
+    for kind in ("equa", "null", "own"):
+        assert abs(per_kind[kind]["n"] - 50_000) < 1500 and per_kind[kind]["places"] == per_kind[kind]["n"] and per_kind[kind]["parts"] == 4
+    again = mixing.mix(docs.repartition(7), {}, target=150_000)
+    assert got.exceptAll(again).count() == again.exceptAll(got).count() == 0
+
+
+def test_mixing_takes_many_sources_and_rates(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, F.col("id") % 300).alias("source"), F.lit("t").alias("text"))
+    got = mixing.mix(docs, {i: float(i % 3) for i in range(300)} | {None: 600.0}, target=30_000)
+    counts = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert all(counts.get(i, 0) == 0 for i in range(0, 300, 3)) and abs(counts[None] - 20_000) < 800 and abs(sum(counts.values()) - 30_000) < 1200
+
+
 def test_poisson_steps(spark):
     from math import exp, factorial
 
     for rate in (0.3, 4.0, 900.0):
-        steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first()["s"]
+        steps = mixing.poisson_steps(spark.range(1).select(F.lit("s").alias("name"), F.lit(rate).alias("rate"))).first()["steps"]
         assert abs(steps[-1] - 1) < 1e-9
         if rate < 100:
             assert np.allclose(steps[:20], np.cumsum([exp(-rate) * rate**k / factorial(k) for k in range(20)]))
