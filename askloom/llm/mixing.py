@@ -89,8 +89,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float], default_weight: float
     if total["sources"] <= broadcast_sources:
         steps = F.broadcast(steps)
     rows = told_apart(docs, key).withColumn("of", F.col("row")[source]).join(steps, F.col("of").eqNullSafe(name))
-    u = uniform(F.lit(seed), F.lit("count"), F.col("key"))
-    drawn = rows.select("row", "key", F.size(F.filter("steps", lambda c: c < u)).alias("n_copies")).where("n_copies > 0")
+    u = F.array(uniform(F.lit(seed), F.lit("count"), F.col("key")))  # bound once a row, not hashed again for each step
+    drawn = rows.select("row", "key", F.transform(u, lambda x: F.size(F.filter("steps", lambda c: c < x)))[0].alias("n_copies")).where("n_copies > 0")
     copies = drawn.select("row", "key", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     placed = copies.select("row", "copy", "n_copies", uniform(F.lit(seed), F.lit("place"), F.col("key"), F.col("copy")).alias("position"))
     # Positions are uniform in (0, 1), so equal ranges of them are equal partitions; no sample is needed.
