@@ -2,14 +2,17 @@
 
 Texts become batches of fixed-length byte windows. A byte embedding, filters of several widths, max pooling over the
 window and a softmax layer give each window's probabilities; a text's are the mean over all its windows, weighted by
-their length. The network is trained in numpy on a bounded sample of labelled rows: `per_language` rows of each
-language, those with the smallest hash of their id, and of each of them `per_text` windows at most (6, of 256 bytes), drawn
-at random among those of 8 bytes or more, so long training texts are mostly unread. Scoring reads all windows of all
-texts. For scoring, embedding and filters fold into tables indexed by byte pairs, so a filter of width w costs about
-w / 2 look-ups a byte.
-
-Defined results: a text that is null or has no letter is `und` with score 0; a null label is never learned; without
-any labelled row every text is `und` with score 0; an empty table gives an empty table; other columns are ignored.
+their length. The network is trained in numpy on a bounded sample of labelled rows: of the `most_languages` languages
+with the most rows (200), `per_language` different rows each (300), those with the smallest hash of id and text, and of
+each of them `per_text` windows at most (6, of 256 bytes), drawn at random among those of 8 bytes or more, so long
+training texts are mostly unread. The windows are cut on the executors; the driver gets 92 MB of them at most. Scoring
+reads all windows of all texts. For scoring, embedding and filters fold into tables indexed by byte pairs, so a filter
+of width w costs about w / 2 look-ups a byte.
+
+Defined results: a text that is null or has no letter (a character of a Unicode category L) is `und` with score 0; a
+null label is never learned; rows that share an id or repeat are told apart by their text, and equal rows are learned
+once; of equal probabilities the first language in order is predicted; without any labelled row every text is `und`
+with score 0; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import steps, table, tidy, utf8
 
-LENGTH, EMBED, FILTERS, WIDTHS, PER_LANGUAGE = 256, 8, 16, (2, 3, 4), 300
-_LETTER = re.compile(r"[^\W\d_]")
+LENGTH, EMBED, FILTERS, WIDTHS, PER_LANGUAGE, PER_TEXT, MOST_LANGUAGES = 256, 8, 16, (2, 3, 4), 300, 6, 200
+_WORD = re.compile(r"[^\W\d_]")  # letters, and numerals that are no digits
+
+
+def has_letter(text: bytes) -> bool:
+    return any(m[0].isalpha() for m in _WORD.finditer(text.decode("utf-8", "replace")))
 
 
 @dataclass
@@ -55,19 +63,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = 6, per_text: int = 6, batch: int = 64, rate: float = 0.004) -> ByteNet:
-    """Adam on windows of the labelled texts; a part of the windows is cut short, as short texts are."""
-    rng = np.random.default_rng(seed)
-    languages = sorted(set(labels))
+def training_windows(texts: list[bytes], seeds: list[int], per_text: int = PER_TEXT) -> tuple[np.ndarray, np.ndarray]:
+    """per_text windows of each text at most, drawn by its seed among those of 8 bytes or more, and the text of each."""
     got, owner, sizes = windows(texts)
-    order = rng.permutation(len(owner))
-    seen = np.zeros(len(texts), np.int64)
+    firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
     picked = []
-    for i in order.tolist():
-        if seen[owner[i]] < per_text and sizes[i] >= 8:
-            seen[owner[i]] += 1
-            picked.append(i)
-    x, y = got[picked].copy(), np.array([languages.index(labels[owner[i]]) for i in picked], np.int64)
+    for a, b, seed in zip(firsts[:-1].tolist(), firsts[1:].tolist(), seeds, strict=True):
+        long = a + np.flatnonzero(sizes[a:b] >= 8)
+        picked.append(np.sort(np.random.default_rng(seed).permutation(long)[:per_text]))
+    picked = np.concatenate(picked) if picked else np.empty(0, np.int64)
+    return got[picked], owner[picked]
+
+
+def train(x: np.ndarray, labels: list[str], seed: int = 7, epochs: int = 6, batch: int = 64, rate: float = 0.004) -> ByteNet:
+    """Adam on labelled windows; a part of the windows is cut short, as short texts are."""
+    rng = np.random.default_rng(seed)
+    languages = sorted(set(labels))
+    place = {name: k for k, name in enumerate(languages)}
+    x, y = x.copy(), np.array([place[name] for name in labels], np.int64)
     for i in np.flatnonzero(rng.random(len(x)) < 0.3):
         x[i, rng.integers(12, LENGTH) :] = 0
     n_out = FILTERS * len(WIDTHS)
@@ -153,7 +166,7 @@ def _predict(net: ByteNet | None):
         for batch in steps(batches, "text", 4 << 20):
             texts = utf8(batch, "text")
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if scorer and _LETTER.search(t.decode("utf-8", "replace"))]
+            known = [i for i, t in enumerate(texts) if scorer and has_letter(t)]
             if known:
                 p = scorer.probabilities([texts[i] for i in known])
                 for i, k, s in zip(known, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
@@ -163,24 +176,39 @@ def _predict(net: ByteNet | None):
     return run
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | None:
-    """The network of a bounded sample of labelled (doc_id, text, lang): per_language rows of each language.
+def _cut(per_text: int):
+    """The training windows of each row (lang, seed, text)."""
 
-    Rows pass a threshold on their hash, at which about twice as many of each language remain, before any is moved.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text", 4 << 20):
+            seeds = np.asarray(batch.column(1)).view(np.uint64)
+            x, owner = training_windows(utf8(batch, "text"), seeds.tolist(), per_text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(seeds.view(np.int64)[owner]), pa.array([w.tobytes() for w in x], pa.binary())], names=["lang", "seed", "window"])
+
+    return run
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT, most_languages: int = MOST_LANGUAGES) -> ByteNet | None:
+    """The network of a bounded sample of labelled (doc_id, text, lang): per_language different rows of each language.
+
+    Rows pass a threshold on their id's hash, at which about twice as many ids of each language remain, before any is
+    moved; a language with few ids, whatever number of rows they have, passes whole.
     """
-    known = labelled.where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = labelled.where("lang is not null and text is not null")
+    ids = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    counts = ids.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return None
+    least = labelled.sparkSession.createDataFrame([(r["lang"], 2.0 * per_language / max(r["ids"], 1)) for r in counts], T.StructType([T.StructField("of", known.schema["lang"].dataType), T.StructField("least", T.DoubleType())]))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    least = F.lit(1.0)
-    for lang, n in counts.items():
-        least = F.when(F.col("lang") == lang, F.lit(2.0 * per_language / n)).otherwise(least)
-    some = known.where((share <= least) & F.col("text").isNotNull())
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")))
-    rows = ranked.where(F.col("rank") <= per_language).select("text", "lang", "rank").collect()
-    rows.sort(key=lambda r: (r["lang"], r["rank"]))
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows]) if rows else None
+    some = known.join(F.broadcast(least), (F.col("lang") == F.col("of")) & (share <= F.col("least"))).select("lang", F.xxhash64("doc_id", "text").alias("seed"), "text")
+    first = some.withColumn("copy", F.row_number().over(Window.partitionBy("lang", "seed").orderBy("text"))).where("copy = 1")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("seed", "text"))).where(F.col("rank") <= per_language)
+    cut = ranked.select("lang", "seed", "text").mapInArrow(tidy(_cut(per_text)), T.StructType([known.schema["lang"], T.StructField("seed", T.LongType()), T.StructField("window", T.BinaryType())]))
+    rows = sorted(cut.collect(), key=lambda r: (r["lang"], r["seed"], bytes(r["window"])))
+    if not rows:
+        return None
+    return train(np.frombuffer(b"".join(bytes(r["window"]) for r in rows), np.uint8).reshape(-1, LENGTH), [r["lang"] for r in rows])
 
 
 def language_id(docs: DataFrame, net: ByteNet | None) -> DataFrame:
