@@ -2,16 +2,20 @@
 
 Features of a text: its words (A-Z lower-cased), hashed to `BUCKETS` places and weighted by the square root of their
 counts, together of length 1; statistics of its structure (shares of letters, capitals, digits, marks, repeated words,
-the most common word and words said twice running, word and line lengths and so on); and metadata: its lengths, and the values of the columns
-that the caller names, each hashed as name=value. All pairs of features interact through vectors of `RANK` numbers; with
-the sum-of-squares identity, sum over pairs of <v_i, v_j> x_i x_j = half of sum over factors of (sum v x)^2 -
-sum (v x)^2, scoring takes linear time.
-
-Trained in numpy on a bounded sample of labelled rows: the `sample` rows with the smallest hash of their id.
-
-Defined results: null text is empty; empty texts are scored by their structure; null labels are not learned; a doc_id
-with several labels counts once for each, one with several texts by the first in order; null metadata are no feature; without labelled rows every score is 0.5; an empty table gives an empty
-table; other columns are ignored.
+the most common word and words said twice running, word and line lengths and so on); and metadata: the values of the
+columns that the caller names (n_chars in op9 and the pipeline), each hashed as name=value, numbers by the half power of
+two that they lie in. All pairs of features interact through vectors of `RANK` numbers; with the sum-of-squares
+identity, sum over pairs of <v_i, v_j> x_i x_j = half of sum over factors of (sum v x)^2 - sum (v x)^2, scoring takes
+linear time.
+
+Trained in numpy on a bounded sample of labelled rows: the `sample` rows (3,000) with the smallest hash of their id, and
+of each the `words_a_text` different words (2,000) that it says most often, ties by their place. Their features are
+computed on the executors; the driver gets those only. Scoring reads all words of all texts.
+
+Defined results: null text is empty; empty texts are scored by their structure; labels other than 0 and 1 are not
+learned; a doc_id with several labels counts once for each, one with several texts by the first in order; null metadata
+are no feature; a score of exactly the threshold is predicted 1; without labelled rows every score is 0.5; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACED, Words, as_bytes, looked_up, opened, share, steps, table, tidy, utf8
 
-BUCKETS, RANK, SAMPLE, THRESHOLD = 1 << 15, 8, 3000, 0.7
+BUCKETS, RANK, SAMPLE, WORDS_A_TEXT, THRESHOLD, METADATA = 1 << 15, 8, 3000, 2000, 0.7, ("n_chars",)
+META = "metadata "  # before the names of metadata columns on their way to the workers
 _CLASSES = np.zeros(256, np.int64)
 _CLASSES[65:91], _CLASSES[97:123], _CLASSES[48:58], _CLASSES[128:] = 1, 2, 3, 4
 for _c in b" \t\r\x0b\x0c":
@@ -117,12 +123,12 @@ def probabilities(m: Machine, texts: list[bytes], metadata: dict[str, list[str |
     return 1 / (1 + np.exp(-np.clip(_margins(m, *features(texts, metadata)), -30, 30)))
 
 
-def train(texts: list[bytes], labels: list[int], metadata: dict[str, list[str | None]] | None = None, seed: int = 11, updates: int = 1000, batch: int = 128, rate: float = 0.02, decay: float = 2e-4) -> Machine:
-    """Adagrad on the logistic loss, about `updates` steps or 20 rounds; label 0, where rare, weighs up to four times as much."""
+def train(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: list[int], metadata: tuple[str, ...] = (), seed: int = 11, updates: int = 1000, batch: int = 128, rate: float = 0.02, decay: float = 2e-4) -> Machine:
+    """Adagrad on the logistic loss of the found features, about `updates` steps or 20 rounds; label 0, where rare, weighs up to four times as much."""
     rng = np.random.default_rng(seed)
-    text, at, weight, dense = features(texts, metadata)
+    text, at, weight, dense = found
     y = np.array(labels, np.float64)
-    m = Machine(0.0, np.zeros(BUCKETS + dense.shape[1]), rng.normal(0, 0.01, (BUCKETS + dense.shape[1], RANK)), dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3), tuple(metadata or ()))
+    m = Machine(0.0, np.zeros(BUCKETS + dense.shape[1]), rng.normal(0, 0.01, (BUCKETS + dense.shape[1], RANK)), dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3), metadata)
     m.scale = m.scale * 2
     positive = min(max(y.mean(), 1e-6), 1 - 1e-6)
     cost = np.where(y == 1, 1.0, min(4.0, max(1.0, positive / (1 - positive))))
@@ -165,29 +171,55 @@ def _held(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tuple[str, ...] = ()) -> Machine | None:
+def _value(docs: DataFrame, name: str) -> Column:
+    """A metadata column as text; numbers by the half power of two that they lie in."""
+    c = F.col(f"`{name}`")
+    if not isinstance(docs.schema[name].dataType, T.NumericType):
+        return c.cast("string")
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.round(2 * F.log2(1 + F.abs(c.cast("double")))).try_cast("int").cast("string"))
+
+
+def _featured(metadata: tuple[str, ...], words_a_text: int):
+    """The features of each row (id, quality, text and metadata)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text", 6 << 20):
+            text, at, weight, dense = features(utf8(batch, "text"), {c: batch.column(3 + i).to_pylist() for i, c in enumerate(metadata)})
+            order = np.lexsort((at, -weight, text))
+            first = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            kept = [np.sort(order[a : min(b, a + words_a_text + len(metadata))]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            packed = [[at[i].astype(np.int32).tobytes() for i in kept], [weight[i].tobytes() for i in kept], [x.tobytes() for x in dense]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in packed)], names=["id", "quality", "at", "weight", "dense"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tuple[str, ...] = (), words_a_text: int = WORDS_A_TEXT) -> Machine | None:
     """The machine of a bounded sample of the labelled rows that are not held out."""
     if {"doc_id", "text"} & set(metadata):
         raise ValueError("doc_id and text are no metadata")
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~_held()).select(F.col("doc_id").alias("id"), "quality")
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~_held()).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
     # The ids are chosen from the labels alone; texts are read for these, one for each id.
     chosen = known.orderBy(F.xxhash64("id"), "id", "quality").limit(sample).collect()
     if not chosen:
         return None
     ids = docs.sparkSession.createDataFrame([(r["id"], r["quality"]) for r in chosen], "id long, quality int")
-    of = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.array(*[F.col(f"`{c}`").cast("string") for c in metadata]).cast("array<string>").alias("metadata"))
+    of = F.struct(F.coalesce("text", F.lit("")).alias("text"), *[_value(docs, c).alias(f"{META}{c}") for c in metadata])
     met = docs.select("doc_id", of.alias("of")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    rows = met.groupBy("id", "quality").agg(F.min("of").alias("of")).select("id", "quality", "of.*").collect()
+    texts = met.groupBy("id", "quality").agg(F.min("of").alias("of")).select("id", "quality", "of.*")
+    found = texts.mapInArrow(tidy(_featured(metadata, words_a_text)), "id long, quality int, at binary, weight binary, dense binary")
+    rows = sorted(found.collect(), key=lambda r: (r["id"], r["quality"]))
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["id"], r["quality"]))
-    return train([r["text"].encode() for r in rows], [int(r["quality"]) for r in rows], {c: [r["metadata"][i] for r in rows] for i, c in enumerate(metadata)})
+    at, weight, dense = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("at", np.int32), ("weight", np.float64), ("dense", np.float64)))
+    text = np.repeat(np.arange(len(rows)), [len(r["at"]) // 4 for r in rows])
+    return train((text, at.astype(np.int64), weight, dense.reshape(len(rows), -1)), [r["quality"] for r in rows], metadata)
 
 
 def _score(batch: pa.RecordBatch, m: Machine | None) -> np.ndarray:
     if m is None:
         return np.full(batch.num_rows, 0.5)
-    return probabilities(m, utf8(batch, "text"), {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in m.metadata})
+    return probabilities(m, utf8(batch, "text"), {c: batch.column(batch.num_columns - len(m.metadata) + i).to_pylist() for i, c in enumerate(m.metadata)})
 
 
 def _scored(shared):
@@ -203,7 +235,7 @@ def _passed(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shared)
         for batch in steps(batches, "text", 6 << 20):
-            yield batch.filter(pa.array(_score(batch, m) >= threshold, pa.bool_()))
+            yield batch.select(list(range(batch.num_columns - len(m.metadata)))).filter(pa.array(_score(batch, m) >= threshold, pa.bool_()))
 
     return run
 
@@ -211,16 +243,20 @@ def _passed(shared, threshold: float):
 def quality_scores(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text and the machine's metadata)."""
     sent = share(docs.sparkSession, machine)
-    more = [F.col(f"`{c}`").cast("string").alias(c) for c in (machine.metadata if machine else ())]
+    more = [_value(docs, c).alias(f"{META}{c}") for c in (machine.metadata if machine else ())]
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held().alias("held_out"), F.col("text"), *more).mapInArrow(tidy(_scored(sent)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the machine predicts as 1, with all columns; without a machine all rows."""
-    return docs if machine is None else docs.mapInArrow(tidy(_passed(share(docs.sparkSession, machine), threshold)), docs.schema)
+    if machine is None:
+        return docs
+    # The metadata as texts follow the columns, whose names they may share.
+    named = docs.select("*", *[_value(docs, c).alias(f"{META}{c}") for c in machine.metadata])
+    return named.mapInArrow(tidy(_passed(share(docs.sparkSession, machine), threshold)), docs.schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels"), metadata=METADATA))

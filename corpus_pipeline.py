@@ -18,7 +18,8 @@ from askloom.llm.common import materialise, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't reject."""
-    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    metadata = tuple(c for c in quality.METADATA if c in docs.columns)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels"), metadata=metadata))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
