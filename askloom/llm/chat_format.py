@@ -6,11 +6,12 @@ Grammar of a formatted conversation, turn after turn:
     assistant := "<s>" role "\n" text "</s>"
 
 The loss mask covers the texts of assistant turns. A parser reads the formatted string back: it splits it into turns by
-the control strings alone, so a text that holds one would come back changed. Each conversation is formatted plainly
-first and parsed; where the turns that come back differ from the source, its texts are escaped and it is formatted and
-parsed again. Escaping puts a backslash after the bracket of whatever looks like a control string or an escaped one
-([INST] to [\INST], [\INST] to [\\INST]); the parser always takes one away, so escaped texts come back identical and
-plain ones do unless they hold such a string. Roles are percent-encoded in their line.
+the control strings alone, so a text that holds one would come back changed. Each turn is formatted plainly first and
+parsed; a turn that does not come back as it was is in conflict, and its text is escaped. Escaping puts a backslash
+after the bracket of whatever looks like a control string or an escaped one ([INST] to [\INST], [\INST] to [\\INST]); the
+parser always takes one away, so escaped texts come back identical and plain ones do unless they hold such a string.
+Roles are percent-encoded in their line. The whole conversation is then parsed again and compared to the source: if a
+turn came back changed, the query would fail rather than return it.
 
 Defined results: null text and null role are empty; turns are in order of turn (null first), then role and text; rows
 that repeat a turn are turns of their own; rows with a null conv_id are one conversation; an empty table gives an empty
@@ -54,13 +55,9 @@ def _role_of(line: Column) -> Column:
     return line
 
 
-def _rendered(turns: Column, escape: bool) -> Column:
-    def one(turn: Column) -> Column:
-        text = escaped(turn["text"]) if escape else turn["text"]
-        ours = turn["role"] == ASSISTANT
-        return F.concat(F.when(ours, F.lit("<s>")).otherwise(F.lit("[INST]")), _role_line(turn["role"]), F.lit("\n"), text, F.when(ours, F.lit("</s>")).otherwise(F.lit("[/INST]")))
-
-    return F.array_join(F.transform(turns, one), "")
+def _rendered(turn: Column, text: Column) -> Column:
+    ours = turn["role"] == ASSISTANT
+    return F.concat(F.when(ours, F.lit("<s>")).otherwise(F.lit("[INST]")), _role_line(turn["role"]), F.lit("\n"), text, F.when(ours, F.lit("</s>")).otherwise(F.lit("[/INST]")))
 
 
 def parsed(formatted: Column) -> Column:
@@ -81,13 +78,28 @@ def _plain_turns(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
+def _conflicts(role: Column, text: Column) -> Column:
+    """Whether the turn, formatted plainly, does not parse to itself alone."""
+    turn = F.struct(role.alias("role"), text.alias("text"))
+    return F.transform(F.array(turn), lambda t: _plain_turns(parsed(_rendered(t, t["text"]))) != F.array(t))[0]
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text; the source), formatted and escaped (whether it had to be) of rows (conv_id, turn, role, text)."""
-    said = rows.select(F.col("conv_id").alias("conv_id"), F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("said"))
-    whole = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said")).select("conv_id", _plain_turns(F.col("said")).alias("turns"))
-    plain = whole.withColumn("plain", _rendered(F.col("turns"), False))
-    judged = plain.withColumn("escaped", ~(_plain_turns(parsed(F.col("plain"))) == F.col("turns")))
-    return judged.select("conv_id", "turns", F.when(F.col("escaped"), _rendered(F.col("turns"), True)).otherwise(F.col("plain")).alias("formatted"), "escaped")
+    """conv_id, turns (role, text; the source), formatted and escaped (whether a turn had to be) of rows (conv_id, turn, role, text).
+
+    A conversation whose formatted form did not parse to its turns would raise.
+    """
+    said = rows.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    judged = said.select("conv_id", F.struct("turn", "role", "text", _conflicts(F.col("role"), F.col("text")).alias("escaped")).alias("said"))
+    whole = judged.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    forms = F.transform("said", lambda t: _rendered(t, F.when(t["escaped"], escaped(t["text"])).otherwise(t["text"])))
+    made = whole.select("conv_id", _plain_turns(F.col("said")).alias("turns"), F.array_join(forms, "").alias("formatted"), F.exists("said", lambda t: t["escaped"]).alias("escaped"))
+    return made.select("conv_id", "turns", verified(F.col("formatted"), F.col("turns")).alias("formatted"), "escaped")
+
+
+def verified(formatted: Column, turns: Column) -> Column:
+    """formatted, if it parses to the turns (role, text); else an error."""
+    return F.when(_plain_turns(parsed(formatted)) == turns, formatted).otherwise(F.raise_error(F.lit("a formatted conversation does not parse to its turns")).cast("string"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -122,8 +134,8 @@ WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), judged AS (
-  SELECT *, bool_or(regexp_matches(text, '[<\[]\\+(/?INST\]|/?s>)')
-    OR CASE WHEN role = 'assistant' THEN contains(text, '</s>') ELSE contains(text, '[/INST]') END) OVER (PARTITION BY conv_id) AS escape FROM said
+  SELECT *, regexp_matches(text, '[<\[]\\+(/?INST\]|/?s>)')
+    OR CASE WHEN role = 'assistant' THEN contains(text, '</s>') ELSE contains(text, '[/INST]') END AS escape FROM said
 ), sized AS (
   SELECT *, length(role) + 1 + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END
     + length(CASE WHEN escape THEN regexp_replace(text, '([<\[])(\\*)(/?INST\]|/?s>)', '\1\\\2\3', 'g') ELSE text END) AS n FROM judged
