@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -227,14 +228,56 @@ def test_language_edges(spark):
     train = table(spark, ["the cat and the dog with the hat " * 9] * 6, lang="en").union(table(spark, ["der hund und die katze mit dem hut " * 9] * 6, lang="de"))
     net = language_id.fit(train)
     got = {r["doc_id"]: r for r in language_id.language_id(table(spark, ODD), net).collect()}
-    assert [got[i]["lang_pred"] == "und" for i in range(len(ODD))] == [not re.search(r"[^\W\d_]", t or "") for t in ODD]
+    assert [got[i]["lang_pred"] == "und" for i in range(len(ODD))] == [not any(c.isalpha() for c in t or "") for t in ODD]
     assert all(got[i]["score"] == 0 for i in got if got[i]["lang_pred"] == "und")
     assert language_id.fit(table(spark, ["a"])) is None
     assert {r["lang_pred"] for r in language_id.language_id(table(spark, ODD), None).collect()} == {"und"}
 
 
+def small_net():
+    x, owner = language_id.training_windows([b"abc abd abe " * 30, b"xyz xyw xyv " * 30], [1, 2])
+    return language_id.train(x, [["a", "b"][i] for i in owner], epochs=1)
+
+
+def brute_language(net, text):
+    """The mean over the windows, weighted by their bytes, one filter and one place after the other."""
+    raw, total = (text or "").encode(), np.zeros(len(net.languages))
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    for a in range(0, len(raw), 256):
+        window = re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw[a : a + 256])
+        e = [net.embed[b].astype(float) for b in window.ljust(256, b"\0")]
+        hidden = []
+        for w, kernel in net.filters.items():
+            at = np.array([np.concatenate(e[i : i + w]) for i in range(257 - w)]) @ kernel.reshape(-1, kernel.shape[2]).astype(float)
+            hidden += at.max(axis=0).tolist()
+        z = np.maximum(np.array(hidden) + net.bias, 0) @ net.dense + net.dense_bias
+        total += len(window) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return net.languages[int(total.argmax())], float(total.max() / len(raw))
+
+
+def test_language_of_whole_texts_equals_brute_force(spark):
+    net, rng = small_net(), random.Random(3)
+    texts = corpus(4, 12) + ODD + ["½ Ⅷ ²", "½x", "中", "ª", "abc xyz " * 4000] + ["".join(rng.choice("abcxyz \u0300É") for _ in range(rng.randint(1, 900))) for _ in range(30)]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[-1]), (3, texts[-1])]
+    got = language_id.language_id(table(spark, [t for _, t in rows], [i for i, _ in rows]), net).collect()
+    want = [(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, *brute_language(net, t)) for i, t in rows]
+    key = lambda r: (repr(r[0]), r[2], round(r[3], 3))
+    for mine, other in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert mine[:3] == other[:3] and abs(mine[3] - other[3]) < 1e-4
+
+
+def test_every_language_is_learned_whatever_its_ids(spark):
+    rows = [(i, f"the cat number {i} and the dog with the hat", "en") for i in range(3000)]
+    for one in range(4):  # all rows of a language under one id, under none, or one text
+        more = [(one, f"der hund nummer {i} und die katze mit dem hut", "de") for i in range(900)] + [(None, f"le chien {i} et le chat avec le chapeau", "fr") for i in range(700)] + [(i, "il cane e il gatto con il cappello", "it") for i in range(5000, 5000 + 700)]
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+        assert language_id.fit(docs).languages == ["de", "en", "fr", "it"]
+    assert language_id.fit(docs, most_languages=2).languages == ["de", "en"]
+
+
 def test_tables_equal_the_network():
-    net = language_id.train([b"abc abd abe " * 30, b"xyz xyw xyv " * 30], ["a", "b"], epochs=1)
+    net = small_net()
     x, _, _ = language_id.windows([b"abc xyz " * 40])
     e = net.embed[x]
     pooled = [np.max(sum(e[:, j : x.shape[1] - w + 1 + j] @ net.filters[w][j] for j in range(w)), axis=1) for w in language_id.WIDTHS]
@@ -469,6 +512,24 @@ def test_chat_round_trip(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_only_turns_in_conflict_are_escaped(spark):
+    rows = [(1, 0, "user", "[/INST] and <s>"), (1, 1, "assistant", "[/INST] and <s>"), (1, 2, "user", r"[\\INST]"), (2, 0, "user", "</s>"), (2, 1, "assistant", "</s>"), (2, 2, "user", "</s>")]
+    made = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: (r["formatted"], r["escaped"]) for r in made.collect()}
+    assert got[1] == ("[INST]user\n[\\/INST] and <\\s>[/INST]<s>assistant\n[/INST] and <s></s>[INST]user\n[\\\\\\INST][/INST]", True)
+    assert got[2] == ("[INST]user\n</s>[/INST]<s>assistant\n<\\/s></s>[INST]user\n</s>[/INST]", True)
+
+
+def test_a_changed_conversation_raises(spark):
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.lit("a").alias("text")))
+    form = "[INST]user\na[/INST]"
+    good, *bad = (spark.range(1).select(chat_format.verified(F.lit(x), turns).alias("x")) for x in (form, form.replace("a[", "b["), form * 2, "", form[:-1]))
+    assert good.first()["x"] == form
+    for df in bad:
+        with pytest.raises(Exception, match="does not parse to its turns"):
+            df.collect()
+
+
 # 8 FLAC
 
 
@@ -595,6 +656,59 @@ def test_quality_takes_metadata(spark):
         quality.fit(docs, labels, metadata=("doc_id",))
 
 
+def brute_quality(machine, text, metadata):
+    """Its features one by one, and the sum over all pairs of them."""
+    raw = (text or "").encode()
+    x = np.zeros(len(machine.linear))
+    said = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    times = {w: said.count(w) for w in set(said)}
+    place = lambda b: xxhash.xxh32_intdigest(b) % quality.BUCKETS  # noqa: E731  a word is hashed with the space after it
+    for w, n in times.items():
+        x[place(w + b" ")] += (n / len(said)) ** 0.5
+    held = [f"{k}={v}" for k, v in metadata.items() if v is not None]
+    for m in held:
+        x[place(m)] += 1
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if b > 127 else 5 if b in b" \t\r\x0b\x0c" else 6 if b == 10 else 7 if b in b".,;:?!'\"()-" else 0
+    kinds, n = np.bincount([kind(b) for b in raw], minlength=8), max(len(said), 1)
+    again = sum(a == b for a, b in zip(said, said[1:]))
+    ends = [w[-1] for w in said]
+    structure = [*kinds / max(len(raw), 1), sum(kind(b) == 0 for b in ends) / n, ends.count(33) / n, len(times) / n, max(times.values(), default=0) / n, again / n, np.log1p(again) / 5, sum(map(len, said)) / n / 10]
+    structure += [np.log1p(len(said)) / 10, np.log1p(len(raw)) / 10, np.log1p(len(said) / (kinds[6] + 1)) / 5, kinds[1] / max(kinds[1] + kinds[2], 1), not said]
+    x[quality.BUCKETS :] = (np.array(structure, float) - machine.mean) / machine.scale
+    # Features that hash to one place are features of their own: their product is a pair as well.
+    parts = [(place(w + b" "), (times[w] / len(said)) ** 0.5) for w in times] + [(place(m), 1.0) for m in held]
+    parts += [(quality.BUCKETS + i, v) for i, v in enumerate(x[quality.BUCKETS :])]
+    z = machine.bias + machine.linear @ x + sum(machine.factors[a] @ machine.factors[b] * u * v for k, (a, u) in enumerate(parts) for b, v in parts[k + 1 :])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_of_whole_texts_equals_brute_force(spark):
+    rng = random.Random(5)
+    texts = [t for t in corpus(6, 40)] + ODD[:7] + ["x y " * 700, "WOW!! wow!! " * 30]
+    rows = [(i, t, None if i % 7 == 0 else len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + [(None, "no id", 5), (3, texts[0], 9), (3, texts[0], 9)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, rng.randint(0, 1)) for i in range(40)] + [(1, 7), (2, -1), (3, None)], "doc_id long, quality int")
+    machine = quality.fit(docs, labels, metadata=("n_chars",))
+    got = sorted(((r["doc_id"], r["score"], r["predicted"]) for r in quality.quality_scores(docs, machine).collect()), key=lambda r: (repr(r[0]), r[1]))
+    value = lambda n: None if n is None else str(round(2 * np.log2(1 + n)))
+    want = sorted(((r["doc_id"], brute_quality(machine, r["text"], {"n_chars": value(r["n_chars"])})) for r in docs.collect()), key=lambda r: (repr(r[0]), r[1]))
+    for (i, score, predicted), (j, other) in zip(got, want, strict=True):
+        assert i == j and abs(score - other) < 1e-6 and predicted == int(score >= 0.7)
+    assert sorted((r["doc_id"] for r in quality.accepted(docs, machine).collect()), key=repr) == [i for i, _, p in got if p]
+    # The threshold itself is passed, and labels other than 0 and 1 are as if they were not there.
+    at = got[5][1]
+    assert quality.quality_scores(docs, machine, at).where(F.col("score") == at).first()["predicted"] == 1
+    same = quality.fit(docs, labels.where("quality in (0, 1)"), metadata=("n_chars",))
+    assert (same.factors == machine.factors).all() and same.bias == machine.bias
+
+
+def test_quality_learns_from_the_most_common_words_of_a_text(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k} " * (k % 3 + 1) for k in range(300))) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    few, all_ = quality.fit(docs, labels, words_a_text=50), quality.fit(docs, labels, words_a_text=10_000)
+    assert (few.linear[: quality.BUCKETS] != 0).sum() <= 50 and (all_.linear[: quality.BUCKETS] != 0).sum() > 250
+
+
 def test_quality_on_held_out(spark, sf_dir):
     got = queries.QUERIES["op9_quality_classifier"](spark, sf_dir.replace("0.001", "0.01")).toPandas()
     labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet").toPandas()
