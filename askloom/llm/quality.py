@@ -139,7 +139,7 @@ def train(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels:
     linear, factors, bias, k = np.zeros(len(spots)), m.factors[spots].T.copy(), 0.0, len(used)
     seen_linear, seen_factors, seen_bias = np.full(linear.shape, 1e-2), np.full(factors.shape, 1e-2), 1e-2
     scaled = (dense - m.mean) / m.scale
-    for _ in range(max(20, -(-updates * batch // len(y)))):
+    for _ in range(max(20, -(-updates // -(-len(y) // batch)))):
         order = rng.permutation(len(y))
         for a in range(0, len(y), batch):
             rows = np.sort(order[a : a + batch])
