@@ -6,8 +6,11 @@ pass counts the items' shingles over all documents; the second joins each docume
 each hit back by the shingle's place in its window (positional bound), drops windows that would reach out of the text
 (length bound), and compares the words that are left one by one.
 
-Items go to the executors in blocks of at most `block_words` words, each block broadcast and matched against all
-documents; the hits of several blocks are merged by document. One block is the usual case.
+Items go to the executors in blocks of at most about `block_words` words, each block broadcast (some 100 MB at most) and
+matched against all documents: two scans of the documents' texts for each block, one to count and one to match. Items
+too long for a block are cut into pieces that overlap by a window less a word, so no window is lost. With several blocks
+each row passes them one after the other and takes its hits along, so rows are never joined or told apart; after every
+second block they are written to shared storage. One block is the usual case.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and non-ASCII characters. Defined results: null texts and
 texts without such words have no words; an item without words has no windows; items that share an id count once; rows
@@ -24,13 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, as_bytes, opened, share, steps, table, tidy, utf8
+from .common import ALNUM, Words, as_bytes, discard, materialise, opened, share, steps, table, tidy, utf8
 
-WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 4_000_000
+WINDOW, SHINGLE, BLOCK_WORDS, CHAIN = 13, 3, 500_000, 2
+#: Shingles of up to three words are held as one number below 2^63.
+MOST_WORDS = 2_000_000
 
 
 def _named(item: int | None) -> tuple[bool, int]:
@@ -55,22 +60,24 @@ class Items:
         names = sorted({i for i, _ in rows}, key=_named)
         place = {n: k for k, n in enumerate(names)}
         words = Words([t.lower() for _, t in rows], ALNUM)
-        vocabulary = {w: k for k, w in enumerate(as_bytes(words.distinct))} if len(words) else {}
-        windows: dict[bytes, int] = {}
-        pairs = set()
-        for r, (name, _) in enumerate(rows):
-            ids = words.ids[words.docs[r] : words.docs[r + 1]] if len(words) else np.empty(0, np.int32)
-            size = min(window, len(ids))
-            for a in range(len(ids) - size + 1 if size else 0):
-                pairs.add((windows.setdefault(ids[a : a + size].astype(np.int32).tobytes(), len(windows)), place[name]))
-        table_ = np.full((len(windows), window), -1, np.int32)
-        sizes = np.zeros(len(windows), np.int64)
-        for key, k in windows.items():
-            ids = np.frombuffer(key, np.int32)
-            table_[k, : len(ids)], sizes[k] = ids, len(ids)
-        linked = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        out = Items(names, vocabulary, table_, sizes, linked[:, 1], linked[:, 0], {})
-        out.shingles = {s: np.unique(np.concatenate([out.keys(table_[:, a:], s)[sizes >= a + s] for a in range(window - s + 1)])) for s in range(1, SHINGLE + 1) if len(windows)}
+        if not len(words):
+            return Items(names, {}, np.empty((0, window), np.int32), *(np.empty(0, np.int64) for _ in range(3)), {})
+        lengths = np.diff(words.docs)
+        size = np.minimum(lengths, window)
+        counts = np.where(lengths > 0, lengths - size + 1, 0)
+        row = np.repeat(np.arange(len(rows)), counts)
+        at = words.docs[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        windows = np.full((len(row), window), -1, np.int32)
+        for j in range(window):
+            fits = j < size[row]
+            windows[fits, j] = words.ids[at[fits] + j]
+        _, first, same = np.unique(windows.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+        linked = np.unique(same.astype(np.int64) * len(names) + np.array([place[name] for name, _ in rows], np.int64)[row])
+        vocabulary = {w: k for k, w in enumerate(as_bytes(words.distinct))}
+        if len(vocabulary) > MOST_WORDS:
+            raise ValueError(f"a block holds {len(vocabulary)} different words; lower block_words")
+        out = Items(names, vocabulary, windows[first], size[row[first]], linked % len(names), linked // len(names), {})
+        out.shingles = {s: np.unique(np.concatenate([out.keys(out.words[:, a:], s)[out.sizes >= a + s] for a in range(window - s + 1)])) for s in range(1, SHINGLE + 1)}
         return out
 
     def keys(self, ids: np.ndarray, s: int) -> np.ndarray:
@@ -175,6 +182,7 @@ def occurrences(items: Items, prefixes, words: Words) -> tuple[np.ndarray, np.nd
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _HITS = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.LongType()))]
+_KINDS = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()))
 
 
 def _match(texts: list[bytes], items: Items, prefixes) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
@@ -207,19 +215,41 @@ def _match(texts: list[bytes], items: Items, prefixes) -> list[tuple[int, list[t
     return out
 
 
-def _appended(shared, judge=None):
-    """The key of each row with the hits of its text; with judge, the whole rows that it keeps."""
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans' union, as runs in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _passed(shared, first: bool):
+    """The rows (key, text) with the hits of their texts in one block, added to those of the blocks before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, prefixes = opened(shared)
+        for batch in steps(batches, "text"):
+            n, spans, ids = zip(*_match(utf8(batch, "text"), items, prefixes), strict=True)
+            if not first:
+                spans = [_joined(x + [(s["start"], s["end"]) for s in y]) for x, y in zip(spans, batch.column(3).to_pylist(), strict=True)]
+                ids = [sorted({*x, *y}, key=_named) for x, y in zip(ids, batch.column(4).to_pylist(), strict=True)]
+            spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip((n, spans, ids), _KINDS, strict=True))], names=["key", "text", *(f.name for f in _HITS)])
+
+    return run
+
+
+def _clean(shared):
+    """The rows that the one block does not contaminate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, prefixes = opened(shared)
         for batch in steps(batches, "text"):
             found = _match(utf8(batch, "text"), items, prefixes)
-            if judge is not None:
-                yield batch.filter(pa.array([judge(n, sum(b - a for a, b in spans)) for n, spans, _ in found], pa.bool_()))
-                continue
-            n, spans, ids = zip(*found, strict=True)
-            spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), spans, pa.array(ids, pa.list_(pa.int64()))], names=["key", "n_words", "spans", "items"])
+            yield batch.filter(pa.array([not is_contaminated(n, sum(b - a for a, b in spans)) for n, spans, _ in found], pa.bool_()))
 
     return run
 
@@ -229,59 +259,68 @@ def _prepared(docs: DataFrame, rows: list[tuple[int | None, bytes]], window: int
     items = Items.of(rows, window)
     sent = share(docs.sparkSession, items)
     counts = {s: np.zeros(len(k), np.int64) for s, k in items.shingles.items()}
-    for r in docs.select("text").where("text is not null").mapInArrow(tidy(_count(sent)), "s long, place long, n long").groupBy("s", "place").agg(F.sum("n").alias("n")).collect():
-        counts[r["s"]][r["place"]] = r["n"]
+    counted = docs.select("text").where("text is not null").mapInArrow(tidy(_count(sent)), "s long, place long, n long").groupBy("s", "place").agg(F.sum("n").alias("n")).toArrow()
+    s, place, n = (np.asarray(counted[c].combine_chunks()) for c in ("s", "place", "n"))  # no more than the block's shingles
+    for k, total in counts.items():
+        total[place[s == k]] = n[s == k]
+    sent.unpersist()
     return share(docs.sparkSession, (items, _prefixes(items, counts)))
 
 
-def number_of_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[int]:
-    """The numbers of the blocks that hold about block_words words (of four bytes at least) each."""
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return list(range(max(1, -(-size // (4 * block_words)))))
+def _cut(window: int, most: int):
+    """Items (item_id, text) in pieces of at most `most` words, one space after each word, that share window - 1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            words = Words([t.lower() for t in utf8(batch, "text")], ALNUM, index=False)
+            rows = []
+            for r, (a, b) in enumerate(zip(words.docs[:-1].tolist(), words.docs[1:].tolist(), strict=True)):
+                for c in range(a, max(b - window + 1, a + 1) if b > a else a, most - window + 1):
+                    d = min(c + most, b)
+                    rows.append((r, d - c, words.data[words.offsets[c] : words.offsets[d]].tobytes()))
+            of, n, body = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(n, pa.int64()), pa.array(body, pa.binary())], names=["item_id", "n", "body"])
+
+    return run
+
+
+class Blocks:
+    """The items in blocks of about block_words words; unnamed: also those without an id."""
 
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False):
+        known = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+        self.pieces = materialise(known.mapInArrow(tidy(_cut(window, max(2 * window, block_words // 16))), "item_id long, n long, body binary"), "items")
+        words = self.pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
+        self.n = max(1, -(-words // block_words))
 
-def block(benchmark: DataFrame, k: int, n: int, unnamed: bool = False) -> list[tuple[int | None, bytes]]:
-    """The items of block k of n; unnamed: also those without an id."""
-    known = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-    return sorted(((r["item_id"], r["text"].encode()) for r in rows), key=lambda x: (_named(x[0]), x[1]))
+    def __getitem__(self, k: int) -> list[tuple[int | None, bytes]]:
+        own = self.pieces.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(self.n)) == k).collect()
+        return sorted(((r["item_id"], bytes(r["body"])) for r in own), key=lambda x: (_named(x[0]), x[1]))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
+def hits(docs: DataFrame, blocks: Blocks, key: Column, window: int = WINDOW) -> DataFrame:
     """key, n_words, spans (runs of hit words) and items (ids with occurring windows) of every row of docs."""
-    chosen = docs.select(F.col(key).alias("key"), F.col("text"))
-    schema = T.StructType([T.StructField("key", chosen.schema["key"].dataType), *_HITS])
-    first, *more = blocks = number_of_blocks(benchmark, block_words)
-    if not more:
-        return chosen.mapInArrow(tidy(_appended(_prepared(chosen, block(benchmark, first, 1, unnamed), window))), schema)
-    # Rows are told apart by their text as well; equal rows have equal hits, once for each block and copy.
-    marked = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("mark")).alias("key"), F.col("text"))
-    schema = T.StructType([T.StructField("key", marked.schema["key"].dataType), *_HITS])
-    n = len(blocks)
-    every = None
-    for k in blocks:
-        part = marked.mapInArrow(tidy(_appended(_prepared(marked, block(benchmark, k, n, unnamed), window))), schema)
-        every = part if every is None else every.union(part)
-    merged = every.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
-    return merged.select(F.col("key.key").alias("key"), "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "copies"))).select("key", "n_words", "spans", "items")
+    rows = docs.select(key.alias("key"), F.col("text"))
+    schema, before = T.StructType([*rows.schema.fields, *_HITS]), None
+    for k in range(blocks.n):
+        shared = _prepared(docs, blocks[k], window)
+        rows = rows.mapInArrow(tidy(_passed(shared, k == 0)), schema)
+        if k % CHAIN == CHAIN - 1 and k + 1 < blocks.n:
+            rows = materialise(rows, "hits")
+            if before is not None:
+                discard(before)
+            before = rows
+    return rows.drop("text")
 
 
 def is_contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def _united(spans: list[dict]) -> int:
-    total, reach = 0, 0
-    for a, b in sorted((x["start"], x["end"]) for x in spans):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
-
-
 def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, spans, items = (batch.column(k).to_pylist() for k in (1, 2, 3))
-        n_hit = [_united(x) for x in spans]
+        n_hit = [sum(s["end"] - s["start"] for s in x) for x in spans]  # runs apart
         digest = [hashlib.sha256(",".join(sorted(str(i) for i in x if i is not None)).encode()).hexdigest() for x in items]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([is_contaminated(n, h) for n, h in zip(n_words, n_hit, strict=True)], pa.bool_())],
@@ -291,18 +330,18 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs."""
-    found = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), benchmark, "doc_id", window, block_words, unnamed)
+    found = hits(docs, Blocks(benchmark, window, block_words, unnamed), F.col("doc_id").cast("long"), window)
     return found.mapInArrow(tidy(_reported), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """The rows of docs that are not contaminated, with all columns."""
-    if len(number_of_blocks(benchmark, block_words)) == 1:
-        return docs.mapInArrow(tidy(_appended(_prepared(docs, block(benchmark, 0, 1, unnamed), window), lambda n, h: not is_contaminated(n, h))), docs.schema)
-    report = decontamination_report(docs.select(F.xxhash64("text").alias("doc_id"), F.col("text")), benchmark, window, block_words, unnamed)
-    bad = report.where("contaminated").select(F.col("doc_id").alias("mark")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("mark"))
-    return rows.join(bad, "mark", "left_anti").select("row.*")
+    blocks = Blocks(benchmark, window, block_words, unnamed)
+    if blocks.n == 1:
+        return docs.mapInArrow(tidy(_clean(_prepared(docs, blocks[0], window))), docs.schema)
+    found = hits(docs, blocks, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), window)
+    n_hit = F.aggregate("spans", F.lit(0), lambda total, x: total + x["end"] - x["start"])  # spans are runs apart
+    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select("key.*")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,7 +450,7 @@ def brute_contamination(docs, items, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [4_000_000, 30])
+@pytest.mark.parametrize("block", [4_000_000, 200, 30])
 def test_decontamination_equals_brute_force(spark, block):
     rng = random.Random(6)
     items = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 30)))) for i in range(25)]
@@ -467,6 +467,34 @@ def test_decontamination_equals_brute_force(spark, block):
     assert kept.columns == docs.columns and sorted([r["doc_id"] for r in kept.collect()], key=repr) == sorted([w[0] for w in want if not w[5]], key=repr)
 
 
+def test_blocks_of_items(spark):
+    rng = random.Random(12)
+    long = [f"x{rng.randint(0, 5000)}" for _ in range(3000)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, "a b c"), (3, " ".join(long[:5])), (4, None), (None, "z")], "item_id long, text string")
+    blocks = decontamination.Blocks(benchmark, 13, 400)
+    rows = [x for k in range(blocks.n) for x in blocks[k]]
+    assert 8 < blocks.n < 40 and max(sum(len(t.split()) for _, t in blocks[k]) for k in range(blocks.n)) < 1600
+    pieces = [t.decode().split() for i, t in rows if i == 1]
+    windows = {tuple(p[a : a + 13]) for p in pieces for a in range(len(p) - 12)}
+    assert windows == {tuple(long[a : a + 13]) for a in range(len(long) - 12)} and max(map(len, pieces)) <= 26
+    assert sorted(t for i, t in rows if i != 1) == [b"a b c ", " ".join([*long[:5], ""]).encode()]
+    # A document that holds a stretch of the long item over several pieces and blocks is hit as a whole.
+    docs = table(spark, ["before " + " ".join(long[100:1100]) + " after", " ".join(long[7:20]), " ".join(long[7:19])])
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.decontamination_report(docs, benchmark, block_words=400).collect()}
+    assert got == {0: (1002, 1000, 1), 1: (13, 13, 1), 2: (12, 0, 0)}
+
+
+def test_several_blocks_equal_one_on_many_equal_rows(spark):
+    items = [(i, " ".join(f"k{i}x{j}" for j in range(20))) for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    hot = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(f"{items[0][1]} and {items[3][1]}").alias("text"))
+    docs = hot.union(spark.range(500).select("id", F.lit("nothing of theirs")))
+    one, several = (decontamination.decontamination_report(docs, benchmark, block_words=b) for b in (500_000, 40))
+    assert sorted(map(repr, several.groupBy(*several.columns).count().collect())) == sorted(map(repr, one.groupBy(*one.columns).count().collect()))
+    assert several.where("contaminated and n_hit = 40 and n_items = 2").count() == 100_000
+    assert decontamination.without_contaminated(docs, benchmark, block_words=40).count() == 500
+
+
 def test_items_without_an_id_are_hit_as_in_the_sql(spark, tmp_path, same):
     import duckdb
 
