@@ -7,8 +7,10 @@ document with a smaller id, and comparing their words makes the result exact.
 
 Equal packed strings of one batch are sent once, with the smallest document id: whoever else holds that string loses
 it whatever the rest of the corpus holds, so large groups of copies shrink before the shuffle. Buckets are handled one
-at a time. One above `bucket_bytes` holds equal strings once; if that is still too much, its strings are cut again by
-minimisers of another hash, which parts even windows that share a hot minimiser, and dealt anew to all partitions.
+at a time. One above `bucket_bytes` holds equal strings once; if that is still too much, its strings are cut again and
+dealt anew to all partitions: by minimisers of another hash first, which parts windows that share a hot minimiser, then
+by longer ones, which reach out of a hot phrase, and at last by the windows themselves, which only equal windows share.
+There are then as many buckets as their size asks for, so none is oversized for more than its different windows.
 
 Defined results: null or empty texts have no words; a document with fewer words than a window loses nothing; rows with
 the same doc_id never remove from one another (neither id is smaller); rows with a null doc_id keep all words and
@@ -17,6 +19,7 @@ remove none from others; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -158,7 +161,7 @@ def _runs(removed: np.ndarray, doc, mark, start, count, window: int):
     return doc[owner[a]], mark[owner[a]], start[owner[a]] + inside[a], start[owner[b]] + inside[b] + window
 
 
-_OUT = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
+_OUT = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("size", pa.int64())])
 
 
 class Strings:
@@ -194,12 +197,12 @@ class Strings:
         return [np.array(x, np.int64) for x in zip(*self.leaders.values(), *self.more, strict=True)], [*self.leaders, *self.words]
 
 
-def _gather(window: int, m: int, limit: int, buckets: int):
-    """Spans of removed words. With buckets, what does not fit is cut again and handed on; without, it is held."""
+def _gather(window: int, m: int, limit: int, buckets: int, seed: int = 1):
+    """Spans of removed words. With buckets, what does not fit is cut again by m-grams and handed on; without, it is held."""
 
     def spans(doc, mark, start, end) -> pa.RecordBatch:
         columns = [np.asarray(x, kind) for x, kind in zip((doc, mark, start, end), (np.int64, np.int64, np.int32, np.int32), strict=True)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.int32()), pa.nulls(len(columns[0]), pa.binary())], schema=_OUT)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.nulls(len(columns[0]), kind) for kind in _OUT.types[4:])], schema=_OUT)
 
     def opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], bytes]:
         """Strings that other documents of the batch held too, and the rest with their packed words."""
@@ -219,7 +222,15 @@ def _gather(window: int, m: int, limit: int, buckets: int):
 
     def cut_again(held: Strings) -> Iterator[pa.RecordBatch]:
         own, strings = held.arrays()
-        found = _super_kmers(strings, window, m, seed=1) if strings else None
+        # A cut copies each word into so many strings at most; as much is cut at once as gives a quarter of the limit.
+        at_once = max(1, limit // (4 * (window // max(1, (window - m + 1) // 2) + 1)))
+        ends = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+        parts = np.searchsorted(ends, np.arange(at_once, ends[-1], at_once)).tolist() if strings else []
+        for a, b in itertools.pairwise(sorted({0, *parts, len(strings)})):
+            yield from dealt_anew([x[a:b] for x in own], strings[a:b])
+
+    def dealt_anew(own: list[np.ndarray], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = _super_kmers(strings, window, m, seed)
         if found is None:
             return
         text, first, count, value, words = found
@@ -228,8 +239,9 @@ def _gather(window: int, m: int, limit: int, buckets: int):
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             mine = [x[part].astype(kind) for x, (_, kind) in zip(fields, _FIELDS, strict=True)]
-            blob = _packed([*(np.empty(0, kind) for _, kind in _FIELDS), *mine, b"".join(words[i] for i in part.tolist())])
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in _OUT.types[:4]), pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary())], schema=_OUT)
+            body = b"".join(words[i] for i in part.tolist())
+            blob = _packed([*(np.empty(0, kind) for _, kind in _FIELDS), *mine, body])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in _OUT.types[:4]), pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(body)], pa.int64())], schema=_OUT)
 
     def one_bucket(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         plain: list[tuple[list[np.ndarray], bytes]] | None = []
@@ -242,14 +254,15 @@ def _gather(window: int, m: int, limit: int, buckets: int):
                 size += len(body)
                 if size <= limit:
                     continue
-                own, body = plain.pop()
-                for before in plain:
-                    yield from lost(held.add(*before, window))
-                plain = None
-            yield from lost(held.add(own, body, window))
-            if buckets and held.size > limit:
-                yield from cut_again(held)
-                held, handed_on = Strings(), True
+                waiting, plain = plain, None
+            else:
+                waiting = [(own, body)]
+            for part in waiting:
+                yield from lost(held.add(*part, window))
+                if buckets and held.size > limit:
+                    yield from cut_again(held)
+                    held, handed_on = Strings(), True
+            waiting.clear()
         if plain:
             yield from judged([np.concatenate(x) for x in zip(*(own for own, _ in plain), strict=True)], b"".join(body for _, body in plain))
         elif handed_on:
@@ -273,13 +286,13 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "mark", "body"])
 
 
-def _kept(window: int):
+def _kept(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for body, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = unpack.decompress(body).split()
+            for body, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = unpack.decompress(body.as_py()).split()
                 n = len(words)
                 if spans:
                     level = np.zeros(n + 1, np.int64)
@@ -287,12 +300,12 @@ def _kept(window: int):
                     np.add.at(level, [x["end"] for x in spans], -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(level[:n]) == 0).tolist()]
                 kept = b" ".join(words)
-                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept if with_text else b""))
             n, gone, digest, kept = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
+            if with_text:
+                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
 
     return run
 
@@ -302,26 +315,31 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMI
 
     mark is the text's XXH64, which tells apart rows that share a doc_id.
     """
-    n, schema = partitions(docs), "doc long, mark long, start int, end int, bucket int, blob binary"
+    n, schema = partitions(docs), "doc long, mark long, start int, end int, bucket int, blob binary, size long"
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).where("doc_id is not null and text is not null")
-
-    def gathered(sent: DataFrame, buckets: int) -> DataFrame:
+    sent, found = keyed.mapInArrow(tidy(_scatter(8 * n, window, minimiser)), "bucket int, blob binary"), []
+    buckets = 8 * n
+    for seed, m in enumerate((minimiser, (minimiser + window + 1) // 2, window, window), 1):
+        last = seed == 4
         dealt = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-        return dealt.mapInArrow(tidy(_gather(window, minimiser, bucket_bytes, buckets)), schema)
-
-    once = materialise(gathered(keyed.mapInArrow(tidy(_scatter(8 * n, window, minimiser)), "bucket int, blob binary"), 8 * n), "spans")
-    found, handed_on = once.where("blob is null").select("doc", "mark", "start", "end"), once.where("blob is not null").select("bucket", "blob")
-    return found if handed_on.isEmpty() else found.union(gathered(handed_on, 0).select("doc", "mark", "start", "end"))
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of docs (doc_id, text)."""
+        once = materialise(dealt.mapInArrow(tidy(_gather(window, m, bucket_bytes, 0 if last else buckets, seed)), schema), "spans")
+        found.append(once.where("blob is null").select("doc", "mark", "start", "end"))
+        sent, size = once.where("blob is not null").select("bucket", "blob"), 0 if last else once.agg(F.sum("size").alias("n")).first()["n"]
+        if not size:
+            break
+        # Cut into windows, each word comes in window copies; a bucket gets a quarter of what it may hold.
+        buckets = min(max(8 * n, 4 * window * size // bucket_bytes), (1 << 31) - 1)
+    return functools.reduce(DataFrame.union, found)
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text of every row of docs (doc_id, text)."""
     if not 1 <= minimiser <= window:
         raise ValueError("minimiser must be between 1 and window")
     spans = removed_spans(docs, window, minimiser, bucket_bytes).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text")).mapInArrow(tidy(_squeezed), "doc_id long, mark long, body binary")
     both = whole.join(spans, (whole["doc_id"] == spans["doc"]) & (whole["mark"] == spans["mark"]), "left").select(whole["doc_id"], "body", "spans")
-    return both.mapInArrow(tidy(_kept(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return both.mapInArrow(tidy(_kept(with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

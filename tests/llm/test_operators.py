@@ -114,6 +114,56 @@ def test_oversized_buckets_are_dealt_anew():
     assert lost == set(range(301, 600))
 
 
+def hot_phrase(rng, n, length):
+    """n texts with one phrase in contexts of their own."""
+    hot = " ".join(f"hot{i}" for i in range(length))
+    return [" ".join(f"c{rng.randint(0, 900)}" for _ in range(rng.randint(1, 9))) + f" {hot} " + " ".join(f"c{rng.randint(0, 900)}" for _ in range(rng.randint(1, 9))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("length", [10, 17, 19, 40])
+def test_a_hot_phrase_is_cut_until_its_windows_fit(length, monkeypatch):
+    import pyarrow as pa
+
+    texts = hot_phrase(random.Random(length), 400, length)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts)], names=["doc_id", "mark", "text"])
+    sent = pa.Table.from_batches(list(substring_dedup._scatter(8, 20, 3)(batch.slice(a, 20) for a in range(0, 400, 20)))).sort_by("bucket").combine_chunks().to_batches()[0]
+    limit, buckets, spans, most = 30_000, 8, [], []
+    init = substring_dedup.Strings.__init__
+
+    def kept(self):
+        init(self)
+        most.append(self)
+
+    monkeypatch.setattr(substring_dedup.Strings, "__init__", kept)
+    for seed, m in enumerate((3, 12, 20, 20), 1):
+        most.clear()
+        out = pa.Table.from_batches(list(substring_dedup._gather(20, m, limit, 0 if seed == 4 else buckets, seed)(iter([sent]))))
+        spans += out.filter(pa.compute.is_null(out["blob"])).to_pylist()
+        left = out.filter(pa.compute.is_valid(out["blob"]))
+        assert max((x.size for x in most), default=0) < 1.5 * limit  # what a bucket holds, with a blob more
+        if not left.num_rows:
+            break
+        buckets = max(8, 4 * 20 * pa.compute.sum(left["size"]).as_py() // limit)
+        sent = left.select(["bucket", "blob"]).sort_by("bucket").combine_chunks().to_batches()[0]
+    got = {(r["doc"], k) for r in spans for k in range(r["start"], r["end"])}
+    first, want = {}, set()
+    for i, t in enumerate(texts):
+        w = words(t)
+        for p in range(len(w) - 19):
+            if first.setdefault(tuple(w[p : p + 20]), i) < i:
+                want |= {(i, k) for k in range(p, p + 20)}
+    assert got == want and (length < 19 or want)
+
+
+def test_a_hot_phrase_equals_brute_force(spark):
+    rng = random.Random(21)
+    texts = hot_phrase(rng, 150, 18) + hot_phrase(rng, 50, 19)[:50] + hot_phrase(rng, 30, 60) + ["long " * 3000]
+    rows = list(enumerate(texts))
+    got = substring_dedup.substring_dedup(table(spark, texts), 20, 3, 3000, with_text=False)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_substrings(rows, 20)
+
+
 def test_equal_hashes_alone_remove_nothing(monkeypatch):
     monkeypatch.setattr(substring_dedup, "chained", lambda values, n: np.zeros(len(values) - n + 1, np.uint64))
     data = b"a b c d a b c x a b c "
