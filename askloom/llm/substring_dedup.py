@@ -343,7 +343,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
 #: Window starts of each document against the smallest document of each window, then the words that such windows cover.
