@@ -5,7 +5,9 @@ the ids give canonical code lengths, limited by package-merge. A file row is one
 their ids and lengths, the number of ids before the block, the coded bits, and the bit offset of every `stride`-th id.
 Decoding looks codes up in one table; all stretches between checkpoints of a block advance together, one id a step.
 
-The tokenizer works on pieces of words: ids are computed once for each distinct piece of a batch and put together.
+A tokenizer of the production form (`FORM`: lower case, words and marks apart, byte pairs with an end of word) works on
+pieces of words: ids are computed once for each distinct piece of a batch and put together. Files of any other form are
+read as well; their texts are encoded whole.
 
 Files (Parquet, under one folder): `blocks` as above and `codebook` (id, length). Blocks are in ascending doc_id order by
 their `start`.
@@ -16,6 +18,7 @@ follow one another; an empty table gives empty files and no rows; other columns
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import uuid
@@ -139,16 +142,41 @@ _KIND = SPACED.astype(np.uint8) + _LOWER + 3 * _MARK  # 0 white space, 2 letters
 _MARKS = frozenset(chr(i) for i in np.flatnonzero(_MARK))
 
 
+#: The parts of a tokenizer file, besides its vocabulary, for which a text's ids are those of its pieces.
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def has_form(path: str) -> bool:
+    """Whether the tokenizer file has the form that pieces need; words with its added tokens, <|...|>, stay whole."""
+    with open(path, encoding="utf-8") as file:
+        got = json.load(file)
+    model = {k: v for k, v in got["model"].items() if k not in ("vocab", "merges")}
+    return model == FORM["model"] and all(got.get(k) == FORM[k] for k in ("normalizer", "pre_tokenizer")) and all(t["content"].startswith("<|") for t in got.get("added_tokens") or [])
+
+
 class Encoder:
     """Ids of texts, each followed by the end id, from the ids of their distinct pieces; some pieces stay known.
 
-    A piece is a word, cut again between ASCII letters and ASCII marks; no token reaches over a cut.
+    A piece is a word, cut again between ASCII letters and ASCII marks; no token reaches over a cut. With a tokenizer of
+    another form texts are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int | None = END_ID, remember: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id, self.by_pieces = Tokenizer.from_file(path), end_id, has_form(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.remember = remember
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
@@ -192,8 +220,15 @@ class Encoder:
                 room -= 1
         return each
 
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        end = [] if self.end_id is None else [self.end_id]
+        each = [x.ids + end for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.int32), np.fromiter(map(len, each), np.int64, len(each))
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each text's."""
+        if not self.by_pieces:
+            return self._whole(texts)
         joined = b"\n".join(texts) + b"\n"
         special = b"<|" in joined  # added tokens are found in the text as it is, so such words stay whole
         if not special:

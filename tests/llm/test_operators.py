@@ -429,6 +429,28 @@ def test_tokens_round_trip(spark, tmp_path):
     assert [zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got] == [r["ids_crc32"] for r in got]
 
 
+@pytest.mark.parametrize("name,end_id", [("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", None)])
+def test_tokens_of_other_tokenizers(spark, tmp_path, name, end_id):
+    from tokenizers import Tokenizer
+
+    path = token_output.tokenizer_path(name)
+    assert token_output.has_form(path) == (name == "word_bpe_49k.json")
+    texts = corpus(5, 12) + ODD + ["It's CAPITAL <|endoftext|> don't", "café—b!a İx  'tis"]
+    token_output.write_tokens(table(spark, texts), str(tmp_path / "f"), path=path, end_id=end_id, block_ids=300)
+    got = token_output.read_tokens(spark, str(tmp_path / "f"), with_ids=True).orderBy("start", "doc_id").collect()
+    tokenizer = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [end_id] * (end_id is not None) for i, t in enumerate(texts)}
+
+
+def test_files_of_another_form_are_not_cut_into_pieces(tmp_path):
+    import json
+
+    whole = json.load(open(token_output.tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [*whole["added_tokens"], whole["added_tokens"][0] | {"content": "[PAD]"}]}, {"model": whole["model"] | {"end_of_word_suffix": None}}):
+        (tmp_path / "t.json").write_text(json.dumps(whole | change), encoding="utf-8")
+        assert not token_output.has_form(str(tmp_path / "t.json"))
+
+
 def test_tokens_of_null_and_repeated_ids(spark):
     got = token_output.token_output(table(spark, ["b", "a", "c", "a"], [1, None, 1, 1])).collect()
     assert sorted(r["start"] for r in got) == [0, 2, 4, 6] and [r["doc_id"] for r in got if r["start"] == 0] == [None]
