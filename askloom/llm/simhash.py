@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, steps, table, tidy, utf8
+from .common import discard, materialise, steps, table, tidy, utf8
 
 BITS, TAU, SHINGLE, HOT, SEED = 64, 2, 3, 2048, 42
 
@@ -217,15 +217,18 @@ def links(nodes: DataFrame, tau: int = TAU, hot: int = HOT, groups: list[list[in
 def least_labels(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex of v's component, for every vertex of edges (a, b)."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
-    now = materialise(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("v"), F.least("a", "l").alias("root")), "labels")
+    now = materialise(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("v"), F.least("a", "l").alias("root"), F.lit(True).alias("moved")), "labels")
     while True:
-        reached = both.join(now, both["b"] == now["v"]).groupBy("a").agg(F.min("root").alias("l"))
-        met = now.join(reached, now["v"] == reached["a"]).select("v", "root", F.least("root", "l").alias("next"))
+        old = now.select("v", "root")
+        reached = both.join(old, both["b"] == old["v"]).groupBy("a").agg(F.min("root").alias("l"))
+        met = old.join(reached, old["v"] == reached["a"]).select("v", "root", F.least("root", "l").alias("next"))
         up = met.select(F.col("v").alias("w"), F.col("next").alias("up"))
         after = materialise(met.join(up, met["next"] == up["w"]).select("v", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "labels")
-        now = after.select("v", "root")
-        if after.where("moved").isEmpty():
-            return now
+        discard(now)
+        now = after
+        if now.where("moved").isEmpty():
+            discard(both)
+            return now.select("v", "root")
 
 
 def components(docs: DataFrame, *more: Column, tau: int = TAU, hot: int = HOT) -> DataFrame:

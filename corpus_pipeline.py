@@ -1,19 +1,18 @@
 """A training corpus from documents: quality, near duplicates, contamination, source weights, token files.
 
-Every stage works on all rows that the stage before kept, read again from Parquet. Rows with a null doc_id take part in
-the first, third and fourth stage like any other; near duplicates are told apart by doc_id and text, so the second keeps
-them.
+Every stage works on all rows that the stage before kept, read again from Parquet, which goes when the next is written.
+Rows with a null doc_id take part in all stages; the near duplicates among them are found like any others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import decontamination, mixing, quality, simhash, token_output
-from askloom.llm.common import materialise, table
+from askloom.llm.common import discard, materialise, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +22,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, one row with the group's smallest doc_id."""
+    """Of each group of near duplicates, one row with the group's smallest doc_id; without one, where no row has one."""
     mark = F.xxhash64("text").alias("mark")
     found = simhash.components(docs, mark)
-    # Rows may share a doc_id, so a group goes by its root, and its row by doc_id and text.
-    kept = found.where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("kept")).agg(F.min("mark").alias("kept_mark"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), mark)
-    known = rows.where("id is not null").join(kept, (F.col("id") == F.col("kept")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
-    first = known.withColumn("rank", F.row_number().over(Window.partitionBy("id", "mark").orderBy("mark"))).where("rank = 1")
-    return first.select("row.*").unionByName(rows.where("id is null").select("row.*"))
+    # Rows may share a doc_id, so a group goes by its root, and its row by doc_id and text. No text is needed to choose.
+    rows = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "copies")).alias("least"))
+    kept = materialise(least.select("least.*").select(F.col("doc_id").alias("kept"), F.col("mark").alias("kept_mark"), (F.col("copies") > 1).alias("repeated")), "kept")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), mark)
+    met = F.col("id").eqNullSafe(F.col("kept")) & (F.col("mark") == F.col("kept_mark"))
+    once = own.join(kept.where("not repeated"), met, "left_semi").select("row.*")
+    if kept.where("repeated").isEmpty():
+        return once
+    # Equal rows: any of them, chosen before they are shuffled as well as after.
+    repeated = own.join(kept.where("repeated"), met, "left_semi").groupBy("id", "mark").agg(F.any_value("row").alias("row"))
+    return once.unionByName(repeated.select("row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs, f"stage{i}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -35,7 +35,23 @@ def test_near_dedup_keeps_one_of_each_group(spark, sf_dir):
     rows = [(4, "a b c d"), (2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (9, "something else entirely here"), (7, None), (8, "")]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string")
     got = corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir)
-    assert got.columns == docs.columns and sorted((r["doc_id"] for r in got.collect()), key=repr) == [2, 7, 9, None]
+    assert got.columns == docs.columns and sorted((r["doc_id"] for r in got.collect()), key=repr) == [2, 7, 9]
+
+
+def test_near_dedup_of_rows_without_an_id(spark, sf_dir):
+    texts = ["a b c d", "the first of two texts that share an id", "words of yet another text, unlike all others"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[1]), (None, texts[2]), (5, "nothing here is like the rest of them")]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, id string, mark int")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in got.collect()), key=repr) == sorted([(None, texts[0]), (5, texts[1]), (None, texts[2]), (5, rows[5][1])], key=repr)
+
+
+def test_near_dedup_of_many_equal_rows(spark, sf_dir):
+    hot = spark.range(30_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"))
+    docs = hot.union(spark.range(20).select("id", F.concat(F.lit("text of its own, number "), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 5))))
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir)
+    assert got.where("text = 'the same words again'").count() == 1 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_near_dedup_keeps_all_texts_of_a_repeated_id(spark, sf_dir):
