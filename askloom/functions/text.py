@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column
@@ -38,6 +39,35 @@ def split_literal(c: Column | str, separator: str) -> Column:
     return F.split(column(c), rf"\Q{separator}\E" if separator else "", -1)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """struct(state, out) after step over all items: step(state, item) gives the next state and what it puts out, of type out.
+
+    Items are folded in blocks of about the square root of their number, so that what has been put out is copied rarely:
+    the time is in proportion to the items for as many as fit into a row.
+    """
+
+    def one(acc: Column, item: Column) -> Column:
+        state, put = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.when(put.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(put))).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{out}>").alias("out")), one)
+        return bound(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        last = F.greatest(F.floor((F.size(xs) - 1) / n), F.lit(0)).cast("int")
+        blocks = bound(n, lambda k: F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * k + 1, k)))
+        return F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<array<{out}>>").alias("out")), block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+
+    return bound(items, whole)
+
+
 def render_prompt(template: str, **fields: Column) -> Column:
     """The template with its {fields} filled in; braces in the fields' values are plain text.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import column, split_literal
+from ..functions.text import bound, column, folded, split_literal
 
 SIZE, OVERLAP = 1000, 200
 #: Separators, from coarse to fine.
@@ -22,9 +23,6 @@ def checked(size: int, overlap: int) -> None:
 
 def _pieces(text: str, begin: int, end: int, separator: str) -> Iterator[tuple[int, int]]:
     """Spans of text[begin:end] between separators."""
-    if not separator:
-        yield from ((i, i + 1) for i in range(begin, end))
-        return
     at = begin
     while (found := text.find(separator, at, end)) >= 0:
         yield at, found
@@ -34,23 +32,29 @@ def _pieces(text: str, begin: int, end: int, separator: str) -> Iterator[tuple[i
 
 def _spans(text: str, begin: int, end: int, size: int, overlap: int, level: int) -> Iterator[tuple[int, int]]:
     """Chunk spans of text[begin:end]. Pieces that are packed together are neighbours, so a buffer is one span."""
-    firsts: list[int] = []  # where the buffered pieces start; `low` is the first that is still held
-    low, reach = 0, begin
+    if not SEPARATORS[level]:  # single characters: windows
+        while end - begin > size:
+            yield begin, begin + size
+            begin += size - overlap
+        yield begin, end
+        return
+    firsts: deque[int] = deque()  # where the buffered pieces start
+    reach = begin
 
     def flushed() -> Iterator[tuple[int, int]]:
-        if reach - firsts[low] > size and level + 1 < len(SEPARATORS):
-            yield from _spans(text, firsts[low], reach, size, overlap, level + 1)
+        if reach - firsts[0] > size:
+            yield from _spans(text, firsts[0], reach, size, overlap, level + 1)
         else:
-            yield firsts[low], reach
+            yield firsts[0], reach
 
     for a, b in _pieces(text, begin, end, SEPARATORS[level]):
-        if low < len(firsts) and b - firsts[low] > size:
+        if firsts and b - firsts[0] > size:
             yield from flushed()
-            while low < len(firsts) and reach - firsts[low] > overlap:
-                low += 1
+            while firsts and reach - firsts[0] > overlap:
+                firsts.popleft()
         firsts.append(a)
         reach = b
-    if low < len(firsts):
+    if firsts:
         yield from flushed()
 
 
@@ -85,13 +89,19 @@ def char_windows(c: Column | str, size: int = SIZE, overlap: int = OVERLAP) -> C
 
 def greedy_pack(c: Column | str, separator: str, size: int = SIZE) -> Column:
     """Parts between separators packed in order into strings of at most size characters (longer parts alone), without Python."""
-    sep = F.lit(separator)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
-
-    def add(acc: Column, part: Column) -> Column:
-        longer = F.concat(acc["now"], sep, part)
-        fits = acc["now"].isNotNull() & (F.length(longer) <= size)
-        done = F.when(acc["now"].isNull() | fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        return F.struct(done.alias("done"), F.when(fits, longer).otherwise(part).alias("now"))
-
-    return F.aggregate(split_literal(c, separator), start, add, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    step_ = F.lit(len(separator))
+
+    def pack(now: Column, part: Column) -> tuple[Column, Column]:
+        """now: where the string begins and how long it is; part: its place and length."""
+        longer = now["length"] + step_ + part["length"]
+        fits = (now["first"] >= 0) & (longer <= size)
+        after = F.struct(F.when(fits, now["first"]).otherwise(part["place"]).alias("first"), F.when(fits, longer).otherwise(part["length"]).alias("length"))
+        return after, F.when((now["first"] >= 0) & ~fits, F.struct(now["first"].alias("first"), part["place"].alias("end")))
+
+    def packed(parts: Column) -> Column:
+        sized = F.transform(parts, lambda part, i: F.struct(i.alias("place"), F.length(part).alias("length")))
+        found = folded(sized, F.struct(F.lit(-1).alias("first"), F.lit(0).alias("length")), pack, "struct<first:int,end:int>")
+        spans = bound(found, lambda x: F.concat(x["out"], F.array(F.struct(x["state"]["first"].alias("first"), F.size(parts).alias("end")))))
+        return F.transform(spans, lambda span: F.array_join(F.slice(parts, span["first"] + 1, span["end"] - span["first"]), separator))
+
+    return bound(split_literal(c, separator), packed)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -69,3 +70,37 @@ def test_native_windows_and_packing(spark):
     df = spark.createDataFrame([("abcdefghij",), ("",), ("a\nbb\ncccc\nd",)], "t string")
     assert [r[0] for r in df.select(char_windows("t", 4, 1)).collect()][0] == ["abcd", "defg", "ghij"]
     assert [r[0] for r in df.select(greedy_pack(F.col("t"), "\n", 4)).collect()][2] == ["a\nbb", "cccc", "d"]
+
+
+def packed(text, separator, size):
+    out, now = [], None
+    for part in text.split(separator):
+        if now is not None and len(now) + len(separator) + len(part) <= size:
+            now += separator + part
+        else:
+            out += [] if now is None else [now]
+            now = part
+    return [*out, now]
+
+
+def test_packing_of_random_texts(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "bcd", "\n", "--"]) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    for separator, size in (("\n", 7), ("--", 5), ("\n", 1)):
+        got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", greedy_pack("t", separator, size).alias("p")).collect()
+        assert {r["i"]: r["p"] for r in got} == {i: packed(t, separator, size) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("text", ["a line of about forty characters, or so.\n" * 1_250_000, "y" * 50_000_000, "word " * 10_000_000], ids=["lines", "one word", "words"])
+def test_a_text_of_50_mb_is_split_in_time(text):
+    began = time.perf_counter()
+    chunks = split_text(text)
+    assert max(map(len, chunks)) <= 1000 and sum(map(len, chunks)) >= 0.9 * len(text)
+    assert time.perf_counter() - began < 60
+
+
+def test_a_text_of_20_mb_is_packed_in_time(spark):
+    df = spark.range(1).select(F.repeat(F.lit("a line of about forty characters, or so.\n"), 500_000).alias("t"))
+    began = time.perf_counter()
+    assert df.select(F.size(greedy_pack("t", "\n"))).first()[0] == 500_000 // 24 + 1
+    assert time.perf_counter() - began < 60
