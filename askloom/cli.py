@@ -24,26 +24,27 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
     commands.add_parser("version", help="print the version")
     g = commands.add_parser("generate", help="make a dataset from a file", formatter_class=argparse.ArgumentDefaultsHelpFormatter)
-    g.add_argument("file", help="a .pdf, .txt or .csv file")
-    g.add_argument("--output", "-o", default="output/dataset.jsonl")
+    g.add_argument("file", help="a .pdf, .txt or .csv file, or a pattern of such, also on shared storage")
+    g.add_argument("--output", "-o", default="output/qa_dataset.jsonl")
     g.add_argument("--format", "-f", default=None, help="json or jsonl; by default the output's suffix")
-    g.add_argument("--mode", default="online", choices=["online", "offline", "test"], help="test answers without a model")
-    g.add_argument("--provider", default="openai")
+    g.add_argument("--mode", "-m", default="online", choices=["online", "offline", "test"], help="test answers without a model")
+    g.add_argument("--provider", "-p", default="openai")
     g.add_argument("--model", default=None)
     g.add_argument("--api-key", default=None, help="by default the provider's environment variable")
     g.add_argument("--base-url", default=None)
-    g.add_argument("--temperature", type=float, default=0.3)
+    g.add_argument("--temperature", "-t", type=float, default=0.3)
     g.add_argument("--max-tokens", type=int, default=1024)
     g.add_argument("--timeout", type=float, default=120.0)
     g.add_argument("--chunk-size", type=int, default=1000)
     g.add_argument("--chunk-overlap", type=int, default=200)
-    g.add_argument("--num-pairs", type=int, default=5)
-    g.add_argument("--max-workers", type=int, default=4)
+    g.add_argument("--num-pairs", "-n", type=int, default=5)
+    g.add_argument("--workers", "-w", "--max-workers", dest="max_workers", type=int, default=4)
     g.add_argument("--min-score", type=float, default=0.5)
     g.add_argument("--no-dedup", action="store_true")
     g.add_argument("--question-key", default="question")
     g.add_argument("--answer-key", default="answer")
     g.add_argument("--include-score", action="store_true")
+    g.add_argument("--text-column", "-c", action="append", default=None, help="a CSV column; may be given several times")
     g.add_argument("--text-columns", default=None, help="CSV columns, separated by commas")
     g.add_argument("--prompt-template", default=None, help="a file with {chunk} and {num_pairs}")
     g.add_argument("--save-metrics", action="store_true")
@@ -62,7 +63,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(__version__)
         return 0
     logging.basicConfig(level=logging.DEBUG if got.verbose else logging.INFO)
-    if not os.path.exists(got.file):
+    local = "://" not in got.file and not set("*?[{") & set(got.file)
+    if local and not os.path.exists(got.file):
         print(f"File not found: {got.file}", file=sys.stderr)
         return 1
     try:
@@ -72,9 +74,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             client = create_client(got.mode, got.provider, got.model, got.api_key, got.base_url, got.temperature, got.max_tokens, got.timeout)
         spark = spark or SparkSession.builder.appName("askloom").getOrCreate()
         run = run_pipeline(
-            spark, os.path.abspath(got.file), client, got.output, got.format or Path(got.output).suffix or "jsonl", got.chunk_size, got.chunk_overlap, got.num_pairs, got.max_workers,
+            spark, os.path.abspath(got.file) if local else got.file, client, got.output, got.format or Path(got.output).suffix or "jsonl", got.chunk_size, got.chunk_overlap, got.num_pairs, got.max_workers,
             min_quality_score=got.min_score, deduplicate_pairs=not got.no_dedup, question_key=got.question_key, answer_key=got.answer_key, include_score=got.include_score,
-            text_columns=listed(got.text_columns), prompt_template=Path(got.prompt_template).read_text("utf-8") if got.prompt_template else PROMPT, save_metrics=got.save_metrics,
+            text_columns=[*(got.text_column or []), *(listed(got.text_columns) or [])] or None, prompt_template=Path(got.prompt_template).read_text("utf-8") if got.prompt_template else PROMPT, save_metrics=got.save_metrics,
         )
     except Exception as error:
         log.debug("failed", exc_info=True)

@@ -7,8 +7,8 @@ import json
 import os
 import time
 import urllib.request
-from dataclasses import dataclass, replace
-from typing import Protocol
+from dataclasses import dataclass, field, replace
+from typing import Any, Protocol
 
 LOCAL_URL, ONLINE_URL = "http://localhost:11434/v1", "https://api.openai.com/v1"
 GEMINI_URL = "https://generativelanguage.googleapis.com/v1beta"
@@ -21,6 +21,7 @@ class Reply:
     prompt_tokens: int = 0
     completion_tokens: int = 0
     latency_seconds: float = 0.0
+    raw: dict[str, Any] = field(default_factory=dict, repr=False)  # what the server said
 
     @property
     def total_tokens(self) -> int:
@@ -32,9 +33,12 @@ class Reply:
 
 
 class Client(Protocol):
-    """What a model stage needs; a client is sent to the workers by pickle, so it holds settings, not connections."""
+    """What a model stage needs; a client is sent to the workers by pickle, so it holds settings, not connections.
 
-    def complete(self, prompt: str) -> Reply: ...
+    settings (temperature, max_tokens) hold for one call in place of the client's own.
+    """
+
+    def complete(self, prompt: str, **settings: Any) -> Reply: ...
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,7 @@ class OfflineClient:
     model: str = "offline"
     latency_seconds: float = 0.1
 
-    def complete(self, prompt: str) -> Reply:
+    def complete(self, prompt: str, **settings: Any) -> Reply:
         digest = hashlib.md5(prompt.rpartition("\n---\n")[2].encode()).hexdigest()
         content = "\n".join(f"Q{i}: What is part {i} of the digest?\nA{i}: Part {i} is {digest[8 * i - 8 : 8 * i]}." for i in range(1, self.pairs + 1))
         return Reply(content, self.model, len(prompt.split()), len(content.split()), self.latency_seconds)
@@ -69,13 +73,13 @@ class ChatClient:
     max_tokens: int = 1024
     timeout: float = 120.0
 
-    def complete(self, prompt: str) -> Reply:
+    def complete(self, prompt: str, **settings: Any) -> Reply:
         key = self.api_key or os.environ.get(self.key_variable) or ""
-        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.max_tokens}
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": settings.get("temperature", self.temperature), "max_tokens": settings.get("max_tokens", self.max_tokens)}
         began = time.perf_counter()
         got = _post(f"{self.base_url.rstrip('/')}/chat/completions", body, {"Authorization": f"Bearer {key}"} if key else {}, self.timeout)
         usage = got.get("usage") or {}
-        return Reply(got["choices"][0]["message"].get("content") or "", got.get("model", self.model), usage.get("prompt_tokens", 0), usage.get("completion_tokens", 0), time.perf_counter() - began)
+        return Reply(got["choices"][0]["message"].get("content") or "", got.get("model", self.model), usage.get("prompt_tokens", 0), usage.get("completion_tokens", 0), time.perf_counter() - began, got)
 
     def __repr__(self) -> str:
         return f"ChatClient(model={self.model!r}, base_url={self.base_url!r})"
@@ -93,13 +97,13 @@ class GeminiClient:
     timeout: float = 120.0
     base_url: str = GEMINI_URL
 
-    def complete(self, prompt: str) -> Reply:
+    def complete(self, prompt: str, **settings: Any) -> Reply:
         key = self.api_key or os.environ.get(self.key_variable) or ""
-        body = {"contents": [{"parts": [{"text": prompt}]}], "generationConfig": {"temperature": self.temperature, "maxOutputTokens": self.max_tokens}}
+        body = {"contents": [{"parts": [{"text": prompt}]}], "generationConfig": {"temperature": settings.get("temperature", self.temperature), "maxOutputTokens": settings.get("max_tokens", self.max_tokens)}}
         began = time.perf_counter()
         got = _post(f"{self.base_url}/models/{self.model}:generateContent", body, {"x-goog-api-key": key}, self.timeout)
         parts = got["candidates"][0].get("content", {}).get("parts", [])
-        return Reply("".join(p.get("text", "") for p in parts), self.model, latency_seconds=time.perf_counter() - began)
+        return Reply("".join(p.get("text", "") for p in parts), self.model, latency_seconds=time.perf_counter() - began, raw=got)
 
     def __repr__(self) -> str:
         return f"GeminiClient(model={self.model!r})"

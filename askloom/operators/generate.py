@@ -1,7 +1,9 @@
 """Chunks to model replies to pairs.
 
 The model is called once for each chunk; its replies are written to shared storage before anything reads them, as both
-pairs and metrics do, and as a call may cost money. A call that fails becomes a row with an error.
+pairs and metrics do, and as a call may cost money. Prompts are written first and asked in rounds of a bounded number of
+calls a task, each round written when it is done: a lost task repeats its own calls at most, and how many tasks a round
+has limits the calls at once, not the size of a task. A call that fails becomes a row with an error.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.replies import PAIRS, parse_pairs
 from ..functions.scores import tokens_per_second
 from ..functions.text import render_prompt
-from ..sources.storage import shared_path
+from ..sources.storage import discard, materialise, scratch_path
 from .clients import Client
 
 PROMPT = """Write {num_pairs} question-answer pairs about the excerpt below.
@@ -38,15 +40,14 @@ def _answered(client: Client, prompt: str | None) -> tuple:
         return None, str(error) or type(error).__name__, 0.0, 0, 0
 
 
-def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str = PROMPT, max_workers: int = 4, threads: int = 1, path: str | None = None) -> DataFrame:
+def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str = PROMPT, max_workers: int = 4, threads: int = 1, path: str | None = None, calls_a_task: int = 500) -> DataFrame:
     """chunks (doc_id, chunk_index, chunk) with prompt and reply, read back from path (default: shared storage).
 
     At most max_workers calls run at once: tasks times threads.
     """
-    if max_workers < 1 or threads < 1:
-        raise ValueError("max_workers and threads must be positive")
-    spark = chunks.sparkSession
-    asked = chunks.select("doc_id", "chunk_index", render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs)).alias("prompt"))
+    if max_workers < 1 or threads < 1 or calls_a_task < 1:
+        raise ValueError("max_workers, threads and calls_a_task must be positive")
+    spark, tasks = chunks.sparkSession, max(1, max_workers // threads)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
@@ -55,9 +56,15 @@ def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str =
                 got = pd.DataFrame(rows, columns=["content", "error", "latency_seconds", "prompt_tokens", "completion_tokens"])
                 yield pd.concat([pdf[["doc_id", "chunk_index"]].reset_index(drop=True), got], axis=1)
 
-    answered = asked.repartition(max(1, max_workers // threads), "doc_id", "chunk_index").mapInPandas(call, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}")
-    path = path or shared_path(spark, "replies")
-    answered.write.parquet(path)
+    asked = materialise(chunks.select("doc_id", "chunk_index", render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs)).alias("prompt")), "prompts")
+    rounds = max(1, -(-asked.count() // (tasks * calls_a_task)))
+    place, mode = F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(rounds)), "errorifexists" if path else "append"
+    path = path or scratch_path(spark, "replies")
+    for k in range(rounds):
+        own = asked.where(place == k).repartition(tasks, "doc_id", "chunk_index")
+        answered = own.mapInPandas(call, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}")
+        answered.write.mode("append" if k else mode).parquet(path)
+    discard(asked)
     return spark.read.schema(answered.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import score
@@ -31,10 +31,16 @@ def deduplicate(pairs: DataFrame, order: list[str], question: str = "question",
     return ranked.where("_rank = 1").drop("_q", "_a", "_rank")
 
 
-def filter_pairs(pairs: DataFrame, order: list[str], min_score: float = 0.5, dedup: bool = True, question: str = "question", answer: str = "answer", scope: list[str] | None = None) -> DataFrame:
-    """Pairs of at least min_score with their _score, rounded to four places; then the first of those alike."""
-    scored = score_pairs(pairs, question, answer).where(F.col("_score") >= min_score).withColumn("_score", F.round("_score", 4))
-    return deduplicate(scored, order, question, answer, scope) if dedup else scored
+def filter_pairs(pairs: DataFrame, order: list[str], min_score: float = 0.5, dedup: bool = True, question: str = "question", answer: str = "answer", scope: list[str] | None = None, seen: Observation | None = None) -> DataFrame:
+    """Pairs of at least min_score with their _score, rounded to four places; then the first of those alike.
+
+    seen is told, when the result is written, how many pairs there were (total) and how many passed the score (passed).
+    """
+    scored = score_pairs(pairs, question, answer)
+    if seen is not None:
+        scored = scored.observe(seen, F.count("*").alias("total"), F.count_if(F.col("_score") >= min_score).alias("passed"))
+    good = scored.where(F.col("_score") >= min_score).withColumn("_score", F.round("_score", 4))
+    return deduplicate(good, order, question, answer, scope) if dedup else good
 
 
 def preview(pairs: DataFrame, order: list[str], n: int = 20, question_key: str = "question", answer_key: str = "answer") -> DataFrame:

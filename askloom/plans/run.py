@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import render_prompt
@@ -16,9 +17,13 @@ from ..operators.generate import PROMPT, flat_pairs, replies, results
 from ..operators.metrics import chunk_metrics, run_summary
 from ..operators.pairs import filter_pairs
 from ..sources.readers import ingest
+from ..sources.storage import materialise
 from ..sources.writers import checked_format, export, save_metrics_csv
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass
 class Run:
     pairs: DataFrame
@@ -64,10 +69,15 @@ def run_pipeline(
     chunks = chunk(docs.select("doc_id", "text"), chunk_size, chunk_overlap)
     found = results(replies(chunks, client, num_pairs, prompt_template, max_workers, threads))
     order = ["doc_id", "chunk_index", "pair_index"]
-    kept = filter_pairs(flat_pairs(found), order, min_quality_score, deduplicate_pairs, scope=["doc_id"] if scope == "document" else None)
+    seen, left = Observation("scored pairs"), Observation("kept pairs")
+    filtered = filter_pairs(flat_pairs(found), order, min_quality_score, deduplicate_pairs, scope=["doc_id"] if scope == "document" else None, seen=seen)
+    kept = materialise(filtered.observe(left, F.count("*").alias("n")), "pairs")
+    total, passed, n = seen.get["total"], seen.get["passed"], left.get["n"]  # counted while the pairs were written
+    log.info("Deduplication removed %d pairs", passed - n)
+    log.info("Kept %d of %d pairs (least score %.2f)", n, total, min_quality_score)
     path = export(kept, output_path, fmt, question_key, answer_key, include_score)
     each = chunk_metrics(found)
     if save_metrics:
         save_metrics_csv(each, path.with_suffix(".metrics.csv"))
     summary = run_summary(each, time.perf_counter() - began).first().asDict()
-    return Run(kept, path, summary | {"total_pairs_kept": kept.count()}, each)
+    return Run(kept, path, summary | {"total_pairs_kept": n}, each)

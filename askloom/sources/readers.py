@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +43,36 @@ def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _numbered(files.unionByName(_empty_files(spark, path)))
 
 
-def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All cells as strings, by the header's names."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=None, emptyValue="")
+def csv_rows(spark: SparkSession, path: str | list[str], names: list[str] | None = None) -> DataFrame:
+    """All cells as strings, by the header's names, of files with one header; names: what it says, where that is known."""
+    reader = spark.read if names is None else spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    return reader.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=None, emptyValue="")
+
+
+def _names(header: str) -> list[str]:
+    """A header's names; one that is missing or has come before has its place behind it."""
+    names = next(csv.reader([header]))
+    lower = [c.lower() for c in names]
+    return [c if c and lower.count(c.lower()) == 1 else f"{c or '_c'}{i}" for i, c in enumerate(names)]
+
+
+def _by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str] | None, list[str]]]:
+    """The files with rows and their names, those with the same header together; one whose header goes on over lines is alone."""
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value").where(F.trim("value") != "")
+    heads: dict[str, list[str]] = {}
+    alone = []
+    for r in lines.groupBy("path").agg(F.min_by("value", "place").alias("head")).orderBy("path").collect():  # one row a file
+        if r["head"].count('"') % 2:
+            alone.append((None, [_literal(r["path"])]))
+        else:
+            heads.setdefault(r["head"], []).append(_literal(r["path"]))
+    return [(_names(head), paths) for head, paths in heads.items()] + alone
+
+
+def _literal(path: str) -> str:
+    """A file's own path, from its URI, as a pattern that only it matches."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
 def _filled(name: str) -> Column:
@@ -49,40 +80,52 @@ def _filled(name: str) -> Column:
     return F.when(c.isNull() | c.isin(*MISSING), F.lit("")).otherwise(c)
 
 
-def text_columns_of(rows: DataFrame, wanted: list[str] | None) -> list[str]:
-    """The wanted columns that exist, in that order; without any wanted the columns that hold text, else all."""
+#: Tables of one row a file are broadcast for so many files at most.
+BROADCAST_FILES = 10_000
+
+
+def _lines(rows: DataFrame, wanted: list[str] | None, files: int) -> DataFrame:
+    """path, row (its number in the order of reading) and line of each row: its text columns joined by single spaces.
+
+    Those are the wanted columns that exist, in that order; without any wanted those that hold text in the row's file,
+    else all.
+    """
+    names = list(rows.columns)
     if wanted:
-        found = [c for c in wanted if c in rows.columns]
-        if not found:
+        names = [c for c in wanted if c in rows.columns]
+        if not names:
             raise ValueError(f"None of the specified columns {wanted} are in the file; it has {rows.columns}")
-        return found
-    if not rows.columns:
-        return []
-    plain = [
-        F.coalesce(F.bool_and((_filled(c) == "") | _filled(c).try_cast("double").isNotNull()) | F.bool_and((_filled(c) == "") | F.lower(_filled(c)).isin("true", "false")), F.lit(True)).alias(str(i))
-        for i, c in enumerate(rows.columns)
-    ]
-    numbers = rows.agg(*plain).first()
-    return [c for i, c in enumerate(rows.columns) if not numbers[i]] or list(rows.columns)
+    placed = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), F.array(*[_filled(c) for c in names]).alias("cells"))
+    if wanted or not names:
+        return placed.select("path", "row", F.array_join("cells", " ").alias("line"))
+    cells = [F.col("cells")[i] for i in range(len(names))]
+    plain = [F.bool_and((c == "") | c.try_cast("double").isNotNull()) | F.bool_and((c == "") | F.lower(c).isin("true", "false")) for c in cells]
+    judged = placed.groupBy("path").agg(F.array(*plain).alias("numbers")).select(F.col("path").alias("of"), "numbers")
+    judged = F.broadcast(judged) if files <= BROADCAST_FILES else judged
+    held = F.when(F.forall("numbers", lambda x: x), F.col("cells")).otherwise(F.filter("cells", lambda c, i: ~F.get("numbers", i)))
+    return placed.join(judged, F.col("path") == F.col("of")).select("path", "row", F.array_join(held, " ").alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], text_columns: list[str] | None = None, per_row: bool = False) -> DataFrame:
     """One document for each file, its rows joined by line feeds; with per_row one for each row.
 
-    A row is its text columns joined by single spaces, missing cells empty. A file without rows is an empty text.
+    Columns are found by each file's own header, so files may order, add or lack columns; a file that has none of the
+    wanted ones raises. A row is its text columns joined by single spaces, missing cells empty. A file without rows is an
+    empty text. The ids of rows come from the file and the row's number in it.
     """
-    rows = csv_rows(spark, path)
-    names = text_columns_of(rows, text_columns)
-    line = F.concat_ws(" ", *[_filled(c) for c in names])
-    placed = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), line.alias("line"))
-    if per_row:
-        at = F.concat_ws("#", "path", "row")
-        return placed.select(F.xxhash64(at).alias("doc_id"), at.alias("path"), F.col("line").alias("text"))
-    whole = placed.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    files = spark.read.format("binaryFile").load(path).select(F.col("path"))
-    plain = F.regexp_replace("path", "^file:/+", "file:///")
-    found = files.select(plain.alias("path")).join(whole.select(plain.alias("path"), "text"), "path", "left")
-    return _numbered(found.select("path", F.coalesce("text", F.lit("")).alias("text")))
+    groups = _by_header(spark, path)
+    found = [_lines(csv_rows(spark, paths, names), text_columns, len(paths)) for names, paths in groups]
+    lines = functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], "path string, row long, line string")
+    if per_row:  # a file is read by one task, so its rows' numbers follow one another
+        first = lines.groupBy("path").agg(F.min("row").alias("first")).select(F.col("path").alias("of"), "first")
+        first = F.broadcast(first) if sum(len(paths) for _, paths in groups) <= BROADCAST_FILES else first
+        at = F.concat_ws("#", "path", F.col("row") - F.col("first"))
+        numbered = lines.join(first, F.col("path") == F.col("of")).select(at.alias("path"), "line")
+        return numbered.select(F.xxhash64("path").alias("doc_id"), "path", F.col("line").alias("text"))
+    whole = lines.groupBy(F.col("path").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("at"))
+    found = files.join(whole, F.col("at") == F.col("of"), "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
+    return _numbered(found.unionByName(_empty_files(spark, path)))
 
 
 def _pdf_pages(content: bytes) -> str:
@@ -122,8 +165,8 @@ def ingest(spark: SparkSession, path: str, text_columns: list[str] | None = None
 
 
 def from_dataframe(df: DataFrame, text_column: str = "text", id_column: str | None = None) -> DataFrame:
-    """Documents of any table with a text column."""
+    """Documents of any table with a text column; without an id column rows go by a hash of all columns, equal ones alike."""
     if not isinstance(df.schema[text_column].dataType, T.StringType):
         raise ValueError(f"{text_column} is not a text column")
-    number = F.col(id_column).cast("long") if id_column else F.monotonically_increasing_id()
+    number = F.col(id_column).cast("long") if id_column else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return df.select(number.alias("doc_id"), F.lit(None).cast("string").alias("path"), F.col(text_column).alias("text"))

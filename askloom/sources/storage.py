@@ -29,10 +29,16 @@ def _located(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def until_exit(spark: SparkSession, path: str) -> None:
-    """Delete what has been written to path when the application ends."""
+def until_exit(spark: SparkSession, path: str) -> str:
+    """path, made a folder whose contents are deleted when the application ends."""
     place, system = _located(spark, path)
+    system.mkdirs(place)
     system.deleteOnExit(place)
+    return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return until_exit(spark, shared_path(spark, name))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -40,9 +46,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     The files are deleted by `discard`, or else when the application ends.
     """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    until_exit(spark, path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._askloom_path = path
     return kept

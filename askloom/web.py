@@ -15,7 +15,7 @@ from askloom.functions.text import title
 from askloom.operators.clients import OfflineClient, create_client
 from askloom.operators.pairs import preview
 from askloom.plans.run import run_pipeline
-from askloom.sources.storage import shared_path
+from askloom.sources.storage import scratch_path
 
 #: Name, label, least, most, default and step of each slider.
 SLIDERS = (
@@ -32,7 +32,7 @@ PROVIDERS = ("OpenAI", "Google Gemini", "Ollama", "Test (no model)")
 
 def upload(spark: SparkSession, name: str, content: bytes) -> str:
     """Write an uploaded file to the shared folder, where executors can read it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'upload')}/{Path(name).name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'upload')}/{Path(name).name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(content))
     out.close()

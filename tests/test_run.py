@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 
 from askloom import __version__, cli
 from askloom.operators.clients import ChatClient, GeminiClient, OfflineClient, Reply, create_client
+from askloom.operators.generate import replies
 from askloom.operators.metrics import run_summary
 from askloom.plans.run import run_pipeline
 from askloom.streaming.pairs import stream_chunks, stream_distinct, stream_documents, stream_pairs
@@ -74,6 +75,19 @@ def test_settings_are_checked_before_any_call(spark, tmp_path):
             run_pipeline(spark, docs, Failing(), tmp_path / "o", **bad)
 
 
+def test_rounds_of_calls_give_one_reply_a_chunk(spark):
+    chunks = spark.range(40).selectExpr("id AS doc_id", "0 AS chunk_index", "concat('text ', id) AS chunk")
+    few, all_ = (replies(chunks, OfflineClient(), max_workers=2, calls_a_task=n) for n in (3, 500))
+    assert few.count() == 40 and few.exceptAll(all_).count() == 0
+
+
+def test_kept_and_removed_pairs_are_logged(spark, tmp_path, caplog):
+    docs = spark.createDataFrame([(1, "One text."), (2, "Another text.")], "doc_id long, text string")
+    with caplog.at_level("INFO", "askloom"):
+        run_pipeline(spark, docs, Fixed(), tmp_path / "a.jsonl", scope="corpus")
+    assert [r.getMessage() for r in caplog.records] == ["Deduplication removed 2 pairs", "Kept 2 of 4 pairs (least score 0.50)"]
+
+
 def test_empty_input(spark, tmp_path):
     (tmp_path / "a.txt").write_text("")
     run = run_pipeline(spark, str(tmp_path / "a.txt"), Fixed(), tmp_path / "o.json", "json")
@@ -107,7 +121,7 @@ def test_chat_client_over_http():
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self):
             asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            body = json.dumps({"model": asked["model"], "choices": [{"message": {"content": asked["messages"][0]["content"].upper()}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}).encode()
+            body = json.dumps({"asked": asked, "model": asked["model"], "choices": [{"message": {"content": asked["messages"][0]["content"].upper()}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -118,8 +132,10 @@ def test_chat_client_over_http():
     server = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     got = ChatClient("m", f"http://127.0.0.1:{server.server_port}", key_variable="").complete("hello")
+    other = ChatClient("m", f"http://127.0.0.1:{server.server_port}", key_variable="", temperature=0.1).complete("hello", temperature=0.9, max_tokens=5)
     server.shutdown()
     assert (got.content, got.model, got.total_tokens) == ("HELLO", "m", 7) and got.tokens_per_second > 0
+    assert got.raw["asked"]["temperature"] == 0.3 and (other.raw["asked"]["temperature"], other.raw["asked"]["max_tokens"]) == (0.9, 5)
 
 
 def test_cli(spark, tmp_path, capsys):
@@ -130,6 +146,10 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["generate", str(tmp_path / "a.txt"), "-o", str(tmp_path / "o.json"), "--mode", "test", "--num-pairs", "3", "--prompt-template", str(tmp_path / "prompt")], spark) == 0
     assert "Total Chunks" in capsys.readouterr().out and len(json.loads((tmp_path / "o.json").read_text())) == 3
     assert cli.main(["generate", str(tmp_path / "a.txt"), "--mode", "test", "--chunk-overlap", "5000"], spark) == 1
+    for name, title in (("one.csv", "First"), ("two.csv", "Second")):
+        (tmp_path / name).write_text(f"title,body,n\n{title},A text about something else.,1\n")
+    assert cli.main(["generate", str(tmp_path / "*.csv"), "-o", str(tmp_path / "c.jsonl"), "-m", "test", "-n", "2", "-w", "2", "-t", "0.5", "-p", "openai", "-c", "body", "-c", "title"], spark) == 0
+    assert len((tmp_path / "c.jsonl").read_text().splitlines()) == 4
     assert cli.listed(" a, ,b ") == ["a", "b"] and cli.listed(" , ") is None
 
 

@@ -1,8 +1,9 @@
 import json
+import os
 
 import pytest
 
-from askloom.sources import readers, writers
+from askloom.sources import readers, storage, writers
 
 
 def texts(df):
@@ -37,6 +38,54 @@ def test_csv_without_rows_or_text_columns(spark, tmp_path):
     assert texts(readers.ingest(spark, str(tmp_path / "b.csv"))) == ["1 2.5\n3 "]
 
 
+def test_csv_columns_are_found_file_by_file(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("title,body\nOne,First\n")
+    (tmp_path / "b+[1].csv").write_text("body,title\nSecond,Two\n")
+    (tmp_path / "c.csv").write_text("id,body,more\n7,Third,x\n8,,y\n")
+    (tmp_path / "d.csv").write_text('"a\nb",body\n1,Fourth\n')
+    (tmp_path / "e.csv").write_text("title,body\n")
+    (tmp_path / "f.csv").write_bytes(b"")
+    got = readers.read_csv(spark, f"{tmp_path}/*.csv", ["body", "title"])
+    assert texts(got) == ["First One", "Second Two", "Third\n", "Fourth", "", ""]
+    assert texts(readers.read_csv(spark, f"{tmp_path}/*.csv")) == ["One First", "Second Two", "Third x\n y", "Fourth", "", ""]
+    with pytest.raises(ValueError, match="None of the specified columns"):
+        readers.read_csv(spark, f"{tmp_path}/*.csv", ["title"])
+
+
+def test_csv_row_ids_do_not_follow_the_partitions(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"{k}.csv").write_text("body\n" + "".join(f"row {k} {i}\n" for i in range(20)))
+    ids = []
+    for size in ("128m", "100b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        ids.append({r["text"]: r["doc_id"] for r in readers.read_csv(spark, f"{tmp_path}/*.csv", ["body"], per_row=True).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(set(ids[0].values())) == 100
+
+
+def test_tables_without_ids_have_lasting_ones(spark):
+    df = spark.range(30).selectExpr("concat('text ', id) AS body", "id AS more")
+    one, other = ({r["text"]: r["doc_id"] for r in readers.from_dataframe(x, "body").collect()} for x in (df, df.repartition(7)))
+    assert one == other and len(set(one.values())) == 30
+
+
+def test_shared_storage(spark, tmp_path):
+    from types import SimpleNamespace
+
+    for master, where in (("local[4]", None), ("spark://host:7077", "hdfs://shared")):
+        conf = SimpleNamespace(get=lambda key, default, where=where: where)
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: str(tmp_path))
+        assert storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=context)) in (where, str(tmp_path))
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(bare)
+    kept = storage.materialise(spark.range(5), "test")
+    path = kept._askloom_path.removeprefix("file:")
+    assert kept.count() == 5 and os.path.isdir(path)
+    storage.discard(kept)
+    assert not os.path.exists(path)
+
+
 def test_unsupported_suffix(spark):
     with pytest.raises(ValueError, match="Unsupported file format"):
         readers.ingest(spark, "a.docx")
