@@ -12,7 +12,7 @@ from ..functions.replies import PAIRS, parse_pairs
 from ..operators import chunking, generate, metrics, pairs
 from ..operators.clients import OfflineClient
 from ..sources import readers, writers
-from ..sources.storage import shared_path
+from ..sources.storage import scratch_path
 
 ORDER = ["conv_id", "turn"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,7 +111,7 @@ def export_schema_custom(spark, sf_dir):
 
 @query(f"WITH {_SCORED} SELECT question, answer, conv_id, turn, raw AS _score FROM scored")
 def export_jsonl_roundtrip(spark, sf_dir):
-    path = shared_path(spark, "jsonl")
+    path = scratch_path(spark, "jsonl")
     writers.export_folder(pairs.score_pairs(_pairs(spark, sf_dir)), path, include_score=True)
     return spark.read.schema("question string, answer string, conv_id long, turn long, _score double").json(path)
 
@@ -148,6 +148,11 @@ def min_len_docs(spark, sf_dir):
     return _docs(spark, sf_dir).where(scores.long_enough("text", "text")).select("doc_id")
 
 
+@query(f"WITH {_PAIRS} SELECT conv_id, turn FROM pairs WHERE length(question) >= 10 AND length(answer) >= 5")
+def long_enough_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).where(scores.long_enough("question", "answer")).select("conv_id", "turn")
+
+
 @query("SELECT doc_id FROM documents WHERE length(text) <= 2000")
 def max_len_docs(spark, sf_dir):
     return _docs(spark, sf_dir).where(scores.short_enough("text")).select("doc_id")
@@ -177,12 +182,6 @@ def render_prompt(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.render_prompt("Ask {num_pairs} questions about: {chunk} {{done}}", chunk=F.col("text"), num_pairs=F.lit(3)).alias("prompt"))
 
 
-@query("SELECT doc_id, 1::INT AS n_pairs FROM documents")
-def parse_without_last_answer(spark, sf_dir):
-    said = F.concat(F.lit("Q1: What is this?\nA1: Text "), F.col("doc_id").cast("string"), F.lit("\nQ2: Without an answer"))
-    return _docs(spark, sf_dir).select("doc_id", F.size(parse_pairs(said)).alias("n_pairs"))
-
-
 @query("SELECT doc_id, text FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 def docs_of_good_quality(spark, sf_dir):
     return _docs(spark, sf_dir).join(_table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
@@ -239,6 +238,11 @@ def sentence_split(spark, sf_dir):
     return _split(spark, sf_dir, ". ")
 
 
+@query("SELECT item_id, unnest(range(len(p)))::INT AS piece, unnest(p) AS part FROM (SELECT item_id, string_split(text, '') AS p FROM benchmark)")
+def character_split(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.split_literal("text", "")).alias("piece", "part"))
+
+
 @query("""WITH RECURSIVE parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents
 ), packed(doc_id, p, i, done, now) AS (
   SELECT doc_id, p, 2, []::VARCHAR[], p[1] FROM parts
@@ -251,13 +255,53 @@ def greedy_pack_one_level(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.greedy_pack("text", "\n")).alias("chunk_index", "chunk"))
 
 
-@query()
+def _recursive_sql(size: int, overlap: int) -> str:
+    """The splitter level by level: at each, pieces are packed one chunk after the other, and what is too long goes down.
+
+    place: a segment's chunk numbers at the levels above; first, last: the pieces of a chunk. The next chunk begins with
+    the first piece of those that do not reach back over the overlap, and has the piece behind the last one at least.
+    """
+    ctes = ["s0 AS (SELECT doc_id, []::BIGINT[] AS place, text AS body FROM documents)"]
+    for level, separator in enumerate(chunking.SEPARATORS):
+        said, bottom = separator.replace("\n", "' || chr(10) || '"), level + 1 == len(chunking.SEPARATORS)
+        ctes += [
+            f"p{level} AS (SELECT doc_id, place, unnest(range(1, len(x) + 1)) AS i, length(unnest(x)) AS n FROM (SELECT doc_id, place, string_split(body, '{said}') AS x FROM s{level}))",
+            f"q{level} AS (SELECT doc_id, place, i, sum(n + {len(separator)}) OVER (PARTITION BY doc_id, place ORDER BY i) - n - {len(separator)} AS a, n FROM p{level})",
+            f"l{level} AS (SELECT doc_id, place, list(a ORDER BY i) AS a, list(a + n ORDER BY i) AS b FROM q{level} GROUP BY doc_id, place)",
+            f"""w{level}(doc_id, place, k, first, last) AS (
+  SELECT doc_id, place, 0, 1::BIGINT, greatest(1, len(list_filter(b, lambda x: x <= {size})))::BIGINT FROM l{level}
+  UNION ALL
+  SELECT doc_id, place, k, f, greatest(last + 1, len(list_filter(b, lambda x: x - a[f] <= {size})))::BIGINT FROM (
+    SELECT l.doc_id, l.place, k + 1 AS k, last, a, b, coalesce(list_filter(range(first, last + 1), lambda i: b[last] - a[i] <= {overlap})[1], last + 1) AS f
+    FROM w{level} w JOIN l{level} l ON l.doc_id = w.doc_id AND l.place = w.place WHERE last < len(a)
+  )
+)""",
+            f"""c{level} AS (SELECT s.doc_id, list_append(s.place, k) AS place, substring(body, (a[first] + 1)::BIGINT, (b[last] - a[first])::BIGINT) AS body
+  FROM w{level} w JOIN l{level} l ON l.doc_id = w.doc_id AND l.place = w.place JOIN s{level} s ON s.doc_id = w.doc_id AND s.place = w.place)""",
+        ]
+        if not bottom:
+            ctes.append(f"s{level + 1} AS (SELECT * FROM c{level} WHERE length(body) > {size})")
+    every = " UNION ALL ".join(f"SELECT * FROM c{level}" + f" WHERE length(body) <= {size}" * (level + 1 < len(chunking.SEPARATORS)) for level in range(len(chunking.SEPARATORS)))
+    chunk = f"chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_index, body AS chunk FROM ({every}) WHERE {_strip('body')} <> '')"
+    return "WITH RECURSIVE " + ",\n".join([*ctes, chunk])
+
+
+_CHUNKS = _recursive_sql(chunking.SIZE, chunking.OVERLAP)
+
+
+@query(f"{_CHUNKS} SELECT * FROM chunks")
 def recursive_chunks(spark, sf_dir):
     return chunking.chunk(_docs(spark, sf_dir))
 
 
-@query(f"""SELECT doc_id, true AS has_chunks, true AS within_size, false AS any_blank, true AS in_text, (length(text) <= 1000) AS one_if_short
-FROM documents WHERE {_strip("text")} <> ''""")
+@query(f"{_recursive_sql(120, 40)} SELECT * FROM chunks")
+def recursive_chunks_small(spark, sf_dir):
+    """Small enough for all levels: lines, sentences and words are cut."""
+    return chunking.chunk(_docs(spark, sf_dir), 120, 40)
+
+
+@query(f"""{_CHUNKS} SELECT doc_id, count(*) > 0 AS has_chunks, max(length(chunk)) <= 1000 AS within_size, bool_or({_strip("chunk")} = '') AS any_blank,
+  bool_and(contains(text, chunk)) AS in_text, count(*) = 1 AND max(chunk) = max(text) AS one_if_short FROM chunks JOIN documents USING (doc_id) GROUP BY doc_id""")
 def recursive_chunk_invariants(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("whole", F.col("text"))
     chunks = chunking.chunk(docs)
@@ -309,14 +353,20 @@ def parse_fallback(spark, sf_dir):
     return _parsed(_replies(spark, sf_dir, False))
 
 
-@query(rf"""WITH {_REPLIES} SELECT conv_id, (k - 1)::INT AS pair_index, {_strip('question')} AS question, {_strip('answer')} AS answer FROM said WHERE conv_id % 3 = 0
-UNION ALL SELECT conv_id, (k - 1)::INT, {_FLAT.format('question')}, {_FLAT.format('answer')} FROM said WHERE conv_id % 3 = 1""")
-def parse_mixed(spark, sf_dir):
-    """A third of the replies is numbered, a third has plain markers, a third has none."""
-    numbered, plain = _replies(spark, sf_dir, True), _replies(spark, sf_dir, False).withColumnRenamed("content", "plain")
-    both = numbered.join(plain, "conv_id")
-    chosen = F.when(F.col("conv_id") % 3 == 0, F.col("content")).when(F.col("conv_id") % 3 == 1, F.col("plain")).otherwise(F.lit("Nothing is asked here."))
-    return _parsed(both.select("conv_id", chosen.alias("content")))
+@query(f"WITH {_REPLIES} SELECT conv_id, (count(*) - 1)::INT AS n_pairs FROM said GROUP BY conv_id")
+def parse_without_last_answer(spark, sf_dir):
+    whole = _replies(spark, sf_dir, True)
+    last = F.regexp_extract_all("content", F.lit(r"\nA\d+: "), F.lit(0))
+    return whole.select("conv_id", F.size(parse_pairs(F.call_function("substring_index", F.col("content"), F.element_at(last, -1), F.lit(1)))).alias("n_pairs"))
+
+
+@query(f"""WITH {_REPLIES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS back FROM said)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1)::INT AS pair_index, {_strip('question')} AS question, {_strip('answer')} AS answer FROM n WHERE back > 1""")
+def parse_drops_blank_answers(spark, sf_dir):
+    """The last answer is white space only, so its pair is dropped."""
+    last = F.regexp_extract_all("content", F.lit(r"\nA\d+: "), F.lit(0))
+    blank = F.concat(F.call_function("substring_index", F.col("content"), F.element_at(last, -1), F.lit(1)), F.element_at(last, -1), F.lit(" \n \t"))
+    return _parsed(_replies(spark, sf_dir, True).select("conv_id", blank.alias("content")))
 
 
 @query(f"""WITH {_REPLIES} SELECT conv_id, 'numbered' AS kind, (k - 1)::INT AS pair_index, {_strip('question')} AS question, {_strip('answer')} AS answer FROM said
@@ -379,21 +429,47 @@ def run_summary(spark, sf_dir):
 
 @query("SELECT c_custkey::VARCHAR || ' ' || c_name || ' ' || c_mktsegment AS text FROM customer")
 def csv_rows_as_documents(spark, sf_dir):
-    path = shared_path(spark, "csv")
-    _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, emptyValue="")
+    path = scratch_path(spark, "csv")
+    _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.mode("append").csv(path, header=True, emptyValue="")
     return readers.read_csv(spark, path, ["c_custkey", "c_name", "c_mktsegment"], per_row=True).select("text")
 
 
+@query("SELECT c_name || ' ' || c_mktsegment AS text FROM customer UNION ALL SELECT c_name || ' ' || c_mktsegment FROM customer UNION ALL SELECT c_name FROM customer")
+def csv_files_by_header(spark, sf_dir):
+    """Files with the columns in another order, with one more and one less: each by its own header."""
+    path, rows = scratch_path(spark, "csv"), _table(spark, sf_dir, "customer")
+    for columns in (["c_name", "c_mktsegment"], ["c_custkey", "c_mktsegment", "c_name"], ["c_name", "c_custkey"]):
+        rows.select(*columns).write.mode("append").csv(path, header=True)
+    return readers.read_csv(spark, f"{path}/*.csv", ["c_name", "c_mktsegment"], per_row=True).select("text")
+
+
+@query("SELECT coalesce(nullif(c_name, 'Customer#000000001'), '') || ' ' || CASE WHEN c_nationkey >= 5 THEN c_mktsegment ELSE '' END AS text FROM customer")
+def csv_fills_nulls(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    rows = _table(spark, sf_dir, "customer").select(F.nullif("c_name", F.lit("Customer#000000001")).alias("c_name"), F.when(F.col("c_nationkey") >= 5, F.col("c_mktsegment")).alias("c_mktsegment"))
+    rows.write.mode("append").csv(path, header=True)
+    return readers.read_csv(spark, path, ["c_name", "c_mktsegment"], per_row=True).select("text")
+
+
+@query(r"""SELECT 'txt' AS kind, r_name || chr(10) AS text FROM region UNION ALL SELECT 'csv', string_agg(n_name, chr(10) ORDER BY n_nationkey) FROM nation""")
+def ingest_by_suffix(spark, sf_dir):
+    path = scratch_path(spark, "files")
+    _table(spark, sf_dir, "region").select("r_regionkey", "r_name").write.mode("append").partitionBy("r_regionkey").text(f"{path}/txt")
+    _table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.csv(f"{path}/csv", header=True)
+    kinds = [readers.ingest(spark, where).select(F.lit(kind).alias("kind"), "text") for kind, where in (("txt", f"{path}/txt/*/*.txt"), ("csv", f"{path}/csv/*.csv"))]
+    return kinds[0].union(kinds[1])
+
+
 @query("SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) AS text FROM region")
 def csv_file_as_document(spark, sf_dir):
-    path = shared_path(spark, "csv")
-    _table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").coalesce(1).write.csv(path, header=True)
+    path = scratch_path(spark, "csv")
+    _table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").coalesce(1).write.mode("append").csv(path, header=True)
     return readers.read_csv(spark, f"{path}/*.csv").select("text")
 
 
 @query(r"SELECT regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10) AS text FROM benchmark")
 def text_scan(spark, sf_dir):
     """Items written as text files, one for each, and read back."""
-    path = shared_path(spark, "txt")
-    _table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    path = scratch_path(spark, "txt")
+    _table(spark, sf_dir, "benchmark").select("item_id", "text").write.mode("append").partitionBy("item_id").text(path)
     return readers.read_txt(spark, f"{path}/*/*.txt").select("text")
