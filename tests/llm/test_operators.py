@@ -1036,3 +1036,45 @@ def test_licences_of_real_files(spark, tmp_path, same):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
     same(license_scan.license_scan(docs), duck.sql(license_scan.OP10_SQL))
+
+
+# All: a text longer than a step of a worker, without an id and twice
+
+
+def test_texts_above_one_step(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    item = " ".join(f"item{i}" for i in range(20))
+    long = " ".join(f"word{rng.randint(0, 300_000)}" for _ in range(900_000)) + f" {item}. Released under the MIT License."
+    assert len(long) > 8 << 20
+    rows = [(1, "short " * 60), (None, long), (7, long), (8, long), (9, f"before {item} after " + " ".join(long.split()[:1500]))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").repartition(2).cache()
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs, with_text=False).collect()}
+    n = len(long.split())
+    assert {i: got[i]["n_words"] for i in (1, None, 7, 8)} == {1: 60, None: n, 7: n, 8: n} and {i: got[i]["n_removed"] for i in (1, None, 7, 8)} == {1: 0, None: 0, 7: 0, 8: n}
+    assert got[9]["n_removed"] == 1500 and got[8]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+    fps = {t: brute_fingerprint(t) for t in {t for _, t in rows}}
+    got = simhash.simhash_components(docs).collect()
+    assert sorted(((r["doc_id"], r["fingerprint"]) for r in got), key=repr) == sorted(((i, f"{fps[t]:016x}") for i, t in rows), key=repr)
+    net = small_net()
+    got = language_id.language_id(docs, net).collect()
+    p = language_id.Scorer(net).probabilities([t.encode() for _, t in rows])
+    assert sorted((repr(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in got) == sorted((repr(i), net.languages[int(x.argmax())], round(float(x.max()), 6)) for (i, _), x in zip(rows, p))
+    assert mixing.mix(docs, {}, target=50).where("length(text) > 8000000").count() > 0
+    tokenizer = Tokenizer.from_file(token_output.tokenizer_path())
+    sizes = {t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in fps}
+    assert sorted((repr(r["doc_id"]), r["n_tokens"]) for r in token_output.token_output(docs).collect()) == sorted((repr(i), sizes[t]) for i, t in rows)
+    benchmark = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = decontamination.decontamination_report(docs, benchmark).collect()
+    assert sorted((repr(r["doc_id"]), r["n_hit"], r["contaminated"]) for r in got) == [("1", 0, False), ("7", 20, False), ("8", 20, False), ("9", 20, False), ("None", 20, False)]
+    chat = docs.selectExpr("doc_id AS conv_id", "1L AS turn", "'assistant' AS role", "concat(text, '</s>') AS text")
+    back = {r["conv_id"]: r["loss_text"] for r in chat_format.read_back(chat_format.format_conversations(chat.where("conv_id is null or conv_id < 7"))).collect()}
+    assert back == {1: rows[0][1] + "</s>", None: long + "</s>"}
+    media = {(r["n_bytes"], r["payload_sha256"]) for r in flac_media.media_report(flac_media.text_media(docs)).collect()}
+    assert media == {(len(t), hashlib.sha256(flac_media.payload(t.encode())).hexdigest()) for t in fps}
+    labels = spark.createDataFrame([(1, 1), (9, 0), (7, 0)], "doc_id long, quality int")
+    scores = [r["score"] for r in quality.quality_scores(docs, quality.fit(docs, labels)).where("doc_id is null or doc_id in (7, 8)").collect()]
+    assert len(scores) == 3 and max(scores) - min(scores) < 1e-12
+    assert {r["doc_id"]: r["n_notices"] for r in license_scan.license_scan(docs).collect()} == {1: 0, None: 1, 7: 1, 8: 1, 9: 0}
+    docs.unpersist()
