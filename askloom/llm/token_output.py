@@ -1,9 +1,10 @@
 """Token-id output: canonical length-limited Huffman blocks with bit-offset checkpoints.
 
-Documents are dealt by ranges of doc_id, encoded with a public tokenizer and kept as plain ids; the global counts of
-the ids give canonical code lengths, limited by package-merge. A file row is one independent block of whole documents:
-their ids and lengths, the number of ids before the block, the coded bits, and the bit offset of every `stride`-th id.
-Decoding looks codes up in one table; all stretches between checkpoints of a block advance together, one id a step.
+Documents are dealt by ranges of doc_id that are about equal in bytes, encoded with a public tokenizer and kept as plain
+ids; the global counts of the ids give canonical code lengths, limited by package-merge. A file row is one independent
+block of whole documents: their ids and lengths, the number of ids before the block, the coded bits, and the bit offset
+of every `stride`-th id. Decoding looks codes up in one table; all stretches between checkpoints of a block advance
+together, one id a step.
 
 A tokenizer of the production form (`FORM`: lower case, words and marks apart, byte pairs with an end of word) works on
 pieces of words: ids are computed once for each distinct piece of a batch and put together. Files of any other form are
@@ -257,13 +258,46 @@ class Encoder:
 
 
 _FIRST = -(1 << 63)  # where null ids stand
+#: What a row weighs besides its text.
+ROW_BYTES = 64
 
 
-def _bounds(docs: DataFrame, parts: int) -> np.ndarray:
-    """The last doc_id of each range but the last, ranges being about equal in rows; of the corpus only ids are read."""
-    wanted = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_FIRST)), wanted or [0.5], max(10_000, 20 * parts)).alias("x")).first()["x"]
-    return np.array((found or [])[: parts - 1], np.int64)
+def _sizes(fine: np.ndarray):
+    """Bytes of the rows (doc_id, n) in each fine range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(fine) + 1, np.int64)
+        for batch in batches:
+            # Exact up to 2^53 bytes a batch.
+            total += np.bincount(np.searchsorted(fine, np.asarray(batch.column(0))), weights=np.asarray(batch.column(1)), minlength=len(total)).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
+
+    return run
+
+
+def _bounds(docs: DataFrame, parts: int, finer: int = 16, quantiles: int = 1000) -> np.ndarray:
+    """The last doc_id of each range but the last, ranges being about equal in bytes of text.
+
+    Quantiles of the ids, and steps between them where there are too few, bound `finer` times as many fine ranges; their
+    bytes are added up, and ranges put together from them. The driver gets one number for each fine range.
+    """
+    if parts < 2:
+        return np.empty(0, np.int64)
+    sized = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("n"))
+    points = min(finer * parts, quantiles)
+    edges = sized.agg(F.percentile_approx("doc_id", [i / points for i in range(points + 1)], 20 * quantiles).alias("x")).first()["x"]
+    if not edges:
+        return np.empty(0, np.int64)
+    each = -(-finer * parts // points)
+    fine = np.array([a + (b - a) * k // each for a, b in zip(edges[:-1], edges[1:], strict=True) for k in range(each)][1:], np.int64)
+    sizes, found = np.zeros(len(fine) + 1), sized.mapInArrow(tidy(_sizes(fine)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    sizes[np.asarray(found["place"].combine_chunks())] = np.asarray(found["n"].combine_chunks())
+    _, first, times = np.unique(fine, return_index=True, return_counts=True)
+    for a, n in zip(first[times > 1].tolist(), times[times > 1].tolist(), strict=True):  # an id that fills several fine ranges
+        sizes[a : a + n] = sizes[a] / n
+    ends = np.cumsum(sizes)
+    return fine[np.minimum(np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts), len(fine) - 1)]
 
 
 def _squeezed(bounds: np.ndarray):
@@ -373,7 +407,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         raise ValueError("stride must be positive")
     spark, path = docs.sparkSession, path or tokenizer_path()
     parts, chosen = partitions(docs), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    squeezed = chosen.mapInArrow(tidy(_squeezed(_bounds(chosen.select("doc_id"), parts))), "doc_id long, body binary, part int")
+    squeezed = chosen.mapInArrow(tidy(_squeezed(_bounds(chosen, parts))), "doc_id long, body binary, part int")
     ranged = squeezed.repartitionById(parts, "part").sortWithinPartitions("doc_id", "body").select("doc_id", "body")
     plain = materialise(ranged.mapInArrow(tidy(_blocks_of_ids(path, end_id, block_ids)), "part int, seq long, before long, doc_ids array<long>, sizes array<long>, wide boolean, ids binary"), "ids")
     # Of the corpus, the driver gets one count for each id of the vocabulary and one for each partition.

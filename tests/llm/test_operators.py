@@ -471,6 +471,16 @@ def test_a_hot_id_is_spread_over_ranges(spark):
     assert all(y["start"] == x["start"] + x["n_tokens"] for x, y in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("quantiles", [5, 1000])
+def test_ranges_are_equal_in_bytes(spark, quantiles):
+    ids = list(range(-300, 900, 3))
+    texts = ["y" * (20_000 if 40 <= k < 80 else 100) for k in range(len(ids))]  # long texts at neighbouring ids
+    bounds = token_output._bounds(table(spark, texts, ids), 8, quantiles=quantiles)
+    sizes = np.bincount(np.searchsorted(bounds, ids), weights=[len(t) for t in texts], minlength=8)
+    assert len(bounds) == 7 and (np.diff(bounds) >= 0).all() and sizes.max() < 1.6 * sizes.sum() / 8
+    assert not len(token_output._bounds(table(spark, []), 8)) and not len(token_output._bounds(table(spark, texts[:2]), 1))
+
+
 @pytest.mark.parametrize("n,limit", [(1, 18), (2, 18), (3, 2), (200, 9), (5000, 18), (70000, 18)])
 def test_huffman(n, limit):
     rng = np.random.default_rng(n)
