@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -38,28 +40,37 @@ def _records(pairs: DataFrame, drop: tuple[str, ...], **names) -> Iterator[dict]
         yield row.asDict(recursive=True)
 
 
-def export_jsonl(pairs: DataFrame, output_path: str | Path, question_key: str = "question", answer_key: str = "answer", include_score: bool = False, drop: tuple[str, ...] = ("doc_id", "pair_index")) -> Path:
-    """One file of one object a line, in order; rows pass through the driver one partition at a time."""
-    path = Path(output_path)
+def _write(path: str | Path, pieces: Iterable[str]) -> Path:
+    """One UTF-8 file of the pieces, in a folder that is made if need be."""
+    path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", encoding="utf-8") as out:
-        for record in _records(pairs, drop, question_key=question_key, answer_key=answer_key, include_score=include_score):
-            out.write(json.dumps(record, ensure_ascii=False) + "\n")
+    with path.open("w", encoding="utf-8", newline="") as out:
+        out.writelines(pieces)
     return path
 
 
+def _lines(records: Iterator[dict]) -> Iterator[str]:
+    for record in records:
+        yield json.dumps(record, ensure_ascii=False) + "\n"
+
+
+def _array(records: Iterator[dict], indent: int) -> Iterator[str]:
+    before = "["
+    for record in records:
+        body = json.dumps(record, ensure_ascii=False, indent=indent)
+        yield before + "\n" + "\n".join(" " * indent + line for line in body.splitlines())
+        before = ","
+    yield "[]" if before == "[" else "\n]"
+
+
+def export_jsonl(pairs: DataFrame, output_path: str | Path, question_key: str = "question", answer_key: str = "answer", include_score: bool = False, drop: tuple[str, ...] = ("doc_id", "pair_index")) -> Path:
+    """One file of one object a line, in order; rows pass through the driver one partition at a time."""
+    return _write(output_path, _lines(_records(pairs, drop, question_key=question_key, answer_key=answer_key, include_score=include_score)))
+
+
 def export_json(pairs: DataFrame, output_path: str | Path, question_key: str = "question", answer_key: str = "answer", include_score: bool = False, indent: int = 2, drop: tuple[str, ...] = ("doc_id", "pair_index")) -> Path:
     """One file of one array, in order."""
-    path = Path(output_path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", encoding="utf-8") as out:
-        before = "["
-        for record in _records(pairs, drop, question_key=question_key, answer_key=answer_key, include_score=include_score):
-            body = json.dumps(record, ensure_ascii=False, indent=indent)
-            out.write(before + "\n" + "\n".join(" " * indent + line for line in body.splitlines()))
-            before = ","
-        out.write("[]" if before == "[" else "\n]")
-    return path
+    return _write(output_path, _array(_records(pairs, drop, question_key=question_key, answer_key=answer_key, include_score=include_score), indent))
 
 
 def export(pairs: DataFrame, output_path: str | Path, fmt: str = "jsonl", question_key: str = "question", answer_key: str = "answer", include_score: bool = False) -> Path:
@@ -74,12 +85,14 @@ def export_folder(pairs: DataFrame, folder: str, question_key: str = "question",
 
 def save_metrics_csv(metrics: DataFrame, path: str | Path) -> Path:
     """One file of the metrics of each chunk, in order; a missing error is an empty cell."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
     ordered = metrics.orderBy(*[c for c in ("doc_id", "chunk_index") if c in metrics.columns]).select(*METRICS)
-    with path.open("w", encoding="utf-8", newline="") as out:
-        writer = csv.writer(out)
-        writer.writerow(METRICS)
-        for row in ordered.toLocalIterator(prefetchPartitions=True):
-            writer.writerow(["" if v is None else v for v in row])
-    return path
+    rows, line = ordered.toLocalIterator(prefetchPartitions=True), io.StringIO()
+    writer = csv.writer(line)
+
+    def cells(values: Iterable) -> str:
+        line.seek(0)
+        line.truncate()
+        writer.writerow(["" if v is None else v for v in values])
+        return line.getvalue()
+
+    return _write(path, map(cells, itertools.chain([METRICS], rows)))
