@@ -58,7 +58,7 @@ def _array(records: Iterator[dict], indent: int) -> Iterator[str]:
     before = "["
     for record in records:
         body = json.dumps(record, ensure_ascii=False, indent=indent)
-        yield before + "\n" + "\n".join(" " * indent + line for line in body.splitlines())
+        yield before + "\n" + "\n".join(" " * indent + line for line in body.split("\n"))
         before = ","
     yield "[]" if before == "[" else "\n]"
 

@@ -124,6 +124,14 @@ def test_jsonl_and_json(pairs, tmp_path):
     assert path.read_text("utf-8") == json.dumps(want, ensure_ascii=False, indent=2)
 
 
+def test_texts_with_rare_line_breaks_stay_whole(spark, tmp_path):
+    texts = ["a\u2028b\u2029c", "d\x85e\x0bf\x1cg", "h\r\ni\rj\nk"]
+    pairs = spark.createDataFrame([(1, 0, i, t, t) for i, t in enumerate(texts)], "doc_id long, chunk_index int, pair_index int, question string, answer string")
+    want = [{"question": t, "answer": t, "chunk_index": 0} for t in texts]
+    assert json.loads(writers.export(pairs, tmp_path / "a.json", "json").read_text("utf-8")) == want
+    assert [json.loads(line) for line in writers.export(pairs, tmp_path / "a.jsonl", "jsonl").read_text("utf-8").split("\n")[:-1]] == want
+
+
 def test_empty_exports(pairs, tmp_path):
     none = pairs.where("false")
     assert writers.export(none, tmp_path / "a.jsonl", "jsonl").read_text() == ""
