@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 #: What a CSV cell may say for a missing value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SUFFIXES = (".pdf", ".txt", ".csv")
+#: A cell that is a number; unlike a cast it takes no letter behind it, as in `3F`.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^[+-]?inf(inity)?$"
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def _lines(rows: DataFrame, wanted: list[str] | None, files: int) -> DataFrame:
     if wanted or not names:
         return placed.select("path", "row", F.array_join("cells", " ").alias("line"))
     cells = [F.col("cells")[i] for i in range(len(names))]
-    plain = [F.bool_and((c == "") | c.try_cast("double").isNotNull()) | F.bool_and((c == "") | F.lower(c).isin("true", "false")) for c in cells]
+    plain = [F.bool_and((c == "") | c.rlike(NUMBER)) | F.bool_and((c == "") | F.lower(c).isin("true", "false")) for c in cells]
     judged = placed.groupBy("path").agg(F.array(*plain).alias("numbers")).select(F.col("path").alias("of"), "numbers")
     judged = F.broadcast(judged) if files <= BROADCAST_FILES else judged
     held = F.when(F.forall("numbers", lambda x: x), F.col("cells")).otherwise(F.filter("cells", lambda c, i: ~F.get("numbers", i)))

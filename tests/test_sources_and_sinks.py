@@ -22,6 +22,11 @@ def test_csv_auto_columns(spark, tmp_path):
     assert texts(readers.ingest(spark, str(tmp_path / "a.csv"))) == ['One First "body"\nsecond line\nTwo ']
 
 
+def test_csv_cells_that_only_begin_like_numbers_are_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("flat,price,rate,title\n3F,1.5,-2e3,one\n10d,,.5,two\n", "utf-8")
+    assert readers.read_csv(spark, str(tmp_path / "a.csv")).first()["text"] == "3F one\n10d two"
+
+
 def test_csv_explicit_columns(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("title,body,score\nOne,First,1\n")
