@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import PAIRS, parse_pairs
@@ -40,6 +40,20 @@ def _answered(client: Client, prompt: str | None) -> tuple:
         return None, str(error) or type(error).__name__, 0.0, 0, 0
 
 
+def in_order(prompts: DataFrame) -> DataFrame:
+    """prompts in the order of place, a hash of their chunk: a round is a range of places, and its filter skips all others' files and pages."""
+    parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = prompts.withColumn("place", F.xxhash64("doc_id", "chunk_index"))
+    part = F.least(F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("place")
+
+
+def in_round(k: int, rounds: int) -> Column:
+    """Whether a prompt's place is in the k-th of so many equal ranges."""
+    first, after = (i * (1 << 64) // rounds - (1 << 63) for i in (k, k + 1))
+    return F.col("place").between(first, after - 1)
+
+
 def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str = PROMPT, max_workers: int = 4, threads: int = 1, path: str | None = None, calls_a_task: int = 500) -> DataFrame:
     """chunks (doc_id, chunk_index, chunk) with prompt and reply, read back from path (default: shared storage).
 
@@ -56,12 +70,11 @@ def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str =
                 got = pd.DataFrame(rows, columns=["content", "error", "latency_seconds", "prompt_tokens", "completion_tokens"])
                 yield pd.concat([pdf[["doc_id", "chunk_index"]].reset_index(drop=True), got], axis=1)
 
-    asked = materialise(chunks.select("doc_id", "chunk_index", render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs)).alias("prompt")), "prompts")
+    asked = materialise(in_order(chunks.select("doc_id", "chunk_index", render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs)).alias("prompt"))), "prompts")
     rounds = max(1, -(-asked.count() // (tasks * calls_a_task)))
-    place, mode = F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(rounds)), "errorifexists" if path else "append"
-    path = path or scratch_path(spark, "replies")
+    mode, path = "errorifexists" if path else "append", path or scratch_path(spark, "replies")
     for k in range(rounds):
-        own = asked.where(place == k).repartition(tasks, "doc_id", "chunk_index")
+        own = asked.where(in_round(k, rounds)).repartition(tasks, "doc_id", "chunk_index")
         answered = own.mapInPandas(call, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}")
         answered.write.mode("append" if k else mode).parquet(path)
     discard(asked)

@@ -4,12 +4,14 @@ from dataclasses import dataclass
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from askloom import __version__, cli
 from askloom.operators.clients import ChatClient, GeminiClient, OfflineClient, Reply, create_client
-from askloom.operators.generate import replies
+from askloom.operators.generate import in_order, in_round, replies
 from askloom.operators.metrics import run_summary
 from askloom.plans.run import run_pipeline
+from askloom.sources.storage import materialise
 from askloom.streaming.pairs import stream_chunks, stream_distinct, stream_documents, stream_pairs
 
 
@@ -81,6 +83,19 @@ def test_rounds_of_calls_give_one_reply_a_chunk(spark):
     assert few.count() == 40 and few.exceptAll(all_).count() == 0
 
 
+def test_rounds_share_out_all_chunks_and_read_their_own_places(spark):
+    chunks = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 7 AS int) AS chunk_index", "'p' AS prompt")
+    placed = materialise(in_order(chunks), "places")
+    for rounds in (1, 3, 64):
+        sizes = [placed.where(in_round(k, rounds)).count() for k in range(rounds)]
+        assert sum(sizes) == 2000 and max(sizes) < 2 * 2000 / rounds + 30
+    assert "GreaterThanOrEqual(place" in placed.where(in_round(5, 64))._jdf.queryExecution().executedPlan().toString()
+    spans = placed.groupBy(F.col("_metadata.file_name")).agg(F.min("place").alias("a"), F.max("place").alias("b")).orderBy("a").collect()
+    assert len(spans) > 1 and all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+    ends = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,)], "place long")
+    assert ends.where(in_round(0, 64)).count() == ends.where(in_round(63, 64)).count() == 1
+
+
 def test_kept_and_removed_pairs_are_logged(spark, tmp_path, caplog):
     docs = spark.createDataFrame([(1, "One text."), (2, "Another text.")], "doc_id long, text string")
     with caplog.at_level("INFO", "askloom"):
