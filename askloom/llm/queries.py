@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, flac_media, language_id, license_scan, mixing, quality, simhash, substring_dedup, token_output
+from . import chat_format, decontamination, filter_audit, flac_media, language_id, license_scan, mixing, quality, simhash, substring_dedup, token_output
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         flac_media.op8_flac_media,
         quality.op9_quality_classifier,
         license_scan.op10_license_scan,
+        filter_audit.op12_filter_audit,
     )
 }
 
@@ -27,4 +28,5 @@ ORACLES = {
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
