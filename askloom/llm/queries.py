@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, filter_audit, flac_media, language_id, license_scan, mixing, quality, simhash, substring_dedup, token_output
+from . import chat_format, decontamination, filter_audit, flac_media, hard_negatives, language_id, license_scan, mixing, quality, simhash, substring_dedup, token_output
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         quality.op9_quality_classifier,
         license_scan.op10_license_scan,
         filter_audit.op12_filter_audit,
+        hard_negatives.op13_hard_negatives,
     )
 }
 
@@ -29,4 +30,5 @@ ORACLES = {
     "op7_chat_format": chat_format.OP7_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
     "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
