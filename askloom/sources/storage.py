@@ -29,10 +29,16 @@ def _located(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def until_exit(spark: SparkSession, path: str) -> str:
-    """path, made a folder whose contents are deleted when the application ends."""
+def folder(spark: SparkSession, path: str) -> str:
+    """path, made a folder if there is none."""
     place, system = _located(spark, path)
     system.mkdirs(place)
+    return path
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """path, made a folder whose contents are deleted when the application ends."""
+    place, system = _located(spark, folder(spark, path))
     system.deleteOnExit(place)
     return path
 
