@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, filter_audit, flac_media, hard_negatives, language_id, license_scan, mixing, quality, simhash, substring_dedup, token_output
+from . import chat_format, decontamination, filter_audit, flac_media, hard_negatives, language_id, license_scan, mixing, quality, secret_scan, simhash, substring_dedup, token_output
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         flac_media.op8_flac_media,
         quality.op9_quality_classifier,
         license_scan.op10_license_scan,
+        secret_scan.op11_secret_scan,
         filter_audit.op12_filter_audit,
         hard_negatives.op13_hard_negatives,
     )
@@ -29,6 +30,7 @@ ORACLES = {
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op11_secret_scan": secret_scan.OP11_SQL,
     "op12_filter_audit": filter_audit.OP12_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
