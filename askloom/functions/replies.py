@@ -7,6 +7,9 @@ so a reply that repeats itself takes no longer than its length asks for. Where t
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,8 +84,16 @@ def line_pairs(c: Column | str) -> Column:
     return F.transform(met, lambda p: F.struct(p["x"]["text"].alias("question"), p["y"]["text"].alias("answer")))
 
 
+def _parsed(text: Column) -> Column:
+    return bound(numbered_pairs(text), lambda found: F.when(F.size(found) > 0, found).otherwise(line_pairs(text))).cast(PAIRS)
+
+
+@functools.lru_cache(maxsize=16)
+def _parsed_column(name: str, gateway: object) -> Column:
+    """The expression has some thousand parts, so for a column of that name it is built once for each gateway to a JVM."""
+    return _parsed(F.coalesce(F.col(name), F.lit("")))
+
+
 def parse_pairs(c: Column | str) -> Column:
     """array<struct<question, answer>>; null gives an empty array."""
-    text = F.coalesce(column(c), F.lit(""))
-    numbered = numbered_pairs(text)
-    return F.when(F.size(numbered) > 0, numbered).otherwise(line_pairs(text)).cast(PAIRS)
+    return _parsed_column(c, SparkContext._gateway) if isinstance(c, str) else _parsed(F.coalesce(c, F.lit("")))

@@ -14,6 +14,10 @@ LOCAL_URL, ONLINE_URL = "http://localhost:11434/v1", "https://api.openai.com/v1"
 GEMINI_URL = "https://generativelanguage.googleapis.com/v1beta"
 
 
+class NotAsked(Exception):
+    """For clients to raise where the model was not asked, as for want of quota: the chunk stays open for another run."""
+
+
 @dataclass(frozen=True)
 class Reply:
     content: str

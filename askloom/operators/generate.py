@@ -1,25 +1,31 @@
 """Chunks to model replies to pairs.
 
-The model is called once for each chunk; its replies are written to shared storage before anything reads them, as both
-pairs and metrics do, and as a call may cost money. Prompts are written first and asked in rounds of a bounded number of
-calls a task, each round written when it is done: a lost task repeats its own calls at most, and how many tasks a round
-has limits the calls at once, not the size of a task. A call that fails becomes a row with an error.
+The model is called once for each chunk. Prompts are written to shared storage first; a stream reads their files up to the
+end, and its checkpoint is the ledger of the run: a micro-batch that is done is never read again. Within a batch a task asks
+at most `calls_a_task` prompts and its replies are committed when it ends, whatever becomes of the other tasks. So a run
+that died goes on with the batch that it was in, and asks what that batch's committed files lack: it pays again for the
+calls of the tasks that were under way, at most. A call that fails becomes a row with an error; a call that the client did
+not make (`NotAsked`: no quota, no server) leaves its chunk open, the run ends with `Unfinished`, and the next one asks it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.replies import PAIRS, parse_pairs
 from ..functions.scores import tokens_per_second
 from ..functions.text import render_prompt
-from ..sources.storage import discard, materialise, scratch_path
-from .clients import Client
+from ..sources.storage import exists, folder, remove, scratch_path
+from .clients import Client, NotAsked
 
 PROMPT = """Write {num_pairs} question-answer pairs about the excerpt below.
 Use only facts that the excerpt states. Number them and keep to this form, with nothing before or after:
@@ -32,53 +38,108 @@ A2: its answer
 _REPLY = "content string, error string, latency_seconds double, prompt_tokens int, completion_tokens int"
 
 
-def _answered(client: Client, prompt: str | None) -> tuple:
+#: Calls in a batch at most, where the cluster's own size keeps the calls at once within max_workers.
+CALLS_A_BATCH = 1_000_000
+
+
+class Unfinished(RuntimeError):
+    """Some chunks are still open; the same call with the same path asks them."""
+
+
+def _answered(client: Client, prompt: str | None) -> tuple | None:
     try:
         got = client.complete(prompt or "")
         return got.content, None, float(got.latency_seconds), int(got.prompt_tokens), int(got.completion_tokens)
+    except NotAsked:
+        return None
     except Exception as error:  # whatever fails, the chunk is counted
         return None, str(error) or type(error).__name__, 0.0, 0, 0
 
 
-def in_order(prompts: DataFrame) -> DataFrame:
-    """prompts in the order of place, a hash of their chunk: a round is a range of places, and its filter skips all others' files and pages."""
-    parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = prompts.withColumn("place", F.xxhash64("doc_id", "chunk_index"))
-    part = F.least(F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
-    return placed.repartitionById(parts, part).sortWithinPartitions("place")
+def _asking(client: Client, threads: int, kind: pa.Schema):
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(threads) as pool:
+            ask = pool.map if threads > 1 else map
+            for batch in batches:
+                got = list(ask(lambda p: _answered(client, p), batch.column("prompt").to_pylist()))
+                made = batch.filter(pa.array([r is not None for r in got], pa.bool_()))
+                said = list(zip(*(r for r in got if r is not None), strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([*(made.column(c) for c in ("call", "doc_id", "chunk_index")), *(pa.array(x, kind.field(i + 3).type) for i, x in enumerate(said))], schema=kind)
+
+    return call
+
+
+def shared_out(spark: SparkSession, max_workers: int, threads: int, calls_a_task: int) -> tuple[int, int | None]:
+    """How many calls a batch has, and how many tasks; None for as many as calls_a_task asks for.
+
+    Where a session has no more slots for tasks than max_workers allows, the slots are the limit and a batch may be long.
+    Else a batch is no wider than max_workers, and short.
+    """
+    lanes, slots = max(1, max_workers // threads), spark.sparkContext.defaultParallelism
+    growing = spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true"
+    return (CALLS_A_BATCH, None) if slots <= lanes and not growing else (lanes * calls_a_task, lanes)
 
 
-def in_round(k: int, rounds: int) -> Column:
-    """Whether a prompt's place is in the k-th of so many equal ranges."""
-    first, after = (i * (1 << 64) // rounds - (1 << 63) for i in (k, k + 1))
-    return F.col("place").between(first, after - 1)
+def _written_prompts(chunks: DataFrame, num_pairs: int, prompt: str, path: str, calls_a_file: int) -> DataFrame:
+    """call (a number of its own), doc_id, chunk_index and prompt of each chunk, written if they are not yet."""
+    spark = chunks.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        text = render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs))
+        rows = chunks.select(F.monotonically_increasing_id().alias("call"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), text.alias("prompt"))
+        rows.write.mode("overwrite").option("maxRecordsPerFile", calls_a_file).parquet(path)
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    return spark.read.schema(f"call long, doc_id {kind}, chunk_index int, prompt string").parquet(path)
 
 
 def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str = PROMPT, max_workers: int = 4, threads: int = 1, path: str | None = None, calls_a_task: int = 500) -> DataFrame:
-    """chunks (doc_id, chunk_index, chunk) with prompt and reply, read back from path (default: shared storage).
+    """doc_id, chunk_index and reply of each of chunks (doc_id, chunk_index, chunk), read back from shared storage.
 
-    At most max_workers calls run at once: tasks times threads.
+    path: a folder that keeps the run. A run that ended early goes on there with the prompts that it began with, so a
+    folder belongs to one input and one prompt; another prompt or number of pairs is a run of its own. At most max_workers
+    calls run at once: tasks times threads.
     """
     if max_workers < 1 or threads < 1 or calls_a_task < 1:
         raise ValueError("max_workers, threads and calls_a_task must be positive")
-    spark, tasks = chunks.sparkSession, max(1, max_workers // threads)
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                rows = list(pool.map(lambda p: _answered(client, p), pdf["prompt"]))
-                got = pd.DataFrame(rows, columns=["content", "error", "latency_seconds", "prompt_tokens", "completion_tokens"])
-                yield pd.concat([pdf[["doc_id", "chunk_index"]].reset_index(drop=True), got], axis=1)
-
-    asked = materialise(in_order(chunks.select("doc_id", "chunk_index", render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs)).alias("prompt"))), "prompts")
-    rounds = max(1, -(-asked.count() // (tasks * calls_a_task)))
-    mode, path = "errorifexists" if path else "append", path or scratch_path(spark, "replies")
-    for k in range(rounds):
-        own = asked.where(in_round(k, rounds)).repartition(tasks, "doc_id", "chunk_index")
-        answered = own.mapInPandas(call, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}")
-        answered.write.mode("append" if k else mode).parquet(path)
-    discard(asked)
-    return spark.read.schema(answered.schema).parquet(path)
+    spark = chunks.sparkSession
+    run = f"{path}/{hashlib.md5(json.dumps([prompt, num_pairs]).encode()).hexdigest()}" if path else scratch_path(spark, "calls")
+    size, tasks = shared_out(spark, max_workers, threads, calls_a_task)
+    asked = _written_prompts(chunks, num_pairs, prompt, f"{run}/prompts", min(size, 50 * calls_a_task))
+    schema = f"call long, doc_id {asked.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}"
+    kind = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    n, files = asked.count(), max(1, len(asked.inputFiles()))  # from the files' footers
+    each, left = max(1, min(files, size * files // max(n, 1))), 0
+
+    def answer(batch: DataFrame, k: int) -> None:
+        nonlocal left
+        own = f"{run}/replies/batch={k}"
+        if exists(spark, own):  # of a run that ended within this batch
+            batch = batch.join(batch.sparkSession.read.schema(schema).parquet(own).select("call"), "call", "left_anti")
+        wide = tasks or max(1, -(-n * each // files // calls_a_task))
+        begun, done = Observation(), Observation()
+        answered = batch.observe(begun, F.count("*").alias("n")).repartition(wide, "call").mapInArrow(_asking(client, threads, kind), schema)
+        # Version 2 commits each task's file when the task ends.
+        answered.observe(done, F.count("*").alias("n")).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(own)
+        left = begun.get["n"] - done.get["n"]
+        if left:
+            raise unfinished()
+
+    def unfinished() -> Unfinished:
+        return Unfinished(f"{left} chunks were not asked" + (f"; a run with the path {path} asks them" if path else ""))
+
+    if path or each < files:
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", each).parquet(f"{run}/prompts")
+        query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{run}/progress").foreachBatch(answer).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if left:
+                raise unfinished() from None
+            raise
+    else:  # one batch, and nothing that could go on with it
+        answer(asked, 0)
+    if not path:
+        remove(spark, f"{run}/prompts")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder(spark, f"{run}/replies")).drop("call")
 
 
 def results(answered: DataFrame) -> DataFrame:
@@ -89,4 +150,5 @@ def results(answered: DataFrame) -> DataFrame:
 
 def flat_pairs(found: DataFrame) -> DataFrame:
     """doc_id, chunk_index, pair_index, question and answer of each pair."""
-    return found.select("doc_id", "chunk_index", F.posexplode("pairs").alias("pair_index", "pair")).select("doc_id", "chunk_index", "pair_index", "pair.question", "pair.answer")
+    each = F.coalesce("pairs", F.array().cast(PAIRS))  # of a plain column Spark would infer filters that parse again
+    return found.select("doc_id", "chunk_index", F.posexplode(each).alias("pair_index", "pair")).select("doc_id", "chunk_index", "pair_index", "pair.question", "pair.answer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..functions.replies import PAIRS, parse_pairs
 from ..operators import chunking, generate, metrics, pairs
-from ..operators.clients import OfflineClient
+from ..operators.clients import NotAsked, OfflineClient
 from ..sources import readers, writers
 from ..sources.storage import scratch_path
 
@@ -389,6 +390,28 @@ def generate_offline(spark, sf_dir):
     return generate.flat_pairs(generate.results(generate.replies(_windows(spark, sf_dir), OfflineClient(), max_workers=8)))
 
 
+class _Short(OfflineClient):
+    """Asks only what has a digest below 8; for the rest it has no quota."""
+
+    def complete(self, prompt, **settings):
+        if hashlib.md5(prompt.rpartition("\n---\n")[2].encode()).hexdigest() >= "8":
+            raise NotAsked
+        return super().complete(prompt, **settings)
+
+
+@query(f"""WITH {_WINDOWS}, digests AS (SELECT doc_id, chunk_index, md5(chunk) AS d FROM windows)
+SELECT doc_id, chunk_index, 1::BIGINT AS replies, CASE WHEN d < '8' THEN 2 ELSE 1 END AS pairs FROM digests""")
+def generate_resumed(spark, sf_dir):
+    """One reply a chunk from a run that ended early, with two pairs a reply, and the run that went on with it, with one."""
+    path, chunks = scratch_path(spark, "resumed"), _windows(spark, sf_dir)
+    try:
+        generate.replies(chunks, _Short(), max_workers=8, path=path)
+    except generate.Unfinished:
+        pass
+    found = generate.results(generate.replies(chunks, OfflineClient(pairs=1), max_workers=8, path=path))
+    return found.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("replies"), F.max(F.size("pairs")).alias("pairs"))
+
+
 _RESULTS = f"""{_WINDOWS}, results AS (
   SELECT doc_id, chunk_index, CASE WHEN chunk_index % 7 = 3 THEN 0 ELSE 1 END AS pairs_generated, CASE WHEN chunk_index % 7 = 3 THEN 'timed out' END AS error,
     (chunk_index % 4) * 0.25::DOUBLE AS latency_seconds, (length(chunk) // 4)::INT AS prompt_tokens, (length(chunk) % 50)::INT AS completion_tokens FROM windows

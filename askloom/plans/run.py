@@ -52,10 +52,12 @@ def run_pipeline(
     prompt_template: str = PROMPT,
     save_metrics: bool = False,
     scope: str = "document",
+    progress: str | None = None,
 ) -> Run:
     """source: a path (a glob gives many documents) or a table (doc_id, text). All settings are checked before any call.
 
-    Pairs are scored and compared under their own names; output names apply only to what is written.
+    Pairs are scored and compared under their own names; output names apply only to what is written. progress: a folder on
+    shared storage that keeps the replies, so that a run that died goes on with the calls it had not made.
     """
     fmt = checked_format(fmt)
     checked(chunk_size, chunk_overlap)
@@ -67,7 +69,7 @@ def run_pipeline(
     began = time.perf_counter()
     docs = ingest(spark, source, text_columns) if isinstance(source, str) else source
     chunks = chunk(docs.select("doc_id", "text"), chunk_size, chunk_overlap)
-    found = results(replies(chunks, client, num_pairs, prompt_template, max_workers, threads))
+    found = results(replies(chunks, client, num_pairs, prompt_template, max_workers, threads, progress))
     order = ["doc_id", "chunk_index", "pair_index"]
     seen, left = Observation("scored pairs"), Observation("kept pairs")
     filtered = filter_pairs(flat_pairs(found), order, min_quality_score, deduplicate_pairs, scope=["doc_id"] if scope == "document" else None, seen=seen)

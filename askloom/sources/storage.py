@@ -29,6 +29,16 @@ def _located(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _located(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, system = _located(spark, path)
+    system.delete(place, True)
+
+
 def folder(spark: SparkSession, path: str) -> str:
     """path, made a folder if there is none."""
     place, system = _located(spark, path)

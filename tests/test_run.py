@@ -1,17 +1,17 @@
+import glob
 import json
+import os
 import sys
 from dataclasses import dataclass
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 from askloom import __version__, cli
-from askloom.operators.clients import ChatClient, GeminiClient, OfflineClient, Reply, create_client
-from askloom.operators.generate import in_order, in_round, replies
+from askloom.operators.clients import ChatClient, GeminiClient, NotAsked, OfflineClient, Reply, create_client
+from askloom.operators.generate import Unfinished, flat_pairs, replies, results, shared_out
 from askloom.operators.metrics import run_summary
 from askloom.plans.run import run_pipeline
-from askloom.sources.storage import materialise
 from askloom.streaming.pairs import stream_chunks, stream_distinct, stream_documents, stream_pairs
 
 
@@ -77,23 +77,84 @@ def test_settings_are_checked_before_any_call(spark, tmp_path):
             run_pipeline(spark, docs, Failing(), tmp_path / "o", **bad)
 
 
-def test_rounds_of_calls_give_one_reply_a_chunk(spark):
-    chunks = spark.range(40).selectExpr("id AS doc_id", "0 AS chunk_index", "concat('text ', id) AS chunk")
+def some_chunks(spark, n):
+    return spark.range(n).selectExpr("id AS doc_id", "0 AS chunk_index", "concat('text ', id) AS chunk")
+
+
+def test_batches_of_calls_give_one_reply_a_chunk(spark, tmp_path):
+    chunks = some_chunks(spark, 40)
     few, all_ = (replies(chunks, OfflineClient(), max_workers=2, calls_a_task=n) for n in (3, 500))
-    assert few.count() == 40 and few.exceptAll(all_).count() == 0
-
-
-def test_rounds_share_out_all_chunks_and_read_their_own_places(spark):
-    chunks = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 7 AS int) AS chunk_index", "'p' AS prompt")
-    placed = materialise(in_order(chunks), "places")
-    for rounds in (1, 3, 64):
-        sizes = [placed.where(in_round(k, rounds)).count() for k in range(rounds)]
-        assert sum(sizes) == 2000 and max(sizes) < 2 * 2000 / rounds + 30
-    assert "GreaterThanOrEqual(place" in placed.where(in_round(5, 64))._jdf.queryExecution().executedPlan().toString()
-    spans = placed.groupBy(F.col("_metadata.file_name")).agg(F.min("place").alias("a"), F.max("place").alias("b")).orderBy("a").collect()
-    assert len(spans) > 1 and all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
-    ends = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,)], "place long")
-    assert ends.where(in_round(0, 64)).count() == ends.where(in_round(63, 64)).count() == 1
+    kept = replies(chunks, OfflineClient(), max_workers=8, path=str(tmp_path / "run"), calls_a_task=7)
+    assert few.count() == 40 and few.exceptAll(all_).count() == kept.exceptAll(all_).count() == 0 and kept.columns == all_.columns
+    assert replies(chunks.where("doc_id < 0"), OfflineClient(), path=str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("workers", [2, 8])
+def test_a_run_that_is_killed_goes_on_and_asks_no_committed_chunk_again(spark, tmp_path, workers):
+    """A worker process dies half-way through the calls; the second run asks what no committed task has asked."""
+    chunks, path = some_chunks(spark, 60), str(tmp_path / "run")
+    (tmp_path / "calls").mkdir()
+
+    class Dying(OfflineClient):
+        def complete(self, prompt, **settings):
+            k = int(prompt.rpartition("text ")[2])
+            with open(tmp_path / "calls" / str(k), "a") as f:
+                f.write("x")
+            if k == 37 and len(open(tmp_path / "calls" / str(k)).read()) == 1:
+                os._exit(1)
+            return super().complete(prompt, **settings)
+
+    with pytest.raises(Exception):
+        replies(chunks, Dying(), max_workers=workers, path=path, calls_a_task=1)
+    done = {r["doc_id"] for f in glob.glob(f"{path}/*/replies/*/*.parquet") for r in spark.read.parquet(f).select("doc_id").collect()}
+    asked = {int(f.name) for f in (tmp_path / "calls").iterdir()}
+    assert 37 in asked and 37 not in done and done < set(range(60))
+    found = replies(chunks, Dying(), max_workers=workers, path=path, calls_a_task=1)
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(60))
+    times = {int(f.name): len(f.read_text()) for f in (tmp_path / "calls").iterdir()}
+    assert all(times[k] == (1 if k in done or k not in asked else 2) for k in times)  # what was under way is asked again
+    before = dict(times)
+    assert replies(chunks, Dying(), max_workers=workers, path=path, calls_a_task=1).count() == 60
+    assert {int(f.name): len(f.read_text()) for f in (tmp_path / "calls").iterdir()} == before
+
+
+def test_calls_that_were_not_made_stay_open(spark, tmp_path):
+    class NoQuota(OfflineClient):
+        def complete(self, prompt, **settings):
+            if int(prompt.rpartition("text ")[2]) % 3 == 0:
+                raise NotAsked
+            return super().complete(prompt, **settings)
+
+    chunks, path = some_chunks(spark, 30), str(tmp_path / "run")
+    for _ in range(2):
+        with pytest.raises(Unfinished, match="10 chunks were not asked"):
+            replies(chunks, NoQuota(), max_workers=8, path=path)
+    with pytest.raises(Unfinished):
+        replies(chunks, NoQuota(), max_workers=8)
+    assert replies(chunks, OfflineClient(), max_workers=8, path=path).count() == 30
+    assert replies(chunks, NoQuota(), max_workers=8, path=path).count() == 30  # nothing is open
+
+
+def test_calls_are_shared_out_by_slots_or_lanes(spark):
+    assert shared_out(spark, 8, 1, 500)[1] is None and shared_out(spark, 2, 1, 500) == (1000, 2) and shared_out(spark, 2, 4, 10) == (10, 1)
+
+
+def test_replies_are_parsed_once(spark):
+    found = flat_pairs(results(replies(some_chunks(spark, 3), OfflineClient())))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_a_run_goes_on_in_its_folder(spark, tmp_path):
+    class Once(OfflineClient):
+        def complete(self, prompt, **settings):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("x")
+            return super().complete(prompt, **settings)
+
+    docs = spark.createDataFrame([(i, f"Text {i}.") for i in range(20)], "doc_id long, text string")
+    for _ in range(2):
+        assert run_pipeline(spark, docs, Once(), tmp_path / "a.jsonl", progress=str(tmp_path / "run")).metrics["total_chunks"] == 20
+    assert (tmp_path / "calls").read_text() == "x" * 20
 
 
 def test_kept_and_removed_pairs_are_logged(spark, tmp_path, caplog):
