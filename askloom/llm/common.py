@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.storage import discard, materialise, shared_dir, shared_path, until_exit  # noqa: F401
 
@@ -44,6 +46,18 @@ def partitions(df: DataFrame, each: int = 128 << 20) -> int:
     return max(own, min(-(-size // each), MOST_PARTITIONS))
 
 
+def comparable(c: Column, kind: T.DataType) -> Column:
+    """c in a form of the same content that can be grouped by and hashed: maps as sorted entries, intervals and variants as text."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[comparable(c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))
+    return c.cast("string") if kind.typeName() in ("interval", "calendarinterval", "variant") else c
+
+
 def share(spark: SparkSession, value):
     """A broadcast of value that workers can open without this package; for values of a bounded size."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

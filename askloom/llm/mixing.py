@@ -5,16 +5,18 @@ w_s * target / n_s. Each row's count is the rate's Poisson distribution inverted
 seed and row: the smallest k whose cumulative probability reaches it. Rows are exploded by their counts and sorted
 globally by a hash of seed, row and copy, which is uniform, so neither a hot source nor a large count meets in one task.
 
-A row goes by its doc_id where no other row has it; rows without an id, and rows that share theirs, go by a digest of
-all their columns and, as equal rows have one digest, a number among those. Equal rows are counted before the shuffle
-and dealt out again in pieces, so any number of them is no hot key. Ids that are shared are found by a count of the ids
-alone, and are joined to the rows only if there are any.
+A row goes by its doc_id where no other row has it. Rows without an id, and rows that share theirs, are grouped by all
+their columns, maps and intervals in a form that can be compared, and each goes by a hash of them and its number among
+the rows equal to it: only rows that are equal in every column are counted together, and the hash feeds the draw but
+never chooses a row. Equal rows are counted before the shuffle and dealt out again in pieces, so any number of them is no
+hot key. Ids that are shared are found by a count of the ids alone, and are joined to the rows only if there are any.
 
 Cumulative probabilities are held for each source only; weights and sources are joined by broadcast if they are few
 enough (`broadcast_sources`, a checked bound) and by a plain join beyond that.
 
 Defined results: a null source is a source of its own; sources without a weight get `default_weight`; a weight of zero
-drops the source; every row has a draw of its own, equal rows too; an empty table gives an empty table; all columns
+drops the source; every row has a draw of its own, equal rows too (maps are equal whatever their order, 0.0 equals
+-0.0 and NaN equals NaN, as in SQL); an empty table gives an empty table; all columns
 are kept, and the columns added (copy, n_copies, position) go by these names unless the table has them, and then by
 the name with underscores after it.
 """
@@ -26,11 +28,11 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, table
+from .common import comparable, materialise, partitions, table
 
 SEED, BROADCAST_SOURCES, PIECE = 17, 10_000, 10_000
-#: Production weights: the largest source counts twice, one source is left out, the others are alike.
-WEIGHTS, DEFAULT_WEIGHT = {"src0": 2.0, "src7": 0.0, "src9": 0.5}, 1.0
+#: Production weights: the largest source counts twice, two count less, the others are alike.
+WEIGHTS, DEFAULT_WEIGHT = {"src0": 2.0, "src7": 0.25, "src9": 0.5}, 1.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -50,16 +52,17 @@ def poisson_steps(rates: DataFrame) -> DataFrame:
 
 
 def told_apart(docs: DataFrame, key: str) -> DataFrame:
-    """row (all columns of docs) and key: the id of each row that has one of its own, else its digest and its number among equal rows."""
+    """row (all columns of docs) and key: the id of each row that has one of its own, else a hash of its columns and its number among equal rows."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("string").alias("key"))
     shared = docs.select(F.col(key).cast("string").alias("shared")).groupBy("shared").agg(F.count("*").alias("n")).where("n > 1 or shared is null").select("shared")
     if shared.isEmpty():
         return rows
     marked = rows.join(shared.where("shared is not null"), F.col("key") == F.col("shared"), "left")
     loose = F.col("key").isNull() | F.col("shared").isNotNull()
-    digest = F.concat(F.lit("row "), F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
-    equal = marked.where(loose).groupBy(digest.alias("digest")).agg(F.any_value("row").alias("row"), F.count("*").alias("n"))
-    pieces = equal.select("row", "digest", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("first")).repartition(partitions(docs), "digest", "first")
+    content = [comparable(F.col("row")[f.name], f.dataType).alias(f"c{i}") for i, f in enumerate(docs.schema.fields)]
+    equal = marked.where(loose).select("row", *content).groupBy(*[f"c{i}" for i in range(len(content))]).agg(F.any_value("row").alias("row"), F.count("*").alias("n"))
+    hashed = equal.select("row", F.concat_ws(" ", F.lit("row"), F.xxhash64(F.lit(0), *[f"c{i}" for i in range(len(content))]).cast("string")).alias("digest"), "n")
+    pieces = hashed.select("row", "digest", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("first")).repartition(partitions(docs), "digest", "first")
     numbers = pieces.select("row", "digest", F.explode(F.sequence("first", F.least(F.col("first") + PIECE, F.col("n")) - 1)).alias("number"))
     return marked.where(~loose).select("row", "key").union(numbers.select("row", F.concat_ws("#", "digest", "number")))
 
@@ -110,7 +113,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = f"""
 WITH RECURSIVE shares AS (
-  SELECT source, count(*) AS n, CASE source WHEN 'src0' THEN 2.0 WHEN 'src7' THEN 0.0 WHEN 'src9' THEN 0.5 ELSE {DEFAULT_WEIGHT} END::DOUBLE AS weight
+  SELECT source, count(*) AS n, CASE source {" ".join(f"WHEN '{name}' THEN {w}" for name, w in WEIGHTS.items())} ELSE {DEFAULT_WEIGHT} END::DOUBLE AS weight
   FROM documents GROUP BY source
 ), rates AS (
   SELECT source, weight / (SELECT sum(weight) FROM shares) * (SELECT sum(n) FROM shares)::DOUBLE / n AS rate FROM shares WHERE weight > 0

@@ -388,6 +388,24 @@ def test_mixing_draws_equal_rows_one_by_one(spark):
     assert got.exceptAll(again).count() == again.exceptAll(got).count() == 0
 
 
+def test_mixing_keeps_all_rows_that_text_forms_confuse(spark):
+    """Rows without an id that differ in microseconds, bytes, map values, map keys or intervals only."""
+    times = spark.range(1000).selectExpr("cast(null as long) doc_id", "'t' text", "'s' source", "timestamp_micros(1700000000000000 + id) odd")
+    for odd in ("odd", "unhex(hex(cast(unix_micros(odd) as string)))", "map('k', odd, 'a', odd)", "map(unix_micros(odd) div 2, struct(odd))", "make_interval(0, 0, 0, 0, 0, 0, (unix_micros(odd) % 1000) / 1000000)", "array(map('k', odd))"):
+        docs = times.selectExpr("doc_id", "text", "source", f"{odd} as odd")
+        got = mixing.mix(docs, {}, target=20_000)
+        assert got.select(F.col("odd").cast("string")).distinct().count() == 1000, odd
+        assert 19_000 < got.count() < 21_000
+    equal = spark.range(100_000).selectExpr("cast(null as long) doc_id", "'t' text", "'s' source", "map('a', 1, 'b', id % 2) odd")
+    assert mixing.mix(equal, {}).groupBy(F.spark_partition_id()).count().count() == 4
+
+
+def test_weight_zero_drops_a_source(spark):
+    docs = spark.range(300).selectExpr("id doc_id", "'t' text", "concat('src', id % 3) source")
+    assert {r["source"] for r in mixing.mix(docs, {"src1": 0.0}).select("source").distinct().collect()} == {"src0", "src2"}
+    assert all(w > 0 for w in mixing.WEIGHTS.values())
+
+
 def test_mixing_takes_many_sources_and_rates(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, F.col("id") % 300).alias("source"), F.lit("t").alias("text"))
     got = mixing.mix(docs, {i: float(i % 3) for i in range(300)} | {None: 600.0}, target=30_000)
