@@ -12,7 +12,7 @@ from ..functions import scores, text
 from ..functions.replies import PAIRS, parse_pairs
 from ..operators import chunking, generate, metrics, pairs
 from ..operators.clients import NotAsked, OfflineClient
-from ..sources import readers, writers
+from ..sources import dataset, readers, writers
 from ..sources.storage import scratch_path
 
 ORDER = ["conv_id", "turn"]
@@ -117,6 +117,40 @@ def export_jsonl_roundtrip(spark, sf_dir):
     return spark.read.schema("question string, answer string, conv_id long, turn long, _score double").json(path)
 
 
+_DATASET = "question string, answer string, conv_id long, turn long, _score double"
+
+
+def _exported(spark, sf_dir, kind) -> DataFrame:
+    path = f"{scratch_path(spark, 'dataset')}/set.{kind}/"
+    rows = writers.apply_schema(pairs.score_pairs(_pairs(spark, sf_dir)))
+    dataset.write_dataset(rows, path, kind, ORDER)
+    return dataset.read_dataset(spark, path, kind, _DATASET)
+
+
+@query(f"WITH {_SCORED} SELECT question, answer, conv_id, turn, raw AS _score FROM scored")
+def export_dataset_jsonl(spark, sf_dir):
+    """Written by the executors in two phases, and read back."""
+    return _exported(spark, sf_dir, "jsonl")
+
+
+@query(f"WITH {_SCORED} SELECT question, answer, conv_id, turn, raw AS _score FROM scored")
+def export_dataset_arrays(spark, sf_dir):
+    return _exported(spark, sf_dir, "json")
+
+
+@query(f"WITH {_SCORED} SELECT count(*) AS n, 0::BIGINT AS out_of_order FROM scored")
+def export_dataset_order(spark, sf_dir):
+    """How many rows of the parts do not come after the row before, within a part and from part to part."""
+    from pyspark.sql import Window
+
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = _exported(spark, sf_dir, "jsonl").select(F.col("_metadata.file_name").alias("part"), place.alias("place"), F.struct(*ORDER).alias("key"))
+    inside = rows.withColumn("before", F.lag("key").over(Window.partitionBy("part").orderBy("place")))
+    parts = inside.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("before") >= F.col("key")).alias("bad"), F.min("key").alias("first"), F.max("key").alias("last"))
+    after = F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("part"))  # a row a part
+    return parts.withColumn("before", after).agg(F.sum("n").alias("n"), F.sum(F.col("bad") + F.coalesce((F.col("before") >= F.col("first")).cast("long"), F.lit(0))).alias("out_of_order"))
+
+
 @query(f"WITH {_SCORED} SELECT conv_id, turn, coalesce(question, '') AS question, coalesce(answer, '') AS answer FROM scored ORDER BY conv_id, turn LIMIT 20")
 def preview_20(spark, sf_dir):
     return pairs.preview(_pairs(spark, sf_dir), ORDER)
@@ -435,6 +469,15 @@ def chunk_metrics(spark, sf_dir):
     return metrics.chunk_metrics(_results(spark, sf_dir))
 
 
+@query(f"WITH {_RESULTS} SELECT chunk_index, pairs_generated, error, latency_seconds, tokens_per_second, prompt_tokens, completion_tokens FROM timed")
+def export_metrics_csv(spark, sf_dir):
+    """The metrics file as parts on shared storage, read back."""
+    path = f"{scratch_path(spark, 'metrics')}/run.metrics.csv/"
+    writers.save_metrics_csv(metrics.chunk_metrics(_results(spark, sf_dir)), path)
+    kinds = "chunk_index int, pairs_generated int, error string, latency_seconds double, tokens_per_second double, prompt_tokens int, completion_tokens int"
+    return dataset.read_dataset(spark, path, "csv", kinds)
+
+
 @query(f"WITH {_RESULTS} SELECT doc_id, chunk_index, tokens_per_second FROM timed")
 def tokens_per_second(spark, sf_dir):
     return _results(spark, sf_dir).select("doc_id", "chunk_index", "tokens_per_second")

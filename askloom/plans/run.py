@@ -18,7 +18,7 @@ from ..operators.metrics import chunk_metrics, run_summary
 from ..operators.pairs import filter_pairs
 from ..sources.readers import ingest
 from ..sources.storage import materialise
-from ..sources.writers import checked_format, export, save_metrics_csv
+from ..sources.writers import checked_format, export, metrics_path, save_metrics_csv
 
 
 log = logging.getLogger(__name__)
@@ -27,7 +27,7 @@ log = logging.getLogger(__name__)
 @dataclass
 class Run:
     pairs: DataFrame
-    output_path: Path
+    output_path: Path | str
     metrics: dict
     chunk_metrics: DataFrame
 
@@ -80,6 +80,6 @@ def run_pipeline(
     path = export(kept, output_path, fmt, question_key, answer_key, include_score)
     each = chunk_metrics(found)
     if save_metrics:
-        save_metrics_csv(each, path.with_suffix(".metrics.csv"))
+        save_metrics_csv(each, metrics_path(path))
     summary = run_summary(each, time.perf_counter() - began).first().asDict()
     return Run(kept, path, summary | {"total_pairs_kept": n}, each)

@@ -29,6 +29,12 @@ def _located(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI with its scheme, by the session's file systems."""
+    place, system = _located(spark, path)
+    return system.makeQualified(place).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place, system = _located(spark, path)
     return system.exists(place)
