@@ -517,6 +517,39 @@ def csv_fills_nulls(spark, sf_dir):
     return readers.read_csv(spark, path, ["c_name", "c_mktsegment"], per_row=True).select("text")
 
 
+def _headed_lines(spark, rows: DataFrame, header: str, line, path: str) -> None:
+    """Text files of lines, each with the header first, whatever names that has."""
+    files = 4
+    parts = rows.select(F.pmod(F.col("c_custkey"), F.lit(files)).cast("int").alias("part"), F.col("c_custkey").alias("place"), line.alias("line"))
+    heads = spark.range(files).select(F.col("id").cast("int"), F.lit(-1), F.lit(header))
+    parts.union(heads).repartitionById(files, "part").sortWithinPartitions("part", "place").select("line").write.mode("append").text(path)
+
+
+@query("""SELECT c_mktsegment || ' ' || c_custkey AS text FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_name || ' ' || c_nationkey FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_mktsegment || ' ' || c_nationkey FROM customer""")
+def csv_names_alike(spark, sf_dir):
+    """Names that differ in case only, or repeat, in files of two headers; the wanted columns are found by exact names."""
+    path, rows = scratch_path(spark, "csv"), _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    cells = F.concat_ws(",", "c_name", F.concat(F.lit('"'), "c_mktsegment", F.lit('"')), "c_nationkey", "c_custkey")
+    _headed_lines(spark, rows, "Title,title,a,a", cells, path)
+    _headed_lines(spark, _table(spark, sf_dir, "customer"), "id,Title,title,a.1", F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment", "c_nationkey"), path)
+    first = readers.read_csv(spark, f"{path}/*.txt", ["title", "a.1"], per_row=True)
+    path = scratch_path(spark, "csv")
+    _headed_lines(spark, rows, "Title,title,a,a", cells, path)
+    return first.select("text").union(readers.read_csv(spark, f"{path}/*.txt", ["Title", "a"], per_row=True).select("text"))
+
+
+@query("""SELECT unnest(['id', 'balance', 'some', 'odd', 'flag', 'name', 'none']) AS name, unnest(['whole', 'decimal', 'whole', 'text', 'boolean', 'text', 'missing']) AS kind,
+  least(count(*), 4)::BIGINT AS files FROM customer""")
+def csv_column_kinds(spark, sf_dir):
+    """Kinds of columns by counts of their cells: whole numbers with gaps stay whole, truth values with gaps are text."""
+    path, c = scratch_path(spark, "csv"), F.col
+    even = c("c_custkey") < 0
+    cells = [c("c_custkey"), F.format_string("%.2f", "c_acctbal"), F.when(c("c_custkey") % 8 < 4, c("c_nationkey")), F.when(c("c_custkey") % 8 < 4, F.lit("true")), even, F.concat(F.lit('"'), c("c_name"), F.lit(', ""x"""')), F.lit("NA")]
+    _headed_lines(spark, _table(spark, sf_dir, "customer"), "id,balance,some,odd,flag,name,none", F.concat_ws(",", *[F.coalesce(x.cast("string"), F.lit("")) for x in cells]), path)
+    return readers.csv_columns(readers.csv_records(spark, f"{path}/*.txt")).groupBy("name", "kind").agg(F.count("*").alias("files"))
+
+
 @query(r"""SELECT 'txt' AS kind, r_name || chr(10) AS text FROM region UNION ALL SELECT 'csv', string_agg(n_name, chr(10) ORDER BY n_nationkey) FROM nation""")
 def ingest_by_suffix(spark, sf_dir):
     path = scratch_path(spark, "files")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import csv
 import functools
-import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
-from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import bound, folded
+from .storage import materialise
+
 #: What a CSV cell may say for a missing value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SUFFIXES = (".pdf", ".txt", ".csv")
 #: A cell that is a number; unlike a cast it takes no letter behind it, as in `3F`.
+WHOLE = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^[+-]?inf(inity)?$"
 
 
@@ -45,84 +47,126 @@ def read_txt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _numbered(files.unionByName(_empty_files(spark, path)))
 
 
-def csv_rows(spark: SparkSession, path: str | list[str], names: list[str] | None = None) -> DataFrame:
-    """All cells as strings, by the header's names, of files with one header; names: what it says, where that is known."""
-    reader = spark.read if names is None else spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
-    return reader.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=None, emptyValue="")
+def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, row (ascending within a file) and cells of each record of the files, the header's too, whatever their widths.
+
+    The reader is told of one column. It keeps the source of a record that has any other number, and that is cut here.
+    """
+    reader = spark.read.schema("only string, source string").option("columnNameOfCorruptRecord", "source").option("columnPruning", "false")
+    records = reader.csv(path, header=False, multiLine=True, quote='"', escape='"', nullValue=None, emptyValue="", mode="PERMISSIVE")
+    return records.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), _cells(SparkContext._gateway).alias("cells"))
+
+
+@functools.lru_cache(maxsize=1)
+def _cells(gateway: object) -> Column:
+    """Built once for each gateway to a JVM. Where lines end in CR LF, but a quoted cell had an LF before, the CR is left."""
+    only, source = (F.regexp_replace(c, r"\r\z", "") for c in ("only", "source"))
+    return F.when(F.col("source").isNull(), F.array(F.coalesce(only, F.lit("")))).otherwise(record_cells(source))
 
 
-def _names(header: str) -> list[str]:
-    """A header's names; one that is missing or has come before has its place behind it."""
-    names = next(csv.reader([header]))
-    lower = [c.lower() for c in names]
-    return [c if c and lower.count(c.lower()) == 1 else f"{c or '_c'}{i}" for i, c in enumerate(names)]
+def record_cells(record: Column) -> Column:
+    """The cells of one CSV record: quotes count where a cell begins with one, and two of them are one within."""
+    between = F.split(record, ",", -1)
 
+    def step(now: Column, part: Column) -> tuple[Column, Column]:
+        """now: where the open cell begins (below 0: none) and its quotes; a quoted cell ends where they are even."""
+        begun = now["first"] >= 0
+        quotes = F.when(begun, now["quotes"] + part["quotes"]).otherwise(F.when(part["quoted"], part["quotes"]).otherwise(F.lit(0)))
+        first, ends = F.when(begun, now["first"]).otherwise(part["place"]), quotes % 2 == 0
+        after = F.struct(F.when(ends, F.lit(-1)).otherwise(first).alias("first"), quotes.alias("quotes"))
+        return after, F.when(ends, F.struct(first.alias("first"), part["place"].alias("last")))
 
-def _by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str] | None, list[str]]]:
-    """The files with rows and their names, those with the same header together; one whose header goes on over lines is alone."""
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value").where(F.trim("value") != "")
-    heads: dict[str, list[str]] = {}
-    alone = []
-    for r in lines.groupBy("path").agg(F.min_by("value", "place").alias("head")).orderBy("path").collect():  # one row a file
-        if r["head"].count('"') % 2:
-            alone.append((None, [_literal(r["path"])]))
-        else:
-            heads.setdefault(r["head"], []).append(_literal(r["path"]))
-    return [(_names(head), paths) for head, paths in heads.items()] + alone
+    def joined(parts: Column) -> Column:
+        marked = F.transform(parts, lambda p, i: F.struct(i.alias("place"), (F.length(p) - F.length(F.replace(p, F.lit('"'), F.lit("")))).alias("quotes"), F.startswith(p, F.lit('"')).alias("quoted")))
+        found = folded(marked, F.struct(F.lit(-1).alias("first"), F.lit(0).alias("quotes")), step, "struct<first:int,last:int>")
+        left = F.struct(found["state"]["first"].alias("first"), (F.size(parts) - 1).alias("last"))  # a quote that nothing closes
+        spans = bound(found, lambda x: F.when(x["state"]["first"] < 0, x["out"]).otherwise(F.concat(x["out"], F.array(F.struct(x["state"]["first"].alias("first"), left["last"].alias("last"))))))
+        return F.transform(spans, lambda span: plain(F.array_join(F.slice(parts, span["first"] + 1, span["last"] - span["first"] + 1), ",")))
 
+    def plain(cell: Column) -> Column:
+        return F.when(F.startswith(cell, F.lit('"')), F.replace(F.regexp_replace(cell, r'^"|"\z', ""), F.lit('""'), F.lit('"'))).otherwise(cell)
 
-def _literal(path: str) -> str:
-    """A file's own path, from its URI, as a pattern that only it matches."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+    return F.when(~F.contains(record, F.lit('"')), between).otherwise(bound(between, joined))
 
 
-def _filled(name: str) -> Column:
-    c = F.col(f"`{name}`")
-    return F.when(c.isNull() | c.isin(*MISSING), F.lit("")).otherwise(c)
+#: Kinds of cells, in the order of the counts of a column.
+KINDS = ("missing", "boolean", "whole", "decimal", "text")
 
 
-#: Tables of one row a file are broadcast for so many files at most.
-BROADCAST_FILES = 10_000
+def cell_kind(c: Column) -> Column:
+    """The place of a cell's kind among KINDS."""
+    return F.when(c.isNull() | c.isin(*MISSING), 0).when(F.lower(c).isin("true", "false"), 1).when(c.rlike(WHOLE), 2).when(c.rlike(NUMBER), 3).otherwise(4)
 
 
-def _lines(rows: DataFrame, wanted: list[str] | None, files: int) -> DataFrame:
-    """path, row (its number in the order of reading) and line of each row: its text columns joined by single spaces.
+def csv_columns(records: DataFrame) -> DataFrame:
+    """path, first (the header's row), place, name and kind (one of KINDS) of each column of each file, by counts of its cells' kinds.
 
-    Those are the wanted columns that exist, in that order; without any wanted those that hold text in the row's file,
-    else all.
+    Counts of the kinds can be added up in any order, and the header's own cell taken away, so no record need know where
+    its file begins. Two kinds of cells make a column of text, but whole and decimal numbers, and missing cells among numbers.
     """
-    names = list(rows.columns)
+    cells = records.select("path", "row", F.posexplode("cells").alias("place", "cell")).withColumn("kind", cell_kind(F.col("cell")))
+    counts = [F.count_if(F.col("kind") == i).alias(k) for i, k in enumerate(KINDS)]
+    columns = cells.groupBy("path", "place").agg(F.min("row").alias("first"), F.min_by("cell", "row").alias("name"), *counts)
+    own = [(F.col(k) - (cell_kind(F.col("name")) == i).cast("int")).alias(k) for i, k in enumerate(KINDS)]
+    numbers = (F.col("whole") > 0) | (F.col("decimal") > 0)
+    kind = (
+        F.when((F.col("text") > 0) | ((F.col("boolean") > 0) & (numbers | (F.col("missing") > 0))), "text").when(F.col("boolean") > 0, "boolean")
+        .when(F.col("decimal") > 0, "decimal").when(numbers, "whole").otherwise("missing")
+    )
+    return columns.select("path", "first", "place", "name", *own).select("path", "first", "place", "name", kind.alias("kind"))
+
+
+def column_names(header: Column) -> Column:
+    """A header's names: of those that are alike the later ones with .1, .2 and so on, empty ones by their place."""
+
+    def name(c: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(header, F.lit(1), i), lambda x: x == c))
+        return F.when(c == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).when(before > 0, F.concat_ws(".", c, before.cast("string"))).otherwise(c)
+
+    return F.transform(header, name)
+
+
+#: Tables of one row a file are broadcast for so many files, and names in their headers, at most.
+BROADCAST_FILES, BROADCAST_NAMES = 10_000, 200_000
+
+
+def _size() -> list[Column]:
+    return [F.count("*").alias("files"), F.sum(F.size("places")).alias("names")]
+
+
+def _headers(records: DataFrame, wanted: list[str] | None, seen: Observation) -> DataFrame:
+    """of (a file), first (its header's row) and places of the columns that make its lines, on shared storage."""
     if wanted:
-        names = [c for c in wanted if c in rows.columns]
-        if not names:
-            raise ValueError(f"None of the specified columns {wanted} are in the file; it has {rows.columns}")
-    placed = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), F.array(*[_filled(c) for c in names]).alias("cells"))
-    if wanted or not names:
-        return placed.select("path", "row", F.array_join("cells", " ").alias("line"))
-    cells = [F.col("cells")[i] for i in range(len(names))]
-    plain = [F.bool_and((c == "") | c.rlike(NUMBER)) | F.bool_and((c == "") | F.lower(c).isin("true", "false")) for c in cells]
-    judged = placed.groupBy("path").agg(F.array(*plain).alias("numbers")).select(F.col("path").alias("of"), "numbers")
-    judged = F.broadcast(judged) if files <= BROADCAST_FILES else judged
-    held = F.when(F.forall("numbers", lambda x: x), F.col("cells")).otherwise(F.filter("cells", lambda c, i: ~F.get("numbers", i)))
-    return placed.join(judged, F.col("path") == F.col("of")).select("path", "row", F.array_join(held, " ").alias("line"))
+        heads = records.groupBy(F.col("path").alias("of")).agg(F.min("row").alias("first"), F.min_by("cells", "row").alias("header"))
+        named = heads.select("of", "first", column_names(F.col("header")).alias("names"))
+        places = F.filter(F.transform(F.array(*[F.lit(c) for c in wanted]), lambda w: F.array_position("names", w).cast("int") - 1), lambda p: p >= 0)
+        found = materialise(named.select("*", places.alias("places")).observe(seen, *_size()), "headers")
+        if (none := found.where(F.size("places") == 0).select("of", "names").first()) is not None:
+            raise ValueError(f"None of the specified columns {wanted} are in {none['of']}; it has {none['names']}")
+        return found.drop("names")
+    columns = csv_columns(records).groupBy(F.col("path").alias("of"))  # a row a column
+    each = columns.agg(F.min("first").alias("first"), F.array_sort(F.collect_list("place")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.col("place")))).alias("texts"))
+    return materialise(each.select("of", "first", F.when(F.size("texts") > 0, F.col("texts")).otherwise(F.col("all")).alias("places")).observe(seen, *_size()), "headers")
 
 
 def read_csv(spark: SparkSession, path: str | list[str], text_columns: list[str] | None = None, per_row: bool = False) -> DataFrame:
     """One document for each file, its rows joined by line feeds; with per_row one for each row.
 
-    Columns are found by each file's own header, so files may order, add or lack columns; a file that has none of the
-    wanted ones raises. A row is its text columns joined by single spaces, missing cells empty. A file without rows is an
-    empty text. The ids of rows come from the file and the row's number in it.
+    All files are read once, by position, and their records kept on shared storage; a table of one row a file says where
+    its columns are, by its own header, so files may order, add or lack columns, or repeat a name (`a`, `a.1`). Names are
+    case-sensitive; a file that has none of the wanted ones raises. A row is its text columns joined by single spaces,
+    missing cells empty: the wanted ones in that order, or those that hold text in the row's file, else all. Cells beyond
+    the header are left out. A file without rows is an empty text. The ids of rows come from the file and the row's number in it.
     """
-    groups = _by_header(spark, path)
-    found = [_lines(csv_rows(spark, paths, names), text_columns, len(paths)) for names, paths in groups]
-    lines = functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], "path string, row long, line string")
+    records = materialise(csv_records(spark, path), "records")
+    seen = Observation()
+    heads = _headers(records, text_columns, seen)
+    small = seen.get["files"] <= BROADCAST_FILES and (seen.get["names"] or 0) <= BROADCAST_NAMES
+    met = records.join(F.broadcast(heads) if small else heads, F.col("path") == F.col("of")).where("row > first")
+    cell = F.transform("places", lambda p: F.coalesce(F.get("cells", p), F.lit("")))
+    lines = met.select("path", "row", "first", F.array_join(F.transform(cell, lambda c: F.when(c.isin(*MISSING), "").otherwise(c)), " ").alias("line"))
     if per_row:  # a file is read by one task, so its rows' numbers follow one another
-        first = lines.groupBy("path").agg(F.min("row").alias("first")).select(F.col("path").alias("of"), "first")
-        first = F.broadcast(first) if sum(len(paths) for _, paths in groups) <= BROADCAST_FILES else first
-        at = F.concat_ws("#", "path", F.col("row") - F.col("first"))
-        numbered = lines.join(first, F.col("path") == F.col("of")).select(at.alias("path"), "line")
+        numbered = lines.select(F.concat_ws("#", "path", F.col("row") - F.col("first") - 1).alias("path"), "line")
         return numbered.select(F.xxhash64("path").alias("doc_id"), "path", F.col("line").alias("text"))
     whole = lines.groupBy(F.col("path").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
     files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("at"))

@@ -57,6 +57,54 @@ def test_csv_columns_are_found_file_by_file(spark, tmp_path):
         readers.read_csv(spark, f"{tmp_path}/*.csv", ["title"])
 
 
+def test_csv_names_that_are_alike(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,title,a,a,,\n1,two,3,4,5,6\n")
+    for wanted, want in ((["title"], "two"), (["Title"], "1"), (["a"], "3"), (["a.1", "a"], "4 3"), (["Unnamed: 5"], "6"), (["A", "title"], "two")):
+        assert texts(readers.read_csv(spark, str(tmp_path / "a.csv"), wanted)) == [want]
+    with pytest.raises(ValueError, match="None of the specified columns"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), ["TITLE"])
+
+
+def test_csv_records_equal_a_plain_reader(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(4)
+    for k in range(12):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+        for _ in range(30):
+            writer.writerow(["x" + "".join(rng.choice(['"', ",", "\n", "a", "é", " ", '""', ",,"]) for _ in range(rng.choice([0, 3, 12]))) for _ in range(rng.choice([1, 2, 5]))])
+        (tmp_path / f"{k}.csv").write_text(out.getvalue(), "utf-8", newline="")
+    long = '"' + 'y"",' * 20_000 + '"'
+    (tmp_path / "long.csv").write_text(f'a,b\n{long},2\n5" wide,"open\n')
+    got = {}
+    for r in readers.csv_records(spark, f"{tmp_path}/*.csv").orderBy("path", "row").collect():
+        got.setdefault(r["path"].rpartition("/")[2], []).append(r["cells"])
+    assert got.pop("long.csv") == [["a", "b"], ['y",' * 20_000, "2"], ['5" wide', "open"]]
+    for name, cells in got.items():
+        assert cells == list(csv.reader(io.StringIO((tmp_path / name).read_text("utf-8"), newline=""))), name
+
+
+def test_csv_columns_have_kinds(spark, tmp_path):
+    cells = {"n": ["1", "-2", ""], "f": ["1", "2.5", "NA"], "t": ["3F", "1", "2"], "b": ["true", "False", "TRUE"], "gap": ["true", "", "false"], "mix": ["true", "1", "0"], "no": ["", "null", "NaN"], "7": ["1", "2", "3"]}
+    (tmp_path / "a.csv").write_text("\n".join([",".join(cells), *map(",".join, zip(*cells.values()))]) + "\n")
+    got = {r["name"]: r["kind"] for r in readers.csv_columns(readers.csv_records(spark, str(tmp_path / "a.csv"))).collect()}
+    assert got == {"n": "whole", "f": "decimal", "t": "text", "b": "boolean", "gap": "text", "mix": "text", "no": "missing", "7": "whole"}
+    assert texts(readers.ingest(spark, str(tmp_path / "a.csv"))) == ["3F true true\n1  1\n2 false 0"]
+
+
+def test_csv_files_are_read_once_whatever_their_headers(spark, tmp_path):
+    for k in range(300):
+        columns = [f"c{k}", "body", *(f"x{i}" for i in range(k % 5))]
+        (tmp_path / f"{k}.csv").write_text(",".join(columns) + f"\n{k},text {k}" + ",1" * (k % 5) + "\nshort\n1,long" + ",2" * 9 + "\n")
+    got = readers.read_csv(spark, f"{tmp_path}/*.csv", ["body"], per_row=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan and "Union" not in plan and plan.count("Scan parquet") == 2  # records and headers, both written
+    assert sorted(texts(got)) == sorted([f"text {k}" for k in range(300)] + [""] * 300 + ["long"] * 300)
+
+
 def test_csv_row_ids_do_not_follow_the_partitions(spark, tmp_path):
     for k in range(5):
         (tmp_path / f"{k}.csv").write_text("body\n" + "".join(f"row {k} {i}\n" for i in range(20)))
