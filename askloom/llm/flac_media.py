@@ -7,6 +7,10 @@ sizes, escaped partitions and wasted bits; the header's CRC-8 and the frame's CR
 that has every frame, the frames of many streams are decoded at once, one sample of all of them a step; other streams
 go frame by frame.
 
+Decoded streams are written as PCM blocks with the offset of their first sample, and whatever is told of a payload, its
+digest, its features and its last bytes, is read from those blocks: the last bytes by their offset, from the blocks that
+hold them.
+
 A text's payload is its UTF-8 with bytes 32 up to a positive multiple of 192; a byte b is the sample b - 128.
 
 Defined results: null text is the empty text, whose payload is 192 bytes 32; equal texts have equal streams; repeated
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -507,16 +512,43 @@ def text_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(_encoded), "doc_id long, n_bytes long, media binary")
 
 
+@dataclass
+class Pcm:
+    """The PCM blocks of one stream, each with the offset of its first sample."""
+
+    bits: int
+    offsets: np.ndarray
+    sizes: np.ndarray
+    blocks: list[bytes]
+
+    @staticmethod
+    def of(stream: bytes, samples: np.ndarray) -> Pcm:
+        """Cut where the seek table's frames begin, or else every block's length."""
+        info, points, _ = stream_info(stream)
+        cuts = np.append(points["sample"].astype(np.int64) if len(points) else np.arange(0, len(samples), info["block"]), len(samples))
+        kind = np.int8 if info["bits"] <= 8 else np.dtype("<i2")
+        return Pcm(info["bits"], cuts[:-1], np.diff(cuts), [samples[a:b].astype(kind).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def read(self, first: int, end: int) -> np.ndarray:
+        """Samples first to end, from the blocks that hold them, found by their offsets."""
+        a, b = int(np.searchsorted(self.offsets, first, side="right")) - 1, int(np.searchsorted(self.offsets, end, side="left"))
+        if a < 0 or b <= a:
+            return np.empty(0, np.int64)
+        held = np.frombuffer(b"".join(self.blocks[a:b]), np.int8 if self.bits <= 8 else np.dtype("<i2")).astype(np.int64)
+        return held[first - int(self.offsets[a]) : end - int(self.offsets[a])]
+
+
+def _decoded(streams: list[bytes]) -> list[Pcm]:
+    return [Pcm.of(s, x) for s, x in zip(streams, decode(streams), strict=True)]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "media", 4 << 20):
         streams = batch.column(1).to_pylist()
         known = [i for i, s in enumerate(streams) if s is not None]
-        for i, x in zip(known, decode([streams[i] for i in known]), strict=True):
-            info, points, _ = stream_info(streams[i])
-            cuts = np.append(points["sample"].astype(np.int64) if len(points) else np.arange(0, len(x), info["block"]), len(x))
-            kind = np.int8 if info["bits"] <= 8 else np.dtype("<i2")
-            pcm = [x[a:b].astype(kind).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(pcm), pa.int64()), pa.array(range(len(pcm)), pa.int32()), pa.array(cuts[:-1]), pa.array(np.diff(cuts).astype(np.int32)), pa.array(pcm, pa.binary())], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+        for i, x in zip(known, _decoded([streams[i] for i in known]), strict=True):
+            n = len(x.blocks)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(x.offsets), pa.array(x.sizes.astype(np.int32)), pa.array(x.blocks, pa.binary())], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -533,25 +565,28 @@ def feature(samples: np.ndarray) -> str:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The report of each stream, from its PCM blocks: payload and feature from all of them, the tail by its offset."""
     for batch in steps(batches, "media", 4 << 20):
         streams = batch.column(2).to_pylist()
-        samples = decode(streams)
-        back = [(x + 128).astype(np.uint8).tobytes() for x in samples]
+        pcm = _decoded(streams)
+        sizes = [int(x.sizes.sum()) for x in pcm]
+        samples = [x.read(0, n) for x, n in zip(pcm, sizes, strict=True)]
+        tails = [(x.read(max(n - 16, 0), n) + 128).astype(np.uint8).tobytes() for x, n in zip(pcm, sizes, strict=True)]
         columns = [
             batch.column(0),
             batch.column(1),
-            pa.array([len(x) for x in back], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-            pa.array([zlib.crc32(x[-16:]) for x in back], pa.int64()),
+            pa.array(sizes, pa.int64()),
+            pa.array([hashlib.sha256((x + 128).astype(np.uint8).tobytes()).hexdigest() for x in samples], pa.string()),
+            pa.array([zlib.crc32(x) for x in tails], pa.int64()),
             pa.array([len(x) for x in streams], pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in streams], pa.string()),
-            pa.array([feature(x) for x in samples], pa.string()),
+            pa.array([f"{feature(x)};blocks={len(y.blocks)}" for x, y in zip(samples, pcm, strict=True)], pa.string()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def media_report(media: DataFrame) -> DataFrame:
-    """Digests and features of media (doc_id, n_bytes, media), read back from the streams."""
+    """Digests and features of media (doc_id, n_bytes, media), read back from the streams by way of their PCM blocks."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_digests), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

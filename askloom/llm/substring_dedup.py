@@ -10,7 +10,8 @@ it whatever the rest of the corpus holds, so large groups of copies shrink befor
 at a time. One above `bucket_bytes` holds equal strings once; if that is still too much, its strings are cut again and
 dealt anew to all partitions: by minimisers of another hash first, which parts windows that share a hot minimiser, then
 by longer ones, which reach out of a hot phrase, and at last by the windows themselves, which only equal windows share.
-There are then as many buckets as their size asks for, so none is oversized for more than its different windows.
+There are then as many buckets as their size asks for, and they are dealt in order of doc_id: the first document seen with
+a window is the least that has it, so only a bucket's different windows are held, however often a document repeats them.
 
 Defined results: null or empty texts have no words; a document with fewer words than a window loses nothing; rows with
 the same doc_id never remove from one another (neither id is smaller); rows with a null doc_id keep all words and
@@ -197,28 +198,66 @@ class Strings:
         return [np.array(x, np.int64) for x in zip(*self.leaders.values(), *self.more, strict=True)], [*self.leaders, *self.words]
 
 
-def _gather(window: int, m: int, limit: int, buckets: int, seed: int = 1):
-    """Spans of removed words. With buckets, what does not fit is cut again by m-grams and handed on; without, it is held."""
+def _spans(doc, mark, start, end) -> pa.RecordBatch:
+    columns = [np.asarray(x, kind) for x, kind in zip((doc, mark, start, end), (np.int64, np.int64, np.int32, np.int32), strict=True)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.nulls(len(columns[0]), kind) for kind in _OUT.types[4:])], schema=_OUT)
 
-    def spans(doc, mark, start, end) -> pa.RecordBatch:
-        columns = [np.asarray(x, kind) for x, kind in zip((doc, mark, start, end), (np.int64, np.int64, np.int32, np.int32), strict=True)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.nulls(len(columns[0]), kind) for kind in _OUT.types[4:])], schema=_OUT)
 
-    def opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], bytes]:
-        """Strings that other documents of the batch held too, and the rest with their packed words."""
-        *fields, body = _unpacked(blob)
-        arrays = [np.frombuffer(x, kind) for x, kind in zip(fields, [k for _, k in _FIELDS] * 2, strict=True)]
-        return arrays[:4], arrays[4:], body
+def _opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], bytes]:
+    """Strings that other documents of the batch held too, and the rest with their packed words."""
+    *fields, body = _unpacked(blob)
+    arrays = [np.frombuffer(x, kind) for x, kind in zip(fields, [k for _, k in _FIELDS] * 2, strict=True)]
+    return arrays[:4], arrays[4:], body
+
+
+class Firsts:
+    """The least document of each window of a bucket whose strings come in order of doc."""
+
+    def __init__(self, window: int):
+        self.window, self.least = window, {}
+
+    def removed(self, doc: int, count: int, string: bytes) -> list[tuple[int, int]]:
+        """Runs of windows of a string that a smaller document holds."""
+        out: list[list[int]] = []
+        words = np.append(0, np.flatnonzero(np.frombuffer(string, np.uint8) == 32) + 1).tolist()
+        for k in range(count):
+            if self.least.setdefault(string[words[k] : words[k + self.window]], doc) < doc:
+                if out and out[-1][1] == k:
+                    out[-1][1] = k + 1
+                else:
+                    out.append([k, k + 1])
+        return [(a, b) for a, b in out]
+
+
+def _in_order(window: int):
+    """Spans of removed words, of buckets that lie in order of doc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((bucket, blob) for batch in batches for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for _, own in itertools.groupby(rows, key=lambda row: row[0]):
+            firsts = Firsts(window)
+            for _, blob in own:
+                _, strings, body = _opened(blob.as_py())
+                ends = np.append(0, np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1)[np.append(0, np.cumsum(strings[3].astype(np.int64) + window - 1))].tolist()
+                gone = [(doc, mark, start + x, start + y - 1 + window) for a, b, doc, mark, start, count in zip(ends[:-1], ends[1:], *(x.tolist() for x in strings), strict=True) for x, y in firsts.removed(doc, count, body[a:b])]
+                if gone:
+                    yield _spans(*zip(*gone, strict=True))
+
+    return run
+
+
+def _gather(window: int, m: int, limit: int, buckets: int, seed: int = 1, by_doc: bool = False):
+    """Spans of removed words. With buckets, what does not fit is cut again by m-grams and handed on, by_doc each document's part on its own; without, it is held."""
 
     def lost(which: list[tuple[int, int, int, int]] | list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(which):
             doc, mark, start, count = np.array(which, np.int64).T
-            yield spans(doc, mark, start, start + count + window - 1)
+            yield _spans(doc, mark, start, start + count + window - 1)
 
     def judged(own: list[np.ndarray], data: bytes) -> Iterator[pa.RecordBatch]:
         if own and len(own[0]):
             doc, mark, start, count = (x.astype(np.int64) for x in own)
-            yield spans(*_runs(_removed_windows(doc, count, data, window), doc, mark, start, count, window))
+            yield _spans(*_runs(_removed_windows(doc, count, data, window), doc, mark, start, count, window))
 
     def cut_again(held: Strings) -> Iterator[pa.RecordBatch]:
         own, strings = held.arrays()
@@ -236,18 +275,19 @@ def _gather(window: int, m: int, limit: int, buckets: int, seed: int = 1):
         text, first, count, value, words = found
         bucket = (value % np.uint64(buckets)).astype(np.int64)
         fields = own[0][text], own[1][text], own[2][text] + first, count
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        doc = fields[0] if by_doc else np.zeros(len(bucket), np.int64)
+        order = np.lexsort((doc, bucket))
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order]) | np.diff(doc[order])) + 1):
             mine = [x[part].astype(kind) for x, (_, kind) in zip(fields, _FIELDS, strict=True)]
             body = b"".join(words[i] for i in part.tolist())
             blob = _packed([*(np.empty(0, kind) for _, kind in _FIELDS), *mine, body])
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in _OUT.types[:4]), pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(body)], pa.int64())], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([pa.array([doc[part[0]]], pa.int64()), *(pa.nulls(1, kind) for kind in _OUT.types[1:4]), pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(body)], pa.int64())], schema=_OUT)
 
     def one_bucket(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         plain: list[tuple[list[np.ndarray], bytes]] | None = []
         size, held, handed_on = 0, Strings(), False
         for blob in blobs:
-            same, own, body = opened(blob)
+            same, own, body = _opened(blob)
             yield from lost(np.stack([x.astype(np.int64) for x in same], axis=1))
             if plain is not None:
                 plain.append((own, body))
@@ -320,11 +360,14 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMI
     sent, found = keyed.mapInArrow(tidy(_scatter(8 * n, window, minimiser)), "bucket int, blob binary"), []
     buckets = 8 * n
     for seed, m in enumerate((minimiser, (minimiser + window + 1) // 2, window, window), 1):
-        last = seed == 4
-        dealt = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-        once = materialise(dealt.mapInArrow(tidy(_gather(window, m, bucket_bytes, 0 if last else buckets, seed)), schema), "spans")
+        dealt = sent.repartitionById(n, F.col("bucket") % n)
+        if seed == 4:
+            ordered = dealt.sortWithinPartitions("bucket", "doc").select("bucket", "blob")
+            found.append(materialise(ordered.mapInArrow(tidy(_in_order(window)), schema), "spans").select("doc", "mark", "start", "end"))
+            break
+        once = materialise(dealt.sortWithinPartitions("bucket").select("bucket", "blob").mapInArrow(tidy(_gather(window, m, bucket_bytes, buckets, seed, seed == 3)), schema), "spans")
         found.append(once.where("blob is null").select("doc", "mark", "start", "end"))
-        sent, size = once.where("blob is not null").select("bucket", "blob"), 0 if last else once.agg(F.sum("size").alias("n")).first()["n"]
+        sent, size = once.where("blob is not null").select("bucket", "blob", "doc"), once.agg(F.sum("size").alias("n")).first()["n"]
         if not size:
             break
         # Cut into windows, each word comes in window copies; a bucket gets a quarter of what it may hold.

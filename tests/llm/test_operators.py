@@ -114,6 +114,20 @@ def test_oversized_buckets_are_dealt_anew():
     assert lost == set(range(301, 600))
 
 
+def test_a_document_that_repeats_itself_is_held_once(spark, monkeypatch):
+    """One window over and over in documents of their own: the last pass holds different windows only."""
+    rng = random.Random(3)
+    line = " ".join(f"w{i}" for i in range(6))
+    texts = [" ".join([line] * 400), " ".join([line] * 300) + " own end", *(" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(5)), "z " * 3000, "z " * 2000]
+    rows = list(enumerate(texts, 1)) + [(1, texts[0]), (1, "other words " + texts[0])]
+    rng.shuffle(rows)
+    got = substring_dedup.substring_dedup(table(spark, [t for _, t in rows], [i for i, _ in rows]), 6, 6, 300)
+    assert sorted([tuple(r)[:4] for r in got.collect()], key=repr) == brute_substrings(rows, 6)
+    firsts = substring_dedup.Firsts(3)
+    assert firsts.removed(2, 1000, b"a " * 1002) == [] and len(firsts.least) == 1
+    assert firsts.removed(5, 4, b"x a a a a y ") == [(1, 3)] and firsts.removed(5, 1, b"x a a ") == [] and len(firsts.least) == 3
+
+
 def hot_phrase(rng, n, length):
     """n texts with one phrase in contexts of their own."""
     hot = " ".join(f"hot{i}" for i in range(length))
@@ -732,7 +746,18 @@ def test_media_columns(spark):
         want = flac_media.payload((t or "").encode())
         assert len(want) % 192 == 0 and len(want) > 0
         assert (report[i]["n_bytes"], report[i]["payload_bytes"], report[i]["payload_sha256"], report[i]["tail_crc32"]) == (len((t or "").encode()), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        x = [b - 128 for b in want]
+        n = len(x)
+        told = dict(part.split("=") for part in report[i]["feature"].split(";"))
+        assert told == {
+            "mean": f"{sum(x) / n:.4f}", "rms": f"{(sum(v * v for v in x) / n) ** 0.5:.4f}", "peak": str(max(map(abs, x))), "crossings": f"{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])) / n:.4f}",
+            "still": f"{sum(a == b for a, b in zip(x, x[1:])) / n:.4f}", "blocks": str(-(-n // 1152)),
+        }
+        stream = next(r["media"] for r in media.where(F.col("doc_id") == i).collect())
+        assert (report[i]["media_bytes"], report[i]["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest()) and stream[:4] == b"fLaC"
     assert tuple(report[len(ODD)])[1:] == tuple(report[len(ODD) + 1])[1:]
+    pcm = flac_media.Pcm.of(stream := flac_media.encode([flac_media.payload(b"0123456789" * 500)])[0], flac_media.decode([stream])[0])
+    assert all((pcm.read(a, b) + 128).astype(np.uint8).tobytes() == flac_media.payload(b"0123456789" * 500)[a:b] for a, b in ((0, 5184), (1151, 1153), (1152, 1152), (5000, 5184), (2303, 4609)))
     blocks = flac_media.pcm_blocks(media).where("doc_id = 7").orderBy("block").collect()
     assert [r["sample_offset"] for r in blocks] == list(range(0, sum(r["n_samples"] for r in blocks), 1152))
     assert bytes((np.frombuffer(b"".join(r["pcm"] for r in blocks), np.int8).astype(np.int64) + 128).astype(np.uint8)) == flac_media.payload(texts[7].encode())
