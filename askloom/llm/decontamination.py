@@ -6,11 +6,13 @@ pass counts the items' shingles over all documents; the second joins each docume
 each hit back by the shingle's place in its window (positional bound), drops windows that would reach out of the text
 (length bound), and compares the words that are left one by one.
 
-Items go to the executors in blocks of at most about `block_words` words, each block broadcast (some 100 MB at most) and
-matched against all documents: two scans of the documents' texts for each block, one to count and one to match. Items
-too long for a block are cut into pieces that overlap by a window less a word, so no window is lost. With several blocks
-each row passes them one after the other and takes its hits along, so rows are never joined or told apart; after every
-second block they are written to shared storage. One block is the usual case.
+Items are made distinct first, and items of one text are one body with a list of ids (in parts, where the list is long),
+so that repeated rows of the benchmark cost nothing. Bodies are dealt by a running count of words and ids to blocks of
+about `block_words`, none of them empty, and go to the executors CHAIN blocks at a time in one broadcast (some 50 MB a
+block at most): one scan of the documents' texts counts for all of them, one matches, so there are 2 * blocks / CHAIN scans
+(`Blocks.scans`). Items too long for a block are cut into pieces that overlap by a window less a word, so no window is
+lost. Beyond CHAIN blocks each row takes its hits along from one matching scan to the next, by way of shared storage, so
+rows are never joined or told apart. One block is the usual case.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and non-ASCII characters. Defined results: null texts and
 texts without such words have no words; an item without words has no windows; items that share an id count once; rows
@@ -22,21 +24,24 @@ pipeline, their words count as hit, and they are one item, counted in n_items bu
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, as_bytes, discard, materialise, opened, share, steps, table, tidy, utf8
+from .common import ALNUM, Words, as_bytes, discard, materialise, opened, partitions, share, steps, table, tidy, utf8
 
-WINDOW, SHINGLE, BLOCK_WORDS, CHAIN = 13, 3, 500_000, 2
+WINDOW, SHINGLE, BLOCK_WORDS, CHAIN = 13, 3, 500_000, 4
 #: Shingles of up to three words are held as one number below 2^63.
 MOST_WORDS = 2_000_000
 
+log = logging.getLogger(__name__)
+
 
 def _named(item: int | None) -> tuple[bool, int]:
     """A sorting key: null after all ids."""
@@ -47,36 +52,35 @@ def _named(item: int | None) -> tuple[bool, int]:
 class Items:
     """Windows of a block of items over a vocabulary of their own words."""
 
-    names: list[int | None]
+    names: list[list[int | None]]  # the items of each body
     vocabulary: dict[bytes, int]
     words: np.ndarray  # window by window, ids padded with -1
     sizes: np.ndarray
-    owner: np.ndarray  # the item of each (window, item) pair
+    owner: np.ndarray  # the body of each (window, body) pair
     window_of: np.ndarray  # the window of each such pair, ascending
     shingles: dict[int, np.ndarray]  # shingle length: sorted distinct keys
 
     @staticmethod
-    def of(rows: list[tuple[int | None, bytes]], window: int) -> Items:
-        names = sorted({i for i, _ in rows}, key=_named)
-        place = {n: k for k, n in enumerate(names)}
-        words = Words([t.lower() for _, t in rows], ALNUM)
+    def of(bodies: list[tuple[bytes, list[int | None]]], window: int) -> Items:
+        names = [ids for _, ids in bodies]
+        words = Words([t.lower() for t, _ in bodies], ALNUM)
         if not len(words):
             return Items(names, {}, np.empty((0, window), np.int32), *(np.empty(0, np.int64) for _ in range(3)), {})
         lengths = np.diff(words.docs)
         size = np.minimum(lengths, window)
         counts = np.where(lengths > 0, lengths - size + 1, 0)
-        row = np.repeat(np.arange(len(rows)), counts)
+        row = np.repeat(np.arange(len(bodies)), counts)
         at = words.docs[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         windows = np.full((len(row), window), -1, np.int32)
         for j in range(window):
             fits = j < size[row]
             windows[fits, j] = words.ids[at[fits] + j]
         _, first, same = np.unique(windows.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
-        linked = np.unique(same.astype(np.int64) * len(names) + np.array([place[name] for name, _ in rows], np.int64)[row])
+        linked = np.unique(same.astype(np.int64) * len(bodies) + row)
         vocabulary = {w: k for k, w in enumerate(as_bytes(words.distinct))}
         if len(vocabulary) > MOST_WORDS:
             raise ValueError(f"a block holds {len(vocabulary)} different words; lower block_words")
-        out = Items(names, vocabulary, windows[first], size[row[first]], linked % len(names), linked // len(names), {})
+        out = Items(names, vocabulary, windows[first], size[row[first]], linked % len(bodies), linked // len(bodies), {})
         out.shingles = {s: np.unique(np.concatenate([out.keys(out.words[:, a:], s)[out.sizes >= a + s] for a in range(window - s + 1)])) for s in range(1, SHINGLE + 1)}
         return out
 
@@ -112,21 +116,23 @@ def _inside(words: Words, hit: np.ndarray, s: int) -> np.ndarray:
     return hit + s <= words.docs[np.searchsorted(words.docs, hit, side="right")]
 
 
-def _count(items_of):
+def _count(blocks_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = opened(items_of)
-        totals = {s: np.zeros(len(k), np.int64) for s, k in items.shingles.items()}
+        blocks = opened(blocks_of)
+        totals = [{s: np.zeros(len(k), np.int64) for s, k in items.shingles.items()} for items in blocks]
         for batch in steps(batches, "text"):
             words = Words([t.lower() for t in utf8(batch, "text")], ALNUM)
             if not len(words):
                 continue
-            ids = items.known(words)
-            for s, among in items.shingles.items():
-                hit, key = _found(_alive(items, ids, s), among)
-                totals[s] += np.bincount(key[_inside(words, hit, s)], minlength=len(among))
-        for s, total in totals.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s)), pa.array(some), pa.array(total[some])], names=["s", "place", "n"])
+            for items, total in zip(blocks, totals, strict=True):
+                ids = items.known(words)
+                for s, among in items.shingles.items():
+                    hit, key = _found(_alive(items, ids, s), among)
+                    total[s] += np.bincount(key[_inside(words, hit, s)], minlength=len(among))
+        for k, total in enumerate(totals):
+            for s, n in total.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(np.full(len(some), s)), pa.array(some), pa.array(n[some])], names=["block", "s", "place", "n"])
 
     return run
 
@@ -185,34 +191,33 @@ _HITS = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayT
 _KINDS = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()))
 
 
-def _match(texts: list[bytes], items: Items, prefixes) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+def _match(texts: list[bytes], blocks: list) -> list[tuple[int, list[tuple[int, int]], list[int | None]]]:
     """Of each text: its number of words, runs of hit words, and items with occurring windows."""
     words = Words([t.lower() for t in texts], ALNUM)
-    sizes = np.diff(words.docs)
-    out = [(int(n), [], []) for n in sizes]
-    if not len(words) or not prefixes:
-        return out
-    at, which = occurrences(items, prefixes, words)
-    if not len(at):
-        return out
-    level = np.zeros(len(words) + 1, np.int64)
-    np.add.at(level, at, 1)
-    np.add.at(level, at + items.sizes[which], -1)
+    n, level, found = np.diff(words.docs).tolist(), np.zeros(len(words) + 1, np.int64), [set() for _ in texts]
+    runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for items, prefixes in blocks if len(words) else ():
+        if not prefixes:
+            continue
+        at, which = occurrences(items, prefixes, words)
+        np.add.at(level, at, 1)
+        np.add.at(level, at + items.sizes[which], -1)
+        seen = np.unique(np.stack([np.searchsorted(words.docs, at, side="right") - 1, which]), axis=1)
+        first = np.searchsorted(items.window_of, seen[1], "left")
+        many = np.searchsorted(items.window_of, seen[1], "right") - first
+        pair = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        for text, body in np.unique(np.stack([np.repeat(seen[0], many), items.owner[pair]]), axis=1).T.tolist():
+            found[text].update(items.names[body])
     hit = np.cumsum(level[:-1]) > 0
-    edge = np.append(True, (hit[1:] != hit[:-1]))
-    edge[words.docs[:-1][words.docs[:-1] < len(hit)]] = True
-    begins = np.flatnonzero(edge)
-    ends = np.append(begins[1:], len(hit))
-    begins, ends = begins[hit[begins]], ends[hit[begins]]
-    for text, a, b in zip((np.searchsorted(words.docs, begins, side="right") - 1).tolist(), begins.tolist(), ends.tolist(), strict=True):
-        out[text][1].append((a - int(words.docs[text]), b - int(words.docs[text])))
-    seen = np.unique(np.stack([np.searchsorted(words.docs, at, side="right") - 1, which]), axis=1)
-    first = np.searchsorted(items.window_of, seen[1], "left")
-    many = np.searchsorted(items.window_of, seen[1], "right") - first
-    pair = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    for text, item in np.unique(np.stack([np.repeat(seen[0], many), items.owner[pair]]), axis=1).T.tolist():
-        out[text][2].append(items.names[item])
-    return out
+    if hit.any():
+        edge = np.append(True, (hit[1:] != hit[:-1]))
+        edge[words.docs[:-1][words.docs[:-1] < len(hit)]] = True
+        begins = np.flatnonzero(edge)
+        ends = np.append(begins[1:], len(hit))
+        begins, ends = begins[hit[begins]], ends[hit[begins]]
+        for text, a, b in zip((np.searchsorted(words.docs, begins, side="right") - 1).tolist(), begins.tolist(), ends.tolist(), strict=True):
+            runs[text].append((a - int(words.docs[text]), b - int(words.docs[text])))
+    return [(k, spans, sorted(ids, key=_named)) for k, spans, ids in zip(n, runs, found, strict=True)]
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -227,12 +232,12 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _passed(shared, first: bool):
-    """The rows (key, text) with the hits of their texts in one block, added to those of the blocks before."""
+    """The rows (key, text) with the hits of their texts in some blocks, added to those of the blocks before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, prefixes = opened(shared)
+        blocks = opened(shared)
         for batch in steps(batches, "text"):
-            n, spans, ids = zip(*_match(utf8(batch, "text"), items, prefixes), strict=True)
+            n, spans, ids = zip(*_match(utf8(batch, "text"), blocks), strict=True)
             if not first:
                 spans = [_joined(x + [(s["start"], s["end"]) for s in y]) for x, y in zip(spans, batch.column(3).to_pylist(), strict=True)]
                 ids = [sorted({*x, *y}, key=_named) for x, y in zip(ids, batch.column(4).to_pylist(), strict=True)]
@@ -243,28 +248,33 @@ def _passed(shared, first: bool):
 
 
 def _clean(shared):
-    """The rows that the one block does not contaminate."""
+    """The rows that the blocks do not contaminate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, prefixes = opened(shared)
+        blocks = opened(shared)
         for batch in steps(batches, "text"):
-            found = _match(utf8(batch, "text"), items, prefixes)
+            found = _match(utf8(batch, "text"), blocks)
             yield batch.filter(pa.array([not is_contaminated(n, sum(b - a for a, b in spans)) for n, spans, _ in found], pa.bool_()))
 
     return run
 
 
-def _prepared(docs: DataFrame, rows: list[tuple[int | None, bytes]], window: int):
-    """The block's windows and their prefixes, broadcast; both are bounded by the block."""
-    items = Items.of(rows, window)
-    sent = share(docs.sparkSession, items)
-    counts = {s: np.zeros(len(k), np.int64) for s, k in items.shingles.items()}
-    counted = docs.select("text").where("text is not null").mapInArrow(tidy(_count(sent)), "s long, place long, n long").groupBy("s", "place").agg(F.sum("n").alias("n")).toArrow()
-    s, place, n = (np.asarray(counted[c].combine_chunks()) for c in ("s", "place", "n"))  # no more than the block's shingles
-    for k, total in counts.items():
-        total[place[s == k]] = n[s == k]
+def _prepared(docs: DataFrame, blocks: Blocks, which: range, window: int):
+    """Some blocks' windows and their prefixes, broadcast; both are bounded by the blocks."""
+    held = [Items.of(blocks.bodies(k), window) for k in which]
+    sent = share(docs.sparkSession, held)
+    blocks.scans += 2
+    counted = docs.select("text").where("text is not null").mapInArrow(tidy(_count(sent)), "block long, s long, place long, n long").groupBy("block", "s", "place").agg(F.sum("n").alias("n")).toArrow()
+    block, s, place, n = (np.asarray(counted[c].combine_chunks()) for c in ("block", "s", "place", "n"))  # no more than the blocks' shingles
     sent.unpersist()
-    return share(docs.sparkSession, (items, _prefixes(items, counts)))
+    out = []
+    for k, items in enumerate(held):
+        counts = {length: np.zeros(len(keys), np.int64) for length, keys in items.shingles.items()}
+        for length, total in counts.items():
+            mine = (block == k) & (s == length)
+            total[place[mine]] = n[mine]
+        out.append((items, _prefixes(items, counts)))
+    return share(docs.sparkSession, out)
 
 
 def _cut(window: int, most: int):
@@ -285,31 +295,55 @@ def _cut(window: int, most: int):
 
 
 class Blocks:
-    """The items in blocks of about block_words words; unnamed: also those without an id."""
+    """The items in blocks of about block_words words and ids; unnamed: also those without an id.
+
+    n: how many blocks; scans: how many scans of documents they have cost.
+    """
 
     def __init__(self, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False):
         known = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-        self.pieces = materialise(known.mapInArrow(tidy(_cut(window, max(2 * window, block_words // 16))), "item_id long, n long, body binary"), "items")
-        words = self.pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
-        self.n = max(1, -(-words // block_words))
+        piece = max(2 * window, block_words // 16)
+        pairs = materialise(known.mapInArrow(tidy(_cut(window, piece)), "item_id long, n long, body binary").distinct(), "pairs")
+        parts = -(-pairs.count() // piece)  # a body's ids are about piece in each of so many parts, at most
+        part, groups = F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts))), partitions(benchmark)
+        bodies = pairs.groupBy("body", "n", part.alias("part")).agg(F.collect_set("item_id").alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("none"))
+        sized = bodies.select("*", (F.col("n") + F.size("ids")).alias("weight"), F.pmod(F.xxhash64("body", "part"), F.lit(groups)).alias("group"))
+        grouped = materialise(sized, "bodies")
+        before, totals = 0, []
+        for r in grouped.groupBy("group").agg(F.sum("weight").alias("n")).orderBy("group").collect():  # a number a shuffle partition
+            totals.append((r["group"], before))
+            before += r["n"]
+        so_far = F.sum("weight").over(Window.partitionBy("group").orderBy("body", "part"))
+        ahead = F.broadcast(benchmark.sparkSession.createDataFrame(totals, "group long, ahead long"))
+        dealt = grouped.withColumn("so_far", so_far).join(ahead, "group").select("body", "ids", "none", F.floor((F.col("ahead") + F.col("so_far") - F.col("weight")) / block_words).alias("block"))
+        self.pieces, self.scans = materialise(dealt.repartition("block").sortWithinPartitions("block"), "items"), 0
+        discard(pairs, grouped)
+        self.n = (self.pieces.agg(F.max("block").alias("last")).first()["last"] or 0) + 1
+
+    def bodies(self, k: int) -> list[tuple[bytes, list[int | None]]]:
+        """The bodies of a block, each with its items."""
+        own = self.pieces.where(F.col("block") == k).collect()
+        return sorted((bytes(r["body"]), sorted(r["ids"]) + [None] * r["none"]) for r in own)
 
     def __getitem__(self, k: int) -> list[tuple[int | None, bytes]]:
-        own = self.pieces.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(self.n)) == k).collect()
-        return sorted(((r["item_id"], bytes(r["body"])) for r in own), key=lambda x: (_named(x[0]), x[1]))
+        return [(i, body) for body, ids in self.bodies(k) for i in ids]
+
+    def chains(self) -> list[range]:
+        return [range(k, min(k + CHAIN, self.n)) for k in range(0, self.n, CHAIN)]
 
 
 def hits(docs: DataFrame, blocks: Blocks, key: Column, window: int = WINDOW) -> DataFrame:
     """key, n_words, spans (runs of hit words) and items (ids with occurring windows) of every row of docs."""
     rows = docs.select(key.alias("key"), F.col("text"))
-    schema, before = T.StructType([*rows.schema.fields, *_HITS]), None
-    for k in range(blocks.n):
-        shared = _prepared(docs, blocks[k], window)
-        rows = rows.mapInArrow(tidy(_passed(shared, k == 0)), schema)
-        if k % CHAIN == CHAIN - 1 and k + 1 < blocks.n:
+    schema, before, chains = T.StructType([*rows.schema.fields, *_HITS]), None, blocks.chains()
+    for k, which in enumerate(chains):
+        rows = rows.mapInArrow(tidy(_passed(_prepared(docs, blocks, which, window), k == 0)), schema)
+        if k + 1 < len(chains):
             rows = materialise(rows, "hits")
             if before is not None:
                 discard(before)
             before = rows
+    log.info("%d blocks of items, %d scans of the documents", blocks.n, blocks.scans)
     return rows.drop("text")
 
 
@@ -337,8 +371,8 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """The rows of docs that are not contaminated, with all columns."""
     blocks = Blocks(benchmark, window, block_words, unnamed)
-    if blocks.n == 1:
-        return docs.mapInArrow(tidy(_clean(_prepared(docs, blocks[0], window))), docs.schema)
+    if len(blocks.chains()) == 1:
+        return docs.mapInArrow(tidy(_clean(_prepared(docs, blocks, range(blocks.n), window))), docs.schema)
     found = hits(docs, blocks, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), window)
     n_hit = F.aggregate("spans", F.lit(0), lambda total, x: total + x["end"] - x["start"])  # spans are runs apart
     return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select("key.*")

@@ -598,6 +598,33 @@ def test_blocks_of_items(spark):
     assert got == {0: (1002, 1000, 1), 1: (13, 13, 1), 2: (12, 0, 0)}
 
 
+def test_repeated_items_cost_no_more_than_one(spark):
+    body = " ".join(f"k{j}" for j in range(100))
+    docs = table(spark, ["x " + body + " y", " ".join(body.split()[10:23]), "nothing"])
+    ids = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(body).alias("text"))
+    blocks = decontamination.Blocks(ids, 13)
+    assert blocks.n == 1 and len({b for b, _ in blocks.bodies(0)}) == 1 and len(blocks[0]) == 100_000
+    for benchmark, n in ((ids, 100_000), (ids.select(F.lit(7).cast("long").alias("item_id"), "text"), 1)):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontamination.decontamination_report(docs, benchmark).collect()}
+        assert got == {0: (100, n), 1: (13, n), 2: (0, 0)}
+    few = decontamination.Blocks(ids.limit(20_000), 13, 10_000)
+    sizes = [sum(len(b.split()) + len(i) for b, i in few.bodies(k)) for k in range(few.n)]
+    assert min(sizes) > 0 and max(sizes) < 12_000 and sum(len(few[k]) for k in range(few.n)) == 20_000
+
+
+def test_blocks_share_scans(spark):
+    rng = random.Random(9)
+    items = [(i % 50, " ".join(f"v{rng.randint(0, 300)}" for _ in range(20))) for i in range(100)] + [(None, "v1 v2")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, [" ".join(f"v{rng.randint(0, 300)}" for _ in range(30)) + " " + rng.choice(items)[1] for _ in range(60)])
+    blocks = decontamination.Blocks(benchmark, 13, 120)
+    assert all(blocks.bodies(k) for k in range(blocks.n)) and blocks.n > 2 * decontamination.CHAIN
+    got = decontamination.hits(docs, blocks, F.col("doc_id")).drop("key")
+    assert blocks.scans == 2 * -(-blocks.n // decontamination.CHAIN)
+    one = decontamination.hits(docs, decontamination.Blocks(benchmark, 13), F.col("doc_id")).drop("key")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, one.collect()))
+
+
 def test_several_blocks_equal_one_on_many_equal_rows(spark):
     items = [(i, " ".join(f"k{i}x{j}" for j in range(20))) for i in range(6)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
