@@ -4,16 +4,19 @@ A text's sentences (parts between line breaks, and after . ! or ? with white spa
 everything but ASCII letters, digits and non-ASCII characters to one space; n_sentences counts them. They are cut again
 after ; : and ) with white space, and known licence sentences are looked for among these pieces and runs of neighbouring
 pieces, the longest run first: a run may go on over single line breaks, whatever signs (or `dnl`, `rem`) begin the next
-line, but not over a blank line or the end of a sentence (`v.` before a digit ends none). What equals a known sentence becomes its identifier. The
-identifiers of a text, in order and without unknown sentences between them, are matched against the rules in their
+line, but not over a blank line or the end of a sentence (`v.` before a digit ends none). What equals a known sentence becomes its identifier.
+Sentences with holes (`HOLED`: a holder's or a programme's name) are matched by their fixed parts around one to GAP words.
+An unknown sentence right after the two conditions that all BSD licences share becomes `bsd-other`, unless it begins as
+their disclaimer does or a known further condition follows: a condition that is not known never makes the licence a more
+permissive one. The identifiers of a text, in order and without unknown sentences between them, are matched against the rules in their
 order, longer rules first: a rule names a licence for one sequence of identifiers, and a sequence that it matches is
 used up.
 
-Known are sentences of licence texts and headers (`SENTENCES`), notices (`NOTICES` with `NAMES`), the GNU header with its
+Known are sentences of licence texts and headers (`SENTENCES`, `HOLED`), notices (`NOTICES` with `NAMES`), the GNU header with its
 subjects, licences and versions (-only and -or-later), the Creative Commons notice with its elements and versions, and
 `SPDX-License-Identifier:` with an expression: each licence in it, between OR, AND and WITH and with + as -or-later, is
-a notice of its own; exceptions and unknown identifiers are passed over. The SQL knows a sentence on one line only; on
-texts without wrapped sentences both give the same.
+a notice of its own; exceptions and unknown identifiers are passed over. The SQL knows a sentence on one line only, and names
+without a full stop in holes; on texts without wrapped sentences both give the same.
 
 Defined results: null and empty texts have no sentences and no licences; repeated notices count each time; rows that
 share a doc_id each give a row; an empty table gives an empty table; other columns are ignored.
@@ -26,6 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,8 @@ NOTICES = ["Licensed under {}.", "Released under {}.", "Distributed under {}.",
 #: The GNU header, what it may speak of, and the versions of each licence.
 GNU = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, {}."
 GNU_SUBJECTS = ["This program", "This library", "This file", "This software", "This package", "It"]
+GNU_FIXED = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} version {} as published by the Free Software Foundation."
+GNU_LIBRARY = "Library General Public License"
 GNU_LICENCES = {"GPL": ("General Public License", ["2.0", "3.0"]), "LGPL": ("Lesser General Public License", ["2.1", "3.0"]), "AGPL": ("Affero General Public License", ["3.0"])}
 GNU_VERSIONS = {"or-later": "either version {} of the License, or (at your option) any later version", "only": "version {} of the License"}
 #: The Creative Commons notice, its elements and versions.
@@ -112,8 +118,22 @@ SENTENCES = {
     "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
     "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "mit-notice-next": "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "apache-or-mit": "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
     "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
 }
+#: Sentences with holes, by the identifier that they become.
+HOLED = [
+    ("bsd-names", "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-names", "Neither the names of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-names", "Neither the name of {} nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-names-author", "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-as-is", 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("apache-header", '{} licenses this file to you under the Apache License, Version 2.0 (the "License");'),
+]
+#: Words that a hole may have, and, for speed, what any text with such a sentence says.
+GAP, HOLED_SAY = 12, (b"endorse", b"provided by", b"licenses this", b"free software")
 RULES = [
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"]),
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names-university"]),
@@ -121,10 +141,12 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names-author"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names-university"]),
+    ("LicenseRef-BSD-other", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-other"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Zlib", ["zlib-as-is", "zlib-liable", "zlib-grant"]),
     ("Apache-2.0", ["apache-defines", "apache-licensor", "apache-grant"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("MIT", ["mit-grant", "mit-notice-next"]),
     ("Apache-2.0", ["apache-header", "apache-use"]),
     ("MPL-1.1", ["mpl-1.1-subject", "apache-use"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
@@ -145,7 +167,11 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("BSL-1.0", ["boost-grant"]),
     ("CC0-1.0", ["cc0-dedicated"]),
+    ("LicenseRef-BSD-style", ["bsd-style"]),
+    ("Apache-2.0 OR MIT", ["apache-or-mit"]),
 ]
+#: How the sentence begins that ends the conditions of a BSD licence, and identifiers of its further conditions.
+DISCLAIMER, FURTHER = b"this software is provided", ("bsd-names", "bsd-advertising")
 SPDX = b"spdx license identifier "
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _OTHER = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -184,6 +210,8 @@ def known_sentences() -> dict[bytes, str]:
         for version, subject, (which, words) in itertools.product(versions, GNU_SUBJECTS, GNU_VERSIONS.items()):
             said = GNU.format(subject, name, words.format(version.removesuffix(".0")))
             out.setdefault(normalised(said.encode()), f"says-{short}-{version}-{which}")
+        for version, subject in itertools.product(versions, GNU_SUBJECTS):
+            out.setdefault(normalised(GNU_FIXED.format(subject, name, version.removesuffix(".0")).encode()), f"says-{short}-{version}-only")
     for (element, name), (version, kind), article in itertools.product(CC_ELEMENTS.items(), CC_VERSIONS.items(), ("a", "the")):
         out.setdefault(normalised(CC.format(article, name, kind).encode()), f"says-CC-{element}-{version}")
     for licence in spdx_ids():
@@ -191,6 +219,27 @@ def known_sentences() -> dict[bytes, str]:
     return out
 
 
+def holed() -> list[tuple[str, str]]:
+    """Identifiers and the regular expressions of sentences with holes, for normalised text."""
+    gnu = []
+    for short, (name, versions) in [*GNU_LICENCES.items(), ("LGPL", (GNU_LIBRARY, ["2.0"]))]:
+        for version in versions:
+            said = version.removesuffix(".0")
+            gnu += [(f"says-{short}-{version}-{which}", GNU.format("{}", name, words.format(said))) for which, words in GNU_VERSIONS.items()]
+            gnu.append((f"says-{short}-{version}-only", GNU_FIXED.format("{}", name, said)))
+    out = []
+    for i, sentence in HOLED + gnu:
+        parts = [normalised(p.encode()).decode() for p in sentence.split("{}")]
+        out.append((i, "".join(p if k == 0 else f"{' ' * bool(parts[k - 1])}([^ ]+ ){{1,{GAP}}}{p}" for k, p in enumerate(parts))))
+    return out
+
+
+def holes() -> tuple[regex.Pattern, list[tuple[str, regex.Pattern]]]:
+    """Any sentence with holes, and each."""
+    each = [(i, regex.compile(p.encode())) for i, p in holed()]
+    return regex.compile("|".join(f"(?:{p})" for _, p in holed()).encode()), each
+
+
 def rules() -> list[tuple[str, str]]:
     """(licence, identifiers as they follow each other, each in angle brackets), longer rules first."""
     own = [(licence, "".join(f"<{i}>" for i in ids)) for licence, ids in sorted(RULES, key=lambda rule: -len(rule[1]))]
@@ -203,9 +252,9 @@ def beginnings(known: dict[bytes, str]) -> set[bytes]:
     return {b" ".join(w[: n + 1]) for w in words for n in range(len(w))}
 
 
-def pieces(text: bytes) -> tuple[int, list[bytes], list[bool]]:
-    """The number of sentences, the normalised pieces of them, and whether each goes on with the piece before."""
-    n, out, joins = 0, [], []
+def pieces(text: bytes) -> tuple[int, list[bytes], list[bool], list[bool]]:
+    """The number of sentences, the normalised pieces of them, and whether each goes on with the piece before, and is near it (no blank line between)."""
+    n, out, joins, nears = 0, [], [], []
     near = ended = False  # whether the last piece is on this line or the one before, and ends a sentence
     for line in text.splitlines():
         blank, named = True, False
@@ -221,6 +270,7 @@ def pieces(text: bytes) -> tuple[int, list[bytes], list[bool]]:
                 found = operands(part)
                 out += found
                 joins += [False] * len(found)
+                nears += [False] * len(found)
                 blank, near = False, False
                 continue
             cut = _PIECE.split(part)
@@ -229,30 +279,61 @@ def pieces(text: bytes) -> tuple[int, list[bytes], list[bool]]:
                 found[0] = found[0][4:]
             for piece in found:
                 joins.append(near and (not ended or out[-1].rpartition(b" ")[2] == b"v" and piece[:1].isdigit()))
+                nears.append(near)
                 out.append(piece)
                 near, ended = True, False
             blank, ended = False, True
         near, ended = not blank and not named, bool(_END.search(line))
-    return n, out, joins
+    return n, out, joins, nears
 
 
-def scan(text: bytes, known: dict[bytes, str], begun: set[bytes], ordered: list[tuple[str, str]]) -> tuple[int, str, list[str]]:
+def _with_holes(parts: list[bytes], nears: list[bool], at: int, any_hole: regex.Pattern, each: list[tuple[str, regex.Pattern]]) -> tuple[str | None, int]:
+    """The identifier of the longest run from at that is a sentence with holes, and where the run ends; names may hold full stops."""
+    run, end, last, after = parts[at], at + 1, None, at
+    while (met := any_hole.fullmatch(run, partial=True)) is not None:
+        if not met.partial:
+            last, after = next(i for i, p in each if p.fullmatch(run)), end
+        if end == len(parts) or not nears[end]:
+            break
+        run, end = run + b" " + parts[end], end + 1
+    return last, after
+
+
+def _trivial(piece: bytes) -> bool:
+    """Whether a piece is no more than the number of a condition."""
+    return len(piece) < 3
+
+
+def scan(text: bytes, known: dict[bytes, str], begun: set[bytes], ordered: list[tuple[str, str]], holes: tuple | None = None) -> tuple[int, str, list[str]]:
     """The number of sentences, the sequence of identifiers and the licences found, one for each match."""
-    n, parts, joins = pieces(text)
-    ids, at = [], 0
+    n, parts, joins, nears = pieces(text)
+    ids, at, low = [], 0, text.translate(_LOWER)
+    spaced = _OTHER.sub(b" ", low) if holes else b""
+    holes = holes if any(s in spaced for s in HOLED_SAY) else None
+    shared = other = False  # whether the last sentence is the second shared BSD condition, and an unknown one follows it
     while at < len(parts):
-        run, last, end = parts[at], None, at + 1
+        run, last, after, end = parts[at], None, at, at + 1
         while run in begun:
             if run in known:
                 last, after = known[run], end
             if end == len(parts) or not joins[end]:
                 break
             run, end = run + b" " + parts[end], end + 1
-        if last is None:
-            at += 1
-        else:
+        if holes:
+            found_in, longer = _with_holes(parts, nears, at, *holes)
+            if longer > after:
+                last, after = found_in, longer
+        if last is not None:
+            if other and not last.startswith(FURTHER):
+                ids.append("bsd-other")
             ids.append(last)
-            at = after
+            at, shared, other = after, last == "bsd-binary", False
+            continue
+        if shared and not _trivial(parts[at]):  # the first sentence behind the shared conditions
+            shared, other = False, not (parts[at].startswith(DISCLAIMER) or DISCLAIMER.startswith(parts[at]))
+        at += 1
+    if other:
+        ids.append("bsd-other")
     sequence = left = "".join(f"<{i}>" for i in ids)
     found: list[str] = []
     if left:
@@ -263,10 +344,10 @@ def scan(text: bytes, known: dict[bytes, str], begun: set[bytes], ordered: list[
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, ordered = known_sentences(), rules()
+    known, ordered, own = known_sentences(), rules(), holes()
     begun = beginnings(known)
     for batch in steps(batches, "text"):
-        n, sequence, found = zip(*[scan(t, known, begun, ordered) for t in utf8(batch, "text")], strict=True)
+        n, sequence, found = zip(*[scan(t, known, begun, ordered, own) for t in utf8(batch, "text")], strict=True)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(sequence, pa.string()), pa.array([len(x) for x in found], pa.int64()), pa.array([",".join(sorted(set(x))) for x in found], pa.string())],
             names=["doc_id", "n_sentences", "sentence_ids", "n_notices", "licences"],
@@ -293,7 +374,7 @@ def _sql() -> str:
     def plain(p: str) -> str:
         return rf"trim(regexp_replace(translate({p}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')"
 
-    spdx = SPDX.decode()
+    spdx, in_holes = SPDX.decode(), " ".join(f"WHEN regexp_full_match(sentence, '{p}') THEN '{i}'" for i, p in holed())
     return rf"""
 WITH cut AS (
   SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \t\x0b\x0c]+', '\1' || chr(10), 'g'), '[\n\r]+') AS parts FROM documents
@@ -305,7 +386,12 @@ parts AS (
   FROM (SELECT doc_id, unnest(sentences) AS sentence, unnest(range(len(sentences))) AS place FROM said)
 ),
 one AS (SELECT doc_id, place, unnest(named) AS sentence, unnest(range(len(named))) AS spot FROM parts),
-listed AS (SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY place, spot) AS seq FROM one JOIN known USING (sentence) GROUP BY doc_id),
+met AS (SELECT doc_id, place, spot, sentence, coalesce(id, CASE {in_holes} END) AS id FROM one LEFT JOIN known USING (sentence)),
+near AS (SELECT *, lead(id) OVER w AS next, lead(id IGNORE NULLS) OVER w AS later, lead(sentence) OVER w AS said FROM met WHERE id IS NOT NULL OR strlen(sentence) >= 3 WINDOW w AS (PARTITION BY doc_id ORDER BY place, spot)),
+listed AS (
+  SELECT doc_id, string_agg('<' || id || '>' || CASE WHEN id = 'bsd-binary' AND next IS NULL AND NOT starts_with(said, '{DISCLAIMER.decode()}') AND NOT regexp_matches(coalesce(later, ''), '^({"|".join(FURTHER)})') THEN '<bsd-other>' ELSE '' END, '' ORDER BY place, spot) AS seq
+  FROM near WHERE id IS NOT NULL GROUP BY doc_id
+),
 seqs AS (SELECT doc_id, len(sentences)::BIGINT AS n_sentences, coalesce(seq, '') AS sentence_ids, coalesce(seq, '') AS s0 FROM said LEFT JOIN listed USING (doc_id)),
 {", ".join(steps_)}
 SELECT doc_id, n_sentences, sentence_ids, ({" + ".join(counts)})::BIGINT AS n_notices,

@@ -1118,6 +1118,46 @@ def test_licences_of_real_files(spark, tmp_path, same):
     same(license_scan.license_scan(docs), duck.sql(license_scan.OP10_SQL))
 
 
+NAMED = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: Texts as projects have them, written apart from the operator's tables.
+HOLED_FILES = [
+    ("BSD-3-Clause", "{bsd}3. " + NAMED.format("Google Inc. and J. Q. Public") + "\n\n{as_is}"),
+    ("BSD-3-Clause", "{bsd}* " + NAMED.format("the University of Somewhere, Elsewhere") + "\n{as_is}"),
+    ("BSD-3-Clause", "{bsd}3. The name of Jane Public may not be used to endorse or promote products derived from this software without specific prior written permission.\n{as_is}"),
+    ("BSD-2-Clause", "{bsd}{as_is}"),
+    ("LicenseRef-BSD-other", "{bsd}3. You must send the author a postcard from your town.\n\n{as_is}"),
+    ("LicenseRef-BSD-style", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file."),
+    ("GPL-2.0-only", " * This program is free software; you can redistribute it and/or modify it\n * under the terms of the GNU General Public License version 2 as published by\n * the Free Software Foundation."),
+    ("LGPL-2.0-or-later", "Foo is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "# GNU Foo Bar is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+    ("Apache-2.0 OR MIT", "Licensed under either of Apache License, Version\n2.0 or MIT license at your option."),
+    ("MIT", "{mit} The above copyright notice and this permission notice (including the next\nparagraph) shall be included in all copies or substantial portions of the\nSoftware."),
+    ("Apache-2.0", "The ASF licenses this file to You under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in compliance with\nthe License."),
+]
+
+
+def test_sentences_with_holes(spark, tmp_path, same):
+    import duckdb
+
+    s = license_scan.SENTENCES
+    parts = {"bsd": f"{s['bsd-grant']}\n\n1. {s['bsd-source']}\n2. {s['bsd-binary']}\n", "as_is": s["bsd-as-is"].replace("COPYRIGHT HOLDERS", "AUTHOR"), "mit": s["mit-grant"]}
+    texts = [t.replace("{bsd}", parts["bsd"]).replace("{as_is}", parts["as_is"]).replace("{mit}", parts["mit"]) for _, t in HOLED_FILES]
+    assert licences_of(spark, texts) == [(1, licence) for licence, _ in HOLED_FILES]
+    # A hole has some words, not none and not a paragraph, and does not reach over a blank line.
+    none = [NAMED.replace("{} ", ""), NAMED.format("very " * 20), NAMED.replace("{} ", "A\n\nB "), "is free software " * 2000]
+    bsd = parts["bsd"] + "{}" + "\n" + parts["as_is"]
+    assert licences_of(spark, [bsd.format(t) for t in none]) == [(1, "LicenseRef-BSD-other")] * 4
+    # On one line each, as the SQL has them; repeated rows and shared ids give a row each.
+    flat = ["\n".join(p.replace("\n", " ") for p in t.split("\n\n")) for t in texts[1:5]] + [NAMED.format("X"), "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."]
+    docs = table(spark, flat + ["\n".join(flat)] * 2).union(table(spark, ["Released under MIT."] * 2, [500, 501]))
+    docs.write.parquet(f"{tmp_path}/documents")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    same(license_scan.license_scan(docs), duck.sql(license_scan.OP10_SQL))
+    shared = license_scan.license_scan(table(spark, ["Released under MIT.", "Released under MIT.", "nothing", None], [4, 4, 4, None]))
+    assert sorted((tuple(r)[::4] for r in shared.collect()), key=repr) == sorted([(4, "MIT"), (4, "MIT"), (4, ""), (None, "")], key=repr)
+
+
 # All: a text longer than a step of a worker, without an id and twice
 
 
