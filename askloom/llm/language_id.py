@@ -2,12 +2,12 @@
 
 Texts become batches of fixed-length byte windows. A byte embedding, filters of several widths, max pooling over the
 window and a softmax layer give each window's probabilities; a text's are the mean over all its windows, weighted by
-their length. The network is trained in numpy on a bounded sample of labelled rows: of the `most_languages` languages
-with the most rows (200), `per_language` different rows each (300), those with the smallest hash of id and text, and of
-each of them `per_text` windows at most (6, of 256 bytes), drawn at random among those of 8 bytes or more, so long
-training texts are mostly unread. The windows are cut on the executors; the driver gets 92 MB of them at most. Scoring
-reads all windows of all texts. For scoring, embedding and filters fold into tables indexed by byte pairs, so a filter
-of width w costs about w / 2 look-ups a byte.
+their length. The network is trained in numpy on a bounded sample: of every language `per_language` different labelled
+rows (300), those with the smallest hash of id and text, and of all windows of those rows `sample` (24,000, the same number
+of each language, one at least) with the smallest hashes. No language is left out, and no part of a row. The windows are
+cut and drawn on the executors; the driver gets 6 MB of them, or a window a language. Scoring reads all windows of all
+texts. For scoring, embedding and filters fold into tables indexed by byte pairs, so a filter of width w costs about w / 2
+look-ups a byte.
 
 Defined results: a text that is null or has no letter (a character of a Unicode category L) is `und` with score 0; a
 null label is never learned; rows that share an id or repeat are told apart by their text, and equal rows are learned
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, table, tidy, utf8
+from .common import mixed, steps, table, tidy, utf8
 
-LENGTH, EMBED, FILTERS, WIDTHS, PER_LANGUAGE, PER_TEXT, MOST_LANGUAGES = 256, 8, 16, (2, 3, 4), 300, 6, 200
+LENGTH, EMBED, FILTERS, WIDTHS, PER_LANGUAGE, SAMPLE = 256, 8, 16, (2, 3, 4), 300, 24_000
+#: Windows that training looks at: more rounds on small samples.
+VISITS = 40_000
 _WORD = re.compile(r"[^\W\d_]")  # letters, and numerals that are no digits
 
 
@@ -63,16 +65,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def training_windows(texts: list[bytes], seeds: list[int], per_text: int = PER_TEXT) -> tuple[np.ndarray, np.ndarray]:
-    """per_text windows of each text at most, drawn by its seed among those of 8 bytes or more, and the text of each."""
-    got, owner, sizes = windows(texts)
-    firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    picked = []
-    for a, b, seed in zip(firsts[:-1].tolist(), firsts[1:].tolist(), seeds, strict=True):
-        long = a + np.flatnonzero(sizes[a:b] >= 8)
-        picked.append(np.sort(np.random.default_rng(seed).permutation(long)[:per_text]))
-    picked = np.concatenate(picked) if picked else np.empty(0, np.int64)
-    return got[picked], owner[picked]
+def training_windows(texts: list[bytes], seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts, the text of each, and a hash of its text's seed and its place, by which windows are drawn."""
+    got, owner, _ = windows(texts)
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return got, owner, mixed(mixed(np.array(seeds, np.uint64)[owner]) + place.astype(np.uint64))
 
 
 def train(x: np.ndarray, labels: list[str], seed: int = 7, epochs: int = 6, batch: int = 64, rate: float = 0.004) -> ByteNet:
@@ -176,27 +173,25 @@ def _predict(net: ByteNet | None):
     return run
 
 
-def _cut(per_text: int):
-    """The training windows of each row (lang, seed, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", 4 << 20):
-            seeds = np.asarray(batch.column(1)).view(np.uint64)
-            x, owner = training_windows(utf8(batch, "text"), seeds.tolist(), per_text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(seeds.view(np.int64)[owner]), pa.array([w.tobytes() for w in x], pa.binary())], names=["lang", "seed", "window"])
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each row (lang, seed, text)."""
+    for batch in steps(batches, "text", 4 << 20):
+        x, owner, drawn = training_windows(utf8(batch, "text"), np.asarray(batch.column(1)).view(np.uint64).tolist())
+        for a in range(0, len(x), 10_000):
+            here = slice(a, a + 10_000)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[here])), pa.array(drawn[here].view(np.int64)), pa.array([w.tobytes() for w in x[here]], pa.binary())], names=["lang", "drawn", "window"])
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT, most_languages: int = MOST_LANGUAGES) -> ByteNet | None:
-    """The network of a bounded sample of labelled (doc_id, text, lang): per_language different rows of each language.
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, most_languages: int | None = None) -> ByteNet | None:
+    """The network of a bounded sample of labelled (doc_id, text, lang).
 
     Rows pass a threshold on their id's hash, at which about twice as many ids of each language remain, before any is
-    moved; a language with few ids, whatever number of rows they have, passes whole.
+    moved; a language with few ids, whatever number of rows they have, passes whole. most_languages: those with the most
+    rows only.
     """
     known = labelled.where("lang is not null and text is not null")
     ids = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
-    counts = ids.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = (ids.orderBy(F.desc("n"), "lang").limit(most_languages) if most_languages else ids).collect()
     if not counts:
         return None
     least = labelled.sparkSession.createDataFrame([(r["lang"], 2.0 * per_language / max(r["ids"], 1)) for r in counts], T.StructType([T.StructField("of", known.schema["lang"].dataType), T.StructField("least", T.DoubleType())]))
@@ -204,11 +199,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = P
     some = known.join(F.broadcast(least), (F.col("lang") == F.col("of")) & (share <= F.col("least"))).select("lang", F.xxhash64("doc_id", "text").alias("seed"), "text")
     first = some.withColumn("copy", F.row_number().over(Window.partitionBy("lang", "seed").orderBy("text"))).where("copy = 1")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("seed", "text"))).where(F.col("rank") <= per_language)
-    cut = ranked.select("lang", "seed", "text").mapInArrow(tidy(_cut(per_text)), T.StructType([known.schema["lang"], T.StructField("seed", T.LongType()), T.StructField("window", T.BinaryType())]))
-    rows = sorted(cut.collect(), key=lambda r: (r["lang"], r["seed"], bytes(r["window"])))
+    cut = ranked.select("lang", "seed", "text").mapInArrow(tidy(_cut), T.StructType([known.schema["lang"], T.StructField("drawn", T.LongType()), T.StructField("window", T.BinaryType())]))
+    each = max(1, sample // len(counts))
+    taken = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "window"))).where(F.col("rank") <= each)
+    rows = sorted(taken.select("lang", "drawn", "window").collect(), key=lambda r: (r["lang"], r["drawn"], bytes(r["window"])))
     if not rows:
         return None
-    return train(np.frombuffer(b"".join(bytes(r["window"]) for r in rows), np.uint8).reshape(-1, LENGTH), [r["lang"] for r in rows])
+    x = np.frombuffer(b"".join(bytes(r["window"]) for r in rows), np.uint8).reshape(-1, LENGTH)
+    return train(x, [r["lang"] for r in rows], epochs=max(1, round(VISITS / len(rows))) if len(rows) > VISITS // 6 else 6)
 
 
 def language_id(docs: DataFrame, net: ByteNet | None) -> DataFrame:

@@ -8,9 +8,9 @@ two that they lie in. All pairs of features interact through vectors of `RANK` n
 identity, sum over pairs of <v_i, v_j> x_i x_j = half of sum over factors of (sum v x)^2 - sum (v x)^2, scoring takes
 linear time.
 
-Trained in numpy on a bounded sample of labelled rows: the `sample` rows (3,000) with the smallest hash of their id, and
-of each the `words_a_text` different words (2,000) that it says most often, ties by their place. Their features are
-computed on the executors; the driver gets those only. Scoring reads all words of all texts.
+Trained in numpy on a bounded sample of labelled rows: the `sample` rows (3,000) with the smallest hash of their id, each
+with all its words. Their features are computed on the executors; the driver gets those only, 6 bytes for each of the
+different words of a row, of which there are `BUCKETS` at most. Scoring reads all words of all texts.
 
 Defined results: null text is empty; empty texts are scored by their structure; labels other than 0 and 1 are not
 learned; a doc_id with several labels counts once for each, one with several texts by the first in order; null metadata
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import SPACED, Words, as_bytes, looked_up, opened, share, steps, table, tidy, utf8
 
-BUCKETS, RANK, SAMPLE, WORDS_A_TEXT, THRESHOLD, METADATA = 1 << 15, 8, 3000, 2000, 0.7, ("n_chars",)
+BUCKETS, RANK, SAMPLE, THRESHOLD, METADATA = 1 << 15, 8, 3000, 0.7, ("n_chars",)
 META = "metadata "  # before the names of metadata columns on their way to the workers
 _CLASSES = np.zeros(256, np.int64)
 _CLASSES[65:91], _CLASSES[97:123], _CLASSES[48:58], _CLASSES[128:] = 1, 2, 3, 4
@@ -179,22 +179,23 @@ def _value(docs: DataFrame, name: str) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), F.round(2 * F.log2(1 + F.abs(c.cast("double")))).try_cast("int").cast("string"))
 
 
-def _featured(metadata: tuple[str, ...], words_a_text: int):
-    """The features of each row (id, quality, text and metadata)."""
+def _featured(metadata: tuple[str, ...], words_a_text: int | None):
+    """The features of each row (id, quality, text and metadata): of all words, or those said most often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", 6 << 20):
             text, at, weight, dense = features(utf8(batch, "text"), {c: batch.column(3 + i).to_pylist() for i, c in enumerate(metadata)})
             order = np.lexsort((at, -weight, text))
             first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            kept = [np.sort(order[a : min(b, a + words_a_text + len(metadata))]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            packed = [[at[i].astype(np.int32).tobytes() for i in kept], [weight[i].tobytes() for i in kept], [x.tobytes() for x in dense]]
+            most = len(order) if words_a_text is None else words_a_text + len(metadata)
+            kept = [np.sort(order[a : min(b, a + most)]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            packed = [[at[i].astype(np.uint16).tobytes() for i in kept], [weight[i].astype(np.float32).tobytes() for i in kept], [x.tobytes() for x in dense]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in packed)], names=["id", "quality", "at", "weight", "dense"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tuple[str, ...] = (), words_a_text: int = WORDS_A_TEXT) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tuple[str, ...] = (), words_a_text: int | None = None) -> Machine | None:
     """The machine of a bounded sample of the labelled rows that are not held out."""
     if {"doc_id", "text"} & set(metadata):
         raise ValueError("doc_id and text are no metadata")
@@ -211,9 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tupl
     rows = sorted(found.collect(), key=lambda r: (r["id"], r["quality"]))
     if not rows:
         return None
-    at, weight, dense = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("at", np.int32), ("weight", np.float64), ("dense", np.float64)))
-    text = np.repeat(np.arange(len(rows)), [len(r["at"]) // 4 for r in rows])
-    return train((text, at.astype(np.int64), weight, dense.reshape(len(rows), -1)), [r["quality"] for r in rows], metadata)
+    at, weight, dense = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("at", np.uint16), ("weight", np.float32), ("dense", np.float64)))
+    text = np.repeat(np.arange(len(rows)), [len(r["at"]) // 2 for r in rows])
+    return train((text, at.astype(np.int64), weight.astype(np.float64), dense.reshape(len(rows), -1)), [r["quality"] for r in rows], metadata)
 
 
 def _score(batch: pa.RecordBatch, m: Machine | None) -> np.ndarray:

@@ -299,7 +299,7 @@ def test_language_edges(spark):
 
 
 def small_net():
-    x, owner = language_id.training_windows([b"abc abd abe " * 30, b"xyz xyw xyv " * 30], [1, 2])
+    x, owner, _ = language_id.training_windows([b"abc abd abe " * 30, b"xyz xyw xyv " * 30], [1, 2])
     return language_id.train(x, [["a", "b"][i] for i in owner], epochs=1)
 
 
@@ -331,6 +331,22 @@ def test_language_of_whole_texts_equals_brute_force(spark):
         assert mine[:3] == other[:3] and abs(mine[3] - other[3]) < 1e-4
 
 
+def test_three_hundred_languages_are_all_learned(spark):
+    rng = random.Random(5)
+    alphabets = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéèüñçåøß") for _ in range(5)) for _ in range(300)]
+    rows = [(k * 10 + i, " ".join("".join(rng.choice(a) for _ in range(6)) for _ in range(30)), f"l{k:03}") for k, a in enumerate(alphabets) for i in range(3)]
+    rows += [(10_000 + i, "one language has most of the rows", "big") for i in range(3000)]
+    assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=600).languages == ["big", *(f"l{k:03}" for k in range(300))]
+
+
+def test_all_windows_of_a_training_text_may_be_drawn():
+    text = b"".join(b"%255d|" % i for i in range(500)) + b"end"
+    x, owner, drawn = language_id.training_windows([b"", text, b"a"], [1, 2, 3])
+    assert len(x) == 502 and owner.tolist() == [1] * 501 + [2] and len(set(drawn.tolist())) == 502 and bytes(x[500]).rstrip(b"\0") == b"end"
+    first = set(np.argsort(drawn[:501])[:50].tolist())
+    assert max(first) > 300 and min(first) < 200  # drawn from all over the text
+
+
 def test_every_language_is_learned_whatever_its_ids(spark):
     rows = [(i, f"the cat number {i} and the dog with the hat", "en") for i in range(3000)]
     for one in range(4):  # all rows of a language under one id, under none, or one text
