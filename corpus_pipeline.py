@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import decontamination, mixing, quality, simhash, token_output
-from askloom.llm.common import discard, materialise, table
+from askloom.llm.common import comparable, discard, materialise, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, one row with the group's smallest doc_id; without one, where no row has one."""
+    """Of each group of near duplicates, one row with the group's smallest doc_id; without one, where no row has one.
+
+    Of rows that share this id and text the least by all columns, in their order.
+    """
     mark = F.xxhash64("text").alias("mark")
     found = simhash.components(docs, mark)
     # Rows may share a doc_id, so a group goes by its root, and its row by doc_id and text. No text is needed to choose.
@@ -34,8 +37,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     once = own.join(kept.where("not repeated"), met, "left_semi").select("row.*")
     if kept.where("repeated").isEmpty():
         return once
-    # Equal rows: any of them, chosen before they are shuffled as well as after.
-    repeated = own.join(kept.where("repeated"), met, "left_semi").groupBy("id", "mark").agg(F.any_value("row").alias("row"))
+    # Rows of one id and text: the least by all columns, chosen before they are shuffled as well as after.
+    order = F.struct(*[comparable(F.col("row")[f.name], f.dataType).alias(f"c{i}") for i, f in enumerate(docs.schema.fields)])
+    repeated = own.join(kept.where("repeated"), met, "left_semi").groupBy("id", "mark").agg(F.min_by("row", order).alias("row"))
     return once.unionByName(repeated.select("row.*"))
 
 
