@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--timeout", type=float, default=120.0)
     g.add_argument("--chunk-size", type=int, default=1000)
     g.add_argument("--chunk-overlap", type=int, default=200)
+    g.add_argument("--separators", default="kept", choices=["kept", "lost"], help="whether separators stay in the chunks")
     g.add_argument("--num-pairs", "-n", type=int, default=5)
     g.add_argument("--workers", "-w", "--max-workers", dest="max_workers", type=int, default=4)
     g.add_argument("--min-score", type=float, default=0.5)
@@ -77,7 +78,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         run = run_pipeline(
             spark, os.path.abspath(got.file) if local else got.file, client, got.output, got.format or Path(got.output).suffix or "jsonl", got.chunk_size, got.chunk_overlap, got.num_pairs, got.max_workers,
             min_quality_score=got.min_score, deduplicate_pairs=not got.no_dedup, question_key=got.question_key, answer_key=got.answer_key, include_score=got.include_score,
-            text_columns=[*(got.text_column or []), *(listed(got.text_columns) or [])] or None, prompt_template=Path(got.prompt_template).read_text("utf-8") if got.prompt_template else PROMPT, save_metrics=got.save_metrics, progress=got.progress,
+            text_columns=[*(got.text_column or []), *(listed(got.text_columns) or [])] or None, prompt_template=Path(got.prompt_template).read_text("utf-8") if got.prompt_template else PROMPT, save_metrics=got.save_metrics, progress=got.progress, separators=got.separators,
         )
     except Exception as error:
         log.debug("failed", exc_info=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,8 @@ from ..functions.text import bound, column, folded, split_literal
 SIZE, OVERLAP = 1000, 200
 #: Separators, from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Those of the splitter that keeps them.
+KEPT_SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def checked(size: int, overlap: int) -> None:
@@ -66,14 +70,65 @@ def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> li
     return [c for c in chunks if c and not c.isspace()]
 
 
-def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text_column: str = "text", splitter: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """All columns but the text, then chunk_index and chunk, a row for each chunk."""
+def _merged(pieces: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of neighbouring pieces of at most size characters; the next one begins with what the overlap and its first new piece leave room for."""
+    first = 0
+    for k, (a, b) in enumerate(pieces):
+        if k > first and b - pieces[first][0] > size:
+            yield pieces[first][0], pieces[k - 1][1]
+            while first < k and (a - pieces[first][0] > overlap or b - pieces[first][0] > size):
+                first += 1
+    if pieces:
+        yield pieces[first][0], pieces[-1][1]
+
+
+def _kept_spans(text: str, begin: int, end: int, size: int, overlap: int, level: int) -> Iterator[tuple[int, int]]:
+    """Chunk spans of text[begin:end], where a piece keeps the separator before it, and only separators that occur are used."""
+    while KEPT_SEPARATORS[level] and text.find(KEPT_SEPARATORS[level], begin, end) < 0:
+        level += 1
+    separator, short = KEPT_SEPARATORS[level], []
+    if separator:
+        cuts = [begin, *(a - len(separator) for a, _ in _pieces(text, begin, end, separator) if a > begin), end]
+    else:
+        cuts = list(range(begin, end + 1))
+    for a, b in itertools.pairwise(cuts):
+        if b - a < size:
+            if a < b:
+                short.append((a, b))
+            continue
+        yield from _merged(short, size, overlap)
+        short = []
+        if separator:
+            yield from _kept_spans(text, a, b, size, overlap, level + 1)
+        else:
+            yield a, b
+    yield from _merged(short, size, overlap)
+
+
+def split_keeping(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """Chunks of at most size characters in which separators stay, without white space at their ends; blank ones dropped.
+
+    The longest separator that occurs cuts first; pieces shorter than size are merged, the others cut by the next one.
+    """
+    if not text or text.isspace():
+        return []
+    chunks = (text[a:b].strip() for a, b in _kept_spans(text, 0, len(text), size, overlap, 0))
+    return [c for c in chunks if c]
+
+
+#: How separators are treated: those between chunks are lost, or every piece keeps its own.
+SPLITTERS = {"lost": split_text, "kept": split_keeping}
+
+
+def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text_column: str = "text", splitter: Callable[[str], list[str]] | None = None, separators: str = "lost") -> DataFrame:
+    """All columns but the text, then chunk_index and chunk, a row for each chunk. separators: lost or kept; or a splitter of one's own."""
     checked(size, overlap)
+    split = splitter or functools.partial(SPLITTERS[separators], size=size, overlap=overlap)
 
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: (splitter(t) if splitter else split_text(t, size, overlap)) if t else [])
+            yield texts.map(lambda t: split(t) if t else [])
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_column]
     return docs.select(*rest, F.posexplode(cut(F.col(text_column))).alias("chunk_index", "chunk"))

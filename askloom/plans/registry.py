@@ -321,6 +321,52 @@ def _recursive_sql(size: int, overlap: int) -> str:
     return "WITH RECURSIVE " + ",\n".join([*ctes, chunk])
 
 
+def _kept_sql(size: int, overlap: int) -> str:
+    """The splitter that keeps separators, level by level: pieces of size characters or more, and segments without the
+    level's separator, go down; runs of shorter pieces between them are merged.
+
+    place: two numbers a level, the first piece's and the chunk's. Pieces of a run are neighbours, from a to b in the segment.
+    """
+    ctes = ["s0 AS (SELECT doc_id, []::BIGINT[] AS place, text AS body FROM documents)"]
+    for level, separator in enumerate(chunking.KEPT_SEPARATORS):
+        said, last = separator.replace("\n", "' || chr(10) || '"), level + 1 == len(chunking.KEPT_SEPARATORS)
+        has = "true" if last else f"contains(body, '{said}')"
+        ctes += [
+            f"x{level} AS (SELECT doc_id, place, body, string_split(body, '{said}') AS x FROM s{level} WHERE {has} AND body <> '')",
+            f"""p{level} AS (SELECT *, sum((n >= {size})::INT) OVER (PARTITION BY doc_id, place ORDER BY i) AS run, sum(n) OVER (PARTITION BY doc_id, place ORDER BY i) AS b
+  FROM (SELECT doc_id, place, body, unnest(range(1, len(x) + 1)) AS i, length(unnest(x)) + CASE WHEN unnest(range(1, len(x) + 1)) > 1 THEN {len(separator)} ELSE 0 END AS n FROM x{level}))""",
+            f"g{level} AS (SELECT doc_id, place, run, min(i) AS top, list(b - n ORDER BY i) AS a, list(b ORDER BY i) AS b FROM p{level} WHERE n > 0 AND n < {size} GROUP BY doc_id, place, run)",
+            f"""w{level}(doc_id, place, run, k, first, last) AS (
+  SELECT doc_id, place, run, 0, 1::BIGINT, greatest(1, len(list_filter(b, lambda y: y - a[1] <= {size})))::BIGINT FROM g{level}
+  UNION ALL
+  SELECT doc_id, place, run, k, f, greatest(last + 1, len(list_filter(b, lambda y: y - a[f] <= {size})))::BIGINT FROM (
+    SELECT g.doc_id, g.place, g.run, k + 1 AS k, last, a, b,
+      coalesce(list_filter(range(first, last + 2), lambda i: a[last + 1] - a[i] <= {overlap} AND (b[last + 1] - a[i] <= {size} OR i = last + 1))[1], last + 1) AS f
+    FROM w{level} w JOIN g{level} g ON g.doc_id = w.doc_id AND g.place = w.place AND g.run = w.run WHERE last < len(a)
+  )
+)""",
+            f"""c{level} AS (SELECT s.doc_id, list_concat(s.place, [top, k]) AS place, {_strip("substring(body, (a[first] + 1)::BIGINT, (b[last] - a[first])::BIGINT)")} AS body
+  FROM w{level} w JOIN g{level} g ON g.doc_id = w.doc_id AND g.place = w.place AND g.run = w.run JOIN s{level} s ON s.doc_id = w.doc_id AND s.place = w.place)""",
+        ]
+        if not last:
+            ctes.append(f"""s{level + 1} AS (SELECT doc_id, list_concat(place, [i, 0]) AS place, substring(body, (b - n + 1)::BIGINT, n::BIGINT) AS body FROM p{level} WHERE n >= {size}
+  UNION ALL SELECT doc_id, list_concat(place, [0, 0]), body FROM s{level} WHERE NOT {has})""")
+    every = " UNION ALL ".join(f"SELECT * FROM c{level}" for level in range(len(chunking.KEPT_SEPARATORS)))
+    chunk = f"chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_index, body AS chunk FROM ({every}) WHERE body <> '')"
+    return "WITH RECURSIVE " + ",\n".join([*ctes, chunk])
+
+
+@query(f"{_kept_sql(chunking.SIZE, chunking.OVERLAP)} SELECT * FROM chunks")
+def kept_chunks(spark, sf_dir):
+    """The splitter of a run by default: separators stay with the pieces that they begin."""
+    return chunking.chunk(_docs(spark, sf_dir), separators="kept")
+
+
+@query(f"{_kept_sql(120, 40)} SELECT * FROM chunks")
+def kept_chunks_small(spark, sf_dir):
+    return chunking.chunk(_docs(spark, sf_dir), 120, 40, separators="kept")
+
+
 _CHUNKS = _recursive_sql(chunking.SIZE, chunking.OVERLAP)
 
 

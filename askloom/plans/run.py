@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import render_prompt
-from ..operators.chunking import OVERLAP, SIZE, checked, chunk
+from ..operators.chunking import OVERLAP, SIZE, SPLITTERS, checked, chunk
 from ..operators.clients import Client
 from ..operators.generate import PROMPT, flat_pairs, replies, results
 from ..operators.metrics import chunk_metrics, run_summary
@@ -53,22 +53,26 @@ def run_pipeline(
     save_metrics: bool = False,
     scope: str = "document",
     progress: str | None = None,
+    separators: str = "kept",
 ) -> Run:
     """source: a path (a glob gives many documents) or a table (doc_id, text). All settings are checked before any call.
 
     Pairs are scored and compared under their own names; output names apply only to what is written. progress: a folder on
-    shared storage that keeps the replies, so that a run that died goes on with the calls it had not made.
+    shared storage that keeps the replies, so that a run that died goes on with the calls it had not made. separators: how
+    chunks are cut (`chunking.SPLITTERS`).
     """
     fmt = checked_format(fmt)
     checked(chunk_size, chunk_overlap)
     render_prompt(prompt_template, chunk=F.lit(""), num_pairs=F.lit(num_pairs))
+    if separators not in SPLITTERS:
+        raise ValueError(f"separators must be one of {', '.join(SPLITTERS)}")
     if scope not in ("document", "corpus"):
         raise ValueError(f"unknown scope {scope!r}")
     if question_key.lower() == answer_key.lower():
         raise ValueError("question_key and answer_key must differ")
     began = time.perf_counter()
     docs = ingest(spark, source, text_columns) if isinstance(source, str) else source
-    chunks = chunk(docs.select("doc_id", "text"), chunk_size, chunk_overlap)
+    chunks = chunk(docs.select("doc_id", "text"), chunk_size, chunk_overlap, separators=separators)
     found = results(replies(chunks, client, num_pairs, prompt_template, max_workers, threads, progress))
     order = ["doc_id", "chunk_index", "pair_index"]
     seen, left = Observation("scored pairs"), Observation("kept pairs")

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from askloom.operators.chunking import char_windows, chunk, greedy_pack, split_text
+from askloom.operators.chunking import char_windows, chunk, greedy_pack, split_keeping, split_text
 from pyspark.sql import functions as F
 
 
@@ -104,3 +104,52 @@ def test_a_text_of_20_mb_is_packed_in_time(spark):
     began = time.perf_counter()
     assert df.select(F.size(greedy_pack("t", "\n"))).first()[0] == 500_000 // 24 + 1
     assert time.perf_counter() - began < 60
+
+
+def test_kept_separators_begin_pieces_and_are_stripped_at_ends():
+    assert split_keeping("foo bar baz 123", 7, 3) == ["foo bar", "baz", "123"]
+    assert split_keeping("foo bar baz 123", 7, 4) == ["foo bar", "baz", "123"]
+    assert split_keeping("a b c d e f", 5, 3) == ["a b c", "c d", "d e", "e f"]
+    text = "Hi.\n\nI'm Harrison.\n\nHow? Are? You?\nOkay then f f f f.\nThis is a weird text to write, but gotta test the splittingggg some how.\n\nBye!\n\n-H."
+    want = ["Hi.", "I'm", "Harrison.", "How? Are?", "You?", "Okay then", "f f f f.", "This is a", "weird", "text to", "write,", "but gotta", "test the", "splitting", "gggg", "some how.", "Bye!", "-H."]
+    assert split_keeping(text, 10, 1) == want
+
+
+def test_kept_separators_are_used_if_they_occur():
+    assert split_keeping("one two\nthree", 8, 0) == ["one two", "three"] and split_keeping("abcdefgh", 4, 1) == ["abcd", "defg", "gh"]
+    assert split_keeping("abcdefghij xy", 5, 0) == ["abcde", "fghij", "xy"]
+    assert split_keeping("a\n\n\n\nb", 3, 0) == ["a", "b"] and split_keeping(" \n ", 3, 0) == [] and split_keeping(None, 3, 0) == []
+
+
+def test_kept_chunks_hold_all_words_within_size():
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "bc", " ", "\n", "\n\n", "é", "  "]) for _ in range(rng.randint(0, 60)))
+        size = rng.randint(2, 12)
+        chunks = split_keeping(text, size, rng.randint(0, size - 1))
+        assert all(c in text and 0 < len(c) <= size and c == c.strip() for c in chunks)
+        at = 0
+        for c in chunks:  # in order
+            assert text.find(c, max(0, at - size)) >= 0
+            at = max(at, text.find(c, max(0, at - size)))
+        assert set(text.split("\n\n")[0].replace(" ", "").replace("\n", "")) <= set("".join(chunks))
+
+
+def test_kept_chunks_take_time_in_proportion():
+    took = []
+    for n in (20_000, 200_000):
+        began = time.perf_counter()
+        split_keeping("word " * n + "x" * n + "\n" * n, 1000, 200)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def test_a_run_keeps_separators_by_default(spark, tmp_path):
+    from askloom.operators.clients import OfflineClient
+    from askloom.plans.run import run_pipeline
+
+    docs = spark.createDataFrame([(1, "One sentence. Another one. A third. " * 20)], "doc_id long, text string")
+    sizes = {s: run_pipeline(spark, docs, OfflineClient(), tmp_path / s, chunk_size=100, chunk_overlap=30, separators=s).metrics["total_chunks"] for s in ("kept", "lost")}
+    assert sizes["kept"] == len(split_keeping(docs.first()["text"], 100, 30)) == run_pipeline(spark, docs, OfflineClient(), tmp_path / "d", chunk_size=100, chunk_overlap=30).metrics["total_chunks"]
+    with pytest.raises(ValueError, match="separators"):
+        run_pipeline(spark, docs, OfflineClient(), tmp_path / "x", separators="none")
