@@ -8,10 +8,11 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, column, folded, split_literal
+from ..functions.text import bound, column, folded, is_blank, split_literal
 
 SIZE, OVERLAP = 1000, 200
 #: Separators, from coarse to fine.
@@ -134,6 +135,55 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text_column
     return docs.select(*rest, F.posexplode(cut(F.col(text_column))).alias("chunk_index", "chunk"))
 
 
+def _packed_level(segment: Column, separator: str, size: int, overlap: int) -> Column:
+    """A segment's pieces between separators, packed into strings of at most size characters (longer ones where a piece is too long), overlapping by whole pieces."""
+    gap = len(separator)
+
+    def place(now: Column, part: Column) -> tuple[Column, Column]:
+        return now + part["length"] + gap, F.struct(now.alias("a"), (now + part["length"]).alias("b"))
+
+    def packed(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p: F.struct(F.length(p).alias("length")))
+        spots = folded(lengths, F.lit(0), place, "struct<a:int,b:int>")["out"]
+        return bound(spots, lambda at: chunks(parts, at))
+
+    def chunks(parts: Column, at: Column) -> Column:
+        def step(first: Column, k: Column) -> tuple[Column, Column]:
+            full = (k > first) & (F.get(at, k)["b"] - F.get(at, first)["a"] > size)
+            back = F.filter(F.sequence(first, F.greatest(k - 1, first)), lambda i: F.get(at, k - 1)["b"] - F.get(at, i)["a"] <= overlap)
+            return F.when(full, F.coalesce(F.get(back, 0), k)).otherwise(first), F.when(full, F.struct(first.alias("first"), (k - 1).alias("last")))
+
+        found = folded(F.transform(parts, lambda p, i: i), F.lit(0), step, "struct<first:int,last:int>")
+        spans = bound(found, lambda x: F.concat(x["out"], F.array(F.struct(x["state"].alias("first"), (F.size(parts) - 1).alias("last")))))
+        return F.transform(spans, lambda span: F.array_join(F.slice(parts, span["first"] + 1, span["last"] - span["first"] + 1), separator))
+
+    return bound(split_literal(segment, separator), packed)
+
+
+@functools.lru_cache(maxsize=32)
+def _level(separator: str, size: int, overlap: int, gateway: object) -> Column:
+    """The column _segments with what is too long cut at one separator; built once for each gateway to a JVM, as it has hundreds of parts."""
+
+    def cut(segment: Column) -> Column:
+        parts = _packed_level(segment, separator, size, overlap) if separator else char_windows(segment, size, overlap)
+        return F.when(F.length(segment) <= size, F.array(segment)).otherwise(parts)
+
+    return F.flatten(F.transform("_segments", cut))
+
+
+def chunk_native(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text_column: str = "text") -> DataFrame:
+    """As chunk, with separators lost and without Python: one pass a level over all segments of a text.
+
+    Each level cuts, packs and hands on what is still too long, as expressions on arrays of one row: nothing is shuffled.
+    """
+    checked(size, overlap)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_column]
+    rows = docs.select(*rest, F.array(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))).alias("_segments"))
+    for separator in SEPARATORS:
+        rows = rows.select(*rest, _level(separator, size, overlap, SparkContext._gateway).alias("_segments"))
+    return rows.select(*rest, F.posexplode(F.filter("_segments", lambda c: ~is_blank(c))).alias("chunk_index", "chunk"))
+
+
 def char_windows(c: Column | str, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Sliding windows of size characters, size - overlap apart, without Python."""
     checked(size, overlap)

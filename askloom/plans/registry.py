@@ -375,6 +375,17 @@ def recursive_chunks(spark, sf_dir):
     return chunking.chunk(_docs(spark, sf_dir))
 
 
+@query(f"{_CHUNKS} SELECT * FROM chunks")
+def recursive_chunks_native(spark, sf_dir):
+    """The same without Python, a pass a level."""
+    return chunking.chunk_native(_docs(spark, sf_dir))
+
+
+@query(f"{_recursive_sql(120, 40)} SELECT * FROM chunks")
+def recursive_chunks_small_native(spark, sf_dir):
+    return chunking.chunk_native(_docs(spark, sf_dir), 120, 40)
+
+
 @query(f"{_recursive_sql(120, 40)} SELECT * FROM chunks")
 def recursive_chunks_small(spark, sf_dir):
     """Small enough for all levels: lines, sentences and words are cut."""

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from askloom.operators.chunking import char_windows, chunk, greedy_pack, split_keeping, split_text
+from askloom.operators.chunking import char_windows, chunk, chunk_native, greedy_pack, split_keeping, split_text
 from pyspark.sql import functions as F
 
 
@@ -153,3 +153,12 @@ def test_a_run_keeps_separators_by_default(spark, tmp_path):
     assert sizes["kept"] == len(split_keeping(docs.first()["text"], 100, 30)) == run_pipeline(spark, docs, OfflineClient(), tmp_path / "d", chunk_size=100, chunk_overlap=30).metrics["total_chunks"]
     with pytest.raises(ValueError, match="separators"):
         run_pipeline(spark, docs, OfflineClient(), tmp_path / "x", separators="none")
+
+
+def test_native_chunks_equal_the_others(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "bc", " ", "\n", "\n\n", ". ", "é漢", "  ", "defgh"]) for _ in range(rng.randint(0, 80))) for _ in range(150)] + [None, "", "x" * 5000, "word " * 2000, "\n" * 300]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, chunk_of string, _n int")
+    for size, overlap in ((7, 3), (12, 0), (40, 39), (1, 0)):
+        got, want = (sorted(map(tuple, f(docs, size, overlap).collect())) for f in (chunk_native, chunk))
+        assert got == want, (size, overlap)
