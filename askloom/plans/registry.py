@@ -12,6 +12,7 @@ from ..functions import scores, text
 from ..functions.replies import PAIRS, parse_pairs
 from ..operators import chunking, generate, metrics, pairs
 from ..operators.clients import NotAsked, OfflineClient
+from ..operators.seen import SeenPairs
 from ..sources import dataset, readers, writers
 from ..sources.storage import scratch_path
 
@@ -105,6 +106,19 @@ def score_histogram(spark, sf_dir):
     return pairs.score_pairs(_pairs(spark, sf_dir)).groupBy(F.round("_score", 4).alias("_score")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_PAIRS}, keyed AS (SELECT *, {_norm("question")} AS q, {_norm("answer")} AS a FROM pairs),
+one AS (SELECT *, row_number() OVER (PARTITION BY q, a ORDER BY conv_id, turn) AS k FROM keyed WHERE turn < 2),
+two AS (SELECT *, row_number() OVER (PARTITION BY q, a ORDER BY conv_id, turn) AS k FROM keyed y WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.q = y.q AND x.a = y.a))
+SELECT 1 AS run, conv_id, turn, question, answer FROM one WHERE k = 1 UNION ALL SELECT 2, conv_id, turn, question, answer FROM two WHERE k = 1""")
+def dedup_across_runs(spark, sf_dir):
+    """A run over the first turns, and one over all turns, which keeps what the first has not."""
+    index = SeenPairs(spark, scratch_path(spark, "seen"), 8)
+    all_ = _pairs(spark, sf_dir)
+    runs = [index.keep(batch, ORDER).select(F.lit(k).alias("run"), "conv_id", "turn", "question", "answer") for k, batch in ((1, all_.where("turn < 2")), (2, all_))]
+    index.forget()
+    return runs[0].union(runs[1])
+
+
 @query(f"WITH {_SCORED} SELECT question AS Q, answer AS A, conv_id, turn FROM scored")
 def export_schema_custom(spark, sf_dir):
     return writers.apply_schema(pairs.score_pairs(_pairs(spark, sf_dir)), "Q", "A", include_score=False)
@@ -547,6 +561,25 @@ def run_summary(spark, sf_dir):
     return metrics.run_summary(metrics.chunk_metrics(_results(spark, sf_dir)), 1.5)
 
 
+@query(f"""WITH {_RESULTS}, kept AS (
+  SELECT 'latency_seconds' AS metric, latency_seconds AS v FROM timed WHERE error IS NULL UNION ALL SELECT 'tokens_per_second', tokens_per_second FROM timed WHERE tokens_per_second > 0
+) SELECT metric, count(*) AS n, count(*) > 0 AS p50, count(*) > 0 AS p95, count(*) > 0 AS p99 FROM kept GROUP BY metric""")
+def merged_quantiles(spark, sf_dir):
+    """Sketches of four runs, stored, read back and merged: whether the ranks of their quantiles are within 3 % of the exact ones."""
+    path, each = scratch_path(spark, "sketches"), metrics.chunk_metrics(_results(spark, sf_dir))
+    parts = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    for run in range(4):
+        metrics.save_sketches(each.where(parts == run), f"run{run}", path)
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = F.broadcast(metrics.quantiles(metrics.saved_sketches(spark, path)).withColumnRenamed("n", "merged"))  # two rows
+    ok, tps = F.col("error").isNull(), F.col("tokens_per_second")
+    values = F.array(F.struct(F.lit("latency_seconds").alias("metric"), F.when(ok, F.col("latency_seconds")).alias("v")), F.struct(F.lit("tokens_per_second").alias("metric"), F.when(tps > 0, tps).alias("v")))
+    met = each.select(F.explode(values).alias("x")).select("x.*").where("v is not null").join(found, "metric")
+    n = F.count("*")
+    within = [((F.count_if(F.col("v") < F.col(p)) <= (r + 0.03) * n) & (F.count_if(F.col("v") <= F.col(p)) >= (r - 0.03) * n) & (F.max("merged") == n)).alias(p) for p, r in ranks.items()]
+    return met.groupBy("metric").agg(n.alias("n"), *within)
+
+
 # Sources
 
 

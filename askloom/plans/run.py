@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from ..functions.text import render_prompt
 from ..operators.chunking import OVERLAP, SIZE, SPLITTERS, checked, chunk
 from ..operators.clients import Client
 from ..operators.generate import PROMPT, flat_pairs, replies, results
-from ..operators.metrics import chunk_metrics, run_summary
+from ..operators.metrics import chunk_metrics, run_summary, save_sketches
 from ..operators.pairs import filter_pairs
 from ..sources.readers import ingest
 from ..sources.storage import materialise
@@ -54,12 +55,13 @@ def run_pipeline(
     scope: str = "document",
     progress: str | None = None,
     separators: str = "kept",
+    sketches: str | None = None,
 ) -> Run:
     """source: a path (a glob gives many documents) or a table (doc_id, text). All settings are checked before any call.
 
     Pairs are scored and compared under their own names; output names apply only to what is written. progress: a folder on
     shared storage that keeps the replies, so that a run that died goes on with the calls it had not made. separators: how
-    chunks are cut (`chunking.SPLITTERS`).
+    chunks are cut (`chunking.SPLITTERS`). sketches: a folder to which the run adds its sketches of latency and throughput.
     """
     fmt = checked_format(fmt)
     checked(chunk_size, chunk_overlap)
@@ -85,5 +87,7 @@ def run_pipeline(
     each = chunk_metrics(found)
     if save_metrics:
         save_metrics_csv(each, metrics_path(path))
+    if sketches:
+        save_sketches(each, uuid.uuid4().hex, sketches)
     summary = run_summary(each, time.perf_counter() - began).first().asDict()
     return Run(kept, path, summary | {"total_pairs_kept": n}, each)
