@@ -15,6 +15,7 @@ from ..operators.clients import NotAsked, OfflineClient
 from ..operators.seen import SeenPairs
 from ..sources import dataset, readers, writers
 from ..sources.storage import scratch_path
+from ..streaming import metrics as stream_metrics
 
 ORDER = ["conv_id", "turn"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,6 +581,25 @@ def merged_quantiles(spark, sf_dir):
     return met.groupBy("metric").agg(n.alias("n"), *within)
 
 
+@query("""WITH r AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS begin, CASE WHEN event_id % 7 = 3 THEN 0 ELSE 1 END AS pairs, CASE WHEN event_id % 7 = 3 THEN 'timed out' END AS error,
+  (event_id % 4) * 0.25::DOUBLE AS latency, event_id % 50 AS tokens FROM events WHERE ts IS NOT NULL
+) SELECT strftime(begin, '%Y-%m-%d %H:%M:%S') AS begin, strftime(begin + INTERVAL '6 hours', '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS total_chunks, count(*) FILTER (error IS NULL) AS successful_chunks, count(*) FILTER (error IS NOT NULL) AS failed_chunks,
+  sum(pairs)::BIGINT AS total_pairs_generated, round(coalesce(avg(latency) FILTER (error IS NULL), 0), 4) AS avg_latency_seconds,
+  round(coalesce(avg(CASE WHEN latency > 0 AND tokens > 0 THEN tokens / latency END), 0), 2) AS avg_tokens_per_second, sum(tokens)::BIGINT AS total_completion_tokens FROM r GROUP BY r.begin""")
+def stream_metrics_by_window(spark, sf_dir):
+    """Events as results with made-up latencies, read as a stream, by windows of six hours; batches written in place of themselves."""
+    path, events = scratch_path(spark, "windows"), _table(spark, sf_dir, "events")
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/events*")
+    failed, latency, tokens = F.col("event_id") % 7 == 3, (F.col("event_id") % 4) * F.lit(0.25), (F.col("event_id") % 50).cast("int")
+    results = rows.select(
+        F.col("ts").cast("timestamp").alias("ts"), F.when(failed, 0).otherwise(1).alias("pairs_generated"), F.when(failed, F.lit("timed out")).alias("error"), latency.alias("latency_seconds"),
+        scores.tokens_per_second(tokens, latency).alias("tokens_per_second"), tokens.alias("completion_tokens"),
+    )
+    stream_metrics.write_metrics(stream_metrics.windowed_metrics(results, "ts", "6 hours", "1000 days"), f"{path}/out", f"{path}/progress").awaitTermination()
+    found = stream_metrics.read_metrics(spark, f"{path}/out")
+    return found.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("begin", "end") else F.col(c) for c in found.columns])
+
+
 # Sources
 
 

@@ -1,0 +1,55 @@
+"""Windowed metrics of a stream: batches, replays and late rows."""
+
+import datetime
+import json
+import os
+
+from askloom.streaming import metrics
+
+SCHEMA = "at timestamp, pairs_generated int, error string, latency_seconds double, tokens_per_second double, completion_tokens int"
+
+
+def put(folder, name, minutes, **more):
+    rows = [{"at": f"2024-01-01T{m // 60:02}:{m % 60:02}:30Z", "pairs_generated": 2, "latency_seconds": 1.5, "tokens_per_second": 10.0, "completion_tokens": 15} | more for m in minutes]
+    (folder / name).write_text("\n".join(map(json.dumps, rows)))
+    os.utime(folder / name, (1_700_000_000 + int(name[0]), 1_700_000_000 + int(name[0])))
+
+
+def run(spark, tmp_path):
+    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = metrics.write_metrics(metrics.windowed_metrics(rows, "at", "10 minutes", "5 minutes"), str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    return query
+
+
+def found(spark, tmp_path):
+    return {r["begin"]: tuple(r)[2:] for r in metrics.read_metrics(spark, str(tmp_path / "out")).collect()}
+
+
+def at(minute):
+    return datetime.datetime(2024, 1, 1, minute // 60, minute % 60)
+
+
+def test_windows_over_batches_replays_and_late_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in", "1.json", [0, 1, 2, 11])
+    put(tmp_path / "in", "2.json", [3, 12, 40], error="timed out", pairs_generated=0, latency_seconds=0.0, tokens_per_second=0.0, completion_tokens=0)
+    put(tmp_path / "in", "3.json", [41])
+    put(tmp_path / "in", "4.json", [4, 43])  # the first is late: 40 less 5 is after its window, as of the batch before
+    query = run(spark, tmp_path)
+    want = {at(0): (4, 3, 1, 6, 1.5, 10.0, 45), at(10): (2, 1, 1, 2, 1.5, 10.0, 15), at(40): (3, 2, 1, 4, 1.5, 10.0, 30)}
+    assert found(spark, tmp_path) == want and metrics.late_rows(query) == 1
+    # The last batch again, as after a loss of its commit: it takes its own place.
+    last = max(int(n) for n in os.listdir(tmp_path / "progress" / "commits") if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if (tmp_path / "progress" / "commits" / name).exists():
+            (tmp_path / "progress" / "commits" / name).unlink()
+    run(spark, tmp_path)
+    assert found(spark, tmp_path) == want
+    put(tmp_path / "in", "5.json", [42])
+    run(spark, tmp_path)
+    assert found(spark, tmp_path)[at(40)] == (4, 3, 1, 6, 1.5, 10.0, 45)
+
+
+def test_no_metrics_yet(spark, tmp_path):
+    assert metrics.read_metrics(spark, str(tmp_path / "none")).count() == 0
