@@ -15,6 +15,7 @@ from ..operators.clients import NotAsked, OfflineClient
 from ..operators.seen import SeenPairs
 from ..sources import dataset, readers, writers
 from ..sources.storage import scratch_path
+from ..streaming import first as stream_first
 from ..streaming import metrics as stream_metrics
 
 ORDER = ["conv_id", "turn"]
@@ -600,6 +601,26 @@ def stream_metrics_by_window(spark, sf_dir):
     return found.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("begin", "end") else F.col(c) for c in found.columns])
 
 
+@query(f"""WITH {_PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY {_norm("question")}, {_norm("answer")} ORDER BY conv_id, turn) AS k FROM pairs)
+SELECT conv_id, turn, question, answer FROM ranked WHERE k = 1""")
+def stream_first_in_order(spark, sf_dir):
+    """Pairs that arrive in random order, file by file; the first in document order of those alike is kept. A last row of a later day ends the wait."""
+    path, at = scratch_path(spark, "arrivals"), F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3000)))
+    pairs_ = _pairs(spark, sf_dir).select("conv_id", "turn", "question", "answer", at.alias("at"))
+    pairs_.repartition(4, F.xxhash64("turn", "conv_id")).write.mode("append").parquet(f"{path}/in")
+    later = spark.range(1).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("end").alias("question"), F.lit("of it").alias("answer"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("at"))
+    later.write.mode("append").parquet(f"{path}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_first.PROVIDER)
+    try:
+        arrivals = spark.readStream.schema(pairs_.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        kept = stream_first.stream_keep_first(arrivals, ORDER, "at", "2 hours")
+        kept.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(pairs_.schema).parquet(f"{path}/out").where("conv_id is not null").drop("at")
+
+
 # Sources
 
 
