@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import catalogue, scores, text
 from ..functions.replies import PAIRS, parse_pairs
 from ..operators import chunking, generate, metrics, pairs
 from ..operators.clients import NotAsked, OfflineClient
@@ -621,6 +621,29 @@ def stream_first_in_order(spark, sf_dir):
     return spark.read.schema(pairs_.schema).parquet(f"{path}/out").where("conv_id is not null").drop("at")
 
 
+_RUN = """
+WITH chunks AS (SELECT d.doc_id, c.chunk_index, c.chunk FROM qa_documents d, LATERAL qa_keep_chunks(d.text, 1000, 200) c),
+replies AS (SELECT doc_id, chunk_index, qa_ask(concat('Ask about:\\n---\\n', chunk)) AS content FROM chunks),
+parsed AS (SELECT doc_id, chunk_index, qa_pairs(content) AS found FROM replies),
+pairs AS (SELECT doc_id, chunk_index, pair_index, pair.question, pair.answer FROM parsed LATERAL VIEW posexplode(coalesce(found, array())) p AS pair_index, pair),
+scored AS (SELECT *, qa_score(question, answer) AS raw FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, qa_normalize(question), qa_normalize(answer) ORDER BY chunk_index, pair_index) AS k FROM scored WHERE raw >= 0.5)
+SELECT doc_id, chunk_index, pair_index, question, answer, round(raw, 4) AS _score FROM ranked WHERE k = 1
+"""
+
+
+@query(f"""{_kept_sql(chunking.SIZE, chunking.OVERLAP)}, said AS (
+  SELECT doc_id, chunk_index, (i - 1)::INT AS pair_index, 'What is part ' || i || ' of the digest?' AS question, 'Part ' || i || ' is ' || substring(md5(chunk), 8 * i - 7, 8) || '.' AS answer
+  FROM (SELECT *, unnest([1, 2]) AS i FROM chunks)
+), kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, question, answer ORDER BY chunk_index, pair_index) AS k FROM said)
+SELECT doc_id, chunk_index, pair_index, question, answer, 1.0::DOUBLE AS _score FROM kept WHERE k = 1""")
+def run_in_sql(spark, sf_dir):
+    """A whole run, from texts to kept pairs, as one SQL text over the registered functions."""
+    catalogue.register(spark, OfflineClient())
+    _docs(spark, sf_dir).createOrReplaceTempView("qa_documents")
+    return spark.sql(_RUN)
+
+
 # Sources
 
 

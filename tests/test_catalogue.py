@@ -1,0 +1,41 @@
+"""The functions in SQL against the column expressions and Python functions that they stand for."""
+
+import random
+
+from askloom.functions import catalogue
+from askloom.functions.replies import parse_pairs
+from askloom.functions.scores import score
+from askloom.functions.text import normalize
+from askloom.operators.chunking import split_keeping, split_text
+from askloom.operators.clients import OfflineClient
+from pyspark.sql import functions as F
+
+
+def test_sql_functions_equal_the_expressions(spark):
+    catalogue.register(spark)
+    rng = random.Random(3)
+    parts = ["Q1: ", "A1: ", "Q2:", "A2. ", "q: ", "a: ", "What is it?", "It's \\ 'quoted' \"so\".", "\n", "\t\x85 ", "é", "why not", "x" * 12]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))), rng.choice([None, "An answer here.", "", "no"])) for i in range(300)] + [(-1, None, None)]
+    df = spark.createDataFrame(rows, "i long, x string, y string")
+    df.createOrReplaceTempView("texts")
+    got = spark.sql("SELECT i, qa_normalize(x) AS n, qa_score(x, y) AS s, qa_pairs(x) AS p FROM texts").orderBy("i").collect()
+    want = df.select("i", normalize("x").alias("n"), score("x", "y").alias("s"), parse_pairs("x").alias("p")).orderBy("i").collect()
+    assert got == want and sum(bool(r["p"]) for r in got) > 20
+
+
+def test_table_functions(spark):
+    catalogue.register(spark)
+    text = "one two three. four five.\n\nsix seven eight nine ten " * 5
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "i long, t string").createOrReplaceTempView("texts")
+    for name, split in (("qa_chunks", split_text), ("qa_keep_chunks", split_keeping)):
+        got = spark.sql(f"SELECT i, c.chunk_index, c.chunk FROM texts, LATERAL {name}(t, 20, 5) c ORDER BY i, chunk_index").collect()
+        assert [tuple(r) for r in got] == [(1, k, c) for k, c in enumerate(split(text, 20, 5))]
+
+
+def test_a_client_is_asked(spark):
+    catalogue.register(spark, OfflineClient(1))
+    assert spark.sql("SELECT qa_pairs(qa_ask('x\n---\nabc'))[0].answer AS a").first()["a"] == "Part 1 is 90015098."
+
+
+def test_operators_in_quotes_stay():
+    assert catalogue.sql_text((F.col("a") > 1) & (F.col("b") == "x =( > (y)")) == "`and`(`>`(a, 1), `=`(b, 'x =( > (y)'))"
