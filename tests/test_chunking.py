@@ -162,3 +162,16 @@ def test_native_chunks_equal_the_others(spark):
     for size, overlap in ((7, 3), (12, 0), (40, 39), (1, 0)):
         got, want = (sorted(map(tuple, f(docs, size, overlap).collect())) for f in (chunk_native, chunk))
         assert got == want, (size, overlap)
+
+
+def test_windows_of_a_long_text(spark):
+    text = "é234567890" * 30_000
+    for size, overlap in ((1000, 200), (7, 6), (300_000, 10), (299_999, 0)):
+        if len(text) // (size - overlap) > 50_000:
+            text = text[:5000]
+        got = spark.createDataFrame([(text,)], "t string").select(char_windows("t", size, overlap).alias("w")).first()["w"]
+        step, last = size - overlap, max(len(text) - 1 - overlap, 0) // (size - overlap)
+        assert got == [text[i * step : i * step + size] for i in range(last + 1)]
+    began = time.perf_counter()
+    spark.range(1).select(F.explode(char_windows(F.repeat(F.lit("é234567890"), 500_000)))).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 30
