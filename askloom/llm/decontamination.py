@@ -14,7 +14,7 @@ block at most): one scan of the documents' texts counts for all of them, one mat
 lost. Beyond CHAIN blocks each row takes its hits along from one matching scan to the next, by way of shared storage, so
 rows are never joined or told apart. One block is the usual case.
 
-Words: A-Z lower-cased, runs of ASCII letters and digits and non-ASCII characters. Defined results: null texts and
+Words: A-Z lower-cased, runs of ASCII letters and digits and non-ASCII characters. Defined results: doc_ids and item_ids are whole numbers or null; null texts and
 texts without such words have no words; an item without words has no windows; items that share an id count once; rows
 that share a doc_id are judged one by one; without items nothing is hit; an empty table gives an empty table; other
 columns are ignored. Benchmark rows without an item_id are ignored by default; with `unnamed`, as in op6 and the

@@ -9,7 +9,7 @@ Four filters look at one text. The fifth, identical to the text of a smaller doc
 are counted by digest, part and id, with partial counts before each shuffle, so a text that a third of all rows share is
 no hot key, and no text is shuffled.
 
-Defined results: a null text is empty and a null source the part ''; an empty text fails A (no words) and none of B, C
+Defined results: doc_ids are whole numbers or null; a null text is empty and a null source the part ''; an empty text fails A (no words) and none of B, C
 and D; rows without a doc_id have no smaller id and are none, and have no labels; rows that share a doc_id are documents
 of their own, not copies of each other; a document counts as good (toxic) if any of its labels says so, null labels don't;
 an empty table gives an empty table; other columns are ignored, whatever their names.

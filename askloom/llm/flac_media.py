@@ -13,7 +13,7 @@ hold them.
 
 A text's payload is its UTF-8 with bytes 32 up to a positive multiple of 192; a byte b is the sample b - 128.
 
-Defined results: null text is the empty text, whose payload is 192 bytes 32; equal texts have equal streams; repeated
+Defined results: doc_ids are whole numbers or null; null text is the empty text, whose payload is 192 bytes 32; equal texts have equal streams; repeated
 rows each give a row; an empty table gives an empty table; other columns are ignored; a damaged stream raises.
 """
 

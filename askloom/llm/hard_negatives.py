@@ -14,7 +14,7 @@ first: its best scores are the floors below which the others send nothing and ne
 farthest first from `pivot_sample` rows; they change the time only, never the result. The driver holds one pass of
 anchors, with at most positives * negatives scores each.
 
-Defined results: rows with a null vec_id, label, vector or component, or with a component that is not finite, take no part;
+Defined results: vec_ids and labels are whole numbers or null; rows with a null vec_id, label, vector or component, or with a component that is not finite, take no part;
 a shorter vector counts as padded with zeros, an empty one as zeros; rows that share a vec_id are rows of their own, but
 never each other's positives or negatives; equal scores go by the smaller vec_id; a positive of negative score has no
 negatives; squared norms from 2^55 on raise; an empty table, or one without anchors, gives an empty table; other columns are

@@ -9,7 +9,7 @@ cut and drawn on the executors; the driver gets 6 MB of them, or a window a lang
 texts. For scoring, embedding and filters fold into tables indexed by byte pairs, so a filter of width w costs about w / 2
 look-ups a byte.
 
-Defined results: a text that is null or has no letter (a character of a Unicode category L) is `und` with score 0; a
+Defined results: doc_ids are whole numbers or null; a text that is null or has no letter (a character of a Unicode category L) is `und` with score 0; a
 null label is never learned; rows that share an id or repeat are told apart by their text, and equal rows are learned
 once; of equal probabilities the first language in order is predicted; without any labelled row every text is `und`
 with score 0; an empty table gives an empty table; other columns are ignored.

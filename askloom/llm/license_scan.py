@@ -18,7 +18,7 @@ subjects, licences and versions (-only and -or-later), the Creative Commons noti
 a notice of its own; exceptions and unknown identifiers are passed over. The SQL knows a sentence on one line only, and names
 without a full stop in holes; on texts without wrapped sentences both give the same.
 
-Defined results: null and empty texts have no sentences and no licences; repeated notices count each time; rows that
+Defined results: doc_ids are whole numbers or null; null and empty texts have no sentences and no licences; repeated notices count each time; rows that
 share a doc_id each give a row; an empty table gives an empty table; other columns are ignored.
 """
 

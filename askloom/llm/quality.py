@@ -12,7 +12,7 @@ Trained in numpy on a bounded sample of labelled rows: the `sample` rows (3,000)
 with all its words. Their features are computed on the executors; the driver gets those only, 6 bytes for each of the
 different words of a row, of which there are `BUCKETS` at most. Scoring reads all words of all texts.
 
-Defined results: null text is empty; empty texts are scored by their structure; labels other than 0 and 1 are not
+Defined results: doc_ids are whole numbers or null; null text is empty; empty texts are scored by their structure; labels other than 0 and 1 are not
 learned; a doc_id with several labels counts once for each, one with several texts by the first in order; null metadata
 are no feature; a score of exactly the threshold is predicted 1; without labelled rows every score is 0.5; an empty
 table gives an empty table; other columns are ignored.

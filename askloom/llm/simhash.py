@@ -11,7 +11,7 @@ values within t_i, and a hit is verified on all 64 bits. Values that more than `
 squares; their fingerprints probe all neighbours within tau bits instead, exactly and in proportion to their number.
 Components come from least-label propagation with pointer jumping.
 
-Defined results: null text is empty; texts without words share fingerprint zero and so one component; a null doc_id
+Defined results: doc_ids are whole numbers or null; null text is empty; texts without words share fingerprint zero and so one component; a null doc_id
 gets its component's smallest id, null if there is none; repeated rows each give a row; an empty table an empty one;
 other columns are ignored.
 """

@@ -13,7 +13,7 @@ by longer ones, which reach out of a hot phrase, and at last by the windows them
 There are then as many buckets as their size asks for, and they are dealt in order of doc_id: the first document seen with
 a window is the least that has it, so only a bucket's different windows are held, however often a document repeats them.
 
-Defined results: null or empty texts have no words; a document with fewer words than a window loses nothing; rows with
+Defined results: doc_ids are whole numbers or null; null or empty texts have no words; a document with fewer words than a window loses nothing; rows with
 the same doc_id never remove from one another (neither id is smaller); rows with a null doc_id keep all words and
 remove none from others; an empty table gives an empty table; other columns are ignored.
 """
