@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--include-score", action="store_true")
     g.add_argument("--text-column", "-c", action="append", default=None, help="a CSV column; may be given several times")
     g.add_argument("--text-columns", default=None, help="CSV columns, separated by commas")
+    g.add_argument("--typed-cells", action="store_true", help="CSV cells as values of their columns, not as the file has them")
     g.add_argument("--prompt-template", default=None, help="a file with {chunk} and {num_pairs}")
     g.add_argument("--save-metrics", action="store_true")
     g.add_argument("--progress", default=None, help="a folder on shared storage that keeps the replies; a run that died goes on with it")
@@ -78,7 +79,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         run = run_pipeline(
             spark, os.path.abspath(got.file) if local else got.file, client, got.output, got.format or Path(got.output).suffix or "jsonl", got.chunk_size, got.chunk_overlap, got.num_pairs, got.max_workers,
             min_quality_score=got.min_score, deduplicate_pairs=not got.no_dedup, question_key=got.question_key, answer_key=got.answer_key, include_score=got.include_score,
-            text_columns=[*(got.text_column or []), *(listed(got.text_columns) or [])] or None, prompt_template=Path(got.prompt_template).read_text("utf-8") if got.prompt_template else PROMPT, save_metrics=got.save_metrics, progress=got.progress, separators=got.separators,
+            text_columns=[*(got.text_column or []), *(listed(got.text_columns) or [])] or None, prompt_template=Path(got.prompt_template).read_text("utf-8") if got.prompt_template else PROMPT, save_metrics=got.save_metrics, progress=got.progress, separators=got.separators, typed_cells=got.typed_cells,
         )
     except Exception as error:
         log.debug("failed", exc_info=True)

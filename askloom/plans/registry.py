@@ -693,6 +693,15 @@ def csv_names_alike(spark, sf_dir):
     return first.select("text").union(readers.read_csv(spark, f"{path}/*.txt", ["Title", "a"], per_row=True).select("text"))
 
 
+@query("""SELECT c_custkey || ' ' || c_acctbal::VARCHAR || ' ' || CASE WHEN c_custkey % 8 < 4 THEN c_nationkey::DOUBLE::VARCHAR ELSE '' END || ' ' || CASE WHEN c_custkey % 8 < 4 THEN 'True' ELSE '' END || ' False' AS text FROM customer""")
+def csv_typed_cells(spark, sf_dir):
+    """Cells as values of their columns: numbers with gaps as floats, truth values in capitals."""
+    path, c = scratch_path(spark, "csv"), F.col
+    cells = [c("c_custkey"), F.format_string("%.3f", "c_acctbal"), F.when(c("c_custkey") % 8 < 4, c("c_nationkey")), F.when(c("c_custkey") % 8 < 4, F.lit("true")), c("c_custkey") < 0]
+    _headed_lines(spark, _table(spark, sf_dir, "customer"), "id,balance,some,odd,flag", F.concat_ws(",", *[F.coalesce(x.cast("string"), F.lit("")) for x in cells]), path)
+    return readers.read_csv(spark, f"{path}/*.txt", ["id", "balance", "some", "odd", "flag"], per_row=True, typed=True).select("text")
+
+
 @query("""SELECT unnest(['id', 'balance', 'some', 'odd', 'flag', 'name', 'none']) AS name, unnest(['whole', 'decimal', 'whole', 'text', 'boolean', 'text', 'missing']) AS kind,
   least(count(*), 4)::BIGINT AS files FROM customer""")
 def csv_column_kinds(spark, sf_dir):

@@ -56,12 +56,14 @@ def run_pipeline(
     progress: str | None = None,
     separators: str = "kept",
     sketches: str | None = None,
+    typed_cells: bool = False,
 ) -> Run:
     """source: a path (a glob gives many documents) or a table (doc_id, text). All settings are checked before any call.
 
     Pairs are scored and compared under their own names; output names apply only to what is written. progress: a folder on
     shared storage that keeps the replies, so that a run that died goes on with the calls it had not made. separators: how
     chunks are cut (`chunking.SPLITTERS`). sketches: a folder to which the run adds its sketches of latency and throughput.
+    typed_cells: CSV cells as values of their columns (1.0 for 1 where the column has gaps), not as the file has them.
     """
     fmt = checked_format(fmt)
     checked(chunk_size, chunk_overlap)
@@ -73,7 +75,7 @@ def run_pipeline(
     if question_key.lower() == answer_key.lower():
         raise ValueError("question_key and answer_key must differ")
     began = time.perf_counter()
-    docs = ingest(spark, source, text_columns) if isinstance(source, str) else source
+    docs = ingest(spark, source, text_columns, typed_cells) if isinstance(source, str) else source
     chunks = chunk(docs.select("doc_id", "text"), chunk_size, chunk_overlap, separators=separators)
     found = results(replies(chunks, client, num_pairs, prompt_template, max_workers, threads, progress))
     order = ["doc_id", "chunk_index", "pair_index"]

@@ -99,7 +99,7 @@ def cell_kind(c: Column) -> Column:
 
 
 def csv_columns(records: DataFrame) -> DataFrame:
-    """path, first (the header's row), place, name and kind (one of KINDS) of each column of each file, by counts of its cells' kinds.
+    """path, first (the header's row), place, name, kind (one of KINDS) and gaps (whether cells are missing) of each column of each file, by counts of its cells' kinds.
 
     Counts of the kinds can be added up in any order, and the header's own cell taken away, so no record need know where
     its file begins. Two kinds of cells make a column of text, but whole and decimal numbers, and missing cells among numbers.
@@ -113,7 +113,30 @@ def csv_columns(records: DataFrame) -> DataFrame:
         F.when((F.col("text") > 0) | ((F.col("boolean") > 0) & (numbers | (F.col("missing") > 0))), "text").when(F.col("boolean") > 0, "boolean")
         .when(F.col("decimal") > 0, "decimal").when(numbers, "whole").otherwise("missing")
     )
-    return columns.select("path", "first", "place", "name", *own).select("path", "first", "place", "name", kind.alias("kind"))
+    truths = (F.col("text") == 0) & (F.col("whole") == 0) & (F.col("decimal") == 0) & (F.col("boolean") > 0)
+    return columns.select("path", "first", "place", "name", *own).select("path", "first", "place", "name", kind.alias("kind"), (F.col("missing") > 0).alias("gaps"), truths.alias("truths"))
+
+
+def float_text(c: Column) -> Column:
+    """A double as Python writes it: Java's digits (of which an older Java has one too many for some beyond 2^53), another form of large and small numbers."""
+    said = c.cast("string")
+    digits, power = F.regexp_replace(F.regexp_extract(said, r"^-?(\d\.\d+)E", 1), r"\.0$|\.", ""), F.regexp_extract(said, r"E(-?\d+)$", 1).try_cast("int")
+    sign, n = F.when(F.startswith(said, F.lit("-")), "-").otherwise(""), F.length(digits)
+    whole, rest = F.rpad(digits, power + 1, "0"), F.substring(digits, power + 2, n)
+    large = F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    form = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    other = F.when(power.between(0, 15), F.concat(sign, large)).when(power.between(-4, -1), F.concat(sign, small)).otherwise(F.concat(sign, form))
+    return F.when(F.contains(said, F.lit("Infinity")), F.concat(sign, F.lit("inf"))).when(F.contains(said, F.lit("E")), other).otherwise(said)
+
+
+def typed_cell(cell: Column, form: Column) -> Column:
+    """A cell as the value of its column would be written: True and False, whole numbers plainly, numbers with gaps or fractions as floats."""
+    number = F.trim(cell)
+    return (
+        F.when(cell.isNull() | cell.isin(*MISSING), "").when(form == "truth", F.initcap(cell)).when(form == "whole", F.coalesce(number.try_cast("decimal(38,0)").cast("string"), cell))
+        .when(form == "float", F.coalesce(float_text(number.try_cast("double")), cell)).otherwise(cell)
+    )
 
 
 def column_names(header: Column) -> Column:
@@ -134,37 +157,45 @@ def _size() -> list[Column]:
     return [F.count("*").alias("files"), F.sum(F.size("places")).alias("names")]
 
 
-def _headers(records: DataFrame, wanted: list[str] | None, seen: Observation) -> DataFrame:
-    """of (a file), first (its header's row) and places of the columns that make its lines, on shared storage."""
-    if wanted:
+def _headers(records: DataFrame, wanted: list[str] | None, typed: bool, seen: Observation) -> DataFrame:
+    """of (a file), first (its header's row), places of the columns that make its lines and forms of their cells, on shared storage."""
+    if wanted and not typed:
         heads = records.groupBy(F.col("path").alias("of")).agg(F.min("row").alias("first"), F.min_by("cells", "row").alias("header"))
-        named = heads.select("of", "first", column_names(F.col("header")).alias("names"))
+        heads = heads.select("of", "first", column_names(F.col("header")).alias("names"), F.lit(None).cast("array<string>").alias("forms"), F.lit(None).cast("array<int>").alias("texts"))
+    else:
+        form = F.when(F.col("truths"), "truth").when((F.col("kind") == "whole") & ~F.col("gaps"), "whole").when(F.col("kind").isin("whole", "decimal"), "float").otherwise("text")
+        columns = csv_columns(records).groupBy(F.col("path").alias("of"))  # a row a column
+        each = columns.agg(F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("place", "name", "kind", form.alias("form")))).alias("all"))
+        texts = F.transform(F.filter("all", lambda x: x["kind"] == "text"), lambda x: x["place"])
+        heads = each.select("of", "first", column_names(F.col("all")["name"]).alias("names"), F.col("all")["form"].alias("forms"), texts.alias("texts"))
+    if wanted:
         places = F.filter(F.transform(F.array(*[F.lit(c) for c in wanted]), lambda w: F.array_position("names", w).cast("int") - 1), lambda p: p >= 0)
-        found = materialise(named.select("*", places.alias("places")).observe(seen, *_size()), "headers")
-        if (none := found.where(F.size("places") == 0).select("of", "names").first()) is not None:
-            raise ValueError(f"None of the specified columns {wanted} are in {none['of']}; it has {none['names']}")
-        return found.drop("names")
-    columns = csv_columns(records).groupBy(F.col("path").alias("of"))  # a row a column
-    each = columns.agg(F.min("first").alias("first"), F.array_sort(F.collect_list("place")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.col("place")))).alias("texts"))
-    return materialise(each.select("of", "first", F.when(F.size("texts") > 0, F.col("texts")).otherwise(F.col("all")).alias("places")).observe(seen, *_size()), "headers")
+    else:
+        places = F.when(F.size("texts") > 0, F.col("texts")).otherwise(F.sequence(F.lit(0), F.size("names") - 1))
+    found = materialise(heads.select("of", "first", "names", places.alias("places"), "forms").observe(seen, *_size()), "headers")
+    if wanted and (none := found.where(F.size("places") == 0).select("of", "names").first()) is not None:
+        raise ValueError(f"None of the specified columns {wanted} are in {none['of']}; it has {none['names']}")
+    return found.drop("names")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], text_columns: list[str] | None = None, per_row: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], text_columns: list[str] | None = None, per_row: bool = False, typed: bool = False) -> DataFrame:
     """One document for each file, its rows joined by line feeds; with per_row one for each row.
 
     All files are read once, by position, and their records kept on shared storage; a table of one row a file says where
     its columns are, by its own header, so files may order, add or lack columns, or repeat a name (`a`, `a.1`). Names are
     case-sensitive; a file that has none of the wanted ones raises. A row is its text columns joined by single spaces,
     missing cells empty: the wanted ones in that order, or those that hold text in the row's file, else all. Cells beyond
-    the header are left out. A file without rows is an empty text. The ids of rows come from the file and the row's number in it.
+    the header are left out. Cells keep the file's own text; typed: they are written as values of their column's kind, so
+    `true` is True, and 1 is 1.0 in a column with gaps or fractions. A file without rows is an empty text. The ids of rows come from the file and the row's number in it.
     """
     records = materialise(csv_records(spark, path), "records")
     seen = Observation()
-    heads = _headers(records, text_columns, seen)
+    heads = _headers(records, text_columns, typed, seen)
     small = seen.get["files"] <= BROADCAST_FILES and (seen.get["names"] or 0) <= BROADCAST_NAMES
     met = records.join(F.broadcast(heads) if small else heads, F.col("path") == F.col("of")).where("row > first")
     cell = F.transform("places", lambda p: F.coalesce(F.get("cells", p), F.lit("")))
-    lines = met.select("path", "row", "first", F.array_join(F.transform(cell, lambda c: F.when(c.isin(*MISSING), "").otherwise(c)), " ").alias("line"))
+    said = F.zip_with(cell, "places", lambda c, p: typed_cell(c, F.get("forms", p))) if typed else F.transform(cell, lambda c: F.when(c.isin(*MISSING), "").otherwise(c))
+    lines = met.select("path", "row", "first", F.array_join(said, " ").alias("line"))
     if per_row:  # a file is read by one task, so its rows' numbers follow one another
         numbered = lines.select(F.concat_ws("#", "path", F.col("row") - F.col("first") - 1).alias("path"), "line")
         return numbered.select(F.xxhash64("path").alias("doc_id"), "path", F.col("line").alias("text"))
@@ -200,13 +231,13 @@ def read_pdf(spark: SparkSession, path: str | list[str], extract=_pdf_pages) ->
     return _numbered(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(pages, "path string, text string"))
 
 
-def ingest(spark: SparkSession, path: str, text_columns: list[str] | None = None) -> DataFrame:
+def ingest(spark: SparkSession, path: str, text_columns: list[str] | None = None, typed: bool = False) -> DataFrame:
     """Documents of a file (or a glob) by its suffix."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix not in SUFFIXES:
         raise ValueError(f"Unsupported file format '{suffix}'; supported are {', '.join(SUFFIXES)}")
     if suffix == ".csv":
-        return read_csv(spark, path, text_columns)
+        return read_csv(spark, path, text_columns, typed=typed)
     return read_txt(spark, path) if suffix == ".txt" else read_pdf(spark, path)
 
 

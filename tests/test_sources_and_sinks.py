@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from askloom.sources import readers, storage, writers
 
@@ -95,6 +96,28 @@ def test_csv_columns_have_kinds(spark, tmp_path):
     assert texts(readers.ingest(spark, str(tmp_path / "a.csv"))) == ["3F true true\n1  1\n2 false 0"]
 
 
+def test_csv_cells_as_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,gap,f,b,odd,t\n007,1,1.50,true,TRUE,3F\n+5,,2,False,,1\n-3,12,1e3,TRUE,false,NA\n")
+    wanted = ["n", "gap", "f", "b", "odd", "t"]
+    assert texts(readers.read_csv(spark, str(tmp_path / "a.csv"), wanted, typed=True)) == ["7 1.0 1.5 True True 3F\n5  2.0 False  1\n-3 12.0 1000.0 True False "]
+    assert texts(readers.read_csv(spark, str(tmp_path / "a.csv"), typed=True)) == ["True 3F\n 1\nFalse "]
+    assert texts(readers.ingest(spark, str(tmp_path / "a.csv"), ["f", "n"])) == ["1.50 007\n2 +5\n1e3 -3"]
+    (tmp_path / "b.csv").write_text("x,y\n1,2.5\n2,3\n")
+    assert texts(readers.read_csv(spark, str(tmp_path / "b.csv"), typed=True)) == ["1 2.5\n2 3.0"]
+
+
+def test_floats_are_written_as_python_does(spark):
+    import random
+
+    rng = random.Random(1)
+    numbers = [0.0, -0.0, 1.0, 1e7, 12345678.9, -1e15, 1e16, 1.5e16, 123456789012345680.0, 1e22, 1e-3, 1e-4, 1.25e-4, 1e-5, -2.5e-7, 1e300, 1e100, float("inf"), float("-inf"), 9999999.0]
+    numbers += [round(rng.uniform(-1, 1) * 10 ** rng.randint(-6, 18), rng.randint(0, 9)) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", readers.float_text(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in got if float(r["s"]) != r["x"]] == []
+    # An older Java may write a digit more where 17 are needed for some numbers of that size.
+    assert [r["s"] for r in got if r["s"] != repr(r["x"]) and (abs(r["x"]) < 2**53 or len(r["s"]) < 22)] == []
+
+
 def test_csv_files_are_read_once_whatever_their_headers(spark, tmp_path):
     for k in range(300):
         columns = [f"c{k}", "body", *(f"x{i}" for i in range(k % 5))]
