@@ -20,6 +20,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.replies import PAIRS, parse_pairs
 from ..functions.scores import tokens_per_second
@@ -105,7 +106,7 @@ def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str =
     size, tasks = shared_out(spark, max_workers, threads, calls_a_task)
     asked = _written_prompts(chunks, num_pairs, prompt, f"{run}/prompts", min(size, 50 * calls_a_task))
     schema = f"call long, doc_id {asked.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}"
-    kind = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    kind = to_arrow_schema(StructType.fromDDL(schema))
     n, files = asked.count(), max(1, len(asked.inputFiles()))  # from the files' footers
     each, left = max(1, min(files, size * files // max(n, 1))), 0
 
