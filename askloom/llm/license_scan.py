@@ -132,8 +132,8 @@ HOLED = [
     ("bsd-as-is", 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
     ("apache-header", '{} licenses this file to you under the Apache License, Version 2.0 (the "License");'),
 ]
-#: Words that a hole may have, and, for speed, what any text with such a sentence says.
-GAP, HOLED_SAY = 12, (b"endorse", b"provided by", b"licenses this", b"free software")
+#: Words that a hole may have, and, for speed, the words of which any sentence with holes has one.
+GAP, HOLED_SAY = 12, (b"endorse", b"disclaimed", b"licenses", b"redistribute")
 RULES = [
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"]),
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names-university"]),
@@ -308,8 +308,7 @@ def scan(text: bytes, known: dict[bytes, str], begun: set[bytes], ordered: list[
     """The number of sentences, the sequence of identifiers and the licences found, one for each match."""
     n, parts, joins, nears = pieces(text)
     ids, at, low = [], 0, text.translate(_LOWER)
-    spaced = _OTHER.sub(b" ", low) if holes else b""
-    holes = holes if any(s in spaced for s in HOLED_SAY) else None
+    holes = holes if any(s in low for s in HOLED_SAY) else None
     shared = other = False  # whether the last sentence is the second shared BSD condition, and an unknown one follows it
     while at < len(parts):
         run, last, after, end = parts[at], None, at, at + 1
