@@ -5,19 +5,20 @@ end, and its checkpoint is the ledger of the run: a micro-batch that is done is
 at most `calls_a_task` prompts and its replies are committed when it ends, whatever becomes of the other tasks. So a run
 that died goes on with the batch that it was in, and asks what that batch's committed files lack: it pays again for the
 calls of the tasks that were under way, at most. A call that fails becomes a row with an error; a call that the client did
-not make (`NotAsked`: no quota, no server) leaves its chunk open, the run ends with `Unfinished`, and the next one asks it.
+not make (`NotAsked`: no quota, no server) leaves its chunk open: the run goes on with all the others and ends with
+`Unfinished`. What is open then becomes the prompts of a round of its own, which the next run asks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -81,15 +82,12 @@ def shared_out(spark: SparkSession, max_workers: int, threads: int, calls_a_task
     return (CALLS_A_BATCH, None) if slots <= lanes and not growing else (lanes * calls_a_task, lanes)
 
 
-def _written_prompts(chunks: DataFrame, num_pairs: int, prompt: str, path: str, calls_a_file: int) -> DataFrame:
-    """call (a number of its own), doc_id, chunk_index and prompt of each chunk, written if they are not yet."""
-    spark = chunks.sparkSession
+def _written_prompts(rows: DataFrame, path: str, calls_a_file: int) -> DataFrame:
+    """rows (call, doc_id, chunk_index, prompt), written if they are not yet."""
+    spark = rows.sparkSession
     if not exists(spark, f"{path}/_SUCCESS"):
-        text = render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs))
-        rows = chunks.select(F.monotonically_increasing_id().alias("call"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), text.alias("prompt"))
         rows.write.mode("overwrite").option("maxRecordsPerFile", calls_a_file).parquet(path)
-    kind = chunks.schema["doc_id"].dataType.simpleString()
-    return spark.read.schema(f"call long, doc_id {kind}, chunk_index int, prompt string").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str = PROMPT, max_workers: int = 4, threads: int = 1, path: str | None = None, calls_a_task: int = 500) -> DataFrame:
@@ -104,43 +102,57 @@ def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str =
     spark = chunks.sparkSession
     run = f"{path}/{hashlib.md5(json.dumps([prompt, num_pairs]).encode()).hexdigest()}" if path else scratch_path(spark, "calls")
     size, tasks = shared_out(spark, max_workers, threads, calls_a_task)
-    asked = _written_prompts(chunks, num_pairs, prompt, f"{run}/prompts", min(size, 50 * calls_a_task))
-    schema = f"call long, doc_id {asked.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}"
+    text = render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs))
+    rows = chunks.select(F.monotonically_increasing_id().alias("call"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), text.alias("prompt"))
+    schema = f"call long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}"
     kind = to_arrow_schema(StructType.fromDDL(schema))
-    n, files = asked.count(), max(1, len(asked.inputFiles()))  # from the files' footers
-    each, left = max(1, min(files, size * files // max(n, 1))), 0
-
-    def answer(batch: DataFrame, k: int) -> None:
-        nonlocal left
-        own = f"{run}/replies/batch={k}"
-        if exists(spark, own):  # of a run that ended within this batch
-            batch = batch.join(batch.sparkSession.read.schema(schema).parquet(own).select("call"), "call", "left_anti")
-        wide = tasks or max(1, -(-n * each // files // calls_a_task))
-        begun, done = Observation(), Observation()
-        answered = batch.observe(begun, F.count("*").alias("n")).repartition(wide, "call").mapInArrow(_asking(client, threads, kind), schema)
-        # Version 2 commits each task's file when the task ends.
-        answered.observe(done, F.count("*").alias("n")).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(own)
-        left = begun.get["n"] - done.get["n"]
-        if left:
-            raise unfinished()
-
-    def unfinished() -> Unfinished:
-        return Unfinished(f"{left} chunks were not asked" + (f"; a run with the path {path} asks them" if path else ""))
-
-    if path or each < files:
-        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", each).parquet(f"{run}/prompts")
-        query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{run}/progress").foreachBatch(answer).start()
-        try:
-            query.awaitTermination()
-        except StreamingQueryException:
-            if left:
-                raise unfinished() from None
-            raise
-    else:  # one batch, and nothing that could go on with it
-        answer(asked, 0)
+
+    def place(part: str, k: int) -> str:
+        return f"{run}/{part}{k or ''}"
+
+    def said(*rounds: int) -> DataFrame:
+        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*[folder(spark, place("replies", k)) for k in rounds])
+
+    def ask(asked: DataFrame, n: int, k: int) -> bool:
+        """Whether anything was left to do."""
+        files, begun = max(1, len(asked.inputFiles())), False
+        each = max(1, min(files, size * files // max(n, 1)))
+
+        def answer(batch: DataFrame, j: int) -> None:
+            nonlocal begun
+            begun = True
+            own = f"{place('replies', k)}/batch={j}"
+            if exists(spark, own):  # of a run that ended within this batch
+                batch = batch.join(batch.sparkSession.read.schema(schema).parquet(own).select("call"), "call", "left_anti")
+            wide = tasks or max(1, -(-n * each // files // calls_a_task))
+            answered = batch.repartition(wide, "call").mapInArrow(_asking(client, threads, kind), schema)
+            # Version 2 commits each task's file when the task ends.
+            answered.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(own)
+
+        if path or each < files:
+            stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", each).parquet(place("prompts", k))
+            stream.writeStream.trigger(availableNow=True).option("checkpointLocation", place("progress", k)).foreachBatch(answer).start().awaitTermination()
+        else:  # one batch, and nothing that could go on with it
+            answer(asked, 0)
+        return begun
+
+    last = next(k for k in itertools.count() if not exists(spark, f"{place('prompts', k + 1)}/_SUCCESS"))
+    while True:
+        asked = rows = _written_prompts(rows, place("prompts", last), min(size, 50 * calls_a_task))
+        n = asked.count()  # from the files' footers, as are the replies
+        begun = ask(asked, n, last)
+        left = n - said(last).count()
+        if left and path:  # the next round
+            rows = asked.join(said(last).select("call"), "call", "left_anti").select(asked.columns)
+            _written_prompts(rows, place("prompts", last + 1), min(size, 50 * calls_a_task))
+        if left and begun:
+            raise Unfinished(f"{left} chunks were not asked" + (f"; a run with the path {path} asks them" if path else ""))
+        if not left:
+            break
+        last += 1
     if not path:
         remove(spark, f"{run}/prompts")
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder(spark, f"{run}/replies")).drop("call")
+    return said(*range(last + 1)).drop("call")
 
 
 def results(answered: DataFrame) -> DataFrame:

@@ -135,6 +135,25 @@ def test_calls_that_were_not_made_stay_open(spark, tmp_path):
     assert replies(chunks, NoQuota(), max_workers=8, path=path).count() == 30  # nothing is open
 
 
+def test_a_run_without_quota_for_some_asks_all_the_others_in_every_batch(spark, tmp_path):
+    class Counted(OfflineClient):
+        def complete(self, prompt, **settings):
+            k = int(prompt.rpartition("text ")[2])
+            if k % 3 == 0 and self.pairs == 2:
+                raise NotAsked
+            with open(tmp_path / f"call{k}", "a") as f:
+                f.write("x")
+            return super().complete(prompt, **settings)
+
+    chunks, path = some_chunks(spark, 30), str(tmp_path / "run")  # ten batches or so, of four calls
+    for _ in range(2):
+        with pytest.raises(Unfinished, match="10 chunks were not asked"):
+            replies(chunks, Counted(), max_workers=2, path=path, calls_a_task=2)
+        assert {int(f.name[4:]) for f in tmp_path.glob("call*")} == {k for k in range(30) if k % 3}
+    found = {r["doc_id"]: r["content"].count("Q") for r in replies(chunks, Counted(pairs=1), max_workers=2, path=path, calls_a_task=2).collect()}
+    assert found == {k: 2 if k % 3 else 1 for k in range(30)} and all(f.read_text() == "x" for f in tmp_path.glob("call*"))
+
+
 def test_calls_are_shared_out_by_slots_or_lanes(spark):
     assert shared_out(spark, 8, 1, 500)[1] is None and shared_out(spark, 2, 1, 500) == (1000, 2) and shared_out(spark, 2, 4, 10) == (10, 1)
 
