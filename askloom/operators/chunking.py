@@ -7,7 +7,9 @@ import itertools
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +119,20 @@ def split_keeping(text: str | None, size: int = SIZE, overlap: int = OVERLAP) ->
     return [c for c in chunks if c]
 
 
+#: Bytes of text that a Python worker cuts at a time.
+STEP_BYTES = 1 << 20
+
+
+def slices(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[pa.Array]:
+    """texts in slices of at most limit bytes, or of one text, so that a worker's memory doesn't follow the rows of a batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 #: How separators are treated: those between chunks are lost, or every piece keeps its own.
 SPLITTERS = {"lost": split_text, "kept": split_keeping}
 
@@ -126,10 +142,11 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text_column
     checked(size, overlap)
     split = splitter or functools.partial(SPLITTERS[separators], size=size, overlap=overlap)
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield texts.map(lambda t: split(t) if t else [])
+            for part in slices(texts):
+                yield pa.array([split(t) if t else [] for t in part.to_pylist()], pa.list_(pa.string()))
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_column]
     return docs.select(*rest, F.posexplode(cut(F.col(text_column))).alias("chunk_index", "chunk"))

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from askloom.operators.chunking import char_windows, chunk, chunk_native, greedy_pack, split_keeping, split_text
+from askloom.operators.chunking import char_windows, chunk, chunk_native, greedy_pack, slices, split_keeping, split_text
 from pyspark.sql import functions as F
 
 
@@ -175,3 +175,18 @@ def test_windows_of_a_long_text(spark):
     began = time.perf_counter()
     spark.range(1).select(F.explode(char_windows(F.repeat(F.lit("é234567890"), 500_000)))).write.format("noop").mode("overwrite").save()
     assert time.perf_counter() - began < 30
+
+
+def test_a_worker_cuts_a_bounded_amount_at_a_time(spark):
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "b" * 30, "", "c" * 5, "ü" * 5, "d" * 4])
+    parts = list(slices(texts, 16))
+    assert pa.concat_arrays(parts).to_pylist() == texts.to_pylist()
+    assert [len(p) for p in parts] == [2, 1, 3, 1] and list(slices(texts[:0])) == []
+
+
+def test_batches_of_several_steps_keep_their_rows(spark):
+    docs = spark.range(4000, numPartitions=1).selectExpr("id AS doc_id", "concat(id, repeat(' Some words of a line.', 100)) AS text")
+    first = chunk(docs, 120, 40).where("chunk_index = 0").select("doc_id", "chunk").collect()
+    assert [r["doc_id"] for r in first] == list(range(4000)) and all(r["chunk"].startswith(f"{r['doc_id']} Some") for r in first)
