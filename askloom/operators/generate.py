@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -75,13 +76,28 @@ def shared_out(spark: SparkSession, max_workers: int, threads: int, calls_a_task
     """How many calls a batch has, and how many tasks; None for as many as calls_a_task asks for.
 
     Where a session has no more slots for tasks than max_workers allows, the slots are the limit and a batch may be long.
-    Else a batch is no wider than max_workers, and short.
+    Else a batch is no wider than max_workers, and short, unless tasks can take more cores each (`narrowed`).
     """
     lanes, slots = max(1, max_workers // threads), spark.sparkContext.defaultParallelism
     growing = spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true"
     return (CALLS_A_BATCH, None) if slots <= lanes and not growing else (lanes * calls_a_task, lanes)
 
 
+def cores_a_call(slots: int, executors: int, lanes: int) -> int | None:
+    """The fewest cores that a task must take so that no more than lanes tasks run at once; None if no number does."""
+    each, room = slots // max(executors, 1), lanes // max(executors, 1)
+    return each // (room + 1) + 1 if executors and slots % executors == 0 and room else None
+
+
+def narrowed(spark: SparkSession, max_workers: int, threads: int) -> ResourceProfile | None:
+    """A profile for tasks of so many cores that a long batch keeps within max_workers; None where the cluster has none for tasks alone, or grows."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    cores = cores_a_call(sc.defaultParallelism, sc._jsc.sc().getExecutorMemoryStatus().size() - 1, max(1, max_workers // threads))
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build if cores else None
+
+
 def _written_prompts(rows: DataFrame, path: str, calls_a_file: int) -> DataFrame:
     """rows (call, doc_id, chunk_index, prompt), written if they are not yet."""
     spark = rows.sparkSession
@@ -102,6 +118,9 @@ def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str =
     spark = chunks.sparkSession
     run = f"{path}/{hashlib.md5(json.dumps([prompt, num_pairs]).encode()).hexdigest()}" if path else scratch_path(spark, "calls")
     size, tasks = shared_out(spark, max_workers, threads, calls_a_task)
+    profile = narrowed(spark, max_workers, threads) if tasks else None
+    if profile:  # as many short tasks as there are calls, of which few enough run at once
+        size, tasks = CALLS_A_BATCH, None
     text = render_prompt(prompt, chunk=F.col("chunk"), num_pairs=F.lit(num_pairs))
     rows = chunks.select(F.monotonically_increasing_id().alias("call"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), text.alias("prompt"))
     schema = f"call long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk_index int, {_REPLY}"
@@ -124,8 +143,8 @@ def replies(chunks: DataFrame, client: Client, num_pairs: int = 5, prompt: str =
             own = f"{place('replies', k)}/batch={j}"
             if exists(spark, own):  # of a run that ended within this batch
                 batch = batch.join(batch.sparkSession.read.schema(schema).parquet(own).select("call"), "call", "left_anti")
-            wide = tasks or max(1, -(-n * each // files // calls_a_task))
-            answered = batch.repartition(wide, "call").mapInArrow(_asking(client, threads, kind), schema)
+            wide = tasks or max(1, -(-batch.count() // calls_a_task))  # the last batch may be short
+            answered = batch.repartition(wide, "call").mapInArrow(_asking(client, threads, kind), schema, profile=profile)
             # Version 2 commits each task's file when the task ends.
             answered.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(own)
 

@@ -1,4 +1,5 @@
 import glob
+import itertools
 import json
 import os
 import sys
@@ -9,7 +10,7 @@ from pyspark import cloudpickle
 
 from askloom import __version__, cli
 from askloom.operators.clients import ChatClient, GeminiClient, NotAsked, OfflineClient, Reply, create_client
-from askloom.operators.generate import Unfinished, flat_pairs, replies, results, shared_out
+from askloom.operators.generate import Unfinished, cores_a_call, flat_pairs, narrowed, replies, results, shared_out
 from askloom.operators.metrics import run_summary
 from askloom.plans.run import run_pipeline
 from askloom.streaming.pairs import stream_chunks, stream_distinct, stream_documents, stream_pairs
@@ -158,6 +159,13 @@ def test_calls_are_shared_out_by_slots_or_lanes(spark):
     assert shared_out(spark, 8, 1, 500)[1] is None and shared_out(spark, 2, 1, 500) == (1000, 2) and shared_out(spark, 2, 4, 10) == (10, 1)
 
 
+def test_tasks_take_cores_so_that_no_more_than_lanes_run_at_once(spark):
+    for executors, each, lanes in itertools.product((1, 2, 3, 7), (1, 2, 4, 5, 16), range(1, 40)):
+        cores = cores_a_call(executors * each, executors, lanes)
+        assert cores is None and lanes < executors or executors * (each // cores) <= lanes and each >= cores
+    assert cores_a_call(12, 3, 8) == 2 and cores_a_call(13, 3, 8) is None and narrowed(spark, 2, 1) is None
+
+
 def test_replies_are_parsed_once(spark):
     found = flat_pairs(results(replies(some_chunks(spark, 3), OfflineClient())))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
