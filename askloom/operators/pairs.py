@@ -10,8 +10,8 @@ from ..functions.text import normalize
 
 
 def pairs_from_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, question and answer of each user turn that an assistant turn follows."""
-    following = Window.partitionBy("conv_id").orderBy("turn")
+    """conv_id, turn, question and answer of each user turn that an assistant turn follows; a turn without a number is the last."""
+    following = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"))
     both = turns.select("conv_id", "turn", "role", F.col("text").alias("question"), F.lead("role").over(following).alias("next"), F.lead("text").over(following).alias("answer"))
     return both.where((F.col("role") == "user") & (F.col("next") == "assistant")).select("conv_id", "turn", "question", "answer")
 
